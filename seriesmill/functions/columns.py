@@ -16,9 +16,12 @@ def as_col(c: ColumnLike) -> Column:
 
 
 def finite(c: ColumnLike) -> Column:
-    """NaN and +/-Inf become null, the only missing marker used here."""
+    """NaN and +/-Inf become null, the only missing marker used here.
+
+    NaN sorts above every number, so one comparison rejects it too.
+    """
     c = as_col(c)
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+    return F.when(F.abs(c) < F.lit(float("inf")), c)
 
 
 def divide(a: ColumnLike, b: ColumnLike) -> Column:
@@ -77,9 +80,27 @@ class Series:
 
     def __init__(self, by: Sequence[str] = ("symbol",), order: Sequence[str] = ("date",)):
         self.by, self.order = tuple(by), tuple(order)
-        self.rows: WindowSpec = Window.partitionBy(*self.by).orderBy(*self.order)
-        self.whole: WindowSpec = Window.partitionBy(*self.by)
-        self.so_far = self.rows.rowsBetween(Window.unboundedPreceding, 0)
+
+    @property
+    def rows(self) -> WindowSpec:
+        return Window.partitionBy(*self.by).orderBy(*self.order)
+
+    @property
+    def whole(self) -> WindowSpec:
+        return Window.partitionBy(*self.by)
+
+    @property
+    def so_far(self) -> WindowSpec:
+        return self.rows.rowsBetween(Window.unboundedPreceding, 0)
+
+    @property
+    def sql_rows(self) -> str:
+        names = [", ".join(f"`{c}`" for c in cols) for cols in (self.by, self.order)]
+        return f"(PARTITION BY {names[0]} ORDER BY {names[1]})"
+
+    @property
+    def sql_so_far(self) -> str:
+        return self.sql_rows[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
     def frame(self, n: int) -> WindowSpec:
         return self.rows.rowsBetween(-(n - 1), 0)
@@ -130,6 +151,25 @@ class Series:
         return F.when(zeros > 0, 0.0).otherwise(size * sign)
 
 
+def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without nulls in `columns`.
+
+    One condition per column: the optimizer derives constraints from each on
+    its own, while one condition over many columns makes it try all
+    combinations of their aliases.
+    """
+    condition = F.lit(True)
+    for c in columns:
+        condition = condition & F.col(c).isNotNull()
+    return df.filter(condition)
+
+
+def with_exprs(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add many columns from SQL text in one call (cheap to build)."""
+    keep = [f"`{c}`" for c in df.columns if c not in columns]
+    return df.selectExpr(*keep, *[f"{sql} AS `{name}`" for name, sql in columns.items()])
+
+
 def running_mean(
     df: DataFrame, series: Series, specs: Sequence[tuple[str, str, int]]
 ) -> DataFrame:
@@ -139,13 +179,59 @@ def running_mean(
     counts only when its n values are all present.
     """
     sources = sorted({c for _, c, _ in specs})
-    df = df.withColumns(
-        {f"_s_{c}": F.coalesce(F.sum(c).over(series.so_far), F.lit(0.0)) for c in sources}
-        | {f"_n_{c}": F.count(c).over(series.so_far) for c in sources}
+    rows, so_far = series.sql_rows, series.sql_so_far
+    df = with_exprs(
+        df,
+        {f"_s_{c}": f"coalesce(sum(`{c}`) OVER {so_far}, 0D)" for c in sources}
+        | {f"_n_{c}": f"count(`{c}`) OVER {so_far}" for c in sources},
+    )
+    out = {
+        name: f"CASE WHEN `_n_{c}` - lag(`_n_{c}`, {n}, 0L) OVER {rows} = {n} "
+        f"THEN (`_s_{c}` - lag(`_s_{c}`, {n}, 0D) OVER {rows}) / {n} END"
+        for name, c, n in specs
+    }
+    return with_exprs(df, out).drop(*[f"_{k}_{c}" for c in sources for k in "sn"])
+
+
+def running_moments(
+    df: DataFrame, series: Series, specs: Sequence[tuple[str, str, str, int, int]]
+) -> DataFrame:
+    """Add rolling mean and sample deviation for long windows.
+
+    `specs` are `(mean_out, std_out, column, n, min_periods)`.  Like
+    :func:`running_mean`; moments are taken about the first value of the
+    series, so that the differences of running sums keep their precision.
+    """
+    sources = sorted({c for _, _, c, _, _ in specs})
+    rows, so_far = series.sql_rows, series.sql_so_far
+    df = with_exprs(
+        df, {f"_b_{c}": f"first(`{c}`) IGNORE NULLS OVER {so_far}" for c in sources}
     )
+    sums = {}
+    for c in sources:
+        x = f"(`{c}` - `_b_{c}`)"
+        sums[f"_s_{c}"] = f"coalesce(sum({x}) OVER {so_far}, 0D)"
+        sums[f"_q_{c}"] = f"coalesce(sum({x} * {x}) OVER {so_far}, 0D)"
+        sums[f"_n_{c}"] = f"count(`{c}`) OVER {so_far}"
+    df = with_exprs(df, sums)
+    windows = {}
+    for mean, _, c, n, _ in specs:
+        for kind, zero in (("s", "0D"), ("q", "0D"), ("n", "0L")):
+            windows[f"_{kind}_{mean}"] = f"`_{kind}_{c}` - lag(`_{kind}_{c}`, {n}, {zero}) OVER {rows}"
+    df = with_exprs(df, windows)
     out = {}
-    for name, c, n in specs:
-        total = F.col(f"_s_{c}") - F.coalesce(series.lag(f"_s_{c}", n), F.lit(0.0))
-        seen = F.col(f"_n_{c}") - F.coalesce(series.lag(f"_n_{c}", n), F.lit(0))
-        out[name] = F.when(seen == n, total / n)
-    return df.withColumns(out).drop(*[f"_{k}_{c}" for c in sources for k in "sn"])
+    for mean, std, c, _, need in specs:
+        n, s, q = f"`_n_{mean}`", f"`_s_{mean}`", f"`_q_{mean}`"
+        out[mean] = f"CASE WHEN {n} >= {need} THEN `_b_{c}` + {s} / {n} END"
+        squares = f"({q} - {s} * {s} / {n})"
+        # a remainder within rounding of the running sum is a constant window
+        out[std] = (
+            f"CASE WHEN {n} >= {max(need, 2)} THEN "
+            f"CASE WHEN {squares} <= `_q_{c}` * 1e-15D THEN 0D "
+            f"ELSE sqrt({squares} / ({n} - 1)) END END"
+        )
+    df = with_exprs(df, out)
+    return df.drop(
+        *[f"_{k}_{c}" for c in sources for k in "bsqn"],
+        *[f"_{k}_{m}" for m, *_ in specs for k in "sqn"],
+    )

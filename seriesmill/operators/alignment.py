@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import Series, count_if, finite, flag
+from seriesmill.functions.columns import Series, complete_rows, count_if, finite, flag
 
 SERIES = Series()
 
@@ -234,7 +234,7 @@ def drop_null_columns(df: DataFrame) -> DataFrame:
 
 
 def drop_incomplete_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    return df.dropna("any", subset=list(columns) if columns else None)
+    return complete_rows(df, columns or df.columns)
 
 
 def incomplete_report(

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import Series, divide, finite, flag
+from seriesmill.functions.columns import (
+    Series, complete_rows, finite, flag, running_moments, with_exprs,
+)
 
 SERIES = Series()
 
@@ -34,13 +36,11 @@ def pct21(df, column="UMich_Sentiment", out="UMich_Sentiment_Chg", n: int = 21,
 
 
 def return_zscore(df, n: int = 252, columns=RETURN_COLUMNS, series=SERIES) -> DataFrame:
-    return df.withColumns(
-        {
-            f"{c}_Z": (F.col(c) - series.mean(c, n)) / (series.std(c, n) + 1e-8)
-            for c in columns
-            if c in df.columns
-        }
-    )
+    present = [c for c in columns if c in df.columns]
+    df = running_moments(df, series, [(f"_mean_{c}", f"_std_{c}", c, n, n) for c in present])
+    return with_exprs(
+        df, {f"{c}_Z": f"(`{c}` - `_mean_{c}`) / (`_std_{c}` + 1e-8D)" for c in present}
+    ).drop(*[f"_{k}_{c}" for c in present for k in ("mean", "std")])
 
 
 def month_cyclic(df, date="date") -> DataFrame:
@@ -91,7 +91,7 @@ def rehab_features(
             drop.append(price)
     df = df.drop(*drop)
     doubles = [c for c, t in df.dtypes if t == "double" and c not in keys]
-    return df.withColumns({c: finite(c) for c in doubles}).dropna("any")
+    return complete_rows(df.withColumns({c: finite(c) for c in doubles}), df.columns)
 
 
 def changed_columns(before: DataFrame, after: DataFrame) -> tuple[list[str], list[str]]:
@@ -104,12 +104,13 @@ def zscore126_detrend20(
     df, spread="HY_Spread", ratio="Put_Call_Ratio", n: int = 126, m: int = 20, series=SERIES
 ) -> DataFrame:
     """Diagnostic variants: z-score of the spread, ratio over its own mean."""
+    df = running_moments(df, series, [("_mean", "_std", spread, n, n)])
     return df.withColumns(
         {
-            f"{spread}_Z": (F.col(spread) - series.mean(spread, n)) / (series.std(spread, n) + 1e-8),
+            f"{spread}_Z": (F.col(spread) - F.col("_mean")) / (F.col("_std") + 1e-8),
             "PCR_Detrend": F.col(ratio) / (series.mean(ratio, m) + 1e-8),
         }
-    )
+    ).drop("_mean", "_std")
 
 
 def null_counts(df: DataFrame, columns, more_than: int = 500) -> DataFrame:

@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import Series, clip, divide, running_mean
+from seriesmill.functions.columns import (
+    Series, clip, divide, running_mean, running_moments, with_exprs,
+)
 
 SERIES = Series()
 
@@ -81,32 +83,31 @@ def rolling_hurst(df, price="close", n=100, max_lag=20, out="Hurst", series=SERI
     log_k = [math.log(k) for k in lags]
     mean = sum(log_k) / len(log_k)
     spread = sum((x - mean) ** 2 for x in log_k)
-    df = df.withColumns({f"_d{k}": series.change(price, k) for k in lags})
+    rows, so_far = series.sql_rows, series.sql_so_far
+    df = with_exprs(df, {f"_d{k}": f"`{price}` - lag(`{price}`, {k}) OVER {rows}" for k in lags})
     sums = {}
     for k in lags:
-        d = F.col(f"_d{k}")
-        sums[f"_s{k}"] = F.coalesce(F.sum(d).over(series.so_far), F.lit(0.0))
-        sums[f"_q{k}"] = F.coalesce(F.sum(d * d).over(series.so_far), F.lit(0.0))
-        sums[f"_c{k}"] = F.count(d).over(series.so_far)
-    df = df.withColumns(sums)
-    variances = {}
+        sums[f"_s{k}"] = f"coalesce(sum(_d{k}) OVER {so_far}, 0D)"
+        sums[f"_q{k}"] = f"coalesce(sum(_d{k} * _d{k}) OVER {so_far}, 0D)"
+        sums[f"_c{k}"] = f"count(_d{k}) OVER {so_far}"
+    df = with_exprs(df, sums)
+    last = {}
     for k in lags:
         m = n - k
-
-        def last_m(c: str) -> Column:
-            return F.col(c) - F.coalesce(series.lag(c, m), F.lit(0.0))
-
-        square = last_m(f"_q{k}") / m
-        variance = square - F.pow(last_m(f"_s{k}") / m, 2)
-        # rounding noise of a constant difference is not a variance
-        usable = (last_m(f"_c{k}") == m) & (variance > square * 1e-12)
-        variances[f"_v{k}"] = F.when(usable, F.ln(variance))
-    df = df.withColumns(variances)
-    slope = F.lit(0.0)
-    for k, x in zip(lags, log_k):
-        slope = slope + F.col(f"_v{k}") * ((x - mean) / spread)
-    drop = [f"_{p}{k}" for k in lags for p in "dsqcv"]
-    return df.withColumn(out, clip(slope / 2.0, 0.0, 1.0)).drop(*drop)
+        last[f"_s{k}"] = f"(_s{k} - lag(_s{k}, {m}, 0D) OVER {rows}) / {m}"
+        last[f"_q{k}"] = f"(_q{k} - lag(_q{k}, {m}, 0D) OVER {rows}) / {m}"
+        last[f"_c{k}"] = f"_c{k} - lag(_c{k}, {m}, 0L) OVER {rows}"
+    df = with_exprs(df, last)
+    # rounding noise of a constant difference is not a variance
+    terms = [
+        f"CASE WHEN _c{k} = {n - k} AND _q{k} - _s{k} * _s{k} > _q{k} * 1e-12D "
+        f"THEN ln(_q{k} - _s{k} * _s{k}) END * {(x - mean) / spread!r}D"
+        for k, x in zip(lags, log_k)
+    ]
+    df = with_exprs(df, {"_slope": " + ".join(terms)})
+    return df.withColumn(out, clip(F.col("_slope") / 2.0, 0.0, 1.0)).drop(
+        "_slope", *[f"_{p}{k}" for k in lags for p in "dsqc"]
+    )
 
 
 def rolling_apply(
@@ -178,10 +179,8 @@ def macro_ffill(df, column, out="ISM_PMI", series=SERIES) -> DataFrame:
 
 def rolling_zscore(df, column, n=252, min_periods=None, out="UMich_Sentiment", series=SERIES) -> DataFrame:
     """(x - mean) / std with half the window as minimum."""
-    need = min_periods or n // 2
-    return df.withColumn(
-        out, divide(F.col(column) - series.mean(column, n, need), series.std(column, n, need))
-    )
+    df = running_moments(df, series, [("_mean", "_std", column, n, min_periods or n // 2)])
+    return df.withColumn(out, divide(F.col(column) - F.col("_mean"), "_std")).drop("_mean", "_std")
 
 
 def implied_realized_gap(df, implied, ret, n=20, out="Imp_Real_Gap", series=SERIES) -> DataFrame:

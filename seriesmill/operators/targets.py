@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import Series, divide, flag
+from seriesmill.functions.columns import Series, complete_rows, divide, flag
 from seriesmill.operators.alignment import drop_weekends, ffill, month_end_sample
 from seriesmill.operators.rehab import rehab_features
 
@@ -95,9 +95,11 @@ def build_dataset(
 ) -> DataFrame:
     """Feature table -> observation rows -> target -> labels, leaks dropped."""
     df = drop_weekends(features).drop("MA_Dist_200", target, f"Log_{target}")
-    if rehab:
+    if rehab:  # leaves complete rows only, so there is nothing to carry forward
         df = rehab_features(df, price=price, series=series)
-    df = ffill(df, [c for c in FFILL_COLUMNS if c in df.columns], series).dropna("any")
+    else:
+        df = ffill(df, [c for c in FFILL_COLUMNS if c in df.columns], series)
+        df = complete_rows(df, df.columns)
     if frequency == "monthly":
         names = [c for c in df.columns if c not in ("symbol", "date", price)]
         df = month_end_sample(df, names, price)

@@ -55,7 +55,7 @@ STEPS = PRICES + f""", steps AS (
 
 
 @query("trend_efficiency", on_prices(
-    f"least(greatest(net / nullif({gated('sum', 'step', 21)}, 0), 0), 1) AS e", 21,
+    f"CASE WHEN count(step) OVER w21 = 21 THEN least(greatest(net / nullif(sum(step) OVER w21, 0), 0), 1) END AS e", 21,
     values="e", source="steps", with_=STEPS))
 def trend_efficiency(spark, d):
     return _out(rolling.trend_efficiency(panels.prices(spark, d), out="e"), "e")
@@ -237,7 +237,8 @@ stepped AS (
 own AS (
   SELECT symbol, date, close, ma200, (close - ma200) / ma200 AS "MA_Dist_200", close / ma200 - 1 AS "Dist_from_200MA",
          {pct('ma200', 20)} AS "Trend_200MA_Slope",
-         least(greatest(abs(close - lag(close, 21) OVER w) / nullif(path, 0), 0), 1) AS "Trend_Efficiency",
+         CASE WHEN path IS NOT NULL THEN
+           least(greatest(abs(close - lag(close, 21) OVER w) / nullif(path, 0), 0), 1) END AS "Trend_Efficiency",
          {", ".join(TREND)}, s50 AS "Slope_50", s100 AS "Slope_100",
          CASE WHEN v2 IS NOT NULL THEN least(greatest(({slope}) / 2, 0), 1) END AS "Hurst",
          std5 / nullif(std20, 0) AS "RV_Ratio", {pct('volume', 5)} AS "Vol_ROC", std20 * {ROOT} AS rv,
@@ -257,7 +258,7 @@ features AS (
   FROM own LEFT JOIN market_features USING (date) LEFT JOIN breadth USING (date) WHERE "Target_1M" IS NOT NULL)"""
 
 
-FEATURES = ["Price", "MA_Dist_200", "Dist_from_200MA", "Trend_200MA_Slope", "Return_1M", "Return_3M", "Return_6M",
+FEATURES = ["MA_Dist_200", "Dist_from_200MA", "Trend_200MA_Slope", "Return_1M", "Return_3M", "Return_6M",
             "Return_12M", "RV_Ratio", "Vol_ROC", "Target_1M", "Log_Target_1M", "Trend_Efficiency", "Slope_50",
             "Slope_100", "Hurst", "HY_Spread", "USD_Trend", "Oil_Deviation", "Yield_Curve", "ISM_PMI",
             "UMich_Sentiment", "Put_Call_Ratio", "Imp_Real_Gap", "Sectors_Above_50MA"]
@@ -277,7 +278,7 @@ def features_of(spark, d, panel):
 
 
 @query("feature_table", rounded(
-    f"SELECT * FROM features WHERE date >= DATE '1996-01-01'", 'symbol, date, "QC_cpc_missing"', QUOTED,
+    f"SELECT * FROM features WHERE date >= DATE '1996-01-01'", 'symbol, date, "Price", "QC_cpc_missing"', QUOTED,
     digits=4, with_=feature_sql("prices", PRICES)))
 def feature_table(spark, d):
     df = alignment.date_slice(features_of(spark, d, panels.prices(spark, d)), "1996-01-01")
@@ -382,9 +383,9 @@ def interactions(spark, d):
     return _rehab_out(df, "Vol_Trend_Interact", "Breadth_Vol_Interact")
 
 
-KEPT = ["Price", "MA_Dist_200", "Dist_from_200MA", "Trend_200MA_Slope", "Return_1M", "Vol_ROC", "Target_1M",
+KEPT = ["MA_Dist_200", "Dist_from_200MA", "Trend_200MA_Slope", "Return_1M", "Vol_ROC", "Target_1M",
         "Trend_Efficiency", "Slope_50", "Slope_100", "Hurst", "ISM_PMI", "Imp_Real_Gap", "Sectors_Above_50MA"]
-REHAB_INNER = ", ".join([*[f'"{c}"' for c in KEPT], '"QC_cpc_missing"', DIFFS,
+REHAB_INNER = ", ".join(['"Price"', *[f'"{c}"' for c in KEPT], '"QC_cpc_missing"', DIFFS,
                          '"UMich_Sentiment" / nullif(lag("UMich_Sentiment", 21) OVER w, 0) - 1 AS "UMich_Sentiment_Chg"',
                          '"Sectors_Above_50MA" - lag("Sectors_Above_50MA", 5) OVER w AS "Breadth_Thrust"',
                          'CASE WHEN "Sectors_Above_50MA" > 0.5 THEN 1 ELSE 0 END AS "Breadth_Regime"',
@@ -403,14 +404,14 @@ REHAB_VALUES = [*REHAB_COMMON, *Z, "Month_Sin", "Month_Cos"]
 
 
 @query("rehab_features", rounded(
-    "SELECT * FROM rehab", 'symbol, date, "QC_cpc_missing", "Breadth_Regime"', ", ".join(f'"{c}"' for c in REHAB_VALUES),
+    "SELECT * FROM rehab", 'symbol, date, "Price", "QC_cpc_missing", "Breadth_Regime"', ", ".join(f'"{c}"' for c in REHAB_VALUES),
     digits=4, with_=REHAB_CTE))
 def rehab_features(spark, d):
     return round6(rehab.rehab_features(long_features(spark, d)), *REHAB_VALUES, digits=4)
 
 
 @query("rehab_legacy", rounded(
-    "SELECT * FROM legacy", 'symbol, date, "QC_cpc_missing", "Breadth_Regime", "Month_of_Year"',
+    "SELECT * FROM legacy", 'symbol, date, "Price", "QC_cpc_missing", "Breadth_Regime", "Month_of_Year"',
     ", ".join(f'"{c}"' for c in REHAB_COMMON), digits=4, with_=REHAB_CTE))
 def rehab_legacy(spark, d):
     return round6(rehab.rehab_features(long_features(spark, d), legacy=True), *REHAB_COMMON, digits=4)
@@ -495,7 +496,7 @@ def dataset_summary(spark, d):
     return round6(targets.dataset_summary(labelled(spark, d), 2), "pct_big")
 
 
-DATASET_KEPT = [c for c in REHAB_VALUES if c not in ("Price", "MA_Dist_200", "Target_1M")]
+DATASET_KEPT = [c for c in REHAB_VALUES if c not in ("MA_Dist_200", "Target_1M")]
 
 
 @query("build_dataset", rounded(

@@ -69,7 +69,7 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
             _mean_cents("l_extendedprice").alias("spy"),
             _mean_cents("l_extendedprice", of("A")).alias("hyg"),
             _mean_cents("l_extendedprice", of("N")).alias("shy"),
-            _mean_cents("l_extendedprice", of("R")).alias("dxy"),
+            F.ln(_mean_cents("l_extendedprice", of("R"))).alias("dxy"),
             _mean_cents("l_extendedprice", F.col("l_linestatus") == "O").alias("oil"),
             (1000 * _mean_cents("l_discount")).alias("vix"),
             divide(

@@ -29,7 +29,7 @@ MARKET = f"""market AS (
          {_mean("l_extendedprice")} AS spy,
          {_mean("l_extendedprice", "l_returnflag = 'A'")} AS hyg,
          {_mean("l_extendedprice", "l_returnflag = 'N'")} AS shy,
-         {_mean("l_extendedprice", "l_returnflag = 'R'")} AS dxy,
+         ln({_mean("l_extendedprice", "l_returnflag = 'R'")}) AS dxy,
          {_mean("l_extendedprice", "l_linestatus = 'O'")} AS oil,
          1000::DOUBLE * ({_mean("l_discount")}) AS vix,
          CAST(sum(CAST(round(l_tax * 100) AS BIGINT))
