@@ -104,3 +104,67 @@ def rounded(sql: str, keys: str, values: str, digits: int = 6, with_: str = "")
         for v in (x.strip() for x in values.split(",")) if v
     ]
     return f"{'WITH ' + with_ if with_ else ''} SELECT {', '.join(cols)} FROM ({sql}) AS final_rows"
+
+
+def spearman_cte(source: str, keys: str, out: str, x: str = "y_true", y: str = "y_pred") -> str:
+    """CTE `out(keys, n, ic)`."""
+    def rank(c: str) -> str:
+        return (f"rank() OVER (PARTITION BY {keys} ORDER BY {c}) + "
+                f"(count(*) OVER (PARTITION BY {keys}, {c}) - 1) / 2.0")
+
+    return f"""{out} AS (
+  SELECT {keys}, count(*) AS n, CASE WHEN isfinite(corr(rx, ry)) THEN corr(rx, ry) ELSE 0.0 END AS ic
+  FROM (SELECT {keys}, {rank(x)} AS rx, {rank(y)} AS ry FROM {source}
+        WHERE {x} IS NOT NULL AND {y} IS NOT NULL) GROUP BY {keys})"""
+
+
+def quantile_cte(source: str, keys: str, out: str) -> str:
+    """CTEs ending in `out(keys, spread, tstat, ..., monotonicity)`."""
+    def edges(k: int) -> str:
+        return "quantile_cont(y_pred, [" + ", ".join(f"{j}/{k}.0::DOUBLE" if j else "0.0" for j in range(k + 1)) + "])"
+
+    on = " AND ".join(f"s.{k.strip()} = q.{k.strip()}" for k in keys.split(","))
+    skeys = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
+    return f"""{out}_q AS (
+  SELECT {keys}, count(*) AS total, CASE WHEN count(*) >= 20 THEN {edges(10)} WHEN count(*) >= 10 THEN {edges(5)}
+         ELSE {edges(2)} END AS edges FROM {source} GROUP BY {keys}),
+{out}_b AS (
+  SELECT {skeys}, total, greatest(len(list_filter(list_distinct(edges), lambda e: e < y_pred)) - 1, 0) AS bin, y_true
+  FROM {source} s JOIN {out}_q q ON {on}),
+{out}_g AS (
+  SELECT {keys}, bin, max(total) AS total, count(*) AS c, avg(y_true) AS m, var_samp(y_true) AS v
+  FROM {out}_b GROUP BY {keys}, bin),
+{out}_l AS (
+  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY bin) - 1 AS label, count(*) OVER (PARTITION BY {keys}) AS k,
+         rank() OVER (PARTITION BY {keys} ORDER BY m) AS r FROM {out}_g),
+{out}_t AS (
+  SELECT {keys}, max(total) AS total, max(k) AS k, max(m) FILTER (label = k - 1) AS m1, max(m) FILTER (label = 0) AS m2,
+         max(c) FILTER (label = k - 1) AS n1, max(c) FILTER (label = 0) AS n2,
+         max(v) FILTER (label = k - 1) AS v1, max(v) FILTER (label = 0) AS v2, corr(label, r) AS mono
+  FROM {out}_l GROUP BY {keys}),
+{out} AS (
+  SELECT {keys}, CASE WHEN total < 4 THEN 0 ELSE m1 - m2 END AS spread,
+    CASE WHEN total < 4 OR n1 < 2 OR n2 < 2 THEN 0 ELSE coalesce((m1 - m2) / nullif(sqrt(
+      ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 0), 0) END AS tstat,
+    CASE WHEN total < 4 THEN 0 ELSE m1 END AS top_mean, CASE WHEN total < 4 THEN 0 ELSE m2 END AS bottom_mean,
+    CASE WHEN total < 4 THEN 0 ELSE n1 END AS top_count, CASE WHEN total < 4 THEN 0 ELSE n2 END AS bottom_count,
+    CASE WHEN total < 4 OR k < 2 THEN 0 WHEN k >= 3 THEN CASE WHEN isfinite(mono) THEN mono ELSE 0 END
+         WHEN m1 > m2 THEN 1 ELSE -1 END AS monotonicity
+  FROM {out}_t)"""
+
+
+HIT = ("coalesce(avg(CASE WHEN y_true = 0 THEN NULL WHEN sign(y_true) = sign(y_pred) THEN 1.0 ELSE 0.0 END), 0.0)")
+
+
+def tail_select(t: float) -> str:
+    def ratio(a: str, b: str) -> str:
+        return f"coalesce(count(*) FILTER ({a} AND {b}) / nullif(CAST(count(*) FILTER ({b}) AS DOUBLE), 0), 0.0)"
+
+    au, ad, pu, pd = f"y_true > {t}", f"y_true < -{t}", f"y_pred > {t}", f"y_pred < -{t}"
+    return (f"{ratio(au, pu)} AS precision_up, {ratio(ad, pd)} AS precision_down, {ratio(pu, au)} AS recall_up, "
+            f"{ratio(pd, ad)} AS recall_down, count(*) FILTER ({au}) AS actual_up, count(*) FILTER ({ad}) AS actual_down, "
+            f"count(*) FILTER ({pu}) AS pred_up, count(*) FILTER ({pd}) AS pred_down")
+
+
+POINT = ("count(*) AS n, sqrt(avg((y_true - y_pred) ** 2)) AS rmse, avg(abs(y_true - y_pred)) AS mae, "
+         "100.0 * avg(CASE WHEN sign(y_true) = sign(y_pred) THEN 1.0 ELSE 0.0 END) AS dir_acc")
