@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import clip, count_if, divide, finite, mean_if, safe_ratio, share
+from seriesmill.functions.lineage import stable
 from seriesmill.operators.ranking import average_rank, quantile_bin, spearman, with_rank
 
 
@@ -260,7 +261,7 @@ def tail_metrics(df, by=(), threshold=0.05) -> DataFrame:
 def fold_summary(folds: DataFrame) -> DataFrame:
     """Mean and population deviation of fold metrics, IC-spread rank correlation."""
     columns = [c for c in ("ic", "spread", "tstat", "monotonicity", "best_sharpe") if c in folds.columns]
-    one = folds.withColumn("_all", F.lit(0))
+    one = stable(folds.withColumn("_all", F.lit(0)))
     r = with_rank(with_rank(one, "ic", ["_all"], "i"), "spread", ["_all"], "s")
     return r.agg(
         F.count("*").alias("n_folds"),

@@ -6,7 +6,7 @@ import importlib
 
 from seriesmill.plans import registry
 
-MODULES = ("store_queries", "feature_queries", "metric_queries")
+MODULES = ("store_queries", "feature_queries", "metric_queries", "policy_queries", "split_queries")
 
 
 def _load() -> None:

@@ -168,3 +168,71 @@ def tail_select(t: float) -> str:
 
 POINT = ("count(*) AS n, sqrt(avg((y_true - y_pred) ** 2)) AS rmse, avg(abs(y_true - y_pred)) AS mae, "
          "100.0 * avg(CASE WHEN sign(y_true) = sign(y_pred) THEN 1.0 ELSE 0.0 END) AS dir_acc")
+
+
+def curve_cte(source: str, keys: str, out: str, r: str) -> str:
+    """CTE `out`: source rows with equity, peak and drawdown."""
+    w = f"OVER (PARTITION BY {keys} ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    return f"""{out} AS (
+  SELECT *, equity / peak - 1 AS drawdown FROM (
+    SELECT *, max(equity) {w} AS peak FROM (SELECT *, product(1 + {r}) {w} AS equity FROM {source})))"""
+
+
+def policy_cte(source: str, keys: str, out: str, ann: int = 252) -> str:
+    """CTEs ending in `out`: policy statistics of rows with y_true, y_pred,
+    position and strategy_return."""
+    return f"""{out}_act AS (SELECT * FROM {source} WHERE position <> 0),
+{spearman_cte(out + "_act", keys, out + "_ic")},
+{quantile_cte(out + "_act", keys, out + "_sp")},
+{curve_cte(source, keys, out + "_c", "strategy_return")},
+{out}_s AS (
+  SELECT {keys}, count(*) AS n_periods, count(*) FILTER (position <> 0) AS trade_count,
+    arg_max(equity, date) - 1 AS total_return, avg(strategy_return) * {ann} AS ann_return,
+    stddev_pop(strategy_return) * sqrt({ann}) AS ann_volatility, min(drawdown) AS max_drawdown,
+    CASE WHEN stddev_pop(strategy_return) FILTER (position <> 0) = 0 THEN 0 ELSE
+      avg(strategy_return) FILTER (position <> 0) / stddev_pop(strategy_return) FILTER (position <> 0) * sqrt({ann}) END AS sharpe,
+    avg(CASE WHEN sign(position) = sign(y_true) THEN 1.0 ELSE 0.0 END) FILTER (position <> 0) AS hit_rate,
+    avg(CASE WHEN strategy_return > 0 THEN 1.0 ELSE 0.0 END) FILTER (position <> 0) AS win_rate,
+    avg(strategy_return) FILTER (position <> 0) AS avg_return_per_trade,
+    count(*) FILTER (position <> 0) / count(*)::DOUBLE AS holding_frequency
+  FROM {out}_c GROUP BY {keys}),
+{out} AS (SELECT * FROM {out}_s LEFT JOIN (SELECT * EXCLUDE (n) FROM {out}_ic) USING ({keys})
+  LEFT JOIN (SELECT {keys}, spread FROM {out}_sp) USING ({keys}))"""
+
+
+POLICY_COUNTS = "n_periods, trade_count"
+POLICY_VALUES = ("total_return, ann_return, ann_volatility, max_drawdown, sharpe, hit_rate, win_rate, "
+                 "avg_return_per_trade, holding_frequency, ic, spread")
+
+
+def position_sql(policy: str, p: str = "y_pred", t: str = "0.03", scale: str = "1") -> str:
+    return {
+        "long_flat": f"CASE WHEN {p} > 0 THEN 1.0::DOUBLE ELSE 0.0 END",
+        "long_short": f"CAST(sign({p}) AS DOUBLE)",
+        "thresholded": f"CASE WHEN {p} > {t} THEN 1.0::DOUBLE WHEN {p} < -({t}) THEN -1.0 ELSE 0.0 END",
+        "continuous_sizing": f"least(greatest({p} / ({scale}), -1.0::DOUBLE), 1.0)",
+    }[policy]
+
+
+def risk_cte(source: str, keys: str, out: str, r: str = "pnl") -> str:
+    """CTEs ending in `out`: the risk report of a daily return series."""
+    w = f"OVER (PARTITION BY {keys} ORDER BY date ROWS UNBOUNDED PRECEDING)"
+    return f"""{curve_cte(source, keys, out + "_c", r)},
+{out}_i AS (SELECT *, sum(CASE WHEN drawdown < 0 THEN 0 ELSE 1 END) {w} AS island FROM {out}_c),
+{out}_d AS (SELECT {keys}, max(length) AS dd_duration FROM (
+  SELECT {keys}, island, count(*) FILTER (drawdown < 0) AS length FROM {out}_i GROUP BY {keys}, island) GROUP BY {keys}),
+{out}_m AS (
+  SELECT {keys}, arg_max(equity, date) - 1 AS total_return, avg({r}) * 252 AS ann_return,
+    arg_max(equity, date) ** (252.0 / count(*)) - 1 AS cagr,
+    stddev_samp({r}) * sqrt(252) AS volatility, min(drawdown) AS max_drawdown,
+    avg(CASE WHEN {r} > 0 THEN 1.0 ELSE 0.0 END) AS win_rate,
+    coalesce(sum({r}) FILTER ({r} > 0) / nullif(abs(sum({r}) FILTER ({r} < 0)), 0), 0) AS profit_factor,
+    sqrt(avg({r} * {r}) FILTER ({r} < 0)) * sqrt(252) AS down
+  FROM {out}_c GROUP BY {keys}),
+{out} AS (
+  SELECT * EXCLUDE (down), coalesce(ann_return / nullif(volatility, 0), 0) AS sharpe, ann_return / nullif(down, 0) AS sortino,
+    coalesce(ann_return / nullif(abs(max_drawdown), 0), 0) AS calmar
+  FROM {out}_m JOIN {out}_d USING ({keys}))"""
+
+
+RISK_VALUES = "total_return, ann_return, cagr, volatility, sharpe, sortino, calmar, max_drawdown, win_rate, profit_factor"
