@@ -225,9 +225,15 @@ def score_thresholds(df, by, grid: DataFrame, ranks=True) -> DataFrame:
     return policy_stats(strategy_returns(rows, key), key, 252, ranks)
 
 
-def _first_best(score: Column, value: str) -> Column:
+#: scores that agree to this many decimals tie: their last bits depend on the
+#: order in which partial sums are combined
+TIE_DIGITS = 10
+
+
+def first_best(score: Column, value: str, out: str | None = None) -> Column:
     """Aggregate: smallest candidate among those with the best score."""
-    return F.max_by(value, F.when(score.isNotNull(), F.struct(score, -F.col(value))))
+    order = F.struct(F.round(score, TIE_DIGITS), -F.col(value))
+    return F.max_by(out or value, F.when(score.isNotNull(), order))
 
 
 def tune_threshold(df, by, criterion="sharpe", points=10, min_trades=0.1, grid=None) -> DataFrame:
@@ -244,7 +250,7 @@ def tune_threshold(df, by, criterion="sharpe", points=10, min_trades=0.1, grid=N
     }[criterion]
     score = F.when(F.col("holding_frequency") >= min_trades, measure)
     return s.withColumn("_score", score).groupBy(*by).agg(
-        F.coalesce(_first_best(F.col("_score"), "threshold"), F.min("threshold")).alias("best_threshold"),
+        F.coalesce(first_best(F.col("_score"), "threshold"), F.min("threshold")).alias("best_threshold"),
         F.max("_score").alias("best_score"),
         F.count("*").alias("tried"),
     )
@@ -296,7 +302,7 @@ def _best_of_grid(df, by, out: str, ret: Column, grid: Sequence[float], executio
     sharpe = F.when(std > 1e-8, F.avg("_r") / F.nullif(std, F.lit(0.0)) * math.sqrt(ann)).otherwise(0.0)
     scored = rows.groupBy(*by, out).agg(sharpe.alias("_sharpe"))
     return scored.groupBy(*by).agg(
-        _first_best(F.col("_sharpe"), out).alias(f"best_{out}"), F.max("_sharpe").alias("best_sharpe"))
+        first_best(F.col("_sharpe"), out).alias(f"best_{out}"), F.max("_sharpe").alias("best_sharpe"))
 
 
 def tune_k(df, by, z="z", ret="y_true", grid=K_GRID, execution="monthly") -> DataFrame:
@@ -328,12 +334,12 @@ def coverage_performance(df, by) -> tuple[DataFrame, DataFrame]:
         *by, "threshold", F.col("holding_frequency").alias("coverage"), "sharpe", "total_return", "trade_count",
         F.when(F.col("trade_count") > 5, F.col("ic")).otherwise(0.0).alias("ic_when_trading"))
     ok = (F.col("coverage") > 0.05) & F.col("sharpe").isNotNull()
-    best = F.when(ok, F.struct("sharpe", -F.col("threshold")))
+    sharpe = F.when(ok, F.col("sharpe"))
     r = with_rank(with_rank(curve, "coverage", by, "c", is_series=True), "sharpe", by, "s", is_series=True)
     summary = r.groupBy(*by).agg(
-        F.coalesce(F.max_by("threshold", best), F.lit(0.0)).alias("best_threshold"),
-        F.coalesce(F.max_by("coverage", best), F.lit(1.0)).alias("best_coverage"),
-        F.coalesce(F.max(F.when(ok, F.col("sharpe"))), F.lit(0.0)).alias("best_sharpe"),
+        F.coalesce(first_best(sharpe, "threshold"), F.lit(0.0)).alias("best_threshold"),
+        F.coalesce(first_best(sharpe, "threshold", "coverage"), F.lit(1.0)).alias("best_coverage"),
+        F.coalesce(F.max(sharpe), F.lit(0.0)).alias("best_sharpe"),
         F.when(
             (F.count("*") >= 3) & (F.count("sharpe") == F.count("*")), spearman("c", "s")
         ).otherwise(0.0).alias("coverage_sharpe_corr"),

@@ -175,7 +175,7 @@ def threshold_grid(spark, d):
 
 def best_sql(score: str) -> str:
     return f"""best AS (
-  SELECT symbol, coalesce(arg_min(threshold, (-score, threshold)) FILTER (score IS NOT NULL), min(threshold)) AS best_threshold,
+  SELECT symbol, coalesce(arg_min(threshold, (round(-score, 10), threshold)) FILTER (score IS NOT NULL), min(threshold)) AS best_threshold,
          max(score) AS best_score, count(*) AS tried
   FROM (SELECT *, CASE WHEN holding_frequency >= 0.1 THEN {score} END AS score FROM ps) GROUP BY symbol)"""
 
@@ -241,7 +241,7 @@ def _z(spark, d):
 
 def best_of(expr: str, name: str, grid) -> str:
     values = ", ".join(f"{g}::DOUBLE" for g in grid)
-    return f"""SELECT fold_id, arg_min({name}, (-sharpe, {name})) AS best_{name}, max(sharpe) AS best_sharpe FROM (
+    return f"""SELECT fold_id, arg_min({name}, (round(-sharpe, 10), {name})) AS best_{name}, max(sharpe) AS best_sharpe FROM (
       SELECT fold_id, {name}, CASE WHEN stddev_pop(r) > 1e-8 THEN avg(r) / stddev_pop(r) * sqrt(12) ELSE 0 END AS sharpe FROM (
         SELECT fold_id, {name}, {expr} AS r FROM z, (SELECT unnest([{values}]) AS {name})) GROUP BY fold_id, {name}) GROUP BY fold_id"""
 
@@ -268,8 +268,8 @@ pos AS (SELECT *, position * y_true AS strategy_return FROM (
 curve AS (SELECT symbol, threshold, holding_frequency AS coverage, sharpe, total_return, trade_count,
     CASE WHEN trade_count > 5 THEN ic ELSE 0 END AS ic_when_trading FROM ps),
 {spearman_cte("curve", "symbol", "cc", "coverage", "sharpe")},
-summary AS (SELECT symbol, arg_min(threshold, (-sharpe, threshold)) FILTER (coverage > 0.05 AND sharpe IS NOT NULL) AS best_threshold,
-    arg_min(coverage, (-sharpe, threshold)) FILTER (coverage > 0.05 AND sharpe IS NOT NULL) AS best_coverage,
+summary AS (SELECT symbol, arg_min(threshold, (round(-sharpe, 10), threshold)) FILTER (coverage > 0.05 AND sharpe IS NOT NULL) AS best_threshold,
+    arg_min(coverage, (round(-sharpe, 10), threshold)) FILTER (coverage > 0.05 AND sharpe IS NOT NULL) AS best_coverage,
     max(sharpe) FILTER (coverage > 0.05) AS best_sharpe FROM curve GROUP BY symbol)"""
 
 
