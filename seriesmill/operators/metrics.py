@@ -45,9 +45,17 @@ def loss_metrics(df, by=(), delta=1.0, alpha=4.0, threshold=0.03) -> DataFrame:
     )
 
 
-def ranked(df, by, is_series=False) -> DataFrame:
-    df = with_rank(usable(df), "y_pred", by, "p", is_series=is_series)
-    return with_rank(df, "y_true", by, "t", is_series=is_series)
+def ranked(df, by, is_series=False, both=True) -> DataFrame:
+    """Usable rows with the rank columns `p_*` of forecasts and `t_*` of actuals.
+
+    Rows ranked before (by the same groups) are taken as they are, so that
+    several metrics can share one ranking.
+    """
+    if "p_below" not in df.columns:
+        df = with_rank(usable(df), "y_pred", by, "p", is_series=is_series)
+    if both and "t_below" not in df.columns:
+        df = with_rank(df, "y_true", by, "t", is_series=is_series)
+    return df
 
 
 def information_coefficient(df, by, is_series=False) -> DataFrame:
@@ -90,7 +98,7 @@ def classification_stats(df, by=()) -> DataFrame:
 
 
 def _quantile_bins(df, by, bins, is_series) -> DataFrame:
-    r = with_rank(usable(df), "y_pred", by, "p", is_series=is_series)
+    r = ranked(df, by, is_series, both=False)
     n = F.col("p_total")
     used = F.when(n >= 2 * bins, bins).when(n >= 10, 5).when(n >= 4, 2)
     return r.withColumn("_bin", F.coalesce(quantile_bin("p", used), F.lit(0))).groupBy(*by, "_bin").agg(
@@ -219,6 +227,7 @@ def regime_metrics(df, by=(), regime="regime", least=5) -> DataFrame:
         F.stddev_pop("y_true").alias("std_actual"),
     )
     stats = stats.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(*by)))
+    v = ranked(v, key)
     return (
         stats.filter(F.col("count") >= least)
         .join(information_coefficient(v, key).drop("n"), key)
@@ -234,6 +243,7 @@ def fold_regime_metrics(df, thresholds, column, by=("fold_id",), least=5) -> Dat
     key = [*by, "regime"]
     stats = v.groupBy(*key).agg(F.count("*").alias("_n"))
     enough = F.col("_n") > least
+    v = ranked(v, key)
     return (
         stats.join(information_coefficient(v, key).drop("n"), key, "left")
         .join(decile_spread(v, key), key, "left")
@@ -373,6 +383,7 @@ def model_comparison(long: DataFrame, models: Sequence[str], baselines: Sequence
 def baseline_suite(predictions: DataFrame, by=("model",)) -> DataFrame:
     """Several models on one split: one row of metrics each."""
     by = list(by)
+    predictions = ranked(predictions, by)
     return (
         point_metrics(predictions, by)
         .join(information_coefficient(predictions, by).drop("n"), by)

@@ -350,3 +350,34 @@ def coverage_performance(df, by) -> tuple[DataFrame, DataFrame]:
 def clipped_strategy(df, by, limit, policy="long_short", threshold=0.03, **options) -> DataFrame:
     return evaluate_policy(
         df.withColumn("y_pred", clip("y_pred", -limit, limit)), by, policy, threshold=threshold, **options)
+
+
+def pooled_coverage(df: DataFrame, by: Sequence[str], ann: float = 252) -> DataFrame:
+    """Best threshold of the thresholded policy over a pooled group of any size.
+
+    Only means are compared (a pool has no equity curve): `best_threshold`,
+    `best_coverage`, `best_sharpe` among thresholds that trade over 5% of rows.
+    """
+    by = list(by)
+    a = df.withColumn("_a", F.abs("y_pred"))
+    grid = with_rank(a, "_a", by, "a").groupBy(*by).agg(F.array_sort(F.array_distinct(F.array(
+        F.lit(0.0), *[quantile("_a", "a", p / 100.0) for p in COVERAGE_PERCENTILES]))).alias("_grid"))
+    rows = df.join(grid, by).select(*by, "y_true", "y_pred", F.explode("_grid").alias("threshold"))
+    pos = position("y_pred", "thresholded", F.col("threshold"))
+    curve = rows.withColumn("_r", F.when(pos != 0, pos * F.col("y_true"))).groupBy(*by, "threshold").agg(
+        (F.count("_r") / F.count("*")).alias("coverage"), sharpe_of(F.col("_r"), ann).alias("sharpe"))
+    ok = F.when((F.col("coverage") > 0.05), F.col("sharpe"))
+    return curve.groupBy(*by).agg(
+        F.coalesce(first_best(ok, "threshold"), F.lit(0.0)).alias("best_threshold"),
+        F.coalesce(first_best(ok, "threshold", "coverage"), F.lit(1.0)).alias("best_coverage"),
+        F.coalesce(F.max(ok), F.lit(0.0)).alias("best_sharpe"))
+
+
+def pooled_sharpe(df: DataFrame, by: Sequence[str], threshold: float = 0.03, ann: float = 252) -> DataFrame:
+    """Sharpe of the sign and the thresholded strategy over a pooled group."""
+    def sharpe(policy: str) -> Column:
+        pos = position("y_pred", policy, threshold)
+        return sharpe_of(F.when(pos != 0, pos * F.col("y_true")), ann)
+
+    return df.groupBy(*by).agg(
+        sharpe("long_short").alias("strategy_sharpe"), sharpe("thresholded").alias("big_move_sharpe"))

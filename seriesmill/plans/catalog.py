@@ -6,7 +6,7 @@ import importlib
 
 from seriesmill.plans import registry
 
-MODULES = ("store_queries", "feature_queries", "metric_queries", "policy_queries", "split_queries", "model_queries", "check_queries")
+MODULES = ("store_queries", "feature_queries", "metric_queries", "policy_queries", "split_queries", "model_queries", "check_queries", "fold_queries")
 
 
 def _load() -> None:
