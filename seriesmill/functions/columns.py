@@ -71,6 +71,17 @@ def round6(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     )
 
 
+def corr(x: ColumnLike, y: ColumnLike) -> Column:
+    """Aggregate: Pearson correlation, null when a side does not vary.
+
+    The built-in one raises in ANSI mode for a constant column.
+    """
+    x, y = as_col(x), as_col(y)
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 class Series:
     """Windows along one series: rows of `by` in `order` order.
 
@@ -198,40 +209,62 @@ def running_moments(
 ) -> DataFrame:
     """Add rolling mean and sample deviation for long windows.
 
-    `specs` are `(mean_out, std_out, column, n, min_periods)`.  Like
-    :func:`running_mean`; moments are taken about the first value of the
-    series, so that the differences of running sums keep their precision.
+    `specs` are `(mean_out, std_out, column, n, min_periods)`.  A series is cut
+    into blocks of n rows; a window is the end of one block and the start of
+    the next, so two partial results are merged per row whatever n is.  Sums
+    are taken about the first value of a block, which keeps them precise for
+    series that drift far from where they began.
     """
-    sources = sorted({c for _, _, c, _, _ in specs})
-    rows, so_far = series.sql_rows, series.sql_so_far
+    if not specs:
+        return df
+    rows = series.sql_rows
     df = with_exprs(
-        df, {f"_b_{c}": f"first(`{c}`) IGNORE NULLS OVER {so_far}" for c in sources}
+        df, {f"_k{n}": f"floor((row_number() OVER {rows} - 1) / {n})" for n in sorted({s[3] for s in specs})}
+    )
+    keys, order = (", ".join(f"`{c}`" for c in cols) for cols in (series.by, series.order))
+
+    def block(n: int, ends: str) -> str:
+        return f"(PARTITION BY {keys}, _k{n} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND {ends})"
+
+    last, here = "UNBOUNDED FOLLOWING", "CURRENT ROW"
+    df = with_exprs(
+        df, {f"_b_{m}": f"first(`{c}`) IGNORE NULLS OVER {block(n, last)}" for m, _, c, n, _ in specs}
     )
     sums = {}
-    for c in sources:
-        x = f"(`{c}` - `_b_{c}`)"
-        sums[f"_s_{c}"] = f"coalesce(sum({x}) OVER {so_far}, 0D)"
-        sums[f"_q_{c}"] = f"coalesce(sum({x} * {x}) OVER {so_far}, 0D)"
-        sums[f"_n_{c}"] = f"count(`{c}`) OVER {so_far}"
+    for m, _, c, n, _ in specs:
+        x = f"(`{c}` - `_b_{m}`)"
+        for tag, ends in (("p", here), ("t", last)):
+            sums[f"_n{tag}_{m}"] = f"count(`{c}`) OVER {block(n, ends)}"
+            sums[f"_s{tag}_{m}"] = f"coalesce(sum({x}) OVER {block(n, ends)}, 0D)"
+            sums[f"_q{tag}_{m}"] = f"coalesce(sum({x} * {x}) OVER {block(n, ends)}, 0D)"
     df = with_exprs(df, sums)
-    windows = {}
-    for mean, _, c, n, _ in specs:
-        for kind, zero in (("s", "0D"), ("q", "0D"), ("n", "0L")):
-            windows[f"_{kind}_{mean}"] = f"`_{kind}_{c}` - lag(`_{kind}_{c}`, {n}, {zero}) OVER {rows}"
-    df = with_exprs(df, windows)
+    # what the block before contributes: its total less its start
+    before = {}
+    for m, _, _, n, _ in specs:
+        before[f"_ba_{m}"] = f"lag(`_b_{m}`, {n}) OVER {rows}"
+        for kind, zero in (("n", "0L"), ("s", "0D"), ("q", "0D")):
+            before[f"_{kind}a_{m}"] = (
+                f"lag(`_{kind}t_{m}`, {n}, {zero}) OVER {rows} - lag(`_{kind}p_{m}`, {n}, {zero}) OVER {rows}"
+            )
+    df = with_exprs(df, before)
+    parts = {}
+    for m, *_ in specs:
+        for tag, base in (("a", f"_ba_{m}"), ("p", f"_b_{m}")):
+            n, s, q = (f"`_{kind}{tag}_{m}`" for kind in "nsq")
+            parts[f"_m{tag}_{m}"] = f"CASE WHEN {n} > 0 THEN `{base}` + {s} / {n} END"
+            parts[f"_v{tag}_{m}"] = f"CASE WHEN {n} > 0 THEN greatest({q} - {s} * {s} / {n}, 0D) ELSE 0D END"
+    df = with_exprs(df, parts)
     out = {}
-    for mean, std, c, _, need in specs:
-        n, s, q = f"`_n_{mean}`", f"`_s_{mean}`", f"`_q_{mean}`"
-        out[mean] = f"CASE WHEN {n} >= {need} THEN `_b_{c}` + {s} / {n} END"
-        squares = f"({q} - {s} * {s} / {n})"
-        # a remainder within rounding of the running sum is a constant window
-        out[std] = (
-            f"CASE WHEN {n} >= {max(need, 2)} THEN "
-            f"CASE WHEN {squares} <= `_q_{c}` * 1e-15D THEN 0D "
-            f"ELSE sqrt({squares} / ({n} - 1)) END END"
-        )
+    for m, std, _, _, need in specs:
+        na, nb = f"`_na_{m}`", f"`_np_{m}`"
+        gap = f"coalesce(`_ma_{m}` - `_mp_{m}`, 0D)"
+        n = f"({na} + {nb})"
+        mean = f"coalesce(`_mp_{m}` + coalesce(`_ma_{m}` - `_mp_{m}`, 0D) * {na} / {n}, `_ma_{m}`)"
+        squares = f"(`_va_{m}` + `_vp_{m}` + {gap} * {gap} * {na} * {nb} / {n})"
+        out[m] = f"CASE WHEN {n} >= {max(need, 1)} THEN {mean} END"
+        out[std] = f"CASE WHEN {n} >= {max(need, 2)} THEN sqrt({squares} / ({n} - 1)) END"
     df = with_exprs(df, out)
-    return df.drop(
-        *[f"_{k}_{c}" for c in sources for k in "bsqn"],
-        *[f"_{k}_{m}" for m, *_ in specs for k in "sqn"],
-    )
+    names = [f"_{k}{t}_{m}" for m, *_ in specs for k in "nsq" for t in "pta"]
+    names += [f"_{k}{t}_{m}" for m, *_ in specs for k in "mv" for t in "ap"]
+    names += [f"_b_{m}" for m, *_ in specs] + [f"_ba_{m}" for m, *_ in specs]
+    return df.drop(*names, *[f"_k{s[3]}" for s in specs])

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import Series, complete_rows, count_if, finite, flag
+from seriesmill.functions.columns import Series, complete_rows, count_if, divide, finite, flag
 
 SERIES = Series()
 
@@ -138,8 +138,8 @@ def quality_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     stats = []
     for c in columns:
         stats += [
-            (100.0 * count_if(F.col(c).isNull()) / F.count("*")).alias(f"_m_{c}"),
-            (100.0 * count_if(F.col(c) == 0) / F.count("*")).alias(f"_z_{c}"),
+            divide(100.0 * count_if(F.col(c).isNull()), F.count("*")).alias(f"_m_{c}"),
+            divide(100.0 * count_if(F.col(c) == 0), F.count("*")).alias(f"_z_{c}"),
             F.min(c).cast("double").alias(f"_lo_{c}"),
             F.max(c).cast("double").alias(f"_hi_{c}"),
         ]

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import Series, count_if, divide, mean_if, share
+from seriesmill.functions.columns import Series, corr, count_if, divide, mean_if, share
 from seriesmill.operators.policy import drawdown, equity_curve, position, vol_scalar
 
 HORIZON = 21
@@ -67,9 +67,11 @@ def risk_metrics(df: DataFrame, by: Sequence[str], r: str = "pnl", periods: int
         share(v > 0).alias("win_rate"),
         F.coalesce(F.abs(divide(wins, losses)), F.lit(0.0)).alias("profit_factor"),
         (F.sqrt(mean_if(v < 0, v * v)) * math.sqrt(periods)).alias("_down"),
-        (F.pow(F.max_by("equity", "date"), periods / F.count("*")) - 1).alias("cagr"),
+        F.max_by("equity", "date").alias("_last"),
+        F.count("*").alias("_n"),
     )
-    return m.select(
+    cagr = F.when(F.col("_last") > 0, F.pow("_last", periods / F.col("_n")) - 1)
+    return m.withColumn("cagr", cagr).select(
         *by, "total_return", "ann_return", "cagr", "volatility",
         F.coalesce(divide("ann_return", "volatility"), F.lit(0.0)).alias("sharpe"),
         divide("ann_return", "_down").alias("sortino"),
@@ -126,7 +128,7 @@ def extended_risk(df: DataFrame, by: Sequence[str], r="pnl", benchmark="ret") ->
     daily = df.withColumn("_var", tail)
     trade = v != 0
     m = daily.groupBy(*by).agg(
-        F.regr_slope(v, b).alias("beta"), F.corr(v, b).alias("correlation"),
+        F.regr_slope(v, b).alias("beta"), corr(v, b).alias("correlation"),
         divide(mean_if(b > 0, v), mean_if(b > 0, b)).alias("up_capture"),
         divide(mean_if(b < 0, v), mean_if(b < 0, b)).alias("down_capture"),
         F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"),

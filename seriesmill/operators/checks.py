@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import Series, count_if
+from seriesmill.functions.columns import Series, corr, count_if, divide
 from seriesmill.functions.lineage import stable
 from seriesmill.operators.metrics import information_coefficient
 from seriesmill.operators.policy import evaluate_policy, sharpe_of
-from seriesmill.operators.ranking import spearman, value_counts, with_rank
+from seriesmill.operators.ranking import spearman, value_counts, with_ranks
 
 #: fixed name parts of columns derived from the target
 LEAK_PATTERNS = ("BigMove", "BigMoveUp", "BigMoveDown", "Log_Target", "Target_")
@@ -30,7 +30,7 @@ def _rows_per_column(stats: DataFrame, columns: Sequence[str], fields: dict[str,
 
 def null_percentages(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Percent null of the columns that have any."""
-    stats = df.agg(*[(100.0 * count_if(F.col(c).isNull()) / F.count("*")).alias(f"p_{c}") for c in columns])
+    stats = df.agg(*[divide(100.0 * count_if(F.col(c).isNull()), F.count("*")).alias(f"p_{c}") for c in columns])
     return _rows_per_column(stats, columns, {"pct": "p_"}).filter("pct > 0")
 
 
@@ -71,7 +71,7 @@ def target_autocorr(df: DataFrame, target="y_true", max_lag=25, by=("symbol",),
     key = [*by, "lag"]
     # all lags of a series appear, those without enough pairs as 0
     valid = pairs.withColumn("_y", F.when(F.col("before").isNotNull(), F.col("_y")))
-    r = with_rank(with_rank(valid, "_y", key, "a", is_series=True), "before", key, "b", is_series=True)
+    r = with_ranks(valid, {"a": "_y", "b": "before"}, key, is_series=True)
     n = F.count("before")
     return r.groupBy(*key).agg(n.alias("pairs"), F.when(n > least, spearman("a", "b")).otherwise(0.0).alias("autocorr"))
 
@@ -89,7 +89,7 @@ def leakage_correlation(df: DataFrame, features: Sequence[str], target: str, top
     """Rank correlation of features with the target, strongest first."""
     features = [c for c in features if c not in known_leaks(features, target)]
     long = _long(df, features, target)
-    r = with_rank(with_rank(long, "x", ["feature"], "a"), "y", ["feature"], "b")
+    r = with_ranks(long, {"a": "x", "b": "y"}, ["feature"])
     scored = r.groupBy("feature").agg(F.count("*").alias("pairs"), spearman("a", "b").alias("correlation"))
     return (
         scored.filter(F.col("pairs") > least)
@@ -101,7 +101,7 @@ def leakage_correlation(df: DataFrame, features: Sequence[str], target: str, top
 
 def pearson_ranking(df: DataFrame, features: Sequence[str], target: str, top: int = 20) -> DataFrame:
     """Linear correlation with the target, all features in one pass."""
-    stats = df.agg(*[F.corr(c, target).alias(f"c_{c}") for c in features])
+    stats = df.agg(*[corr(c, target).alias(f"c_{c}") for c in features])
     rows = _rows_per_column(stats, features, {"correlation": "c_"}).filter(F.col("correlation").isNotNull())
     size = F.abs("correlation")
     level = F.when(size > 0.95, "identical").when(size > 0.8, "severe").when(size > 0.5, "suspicious").otherwise("ok")
@@ -111,7 +111,7 @@ def pearson_ranking(df: DataFrame, features: Sequence[str], target: str, top: in
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per pair of columns (the upper triangle), in one pass."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    stats = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    stats = df.agg(*[corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return stats.select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("correlation"))
         for i, (a, b) in enumerate(pairs)])))
@@ -131,7 +131,7 @@ def null_model_shuffle(df: DataFrame, target="y_true", seeds=range(5), keys=("sy
     mixed = value_counts(rows, "_mixed", ["seed"]).select("seed", "_mixed", F.col("below").alias("_place"))
     here = rows.join(place, ["seed", "_key"]).select("seed", "_place", "y_true")
     there = rows.join(mixed, ["seed", "_mixed"]).select("seed", "_place", F.col("y_true").alias("y_pred"))
-    paired = here.join(there, ["seed", "_place"])
+    paired = stable(here.join(there, ["seed", "_place"]))
     ic = information_coefficient(paired, ["seed"]).select("seed", "ic")
     gain = F.when(F.col("y_pred") != 0, F.signum("y_pred") * F.col("y_true"))
     per_seed = paired.groupBy("seed").agg(sharpe_of(gain, 252).alias("sharpe")).join(ic, "seed")
@@ -204,7 +204,7 @@ def feature_health(df: DataFrame, features: Sequence[str], target: str, by=("sym
     long = long.withColumn("_dx", F.col("x") - F.col("_x1"))
     # signal looks at rows that also have a target
     long = long.withColumn("_xy", F.when(F.col("y").isNotNull(), F.col("x")))
-    long = with_rank(with_rank(long, "_xy", key, "a", is_series=True), "y", key, "b", is_series=True)
+    long = with_ranks(long, {"a": "_xy", "b": "y"}, key, is_series=True)
     a, b = F.col("x") - F.col("_m"), F.col("_x1") - F.col("_m")
     n = F.regr_count(F.col("_dx"), F.col("_x1"))
     sxx, syy = F.regr_sxx(F.col("_dx"), F.col("_x1")), F.regr_syy(F.col("_dx"), F.col("_x1"))

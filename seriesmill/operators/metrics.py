@@ -15,9 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import clip, count_if, divide, finite, mean_if, safe_ratio, share
-from seriesmill.functions.lineage import stable
-from seriesmill.operators.ranking import average_rank, quantile_bin, spearman, with_rank
+from seriesmill.functions.columns import clip, corr, count_if, divide, finite, mean_if, safe_ratio, share
+from seriesmill.operators.ranking import average_rank, quantile_bin, spearman, with_rank, with_ranks
 
 
 def usable(df: DataFrame, *columns: str) -> DataFrame:
@@ -51,11 +50,9 @@ def ranked(df, by, is_series=False, both=True) -> DataFrame:
     Rows ranked before (by the same groups) are taken as they are, so that
     several metrics can share one ranking.
     """
-    if "p_below" not in df.columns:
-        df = with_rank(usable(df), "y_pred", by, "p", is_series=is_series)
-    if both and "t_below" not in df.columns:
-        df = with_rank(df, "y_true", by, "t", is_series=is_series)
-    return df
+    wanted = {"p": "y_pred", "t": "y_true"} if both else {"p": "y_pred"}
+    wanted = {p: c for p, c in wanted.items() if f"{p}_below" not in df.columns}
+    return with_ranks(usable(df), wanted, by, is_series=is_series) if wanted else df
 
 
 def information_coefficient(df, by, is_series=False) -> DataFrame:
@@ -140,13 +137,13 @@ def quantile_analysis(df, by, bins=10, is_series=False, p_value=True) -> DataFra
         return F.max(F.when(cond, F.col(c)))
 
     k = F.max("_k")
-    mono = F.corr(F.col("_label").cast("double"), F.col("_rank") + (F.col("_ties") - 1) / 2.0)
+    mono = corr(F.col("_label").cast("double"), F.col("_rank") + (F.col("_ties") - 1) / 2.0)
     s = b.groupBy(*by).agg(
         at(top, "mean_return").alias("top_mean"), at(low, "mean_return").alias("bottom_mean"),
         at(top, "count").alias("top_count"), at(low, "count").alias("bottom_count"),
         at(top, "_var").alias("_v1"), at(low, "_var").alias("_v2"),
         F.max("_enough").alias("_enough"),
-        F.when(k >= 3, F.coalesce(F.nanvl(mono, F.lit(0.0)), F.lit(0.0)))
+        F.when(k >= 3, F.coalesce(mono, F.lit(0.0)))
         .when((k == 2) & (at(top, "mean_return") > at(low, "mean_return")), 1.0)
         .when(k == 2, -1.0)
         .otherwise(0.0)
@@ -218,8 +215,8 @@ def decile_spread(df, by, is_series=False) -> DataFrame:
 
 def regime_metrics(df, by=(), regime="regime", least=5) -> DataFrame:
     """Metrics per regime with enough rows; share refers to all valid rows."""
-    v = usable(df, "y_true", "y_pred").filter(F.col(regime).isNotNull())
     key = [*by, regime]
+    v = ranked(df.filter(F.col(regime).isNotNull()), key)
     stats = v.groupBy(*key).agg(
         F.count("*").alias("count"),
         hit_rate_of(F.col("y_true"), F.col("y_pred")).alias("hit_rate"),
@@ -227,7 +224,6 @@ def regime_metrics(df, by=(), regime="regime", least=5) -> DataFrame:
         F.stddev_pop("y_true").alias("std_actual"),
     )
     stats = stats.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(*by)))
-    v = ranked(v, key)
     return (
         stats.filter(F.col("count") >= least)
         .join(information_coefficient(v, key).drop("n"), key)
@@ -239,11 +235,10 @@ def fold_regime_metrics(df, thresholds, column, by=("fold_id",), least=5) -> Dat
     """IC and spread at or below / above the trained threshold of the fold."""
     by = list(by)
     side = F.when(F.col(column) <= F.col("threshold"), "low_vol").otherwise("high_vol")
-    v = df.join(thresholds, by).withColumn("regime", side)
     key = [*by, "regime"]
+    v = ranked(df.join(thresholds, by).withColumn("regime", side), key)
     stats = v.groupBy(*key).agg(F.count("*").alias("_n"))
     enough = F.col("_n") > least
-    v = ranked(v, key)
     return (
         stats.join(information_coefficient(v, key).drop("n"), key, "left")
         .join(decile_spread(v, key), key, "left")
@@ -271,8 +266,7 @@ def tail_metrics(df, by=(), threshold=0.05) -> DataFrame:
 def fold_summary(folds: DataFrame) -> DataFrame:
     """Mean and population deviation of fold metrics, IC-spread rank correlation."""
     columns = [c for c in ("ic", "spread", "tstat", "monotonicity", "best_sharpe") if c in folds.columns]
-    one = stable(folds.withColumn("_all", F.lit(0)))
-    r = with_rank(with_rank(one, "ic", ["_all"], "i"), "spread", ["_all"], "s")
+    r = with_ranks(folds.withColumn("_all", F.lit(0)), {"i": "ic", "s": "spread"}, ["_all"])
     return r.agg(
         F.count("*").alias("n_folds"),
         *[F.avg(c).alias(f"{c}_mean") for c in columns],
@@ -329,7 +323,7 @@ def evaluate_classifier(df, by=(), label="label", pred="pred", prob="prob", is_s
         count_if(t & p).alias("tp"), count_if(~t & p).alias("fp"),
         count_if(~t & ~p).alias("tn"), count_if(t & ~p).alias("fn"),
         F.coalesce(area, F.lit(0.0)).alias("auc"),
-        (100.0 * pos / F.count("*")).alias("pct_positive"),
+        divide(100.0 * pos, F.count("*")).alias("pct_positive"),
     )
     c = c.withColumns(
         {"precision": safe_ratio("tp", F.col("tp") + F.col("fp")),
@@ -365,7 +359,7 @@ def bigmove_strategy(df, by=(), pred="pred", y="y_true", kind="BigMove") -> Data
 
 def stack_decomposition(df, by=(), base="ridge_pred", resid="resid_pred", lam="lambda") -> DataFrame:
     return df.groupBy(*by).agg(
-        F.corr(base, resid).alias("correlation"), F.var_samp(base).alias("var_ridge"),
+        corr(base, resid).alias("correlation"), F.var_samp(base).alias("var_ridge"),
         F.var_samp(resid).alias("var_resid"), F.covar_samp(base, resid).alias("cov_rr"),
         F.avg(lam).alias("avg_lambda"),
         divide(F.var_samp(resid), F.var_samp(base)).alias("var_ratio"),

@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import (
-    Series, as_col, clip, count_if, divide, mean_if,
+    Series, as_col, clip, corr, count_if, divide, mean_if,
 )
-from seriesmill.functions.lineage import stable
 from seriesmill.operators.metrics import quantile_analysis
-from seriesmill.operators.ranking import average_rank, quantile, spearman, with_rank
+from seriesmill.operators.ranking import average_rank, quantile, spearman, with_rank, with_ranks
 
 POLICIES = ("long_flat", "long_short", "thresholded", "continuous_sizing")
 #: fixed defaults
@@ -43,7 +42,7 @@ def position(pred, policy: str, threshold=0.03, scale=1.0) -> Column:
         return F.when(p > t, 1.0).when(p < -t, -1.0).otherwise(0.0)
     if policy == "continuous_sizing":
         s = scale if isinstance(scale, Column) else F.lit(float(scale))
-        return clip(p / s, -1.0, 1.0)
+        return clip(divide(p, s), -1.0, 1.0)
     raise ValueError(f"unknown policy {policy}; choose from {POLICIES}")
 
 
@@ -111,10 +110,9 @@ def policy_stats(df: DataFrame, by: Sequence[str], ann: float = 252, ranks: bool
     curve = drawdown(equity_curve(df, by), by)
     if ranks:
         curve = curve.withColumn("_active", active)
-        for c, p in (("y_true", "t"), ("y_pred", "p")):
-            curve = with_rank(curve, c, [*by, "_active"], p, is_series=True)
-        ic = F.corr(F.when(active, average_rank("t")), F.when(active, average_rank("p")))
-        rank_stats = [F.coalesce(F.nanvl(ic, F.lit(0.0)), F.lit(0.0)).alias("ic")]
+        curve = with_ranks(curve, {"t": "y_true", "p": "y_pred"}, [*by, "_active"], is_series=True)
+        ic = corr(F.when(active, average_rank("t")), F.when(active, average_rank("p")))
+        rank_stats = [F.coalesce(ic, F.lit(0.0)).alias("ic")]
     else:
         rank_stats = []
     hit = F.when(F.signum("position") == F.signum("y_true"), 1.0).otherwise(0.0)
@@ -270,8 +268,7 @@ def aggregate_tuned(results: DataFrame, split="split") -> DataFrame:
     """Summary of tuned series; test figures skip nulls, validation ones do not."""
     val, test = F.col(split) == "val", F.col(split) == "test"
     r = with_rank(
-        stable(results.withColumns({"_all": F.lit(0), "_ts": F.when(test, F.col("sharpe"))})),
-        "_ts", ["_all"], "s")
+        results.withColumns({"_all": F.lit(0), "_ts": F.when(test, F.col("sharpe"))}), "_ts", ["_all"], "s")
 
     def strict(agg, c):
         missing = count_if(val & F.col(c).isNull())
@@ -335,7 +332,7 @@ def coverage_performance(df, by) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("trade_count") > 5, F.col("ic")).otherwise(0.0).alias("ic_when_trading"))
     ok = (F.col("coverage") > 0.05) & F.col("sharpe").isNotNull()
     sharpe = F.when(ok, F.col("sharpe"))
-    r = with_rank(with_rank(curve, "coverage", by, "c", is_series=True), "sharpe", by, "s", is_series=True)
+    r = with_ranks(curve, {"c": "coverage", "s": "sharpe"}, by, is_series=True)
     summary = r.groupBy(*by).agg(
         F.coalesce(first_best(sharpe, "threshold"), F.lit(0.0)).alias("best_threshold"),
         F.coalesce(first_best(sharpe, "threshold", "coverage"), F.lit(1.0)).alias("best_coverage"),

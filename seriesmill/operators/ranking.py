@@ -11,9 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesmill.functions.columns import corr
+from seriesmill.functions.lineage import stable
+
 #: expected number of distinct values ranked by one task
 PIECE_ROWS = 1_000_000
 
@@ -26,79 +29,75 @@ def value_counts(
     `below` is the number of rows of the group with a smaller value.
     """
     by = list(by)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(
-        F.count("*").alias("ties")
-    )
+    keys, v = [f"`{k}`" for k in by], f"`{value}`"
+    group = ", ".join(keys)
+    counts = df.filter(f"{v} IS NOT NULL").groupBy(*by, value).agg(F.expr("count(*) AS ties"))
     cuts = (
-        counts.filter(F.pmod(F.xxhash64(value), F.lit(piece_rows)) == 0)
+        counts.filter(f"pmod(xxhash64({v}), {piece_rows}) = 0")
         .groupBy(*by)
-        .agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
+        .agg(F.expr(f"sort_array(collect_list({v})) AS _cuts"))
+    )
+    pieces = counts.join(cuts, by, "left").selectExpr(
+        *keys, v, "ties",
+        f"CASE WHEN _cuts IS NULL THEN 0 ELSE size(filter(_cuts, cut -> cut <= {v})) END AS _piece",
     )
-    pieces = counts.join(cuts, by, "left").withColumn(
-        "_piece",
-        F.when(F.col("_cuts").isNull(), 0).otherwise(
-            F.size(F.filter("_cuts", lambda cut: cut <= F.col(value)))
-        ),
-    ).drop("_cuts")
-    along = Window.partitionBy(*by).orderBy("_piece")
     offsets = (
         pieces.groupBy(*by, "_piece")
-        .agg(F.sum("ties").alias("_rows"))
-        .select(
-            *by,
-            "_piece",
-            (F.sum("_rows").over(along) - F.col("_rows")).alias("_offset"),
-            F.sum("_rows").over(Window.partitionBy(*by)).alias("total"),
+        .agg(F.expr("sum(ties) AS _rows"))
+        .selectExpr(
+            *keys, "_piece",
+            f"sum(_rows) OVER (PARTITION BY {group} ORDER BY _piece) - _rows AS _offset",
+            f"sum(_rows) OVER (PARTITION BY {group}) AS total",
         )
     )
-    inside = Window.partitionBy(*by, "_piece").orderBy(value)
     return (
-        pieces.withColumn("_upto", F.sum("ties").over(inside))
+        pieces.selectExpr("*", f"sum(ties) OVER (PARTITION BY {group}, _piece ORDER BY {v}) AS _upto")
         .join(offsets, [*by, "_piece"])
-        .select(
-            *by,
-            value,
-            "ties",
-            (F.col("_offset") + F.col("_upto") - F.col("ties")).alias("below"),
-            "total",
-        )
+        .selectExpr(*keys, v, "ties", "_offset + _upto - ties AS below", "total")
     )
 
 
-def with_rank(
+def with_ranks(
     df: DataFrame,
-    value: str,
+    values: dict[str, str],
     by: Sequence[str],
-    prefix: str,
     *,
     is_series: bool = False,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """Add `<prefix>_below`, `<prefix>_ties`, `<prefix>_total` to every row.
+    """Add `<prefix>_below`, `<prefix>_ties`, `<prefix>_total` per {prefix: value}.
 
     Rows whose value is null get nulls.  `is_series=True` promises that a group
-    is (part of) one dated series and so is bounded by the calendar; then a
-    ranking window is used.
+    is (part of) one dated series and so is bounded by the calendar; then
+    ranking windows are used.  Otherwise the rows are written once, so that all
+    counts see the same values and nothing before them runs again.
     """
     by = list(by)
-    below, ties, total = (f"{prefix}_{s}" for s in ("below", "ties", "total"))
     if is_series:
-        group = Window.partitionBy(*by)
-        v = F.col(value)
-        known = v.isNotNull()
-        return df.withColumns(
-            {
-                below: F.when(
-                    known, F.rank().over(group.orderBy(v.asc_nulls_last())) - 1
-                ).cast("bigint"),
-                ties: F.when(known, F.count(v).over(Window.partitionBy(*by, value))),
-                total: F.when(known, F.count(v).over(group)),
-            }
+        group = ", ".join(f"`{k}`" for k in by)
+        cells = []
+        for prefix, value in values.items():
+            v = f"`{value}`"
+            known = f"CASE WHEN {v} IS NOT NULL THEN"
+            cells += [
+                f"{known} CAST(rank() OVER (PARTITION BY {group} ORDER BY {v} ASC NULLS LAST) - 1 AS BIGINT) END AS {prefix}_below",
+                f"{known} count({v}) OVER (PARTITION BY {group}, {v}) END AS {prefix}_ties",
+                f"{known} count({v}) OVER (PARTITION BY {group}) END AS {prefix}_total",
+            ]
+        return df.selectExpr("*", *cells)
+    rows = stable(df)
+    out = rows
+    for prefix, value in values.items():
+        counts = value_counts(rows, value, by, piece_rows).withColumnsRenamed(
+            {c: f"{prefix}_{c}" for c in ("ties", "below", "total")}
         )
-    counts = value_counts(df, value, by, piece_rows).withColumnsRenamed(
-        {"below": below, "ties": ties, "total": total}
-    )
-    return df.join(counts, [*by, value], "left").select(*df.columns, below, ties, total)
+        out = out.join(counts, [*by, value], "left")
+    added = [f"{p}_{c}" for p in values for c in ("below", "ties", "total")]
+    return out.select(*df.columns, *added)
+
+
+def with_rank(df, value, by, prefix, *, is_series=False, piece_rows=PIECE_ROWS) -> DataFrame:
+    return with_ranks(df, {prefix: value}, by, is_series=is_series, piece_rows=piece_rows)
 
 
 def average_rank(prefix: str) -> Column:
@@ -107,24 +106,22 @@ def average_rank(prefix: str) -> Column:
 
 def spearman(x_prefix: str, y_prefix: str) -> Column:
     """Aggregate: rank correlation of two ranked columns, 0 when undefined."""
-    return F.coalesce(
-        F.nanvl(F.corr(average_rank(x_prefix), average_rank(y_prefix)), F.lit(0.0)),
-        F.lit(0.0),
-    )
+    return F.coalesce(corr(average_rank(x_prefix), average_rank(y_prefix)), F.lit(0.0))
 
 
-def quantile(value: str, prefix: str, p: float | Column) -> Column:
+def quantile(value: str, prefix: str, p: float) -> Column:
     """Aggregate: linearly interpolated quantile of a ranked column.
 
     Only conditional maxima are needed, so it combines before the shuffle.
     """
-    v, below, ties = F.col(value), F.col(f"{prefix}_below"), F.col(f"{prefix}_ties")
-    p = F.lit(float(p)) if not isinstance(p, Column) else p
-    place = F.round(p * (F.col(f"{prefix}_total") - 1), 9)
-    low, high = F.floor(place), F.ceil(place)
-    at = lambda i: F.max(F.when((below <= i) & (i < below + ties), v))
-    weight = F.max(place - low)
-    return at(low) + (at(high) - at(low)) * weight
+    v, below, ties = f"`{value}`", f"{prefix}_below", f"{prefix}_ties"
+    place = f"round({float(p)!r}D * ({prefix}_total - 1), 9)"
+
+    def at(i: str) -> str:
+        return f"max(CASE WHEN {below} <= {i}({place}) AND {i}({place}) < {below} + {ties} THEN {v} END)"
+
+    low, high = at("floor"), at("ceil")
+    return F.expr(f"{low} + ({high} - {low}) * max({place} - floor({place}))")
 
 
 def quantile_bin(prefix: str, bins: int | Column) -> Column:
@@ -139,12 +136,3 @@ def quantile_bin(prefix: str, bins: int | Column) -> Column:
     # places are j * (total - 1) / bins; count those smaller than `below`
     passed = F.ceil(F.try_divide(below * bins, total - 1))
     return F.greatest(F.least(passed, bins) - 1, F.lit(0)).cast("int")
-
-
-def global_position(
-    df: DataFrame, order: str, piece_rows: int = PIECE_ROWS
-) -> DataFrame:
-    """Add `position` (0..) over all rows by a unique order column."""
-    counted = value_counts(df.withColumn("_all", F.lit(0)), order, ["_all"], piece_rows)
-    return df.join(counted.select(order, F.col("below").alias("position")), order)
-

@@ -79,7 +79,7 @@ def dataset_summary(df, n_features: int, embargo: int = 21, by=(), date="date")
         total("BigMove").alias("n_big"),
         total("BigMoveUp").alias("n_up"),
         total("BigMoveDown").alias("n_down"),
-        (100.0 * total("BigMove") / n).alias("pct_big"),
+        divide(100.0 * total("BigMove"), n).alias("pct_big"),
     )
 
 
