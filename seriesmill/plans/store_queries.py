@@ -73,21 +73,21 @@ def wide_to_long(spark, d):
 
 
 def _batches(spark, d):
-    """Stored rows (even days) and an arriving batch (every third day)."""
+    """Stored rows and a later delivery that overlaps them by a year."""
     p = panels.prices(spark, d)
-    day = F.datediff("date", F.lit("1995-01-01").cast("date"))
-    old = p.filter(day % 2 == 0).select("symbol", "date", "close", "volume")
-    new = p.filter(day % 3 == 0).select(
+    old = store.read_before(p, "2000-01-01").select("symbol", "date", "close", "volume")
+    new = store.read_since(p, "1999-01-01").select(
         "symbol", "date",
-        F.when(day % 9 != 0, F.col("close") * 2).alias("close"),
+        F.when(F.col("volume") >= 20, F.col("close") * 2).alias("close"),
         F.lit("late").alias("note"),
     )
     return old, new
 
 
-@query("upsert_by_key", f"""WITH {PRICES}, d AS (SELECT *, date_diff('day', DATE '1995-01-01', date) AS n FROM prices),
-  o AS (SELECT symbol, date, close, volume FROM d WHERE n % 2 = 0),
-  b AS (SELECT symbol, date, CASE WHEN n % 9 <> 0 THEN close * 2 END AS close, 'late' AS note FROM d WHERE n % 3 = 0)
+@query("upsert_by_key", f"""WITH {PRICES},
+  o AS (SELECT symbol, date, close, volume FROM prices WHERE date < DATE '2000-01-01'),
+  b AS (SELECT symbol, date, CASE WHEN volume >= 20 THEN close * 2 END AS close, 'late' AS note
+        FROM prices WHERE date >= DATE '1999-01-01')
   SELECT symbol, date, CASE WHEN b.note IS NOT NULL THEN b.close ELSE o.close END AS close, volume, note
   FROM o FULL JOIN b USING (symbol, date)""")
 def upsert_by_key(spark, d):

@@ -30,6 +30,11 @@ def read_since(df: DataFrame, since: str | None = None, date: str = "date") -> D
     return df if since is None else df.filter(F.col(date) >= F.lit(since).cast("date"))
 
 
+def read_before(df: DataFrame, until: str, date: str = "date") -> DataFrame:
+    """Rows before a date."""
+    return df.filter(F.col(date) < F.lit(until).cast("date"))
+
+
 def read_symbols(
     df: DataFrame, symbols: Sequence[str] | None = None, since: str | None = None,
     symbol: str = "symbol", date: str = "date",
