@@ -121,7 +121,8 @@ def spearman_cte(source: str, keys: str, out: str, x: str = "y_true", y: str = "
 def quantile_cte(source: str, keys: str, out: str) -> str:
     """CTEs ending in `out(keys, spread, tstat, ..., monotonicity)`."""
     def edges(k: int) -> str:
-        return "quantile_cont(y_pred, [" + ", ".join(f"{j}/{k}.0::DOUBLE" if j else "0.0" for j in range(k + 1)) + "])"
+        # evenly spaced as j * (1 / k), the way numeric libraries space them
+        return "quantile_cont(y_pred, [" + ", ".join(f"{j} * (1 / {k}.0::DOUBLE)" for j in range(k + 1)) + "])"
 
     on = " AND ".join(f"s.{k.strip()} = q.{k.strip()}" for k in keys.split(","))
     skeys = ", ".join(f"s.{k.strip()}" for k in keys.split(","))
