@@ -212,39 +212,44 @@ def running_moments(
     `specs` are `(mean_out, std_out, column, n, min_periods)`.  A series is cut
     into blocks of n rows; a window is the end of one block and the start of
     the next, so two partial results are merged per row whatever n is.  Sums
-    are taken about the first value of a block, which keeps them precise for
-    series that drift far from where they began.
+    from the start of a block are taken about its first value, sums to its end
+    about its last value; neither is a difference of larger sums, so series
+    may drift or jump far from where they began.
     """
     if not specs:
         return df
     rows = series.sql_rows
-    df = with_exprs(
-        df, {f"_k{n}": f"floor((row_number() OVER {rows} - 1) / {n})" for n in sorted({s[3] for s in specs})}
-    )
-    keys, order = (", ".join(f"`{c}`" for c in cols) for cols in (series.by, series.order))
+    df = with_exprs(df, {"_t": f"row_number() OVER {rows} - 1"})
+    lengths = sorted({s[3] for s in specs})
+    df = with_exprs(df, {f"_k{n}": f"floor(_t / {n})" for n in lengths})
+    keys = ", ".join(f"`{c}`" for c in series.by)
 
-    def block(n: int, ends: str) -> str:
+    def block(n: int, way: str, ends: str = "CURRENT ROW") -> str:
+        order = ", ".join(f"`{c}` {way}" for c in series.order)
         return f"(PARTITION BY {keys}, _k{n} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND {ends})"
 
-    last, here = "UNBOUNDED FOLLOWING", "CURRENT ROW"
-    df = with_exprs(
-        df, {f"_b_{m}": f"first(`{c}`) IGNORE NULLS OVER {block(n, last)}" for m, _, c, n, _ in specs}
-    )
+    bases = {}
+    for m, _, c, n, _ in specs:
+        whole = block(n, "ASC", "UNBOUNDED FOLLOWING")
+        bases[f"_b_{m}"] = f"first(`{c}`) IGNORE NULLS OVER {whole}"
+        bases[f"_e_{m}"] = f"last(`{c}`) IGNORE NULLS OVER {whole}"
+    df = with_exprs(df, bases)
     sums = {}
     for m, _, c, n, _ in specs:
-        x = f"(`{c}` - `_b_{m}`)"
-        for tag, ends in (("p", here), ("t", last)):
-            sums[f"_n{tag}_{m}"] = f"count(`{c}`) OVER {block(n, ends)}"
-            sums[f"_s{tag}_{m}"] = f"coalesce(sum({x}) OVER {block(n, ends)}, 0D)"
-            sums[f"_q{tag}_{m}"] = f"coalesce(sum({x} * {x}) OVER {block(n, ends)}, 0D)"
+        for tag, base, way in (("p", "b", "ASC"), ("t", "e", "DESC")):
+            x = f"(`{c}` - `_{base}_{m}`)"
+            sums[f"_n{tag}_{m}"] = f"count(`{c}`) OVER {block(n, way)}"
+            sums[f"_s{tag}_{m}"] = f"coalesce(sum({x}) OVER {block(n, way)}, 0D)"
+            sums[f"_q{tag}_{m}"] = f"coalesce(sum({x} * {x}) OVER {block(n, way)}, 0D)"
     df = with_exprs(df, sums)
-    # what the block before contributes: its total less its start
+    # the end of the block before; nothing of it is left at the end of a block
     before = {}
     for m, _, _, n, _ in specs:
-        before[f"_ba_{m}"] = f"lag(`_b_{m}`, {n}) OVER {rows}"
+        before[f"_ba_{m}"] = f"lag(`_e_{m}`, {n - 1}) OVER {rows}"
         for kind, zero in (("n", "0L"), ("s", "0D"), ("q", "0D")):
             before[f"_{kind}a_{m}"] = (
-                f"lag(`_{kind}t_{m}`, {n}, {zero}) OVER {rows} - lag(`_{kind}p_{m}`, {n}, {zero}) OVER {rows}"
+                f"CASE WHEN _t % {n} = {n - 1} THEN {zero} "
+                f"ELSE lag(`_{kind}t_{m}`, {n - 1}, {zero}) OVER {rows} END"
             )
     df = with_exprs(df, before)
     parts = {}
@@ -266,5 +271,5 @@ def running_moments(
     df = with_exprs(df, out)
     names = [f"_{k}{t}_{m}" for m, *_ in specs for k in "nsq" for t in "pta"]
     names += [f"_{k}{t}_{m}" for m, *_ in specs for k in "mv" for t in "ap"]
-    names += [f"_b_{m}" for m, *_ in specs] + [f"_ba_{m}" for m, *_ in specs]
-    return df.drop(*names, *[f"_k{s[3]}" for s in specs])
+    names += [f"_{k}_{m}" for m, *_ in specs for k in ("b", "e", "ba")]
+    return df.drop("_t", *names, *[f"_k{n}" for n in lengths])
