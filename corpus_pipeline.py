@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesmill.llm import bpe, quality, secrets
+from seriesmill.llm import bpe, near_dedup, quality, secrets
 from seriesmill.llm.shared import shared_folder, table
 
 
@@ -15,6 +15,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest id."""
+    return near_dedup.one_of_each(docs)
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark."""
     return secrets.redact(docs)
@@ -27,6 +32,7 @@ def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
     ("secret_scans", secret_scans),
     ("bpe_tokens", bpe_tokens),
 ]
