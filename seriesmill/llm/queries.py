@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, near_dedup, quality, secrets
+from seriesmill.llm import bpe, near_dedup, quality, secrets, substring_dedup
 from seriesmill.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents"))
     return coded.select(
@@ -49,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
+    "op9_substring": op9_substring,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {}
