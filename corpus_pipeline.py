@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesmill.llm import bpe, near_dedup, quality, secrets
+from seriesmill.llm import bpe, mixing, near_dedup, quality, secrets
 from seriesmill.llm.shared import shared_folder, table
 
 
@@ -25,6 +25,11 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.redact(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the temperature mix of their sources draws them."""
+    return mixing.mixed_rows(docs)
+
+
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document and the bytes they decode to."""
     return bpe.encode_decode(docs)
@@ -34,6 +39,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
     ("secret_scans", secret_scans),
+    ("mix_sources", mix_sources),
     ("bpe_tokens", bpe_tokens),
 ]
 

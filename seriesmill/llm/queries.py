@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, near_dedup, quality, secrets, substring_dedup
+from seriesmill.llm import bpe, mixing, near_dedup, quality, secrets, substring_dedup, topk
 from seriesmill.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,15 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw of the temperature mix of all documents, budgeted at the tokens there are."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "pass", "place", "weight")
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -54,7 +63,26 @@ QUERIES: dict[str, Query] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
+    "op5_topk": op5_topk,
+    "op8_mixing": op8_mixing,
     "op9_substring": op9_substring,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_topk": """
+        WITH usable AS (
+            SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            GROUP BY vec_id
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored
+        )
+        SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
+    """,
+}
