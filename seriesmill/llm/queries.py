@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, mixing, near_dedup, quality, secrets, substring_dedup, topk
+from seriesmill.llm import bpe, mixing, near_dedup, quality, secrets, substring_dedup, suffix_tree, topk
 from seriesmill.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda i: F.crc32(i.cast("string")) % 7 == 2
+    return suffix_tree.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every draw of the temperature mix of all documents, budgeted at the tokens there are."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "pass", "place", "weight")
@@ -64,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op5_topk": op5_topk,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_mixing": op8_mixing,
     "op9_substring": op9_substring,
     "op10_bpe": op10_bpe,
