@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, mixing, near_dedup, quality, secrets, substring_dedup, suffix_tree, topk
+from seriesmill.llm import bpe, mixing, near_dedup, quality, secrets, substring_dedup, suffix_tree, topk, toxicity
 from seriesmill.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,14 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda i: F.coalesce(F.crc32(i.cast("string")) % 3 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = toxicity.fit(docs, table(spark, sf_dir, "labels"), lambda i: F.crc32(i.cast("string")) % 3 != 1)
+    scored = toxicity.score(docs, weights)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lambda i: F.crc32(i.cast("string")) % 7 == 2
     return suffix_tree.score(table(spark, sf_dir, "documents"), held_out)
@@ -69,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
     "op5_topk": op5_topk,
+    "op6_toxicity": op6_toxicity,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_mixing": op8_mixing,
     "op9_substring": op9_substring,
