@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, mixing, near_dedup, quality, secrets, substring_dedup, suffix_tree, topk, toxicity
+from seriesmill.llm import bpe, licenses, mixing, near_dedup, quality, secrets, substring_dedup, suffix_tree, topk, toxicity
 from seriesmill.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.fit(docs))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["family"]))), ",")
+    places = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["paragraph"], m["family"])), ",")
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["probability"])), F.lit(0.0))
+    return found.select("doc_id", "n_paragraphs", F.size("matches").cast("long").alias("n_matches"), families.alias("families"), places.alias("matches"), best.alias("probability"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,6 +82,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_licenses": op1_licenses,
     "op2_near_dedup": op2_near_dedup,
     "op3_secrets": op3_secrets,
     "op4_quality": op4_quality,
