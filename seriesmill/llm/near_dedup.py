@@ -45,6 +45,8 @@ MINIMA = BANDS * ROWS
 BATCH = 16
 #: nodes of a block when signatures are compared, and when full sets are
 SIGNATURE_BLOCK, SET_BLOCK = 512, 256
+#: distinct keys up to which a table of keys (16 MB) is broadcast, else it is shuffled
+BROADCAST_KEYS = 1 << 20
 
 _RANDOM = np.random.default_rng(20240607)
 _XOR = _RANDOM.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
@@ -68,12 +70,13 @@ def shingle_sets(texts: pa.Array, k: int = WORDS) -> Iterator[np.ndarray]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minimum of each of the hash functions over a set that is not empty."""
+    """Minimum of each of the hash functions over a set that is not empty, 16 bits of it."""
     x = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
     least = np.full(MINIMA, 0xFFFFFFFF, dtype=np.uint32)
     for low in range(0, len(x), 2048):
         np.minimum(least, ((x[None, low : low + 2048] ^ _XOR) * _ODD).min(axis=1), out=least)
-    return least
+    # different minima fall together once in 65,536 times, which only adds candidates
+    return (least & np.uint32(0xFFFF)).astype(np.uint16)
 
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
@@ -128,7 +131,7 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def _signatures(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, MINIMA)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, MINIMA)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +147,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "node", "n_shingles", "signature"],
+                names=["doc_id", "digest", "n_shingles", "signature"],
             )
 
 
@@ -155,10 +158,9 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([_digest(s) for s in sets], pa.binary()),
-                    pa.array([signature(s).tobytes() for s in sets], pa.binary()),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                names=["node", "signature", "shingles"],
+                names=["digest", "shingles"],
             )
 
 
@@ -190,22 +192,19 @@ class _Forest:
     """Union of the components met in one task."""
 
     def __init__(self) -> None:
-        self.up: dict[bytes, bytes] = {}
+        self.up: dict[int, int] = {}
 
-    def root(self, x: bytes) -> bytes:
+    def root(self, x: int) -> int:
         while (y := self.up.get(x, x)) != x:
             x = y
         return x
 
-    def join(self, x: bytes, y: bytes) -> bool:
+    def join(self, x: int, y: int) -> None:
         x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
         self.up[max(x, y)] = min(x, y)
-        return True
 
 
-def _between(group: pa.Table, need: np.ndarray, exact: bool) -> list[tuple[bytes, bytes]]:
+def _between(group: pa.Table, need: np.ndarray, exact: bool) -> list[tuple[int, int]]:
     """A forest of links between the components in two blocks (or within one).
 
     Links are plausible ones, or with `exact` those confirmed on the full sets.
@@ -246,18 +245,23 @@ def _blockwise(keys: list[str], exact: bool):
         for group in sorted_groups(batches, keys):
             found = _between(group, need, exact)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _only(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is among distinct `keys`, which are counted before they are broadcast."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
+
+
 def _full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, signature and shingles of the nodes in `wanted`, made again from one text of each."""
-    ids = nodes.join(wanted, "node", "left_semi").select(F.col("label").alias("doc_id")).distinct()
-    known = docs.filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi")
-    texts = known.select("text").unionByName(docs.filter("doc_id IS NULL").select("text"))
-    made = texts.mapInArrow(_with_sets, "node binary, signature binary, shingles binary")
-    return made.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
+    """node and shingles of the nodes in `wanted`, made again from one text of each."""
+    chosen = cut(_only(nodes.select("node", "digest", "label"), wanted, "node"))
+    ids = chosen.filter("label IS NOT NULL").select(F.col("label").alias("doc_id")).distinct()
+    texts = _only(docs, ids, "doc_id").select("text").unionByName(docs.filter("doc_id IS NULL").select("text"))
+    made = texts.mapInArrow(_with_sets, "digest binary, shingles binary")
+    return made.join(chosen.select("digest", "node"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _pairs_with(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -266,27 +270,31 @@ def _pairs_with(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, root of every node with a link to another set."""
-    bands = nodes.select("node", "signature").mapInArrow(_bands, "band long, node binary")
+    bands = nodes.select("node", "signature").mapInArrow(_bands, "band long, node long")
     shared = bands.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last")
     members = cut(bands.join(shared.select("band", "leader"), "band").filter("node <> leader"))
 
-    pairs = members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    likely = cut(_pairs_with(pairs, nodes, "signature").mapInArrow(_prune, "a binary, b binary"))
-    wanted = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-    sets = cut(_full_sets(docs, nodes, wanted))
-    first = cut(components(_pairs_with(likely, sets, "shingles").mapInArrow(_confirm, "a binary, b binary")))
+    pairs = cut(members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    marks = cut(_only(nodes.select("node", "signature"), _ends(pairs), "node"))
+    likely = cut(_pairs_with(pairs, marks, "signature").mapInArrow(_prune, "a long, b long"))
+    sets = _full_sets(docs, nodes, _ends(likely))
+    first = cut(components(_pairs_with(likely, sets, "shingles").mapInArrow(_confirm, "a long, b long")))
 
     # buckets whose other nodes are not all in one component
     placed = members.select("band", "node").join(first, "node", "left").select("band", "node", F.coalesce("root", "node").alias("comp"))
     uneven = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     rest = placed.join(uneven.select("band", "n"), "band").withColumn("blocks", F.ceil(F.col("n") / SIGNATURE_BLOCK).cast("int"))
     rest = rest.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
-    rest = rest.join(nodes.select("node", "signature"), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rest = rest.join(marks, "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rest = rest.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.expr("own > other").alias("second"), "comp", "signature")
     keys = ["band", "low", "high"]
-    maybe = cut(rest.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_blockwise(keys, False), "a binary, b binary").distinct())
+    maybe = cut(rest.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_blockwise(keys, False), "a long, b long").distinct())
     if maybe.isEmpty():
         return first
 
@@ -311,9 +319,9 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = rows.withColumn("place", F.explode(F.when(F.col("big"), large).otherwise(F.concat(small, cross))))
     sets = _full_sets(docs, nodes, inside.select("node"))
     keys = ["tree", "kind", "low", "high"]
-    rows = rows.select("node", "tree", "place.*", "comp").join(sets, "node")
+    rows = rows.select("node", "tree", "place.*", "comp").join(sets.join(marks, "node"), "node")
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
-    more = cut(components(rows.mapInArrow(_blockwise(keys, True), "a binary, b binary")).select(F.col("node").alias("comp"), F.col("root").alias("top")))
+    more = cut(components(rows.mapInArrow(_blockwise(keys, True), "a long, b long")).select(F.col("node").alias("comp"), F.col("root").alias("top")))
     deeper = first.select("node", F.col("root").alias("comp")).join(more, "comp", "left").select("node", F.coalesce("top", "comp").alias("root"))
     fresh = more.join(first.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("top").alias("root"))
     return deeper.unionByName(fresh)
@@ -322,11 +330,13 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns `doc_id`, `n_shingles`, `component_id`, `kept`, one row for each row of `docs`."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = cut(docs.mapInArrow(_describe, "doc_id long, node binary, n_shingles long, signature binary"))
-    nodes = cut(described.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("label"), F.first("signature").alias("signature")))
-    rooted = nodes.select("node", "label").join(_links(docs, nodes), "node", "left").select("node", "label", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("label").alias("component_id")), "root").select("node", "component_id")
-    out = described.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    described = cut(docs.mapInArrow(_describe, "doc_id long, digest binary, n_shingles long, signature binary"))
+    nodes = described.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("label"), F.first("signature").alias("signature"))
+    # written with the numbers, so they do not change
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    rooted = nodes.select("node", "digest", "label").join(_links(docs, nodes), "node", "left").select("digest", "label", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("label").alias("component_id")), "root").select("digest", "component_id")
+    out = described.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (F.col("doc_id") == component)).alias("kept")).withColumn(
         "kept", F.coalesce("kept", F.lit(False))
