@@ -25,8 +25,10 @@ def calendar_align(
     """Every series on every calendar day; off-calendar rows are dropped.
 
     Each row fills the gap up to the next row of its series, so the grid is
-    written by one pass over the panel without pairing symbols and days.
+    written by one pass over the panel without pairing symbols and days.  Of rows
+    with the same series and date the greatest values count as one row.
     """
+    panel = panel.groupBy(symbol, "date").agg(F.max(F.struct(*values)).alias("_v")).select(symbol, "date", "_v.*")
     days = calendar_positions(calendar)
     n_days = days.select(F.count("*")).scalar()
     by_symbol = Window.partitionBy(symbol).orderBy(F.col("position").asc_nulls_last())

@@ -1,7 +1,7 @@
 """Linear models per group from sums of products.
 
-A fit needs the rows once: all products are summed in one aggregation (which
-combines before the shuffle), the small systems are solved row by row of the
+A fit needs the rows once: means and centred products come from one aggregation (which
+combines before the shuffle), the small systems are solved in batches of the
 sums table, and coefficients come back by a join on the group.  The same sums
 serve any number of penalties.
 """
@@ -15,89 +15,132 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import Series, count_if, safe_ratio
+from seriesmill.functions.columns import Series, count_if, finite, safe_ratio
 from seriesmill.operators.ranking import quantile, with_rank
 
 #: fixed candidates
 ALPHA_GRID = (0.1, 1.0, 10.0, 50.0, 100.0, 300.0, 500.0, 1000.0)
 
 
-def _products(features: Sequence[str], target: str) -> dict[str, str]:
-    """Name -> SQL of every product of [1, features, target] pairs."""
-    names = ["1", *[f"`{c}`" for c in features], f"`{target}`"]
-    return {
-        f"_p{i}_{j}": f"CAST({names[i]} * {names[j]} AS DOUBLE)"
-        for i in range(len(names))
-        for j in range(i, len(names))
-    }
-
-
 def complete_condition(features: Sequence[str], target: str | None = None) -> Column:
+    """All values there and finite."""
     cond = F.lit(True)
     for c in [*features, *([target] if target else [])]:
-        cond = cond & F.col(c).isNotNull()
+        cond = cond & finite(F.col(c).cast("double")).isNotNull()
     return cond
 
 
-def gram(rows: DataFrame, features: Sequence[str], target: str, by: Sequence[str]) -> DataFrame:
-    """One row of summed products per group."""
-    rows = rows.filter(complete_condition(features, target))
-    return rows.groupBy(*by).agg(
-        *[F.sum(F.expr(sql)).alias(n) for n, sql in _products(features, target).items()])
+def _pairs(names: Sequence[str]) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+
+
+def gram(rows: DataFrame, features: Sequence[str], target: str, by: Sequence[str], weight: str | None = None) -> DataFrame:
+    """One row per group: rows `_n`, means `_m<i>` and centred products `_c<i>_<j>` of features and target.
+
+    Covariances are merged from centred parts, so a large level costs no digits.  With `weight`
+    the means and products are weighted; the mean of a group is taken off first.
+    """
+    by, names = list(by), [*features, target]
+    rows = rows.filter(complete_condition(names))
+    x = [F.col(c).cast("double") for c in names]
+    if weight is None:
+        n = F.count("*").cast("double")
+        products = [(F.covar_pop(x[i], x[j]) * n).alias(f"_c{i}_{j}") for i, j in _pairs(names)]
+        return rows.groupBy(*by).agg(n.alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(x)], *products)
+    w = F.col(weight).cast("double")
+    # about the plain mean of each group, which is one row a group
+    centre = rows.groupBy(*by).agg(*[F.avg(c).alias(f"_o{i}") for i, c in enumerate(x)])
+    if by:
+        rows = rows.join(centre, by)
+    else:
+        only = centre.first()
+        rows = rows.withColumns({c: F.lit(only[c]).cast("double") for c in centre.columns})
+    d = [c - F.col(f"_o{i}") for i, c in enumerate(x)]
+    total = F.sum(w)
+    sums = rows.groupBy(*by).agg(
+        total.alias("_n"), *[F.first(f"_o{i}").alias(f"_o{i}") for i in range(len(names))],
+        *[F.sum(w * c).alias(f"_s{i}") for i, c in enumerate(d)], *[F.sum(w * d[i] * d[j]).alias(f"_q{i}_{j}") for i, j in _pairs(names)])
+    return _centred(sums, len(names), by)
+
+
+def _centred(sums: DataFrame, width: int, by: Sequence[str]) -> DataFrame:
+    """Means and centred products from sums about an offset `_o<i>`."""
+    n = F.nullif(F.col("_n"), F.lit(0.0))
+    means = [(F.col(f"_o{i}") + F.try_divide(F.col(f"_s{i}"), n)).alias(f"_m{i}") for i in range(width)]
+    products = [(F.col(f"_q{i}_{j}") - F.try_divide(F.col(f"_s{i}") * F.col(f"_s{j}"), n)).alias(f"_c{i}_{j}") for i, j in _pairs(range(width))]
+    return sums.select(*by, F.col("_n"), *means, *products)
 
 
 def walk_forward_gram(
     panel: DataFrame, folds: DataFrame, features: Sequence[str], target: str, by=("symbol",),
 ) -> DataFrame:
-    """Sums of products of the training span of every fold of every series.
+    """The table of `gram` for the training span of every fold of every series.
 
-    Running sums along the series are read at the two ends of a span, so rows
+    Running sums about the mean of the series are read at the two ends of a span, so rows
     are not repeated per fold however many folds overlap.
     """
-    by = list(by)
+    by, names = list(by), [*features, target]
     s = Series(by)
-    ok = complete_condition(features, target)
-    products = _products(features, target)
+    ok = complete_condition(names)
+    offsets = {f"_o{i}": F.coalesce(F.avg(F.when(ok, F.col(c).cast("double"))).over(s.whole), F.lit(0.0)) for i, c in enumerate(names)}
+    panel = panel.withColumns(offsets)
+    d = [F.col(c).cast("double") - F.col(f"_o{i}") for i, c in enumerate(names)]
+    sums = {"_n": F.lit(1.0)} | {f"_s{i}": c for i, c in enumerate(d)} | {f"_q{i}_{j}": d[i] * d[j] for i, j in _pairs(names)}
+    held = [f"_o{i}" for i in range(len(names))]
     running = panel.select(
-        *by, (s.position() - 1).alias("_at"),
-        *[F.coalesce(F.sum(F.when(ok, F.expr(sql))).over(s.so_far), F.lit(0.0)).alias(n) for n, sql in products.items()])
+        *by, (s.position() - 1).alias("_at"), *held,
+        *[F.coalesce(F.sum(F.when(ok, c)).over(s.so_far), F.lit(0.0)).alias(n) for n, c in sums.items()])
     ends = folds.select(
         *by, "fold_id",
         F.inline(F.array(
             F.struct(F.col("train_hi").alias("_at"), F.lit(1.0).alias("_sign")),
             F.struct((F.col("train_lo") - 1).alias("_at"), F.lit(-1.0).alias("_sign")))))
-    return ends.join(running, [*by, "_at"]).groupBy(*by, "fold_id").agg(
-        *[F.sum(F.col(n) * F.col("_sign")).alias(n) for n in products])
+    spans = ends.join(running, [*by, "_at"]).groupBy(*by, "fold_id").agg(
+        *[F.first(o).alias(o) for o in held], *[F.sum(F.col(n) * F.col("_sign")).alias(n) for n in sums])
+    return _centred(spans, len(names), [*by, "fold_id"])
 
 
 def solve(sums: DataFrame, p: int, by: Sequence[str], alphas: Sequence[float] = (0.0,)) -> DataFrame:
-    """`(by, alpha, intercept, coef)`: ridge with a free intercept per alpha."""
+    """`(by, alpha, intercept, coef)`: ridge with a free intercept per alpha.
+
+    A group without a complete row has null coefficients.
+    """
     by = list(by)
     types = dict(sums.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in by], "alpha double, intercept double, coef array<double>"])
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                def m(i: int, j: int) -> float:
-                    return row[f"_p{min(i, j)}_{max(i, j)}"]
-
-                n = m(0, 0)
-                mean = np.array([m(0, i) for i in range(1, p + 1)]) / n
-                mean_y = m(0, p + 1) / n
-                a = np.array([[m(i, j) for j in range(1, p + 1)] for i in range(1, p + 1)]) - n * np.outer(mean, mean)
-                b = np.array([m(i, p + 1) for i in range(1, p + 1)]) - n * mean * mean_y
-                for alpha in alphas:
-                    w = np.linalg.lstsq(a + alpha * np.eye(p), b, rcond=None)[0]
-                    out.append({**{k: row[k] for k in by}, "alpha": float(alpha),
-                                "intercept": float(mean_y - w @ mean), "coef": w.tolist()})
-            yield pd.DataFrame(out, columns=[*by, "alpha", "intercept", "coef"])
+            n = len(pdf)
+            mean = np.stack([pdf[f"_m{i}"].to_numpy(float) for i in range(p + 1)], axis=1)
+            products = np.empty((n, p + 1, p + 1))
+            for i in range(p + 1):
+                for j in range(i, p + 1):
+                    products[:, i, j] = products[:, j, i] = pdf[f"_c{i}_{j}"].to_numpy(float)
+            usable = (pdf["_n"].to_numpy(float) > 0) & np.isfinite(products).all(axis=(1, 2)) & np.isfinite(mean).all(axis=1)
+            a, b = products[usable][:, :p, :p], products[usable][:, :p, p]
+            for alpha in alphas:
+                # the least-norm solution where columns depend on each other
+                coef = np.einsum("gij,gj->gi", np.linalg.pinv(a + alpha * np.eye(p), rcond=1e-15 * max(p, 1), hermitian=True), b)
+                out = pdf[by].copy()
+                out["alpha"] = float(alpha)
+                intercept = np.full(n, np.nan)
+                intercept[usable] = mean[usable][:, p] - (coef * mean[usable][:, :p]).sum(axis=1)
+                out["intercept"] = pd.Series(intercept, index=out.index).astype(object).where(usable, None)
+                cells = iter(coef.tolist())
+                out["coef"] = pd.Series([next(cells) if u else None for u in usable], index=out.index, dtype=object)
+                yield out
 
     return sums.mapInPandas(fit, schema)
 
 
 def predict(rows: DataFrame, coefs: DataFrame, features: Sequence[str], by: Sequence[str], out="y_pred") -> DataFrame:
+    if not by:  # one fit for all rows
+        only = coefs.first()
+        value = F.lit(only["intercept"]).cast("double")
+        for i, c in enumerate(features):
+            value = value + F.lit(only["coef"][i] if only["coef"] else None).cast("double") * F.col(c)
+        return rows.withColumn(out, value)
     value = F.col("intercept")
     for i, c in enumerate(features):
         value = value + F.col("coef")[i] * F.col(c)
@@ -105,8 +148,8 @@ def predict(rows: DataFrame, coefs: DataFrame, features: Sequence[str], by: Sequ
     return joined.drop("intercept", "coef")
 
 
-def ridge_fit(rows, features, target="y_true", by=("fold_id",), alphas=(1.0,), split="split") -> DataFrame:
-    sums = gram(rows.filter(F.col(split) == "train"), features, target, by)
+def ridge_fit(rows, features, target="y_true", by=("fold_id",), alphas=(1.0,), split="split", weight=None) -> DataFrame:
+    sums = gram(rows.filter(F.col(split) == "train"), features, target, by, weight)
     return solve(sums, len(features), by, alphas)
 
 
@@ -151,6 +194,10 @@ def regime_thresholds(rows, column, by=("fold_id",), split="split") -> DataFrame
 
 def with_side(rows, column, by=("fold_id",), split="split") -> DataFrame:
     """Add `side`: 0 at or below the trained threshold, 1 above."""
+    if not by:  # one threshold for all rows
+        one = regime_thresholds(rows.withColumn("_one", F.lit(0)), column, ["_one"], split).first()
+        limit = F.lit(one["threshold"] if one else None).cast("double")
+        return rows.withColumns({"threshold": limit, "side": F.when(F.col(column) <= limit, 0).otherwise(1)})
     t = regime_thresholds(rows, column, by, split)
     return rows.join(t, list(by)).withColumn("side", F.when(F.col(column) <= F.col("threshold"), 0).otherwise(1))
 

@@ -251,7 +251,7 @@ def fold_regime_metrics(df, thresholds, column, by=("fold_id",), least=5) -> Dat
 
 
 def tail_metrics(df, by=(), threshold=0.05) -> DataFrame:
-    t, p = F.col("y_true"), F.col("y_pred")
+    t, p = (finite(F.col(c).cast("double")) for c in ("y_true", "y_pred"))
     au, ad, pu, pd_ = t > threshold, t < -threshold, p > threshold, p < -threshold
     return df.groupBy(*by).agg(
         safe_ratio(count_if(au & pu), count_if(pu)).alias("precision_up"),
@@ -286,7 +286,7 @@ def best_worst_folds(folds: DataFrame, k: int = 3, by: str = "ic", fold: str = "
 def prediction_diagnostics(df, by=(), threshold=0.03) -> DataFrame:
     """One row per statistic: actual against predicted."""
     def stats(c: str) -> list[tuple[str, Column]]:
-        v = F.col(c)
+        v = finite(F.col(c).cast("double"))
         return [
             ("mean", F.avg(v)), ("std", F.stddev_pop(v)), ("min", F.min(v)), ("max", F.max(v)),
             ("pct_positive", 100.0 * share(v > 0)),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import (
-    Series, as_col, clip, corr, count_if, divide, mean_if,
+    Series, as_col, clip, corr, count_if, divide, finite, mean_if,
 )
 from seriesmill.operators.metrics import quantile_analysis
 from seriesmill.operators.ranking import average_rank, quantile, spearman, with_rank, with_ranks
@@ -31,8 +31,11 @@ FACTOR = {"daily": 252, "monthly": 12}
 
 
 def position(pred, policy: str, threshold=0.03, scale=1.0) -> Column:
-    """Position of a prediction; `threshold` and `scale` may be columns."""
-    p = as_col(pred)
+    """Position of a prediction; `threshold` and `scale` may be columns.
+
+    A prediction that is no number is missing.
+    """
+    p = finite(as_col(pred).cast("double"))
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
     if policy == "long_flat":
         return F.when(p > 0, 1.0).otherwise(0.0)

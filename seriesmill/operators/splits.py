@@ -6,6 +6,7 @@ series, fold tables hold one row per fold, so nothing is range-joined.
 
 from __future__ import annotations
 
+from calendar import monthrange
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -69,19 +70,19 @@ def walk_forward_folds(
 ) -> DataFrame:
     """Fold table: positions and dates of train, val and test per fold.
 
-    Test windows are consecutive spans of `step_months` from `start`.  A row
-    knows its window by month arithmetic, so windows are found by one grouping.
+    Test windows are consecutive spans of `step_months` from `start`; in months
+    shorter than its day a span starts on the last day.  A row knows its window
+    by month arithmetic, so windows are found by one grouping.
     Windows without rows or without room before them get no fold number.
     """
-    if int(start[8:10]) > 28:
-        raise ValueError("start on day 28 of a month or before")
     month, year = ROWS[frequency]
     gap = EMBARGO[frequency] if embargo is None else embargo
     by = list(by)
     s = Series(by)
     first = _date(start)
     months = (F.year("date") - F.year(first)) * 12 + F.month("date") - F.month(first)
-    months = months - F.when(F.dayofmonth("date") < F.dayofmonth(first), 1).otherwise(0)
+    starts_on = F.least(F.dayofmonth(first), F.dayofmonth(F.last_day("date")))
+    months = months - F.when(F.dayofmonth("date") < starts_on, 1).otherwise(0)
     dated = panel.select(*by, "date").withColumns(
         {"_p": s.position() - 1,
          "_w": F.when(F.col("date") >= first, F.floor(months / F.lit(step_months)))})
@@ -162,7 +163,8 @@ def tuning_folds(
     inside = panel.filter(F.col("date").between(_date(tune_start), _date(tune_end)))
     months = train_years * 12 + val_months
     year, month = int(tune_start[:4]), int(tune_start[5:7]) - 1 + months
-    start = f"{year + month // 12:04d}-{month % 12 + 1:02d}-{tune_start[8:10]}"
+    year, month = year + month // 12, month % 12 + 1
+    start = f"{year:04d}-{month:02d}-{min(int(tune_start[8:10]), monthrange(year, month)[1]):02d}"
     folds = walk_forward_folds(
         inside, start, train_years, val_months, embargo, step_months, frequency=frequency, by=by)
     ok = folds.filter((F.col("n_train") > least_train) & (F.col("n_val") > least_val)

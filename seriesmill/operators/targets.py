@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import Series, complete_rows, divide, flag
-from seriesmill.operators.alignment import drop_weekends, ffill, month_end_sample
+from seriesmill.functions.columns import Series, complete_rows, divide, finite, flag
+from seriesmill.operators.alignment import drop_null_columns, drop_weekends, ffill, month_end_sample
 from seriesmill.operators.rehab import rehab_features
 
 SERIES = Series()
@@ -54,7 +54,7 @@ def next_month_return_daily(df, price="close", out="Target_1M", symbol="symbol",
 
 
 def big_move_labels(df, target="Target_1M", threshold=0.03) -> DataFrame:
-    y = F.col(target)
+    y = finite(target)
     return df.withColumns(
         {
             "BigMove": flag(F.abs(y) > threshold),
@@ -93,8 +93,11 @@ def build_dataset(
     features: DataFrame, *, frequency="daily", target_mode="forward_21d", horizon=21,
     threshold=0.03, rehab=True, price="Price", target="Target_1M", series=SERIES,
 ) -> DataFrame:
-    """Feature table -> observation rows -> target -> labels, leaks dropped."""
-    df = drop_weekends(features).drop("MA_Dist_200", target, f"Log_{target}")
+    """Feature table -> observation rows -> target -> labels, leaks dropped.
+
+    Columns without any value go first, else no row would be complete.
+    """
+    df = drop_null_columns(drop_weekends(features).drop("MA_Dist_200", target, f"Log_{target}"))
     if rehab:  # leaves complete rows only, so there is nothing to carry forward
         df = rehab_features(df, price=price, series=series)
     else:

@@ -17,6 +17,8 @@ from seriesmill.functions.lineage import stable
 from seriesmill.operators.linear import big_move_objective, complete_condition, ridge_fit_predict, with_side
 
 SEED = 42
+#: fixed candidates
+LAMBDA_GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 DEFAULTS = {
     "random_forest": dict(numTrees=100, maxDepth=10),
     "gbt": dict(maxIter=150, stepSize=0.1, maxDepth=4),
@@ -25,20 +27,23 @@ DEFAULTS = {
 
 
 def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep").transform(df)
 
 
-def fit_tree(train: DataFrame, features, target="y_true", kind="gbt", **params):
-    """Fitted regressor; parameters override the defaults of the kind."""
+def fit_tree(train: DataFrame, features, target="y_true", kind="gbt", weight: str | None = None, **params):
+    """Regressor fitted to complete rows; parameters override the defaults of the kind."""
     options = {**DEFAULTS[kind], **params}
     cls = RandomForestRegressor if kind == "random_forest" else GBTRegressor
     model = cls(featuresCol="_x", labelCol=target, seed=SEED, **options)
-    rows = _vectors(train.filter(complete_condition(features, target)).select(*dict.fromkeys([*features, target])), features)
-    return model.fit(rows)
+    used = dict.fromkeys([*features, target, *([weight] if weight else [])])
+    rows = _vectors(train.filter(complete_condition(features, target)).select(*used), features)
+    return (model.setWeightCol(weight) if weight else model).fit(rows)
 
 
 def predict_tree(model, rows: DataFrame, features, out="y_pred") -> DataFrame:
-    return model.transform(_vectors(rows, features)).withColumn(out, F.col("prediction")).drop("_x", "prediction")
+    """All rows; the forecast of an incomplete one is null."""
+    done = F.when(complete_condition(features), F.col("prediction"))
+    return model.transform(_vectors(rows, features)).withColumn(out, done).drop("_x", "prediction")
 
 
 def tree_fit_predict(rows, features, target="y_true", kind="gbt", split="split", out="y_pred", **params) -> DataFrame:
@@ -80,15 +85,16 @@ def bigmove_classifier(rows, features, label="label", split="split", **params) -
     model = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_w", seed=SEED, **options).fit(
         weighted.select("_x", label, "_w"))
     scored = model.transform(_vectors(rows, features))
+    known = complete_condition(features)
     return scored.withColumns(
-        {"prob": vector_to_array("probability")[1], "pred": F.col("prediction").cast("int")}
+        {"prob": F.when(known, vector_to_array("probability")[1]), "pred": F.when(known, F.col("prediction").cast("int"))}
     ).drop("_x", "rawPrediction", "probability", "prediction")
 
 
 def regime_gated_hybrid(rows, features, column, target="y_true", alpha=1.0, split="split", low="ridge", high="gbt", **params) -> DataFrame:
     """Two model types at the median of a regime column."""
-    sided = with_side(rows.withColumn("_one", F.lit(0)), column, ["_one"], split)
-    return _two_models(sided, features, target, alpha, split, {0: low, 1: high}, params).drop("_one", "threshold")
+    sided = with_side(rows, column, [], split)
+    return _two_models(sided, features, target, alpha, split, {0: low, 1: high}, params).drop("threshold")
 
 
 def trend_gated_hybrid(rows, features, column, target="y_true", alpha=1.0, split="split", **params) -> DataFrame:
@@ -102,21 +108,31 @@ def _two_models(sided, features, target, alpha, split, kinds: dict[int, str], pa
     for side, kind in kinds.items():
         part = sided.filter(F.col("side") == side)
         if kind == "ridge":
-            done = ridge_fit_predict(part, features, target, ["side"], alpha, split)
+            done = ridge_fit_predict(part, features, target, [], alpha, split)
         else:
             done = tree_fit_predict(part, features, target, kind, split, **params)
         out = done if out is None else out.unionByName(done)
     return out
 
 
-def residual_stack(rows, features, target="y_true", alpha=1.0, split="split", lam=0.0, **params) -> DataFrame:
+def best_lambda(rows, target="y_true", grid=LAMBDA_GRID, base="ridge_pred", resid="resid_pred") -> float:
+    """Mixing weight of the smallest squared error on the given rows, the first of equals."""
+    errors = [F.avg((F.col(target) - F.col(base) - lam * F.col(resid)) ** 2).alias(f"e{i}") for i, lam in enumerate(grid)]
+    row = rows.agg(*errors).first()
+    known = [(round(e, 12), lam) for e, lam in zip(row, grid, strict=True) if e is not None]
+    return min(known)[1] if known else 0.0
+
+
+def residual_stack(rows, features, target="y_true", alpha=1.0, split="split", lam: float | None = None, **params) -> DataFrame:
     """Ridge, then trees on its residual with the ridge forecast as a feature.
 
-    Both parts stay as columns; `final_pred = ridge_pred + lambda * resid_pred`.
+    Both parts stay as columns; `final_pred = ridge_pred + lambda * resid_pred`, where lambda is
+    chosen on validation rows unless given.
     """
-    base = ridge_fit_predict(
-        rows.withColumn("_one", F.lit(0)), features, target, ["_one"], alpha, split, "ridge_pred").drop("_one")
+    base = ridge_fit_predict(rows, features, target, [], alpha, split, "ridge_pred")
     base = stable(base.withColumn("_resid", F.col(target) - F.col("ridge_pred")))
     stacked = tree_fit_predict(base, [*features, "ridge_pred"], "_resid", "residual", split, "resid_pred", **params)
+    if lam is None:
+        lam = best_lambda(stacked.filter(F.col(split) == "val"), target)
     return stacked.drop("_resid").withColumns(
         {"lambda": F.lit(float(lam)), "final_pred": F.col("ridge_pred") + lam * F.col("resid_pred")})

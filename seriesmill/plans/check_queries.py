@@ -198,7 +198,7 @@ def stream_upsert(spark, d):
         F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("ingest_seq"))
     folder = _folder(spark)
     refresh.stream_upsert(arriving, f"{folder}/store", f"{folder}/progress", seq="ingest_seq").awaitTermination()
-    return spark.read.parquet(f"{folder}/store").drop("month")
+    return spark.read.parquet(f"{folder}/store").drop("month", "ingest_seq")
 
 
 def _features(df):

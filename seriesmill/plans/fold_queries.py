@@ -5,7 +5,9 @@ from __future__ import annotations
 from seriesmill.functions.columns import round6
 from seriesmill.operators import metrics, policy, reports
 from seriesmill.plans.registry import query
-from seriesmill.plans.split_queries import SPLIT, split_rows
+from seriesmill.operators import linear
+from seriesmill.plans.model_queries import X, fit_cte
+from seriesmill.plans.split_queries import WALK, walk_rows
 from seriesmill.plans.sqltext import POINT, position_sql, quantile_cte, rounded, spearman_cte, tail_select
 
 SHARES = ", ".join(f"{p / 100.0}::DOUBLE" for p in policy.COVERAGE_PERCENTILES)
@@ -17,7 +19,9 @@ def _sharpe(name: str, t: str = "0.1") -> str:
     return f"avg({r}) FILTER (({p}) <> 0) / stddev_pop({r}) FILTER (({p}) <> 0) * sqrt(252)"
 
 
-REPORT = SPLIT + f""", test AS (SELECT * FROM rows_ WHERE split = 'test'), val AS (SELECT * FROM rows_ WHERE split = 'val'),
+PREDICTED = WALK + ", " + fit_cte("rows_", "fold_id", "fit", "10") + """,
+scored AS (SELECT symbol, date, fold_id, split, y_true, b0 + w1 * f1 + w2 * f2 AS y_pred FROM rows_ JOIN fit USING (fold_id) WHERE split <> 'train')"""
+REPORT = PREDICTED + f""", test AS (SELECT * FROM scored WHERE split = 'test'), val AS (SELECT * FROM scored WHERE split = 'val'),
 {spearman_cte("test", "fold_id", "tic")}, {quantile_cte("test", "fold_id", "tq")}, {spearman_cte("val", "fold_id", "vic")},
 grid AS (SELECT fold_id, unnest(list_distinct(list_concat([0.0::DOUBLE], quantile_cont(abs(y_pred), [{SHARES}])))) AS threshold FROM test GROUP BY fold_id),
 cov AS (SELECT fold_id, threshold, count(*) FILTER (p <> 0) / count(*)::DOUBLE AS coverage,
@@ -38,9 +42,20 @@ VALUES = ("rmse, mae, dir_acc, ic, spread, tstat, top_mean, bottom_mean, monoton
           "strategy_sharpe, big_move_sharpe, best_threshold, best_coverage, best_sharpe, val_rmse, val_mae, val_dir_acc, val_ic")
 
 
+def predicted_folds(spark, d):
+    """Validation and test rows of every embargoed fold, predicted by the ridge of its training rows."""
+    rows = linear.ridge_fit_predict(walk_rows(spark, d), X, alpha=10.0).filter("split <> 'train'")
+    return rows.select("symbol", "date", "fold_id", "split", "y_true", "y_pred")
+
+
+@query("walk_forward_predict", rounded("SELECT * FROM scored", "symbol, date, fold_id, split", "y_true, y_pred", with_=PREDICTED))
+def walk_forward_predict(spark, d):
+    return round6(predicted_folds(spark, d), "y_true", "y_pred")
+
+
 @query("fold_metrics", rounded("SELECT * FROM report", "fold_id, n_test, n_val", VALUES, with_=REPORT))
 def fold_metrics(spark, d):
-    return round6(reports.fold_metrics(split_rows(spark, d), threshold=0.1), *VALUES.split(", "))
+    return round6(reports.fold_metrics(predicted_folds(spark, d), threshold=0.1), *VALUES.split(", "))
 
 
 MEANS = ["ic", "spread", "tstat", "monotonicity", "best_sharpe"]
@@ -54,4 +69,4 @@ SUMMARY = [*[f"{c}_mean" for c in MEANS], *[f"{c}_std" for c in MEANS], "ic_spre
         FROM (SELECT *, rank() OVER (ORDER BY ic) AS ri, rank() OVER (ORDER BY spread) AS rs FROM report)""",
     "n_folds", ", ".join(SUMMARY), with_=REPORT))
 def fold_summary(spark, d):
-    return round6(metrics.fold_summary(reports.fold_metrics(split_rows(spark, d), threshold=0.1)), *SUMMARY)
+    return round6(metrics.fold_summary(reports.fold_metrics(predicted_folds(spark, d), threshold=0.1)), *SUMMARY)

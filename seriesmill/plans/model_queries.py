@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import round6
-from seriesmill.operators import linear, trees
+from seriesmill.operators import linear, splits, trees
 from seriesmill.plans import panels
 from seriesmill.plans.registry import query
-from seriesmill.plans.split_queries import SPLIT, WF, WF_ARGS, split_rows
+from seriesmill.plans.split_queries import STATIC_ARGS, WALK, WF, WF_ARGS, walk_rows
 from seriesmill.plans.sqltext import FORECASTS, rounded
 from seriesmill.operators.splits import walk_forward_folds
 
@@ -26,22 +26,22 @@ def fit_cte(source: str, keys: str, out: str, alpha: str = "0", where: str = "sp
 
 
 def predicted(alpha: str) -> str:
-    return rounded("SELECT symbol, date, split, y_true, b0 + w1 * f1 + w2 * f2 AS y_pred FROM rows_ JOIN fit USING (fold_id)",
-                   "symbol, date, split", "y_true, y_pred", with_=SPLIT + ", " + fit_cte("rows_", "fold_id", "fit", alpha))
+    return rounded("SELECT symbol, date, fold_id, split, y_true, b0 + w1 * f1 + w2 * f2 AS y_pred FROM rows_ JOIN fit USING (fold_id)",
+                   "symbol, date, fold_id, split", "y_true, y_pred", with_=WALK + ", " + fit_cte("rows_", "fold_id", "fit", alpha))
 
 
 def _out(df, *more):
-    return round6(df.select("symbol", "date", "split", "y_true", "y_pred", *more), "y_true", "y_pred")
+    return round6(df.select("symbol", "date", "fold_id", "split", "y_true", "y_pred", *more), "y_true", "y_pred")
 
 
 @query("ols_fit_predict", predicted("0"))
 def ols_fit_predict(spark, d):
-    return _out(linear.ols_fit_predict(split_rows(spark, d), X))
+    return _out(linear.ols_fit_predict(walk_rows(spark, d), X))
 
 
 @query("ridge_fit_predict", predicted("10"))
 def ridge_fit_predict(spark, d):
-    return _out(linear.ridge_fit_predict(split_rows(spark, d), X, alpha=10.0))
+    return _out(linear.ridge_fit_predict(walk_rows(spark, d), X, alpha=10.0))
 
 
 ALPHAS = ", ".join(f"{a}::DOUBLE" for a in linear.ALPHA_GRID)
@@ -57,21 +57,21 @@ def f1(t: str, p: str) -> str:
       FROM (SELECT fold_id, alpha, y_true, b0 + w1 * f1 + w2 * f2 AS p FROM rows_ JOIN fit USING (fold_id) WHERE split = 'val')
       GROUP BY fold_id, alpha) GROUP BY fold_id""",
     "fold_id, best_alpha", "objective",
-    with_=SPLIT + f", tr AS (SELECT * FROM rows_, (SELECT unnest([{ALPHAS}]) AS alpha) WHERE split = 'train'), "
+    with_=WALK + f", tr AS (SELECT * FROM rows_, (SELECT unnest([{ALPHAS}]) AS alpha) WHERE split = 'train'), "
     + fit_cte("tr", "fold_id", "fit", "alpha", extra=", alpha")))
 def ridge_alpha_search(spark, d):
-    return round6(linear.ridge_alpha_search(split_rows(spark, d), X, threshold=0.1), "objective")
+    return round6(linear.ridge_alpha_search(walk_rows(spark, d), X, threshold=0.1), "objective")
 
 
-GATED = SPLIT + """, med AS (SELECT fold_id, quantile_cont(f2, 0.5) AS threshold FROM rows_ WHERE split = 'train' GROUP BY fold_id),
+GATED = WALK + """, med AS (SELECT fold_id, quantile_cont(f2, 0.5) AS threshold FROM rows_ WHERE split = 'train' GROUP BY fold_id),
 sided AS (SELECT r.*, threshold, CASE WHEN f2 <= threshold THEN 0 ELSE 1 END AS side FROM rows_ r JOIN med USING (fold_id)), """
 
 
 @query("regime_gated_ridge", rounded(
-    "SELECT symbol, date, split, CAST(side AS INTEGER) AS side, y_true, b0 + w1 * f1 + w2 * f2 AS y_pred FROM sided JOIN fit USING (fold_id, side)",
-    "symbol, date, split, side", "y_true, y_pred", with_=GATED + fit_cte("sided", "fold_id, side", "fit", "1")))
+    "SELECT symbol, date, fold_id, split, CAST(side AS INTEGER) AS side, y_true, b0 + w1 * f1 + w2 * f2 AS y_pred FROM sided JOIN fit USING (fold_id, side)",
+    "symbol, date, fold_id, split, side", "y_true, y_pred", with_=GATED + fit_cte("sided", "fold_id, side", "fit", "1")))
 def regime_gated_ridge(spark, d):
-    return _out(linear.regime_gated_ridge(split_rows(spark, d), X, "f2"), "side")
+    return _out(linear.regime_gated_ridge(walk_rows(spark, d), X, "f2"), "side")
 
 
 @query("walk_forward_ridge", rounded(
@@ -96,9 +96,9 @@ def walk_forward_ridge(spark, d):
 @query("feature_importance", rounded(
     "SELECT * FROM (SELECT fold_id, 'f1' AS feature, w1 AS importance FROM fit UNION ALL SELECT fold_id, 'f2', w2 FROM fit)"
     " ORDER BY importance DESC, feature, fold_id LIMIT 10", "fold_id, feature", "importance",
-    with_=SPLIT + ", " + fit_cte("rows_", "fold_id", "fit", "1")))
+    with_=WALK + ", " + fit_cte("rows_", "fold_id", "fit", "1")))
 def feature_importance(spark, d):
-    return round6(linear.feature_importance(linear.ridge_fit(split_rows(spark, d), X), X, 10), "importance")
+    return round6(linear.feature_importance(linear.ridge_fit(walk_rows(spark, d), X), X, 10), "importance")
 
 
 @query("weighted_blend", rounded(
@@ -155,10 +155,10 @@ def _apply(model, x):
 
 
 @query("grouped_fit_predict", rounded(
-    "SELECT symbol, date, split, y_true, b0 + w1 * f1 + w2 * f2 AS y_pred FROM rows_ JOIN fit USING (symbol)",
-    "symbol, date, split", "y_true, y_pred", with_=SPLIT + ", " + fit_cte("rows_", "symbol", "fit")))
+    "SELECT symbol, date, fold_id, split, y_true, b0 + w1 * f1 + w2 * f2 AS y_pred FROM rows_ JOIN fit USING (symbol, fold_id)",
+    "symbol, date, fold_id, split", "y_true, y_pred", with_=WALK + ", " + fit_cte("rows_", "symbol, fold_id", "fit")))
 def grouped_fit_predict(spark, d):
-    return _out(linear.grouped_fit_predict(split_rows(spark, d), _least_squares, _apply, X))
+    return _out(linear.grouped_fit_predict(walk_rows(spark, d), _least_squares, _apply, X, by=("symbol", "fold_id")))
 
 
 # --- trees: no SQL counterpart, checked by property tests -------------------
@@ -166,44 +166,49 @@ TREE_X = ["f1", "f2", "ret"]
 
 
 def _rows(spark, d):
-    return split_rows(spark, d).filter(F.col("ret").isNotNull())
+    """Forecast rows in an embargoed train, validation and test span of each series."""
+    return splits.static_split(panels.forecasts(spark, d), **STATIC_ARGS).drop("position")
+
+
+def _out_one(df, *more):
+    return round6(df.select("symbol", "date", "split", "y_true", "y_pred", *more), "y_true", "y_pred")
 
 
 @query("random_forest")
 def random_forest(spark, d):
-    return _out(trees.tree_fit_predict(_rows(spark, d), TREE_X, kind="random_forest", numTrees=20, maxDepth=6))
+    return _out_one(trees.tree_fit_predict(_rows(spark, d), TREE_X, kind="random_forest"))
 
 
 @query("gbt_regressor")
 def gbt_regressor(spark, d):
-    return _out(trees.tree_fit_predict(_rows(spark, d), TREE_X, maxIter=10))
+    return _out_one(trees.tree_fit_predict(_rows(spark, d), TREE_X))
 
 
 @query("tree_param_search")
 def tree_param_search(spark, d):
-    out = trees.tree_param_search(_rows(spark, d), TREE_X, {"maxDepth": [2, 4], "maxIter": [5]}, threshold=0.1)
+    out = trees.tree_param_search(_rows(spark, d), TREE_X, {"maxDepth": [2, 4], "maxIter": [25, 50]}, threshold=0.1)
     return round6(out, "objective")
 
 
 @query("bigmove_classifier")
 def bigmove_classifier(spark, d):
     rows = _rows(spark, d).withColumn("label", F.when(F.abs("y_true") > 0.1, 1).otherwise(0))
-    out = trees.bigmove_classifier(rows, TREE_X, maxIter=10)
+    out = trees.bigmove_classifier(rows, TREE_X)
     return round6(out.select("symbol", "date", "split", "label", "pred", "prob"), "prob")
 
 
 @query("regime_gated_hybrid")
 def regime_gated_hybrid(spark, d):
-    return _out(trees.regime_gated_hybrid(_rows(spark, d), TREE_X, "f2", maxIter=10), "side")
+    return _out_one(trees.regime_gated_hybrid(_rows(spark, d), TREE_X, "f2"), "side")
 
 
 @query("trend_gated_hybrid")
 def trend_gated_hybrid(spark, d):
-    return _out(trees.trend_gated_hybrid(_rows(spark, d), TREE_X, "f1", maxIter=10), "side")
+    return _out_one(trees.trend_gated_hybrid(_rows(spark, d), TREE_X, "f1"), "side")
 
 
 @query("residual_stack")
 def residual_stack(spark, d):
-    out = trees.residual_stack(_rows(spark, d), TREE_X, lam=0.5, maxIter=10)
+    out = trees.residual_stack(_rows(spark, d), TREE_X)
     return round6(out.select("symbol", "date", "split", "y_true", "ridge_pred", "resid_pred", "lambda", "final_pred"),
                   "y_true", "ridge_pred", "resid_pred", "final_pred")

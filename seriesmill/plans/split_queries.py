@@ -120,6 +120,23 @@ def split_rows(spark, d):
         "split", F.when(m <= 8, "train").when(m <= 10, "val").otherwise("test"))
 
 
+#: forecast rows in every embargoed walk-forward fold of their series that holds them
+WALK = FORECASTS + f""", numbered AS (SELECT * EXCLUDE (fold_id), row_number() OVER w - 1 AS p FROM forecasts WINDOW {W}), """ \
+    + folds_sql("numbered", "1999-01-01", 1, 2, 3, 1999, 1) + """, rows_ AS (
+  SELECT n.* EXCLUDE (p), CAST(f.fold_id AS INTEGER) AS fold_id, CASE WHEN p <= train_hi THEN 'train' WHEN p <= val_hi THEN 'val' ELSE 'test' END AS split
+  FROM numbered n JOIN folds f ON n.symbol = f.symbol AND (p BETWEEN train_lo AND train_hi OR p BETWEEN val_lo AND val_hi OR p BETWEEN test_lo AND test_hi))"""
+
+
+def walk_rows(spark, d):
+    """The target reaches 21 rows ahead, which is the embargo of the folds."""
+    panel = panels.forecasts(spark, d).drop("fold_id")
+    return splits.fold_rows(panel, splits.walk_forward_folds(panel, **WF_ARGS)).drop("position")
+
+
+def walk_audit(spark, d):
+    return splits.embargo_audit(splits.walk_forward_folds(panels.forecasts(spark, d).drop("fold_id"), **WF_ARGS))
+
+
 @query("train_plus_val", f"""WITH {SPLIT}, c AS (SELECT *, row_number() OVER k AS rn, count(*) OVER (PARTITION BY symbol, split) AS n FROM rows_
     WINDOW k AS (PARTITION BY symbol, split ORDER BY date))
   SELECT symbol, date, CASE WHEN split = 'val' THEN 'train' ELSE split END AS merged,

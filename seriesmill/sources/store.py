@@ -69,15 +69,28 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("_r")).select(*keys, "_r.*")
 
 
-def upsert_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keyed merge: fields the new row has win, even when null; others stay."""
+def upsert_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str], seq: str | None = None) -> DataFrame:
+    """Keyed merge: fields the new row has win, even when null; others stay.
+
+    Of several new rows of a key one counts: the last by `seq`, or without it the greatest.  With
+    `seq` a new row that arrived before the stored one changes nothing.
+    """
     keys = list(keys)
+    rest = [c for c in new.columns if c not in keys]
+    if seq:
+        new = latest_per_key(new, keys, seq)
+    elif rest:
+        new = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
+    else:
+        new = new.distinct()
     marked = new.withColumn("_new", F.lit(True))
     o, n = old.alias("o"), marked.alias("n")
     condition: Column = F.lit(True)
     for k in keys:
         condition = condition & (F.col(f"o.{k}") == F.col(f"n.{k}"))
     arrived = F.col("n._new").isNotNull()
+    if seq and seq in old.columns:
+        arrived = arrived & (F.col(f"o.{seq}").isNull() | (F.col(f"n.{seq}") >= F.col(f"o.{seq}")))
     cells = [F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")).alias(k) for k in keys]
     for c in [*old.columns, *[c for c in new.columns if c not in old.columns]]:
         if c in keys:
@@ -85,7 +98,7 @@ def upsert_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
         if c not in new.columns:
             cells.append(F.col(f"o.{c}").alias(c))
         elif c not in old.columns:
-            cells.append(F.col(f"n.{c}").alias(c))
+            cells.append(F.when(arrived, F.col(f"n.{c}")).alias(c))
         else:
             cells.append(F.when(arrived, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
     return o.join(n, condition, "full_outer").select(*cells)
@@ -103,23 +116,24 @@ def write_partitioned(df: DataFrame, path: str, partition: Sequence[str], mode:
 
 
 def merge_into(
-    spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], partition: str
+    spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], partition: str, seq: str | None = None
 ) -> None:
     """Upsert a batch into a parquet table partitioned by `partition`.
 
-    Only partitions the batch touches are read and rewritten.  Merging the same
-    batch again gives the same table.
+    Only partitions the batch touches are read and rewritten: their names, one for each month or
+    the like, are fetched and become a partition filter.  Merging the same batch again gives the
+    same table.
     """
     try:
         stored = spark.read.parquet(path)
     except Exception as error:  # first batch: no table yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        write_partitioned(batch, path, [partition])
+        write_partitioned(upsert_by_key(batch.limit(0), batch, keys, seq), path, [partition])
         return
-    touched = batch.select(partition).distinct()
-    current = stored.join(touched, partition, "left_semi")
-    merged = upsert_by_key(current, batch, keys)
+    touched = [row[0] for row in batch.select(F.col(partition).cast("string")).distinct().collect()]
+    current = stored.filter(F.col(partition).cast("string").isin(touched))
+    merged = upsert_by_key(current, batch.withColumn(partition, F.col(partition).cast(stored.schema[partition].dataType)), keys, seq)
     write_partitioned(merged, path, [partition])
 
 
@@ -134,8 +148,9 @@ def load_run(predictions: DataFrame, run_id: str) -> DataFrame:
 
 def load_latest_run(runs: DataFrame, predictions: DataFrame) -> DataFrame:
     """Predictions of the run created last (ties: the greater run_id)."""
-    latest = runs.agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id"))
-    return predictions.join(latest, "run_id")
+    latest = runs.select(F.max_by("run_id", F.struct("created_at", "run_id"))).scalar()
+    # a subquery on the partition column prunes
+    return predictions.filter(F.col("run_id") == latest)
 
 
 def source_report(

@@ -23,12 +23,14 @@ def stream_upsert(
     """Merge arriving rows into a parquet store by key.
 
     Every micro-batch rewrites only the months it touches; a batch delivered
-    again changes nothing.  With `seq` the last arrival of a key wins.
+    again changes nothing.  With `seq`, which is stored, the last arrival of a key
+    wins, also over rows of earlier batches.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = latest_per_key(batch, list(keys), seq).drop(seq) if seq else batch
-        merge_into(batch.sparkSession, path, with_month(rows), keys, "month")
+        rows = with_month(latest_per_key(batch, list(keys), seq) if seq else batch).persist()
+        merge_into(batch.sparkSession, path, rows, keys, "month", seq)
+        rows.unpersist()
 
     return (
         rows.writeStream.foreachBatch(merge)
@@ -63,14 +65,15 @@ def stream_feature_refresh(
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        if seq:
-            batch = latest_per_key(batch, list(keys), seq).drop(seq)
-        merge_into(spark, prices_path, with_month(batch), keys, "month")
+        batch = with_month(latest_per_key(batch, list(keys), seq) if seq else batch).persist()
+        merge_into(spark, prices_path, batch, keys, "month", seq)
         touched = batch.groupBy("symbol").agg(F.min("date").alias("first_date"))
-        stored = spark.read.parquet(prices_path).drop("month")
+        stored = spark.read.parquet(prices_path).drop("month", *([seq] if seq else []))
         history = lookback_rows(stored, touched, lookback)
-        fresh = compute(history).filter(F.col("date") >= F.col("first_date")).drop("first_date")
-        merge_into(spark, features_path, with_month(fresh), keys, "month")
+        fresh = with_month(compute(history).filter(F.col("date") >= F.col("first_date")).drop("first_date")).persist()
+        merge_into(spark, features_path, fresh, keys, "month")
+        fresh.unpersist()
+        batch.unpersist()
 
     return (
         rows.writeStream.foreachBatch(refresh)
