@@ -181,27 +181,47 @@ def with_exprs(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*keep, *[f"{sql} AS `{name}`" for name, sql in columns.items()])
 
 
+def window_sums(df: DataFrame, series: Series, sums: dict[str, str], n: int) -> DataFrame:
+    """Sums of SQL expressions over the last n rows; null counts as zero.
+
+    A series is cut into blocks of n rows; a window is the end of one block and the start of the
+    next, so two partial sums are added per row whatever n is.  Nothing is subtracted, so a value
+    has no effect on windows that do not hold it.
+    """
+    keys = ", ".join(f"`{c}`" for c in series.by)
+    rows = series.sql_rows
+    df = with_exprs(df, {"_b": f"floor((row_number() OVER {rows} - 1) / {n})", "_r": f"(row_number() OVER {rows} - 1) % {n}"})
+
+    def block(way: str) -> str:
+        order = ", ".join(f"`{c}` {way}" for c in series.order)
+        return f"(PARTITION BY {keys}, _b ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+    zero = {c: f"coalesce({sql}, 0D)" for c, sql in sums.items()}
+    df = with_exprs(df, {f"_h_{c}": f"sum({sql}) OVER {block('ASC')}" for c, sql in zero.items()})
+    df = with_exprs(df, {f"_t_{c}": f"sum({sql}) OVER {block('DESC')}" for c, sql in zero.items()})
+    out = {
+        c: f"`_h_{c}` + CASE WHEN _r = {n - 1} THEN 0D ELSE lag(`_t_{c}`, {n - 1}, 0D) OVER {rows} END"
+        for c in sums
+    }
+    return with_exprs(df, out).drop("_b", "_r", *[f"_{k}_{c}" for c in sums for k in "ht"])
+
+
 def running_mean(
     df: DataFrame, series: Series, specs: Sequence[tuple[str, str, int]]
 ) -> DataFrame:
-    """Add rolling means `(out, column, n)` from differences of running sums.
+    """Add rolling means `(out, column, n)`.
 
     The work per row does not depend on n, unlike a sliding frame.  A window
-    counts only when its n values are all present.
+    counts only when its n values are all present and finite.
     """
-    sources = sorted({c for _, c, _ in specs})
-    rows, so_far = series.sql_rows, series.sql_so_far
-    df = with_exprs(
-        df,
-        {f"_s_{c}": f"coalesce(sum(`{c}`) OVER {so_far}, 0D)" for c in sources}
-        | {f"_n_{c}": f"count(`{c}`) OVER {so_far}" for c in sources},
-    )
-    out = {
-        name: f"CASE WHEN `_n_{c}` - lag(`_n_{c}`, {n}, 0L) OVER {rows} = {n} "
-        f"THEN (`_s_{c}` - lag(`_s_{c}`, {n}, 0D) OVER {rows}) / {n} END"
-        for name, c, n in specs
-    }
-    return with_exprs(df, out).drop(*[f"_{k}_{c}" for c in sources for k in "sn"])
+    for n in sorted({s[2] for s in specs}):
+        columns = sorted({c for _, c, m in specs if m == n})
+        known = {c: f"CASE WHEN abs(`{c}`) < double('Infinity') THEN CAST(`{c}` AS DOUBLE) END" for c in columns}
+        sums = {f"_s_{c}": x for c, x in known.items()} | {f"_n_{c}": f"CASE WHEN {x} IS NOT NULL THEN 1D END" for c, x in known.items()}
+        df = window_sums(df, series, sums, n)
+        df = with_exprs(df, {name: f"CASE WHEN `_n_{c}` = {n} THEN `_s_{c}` / {n} END" for name, c, m in specs if m == n})
+        df = df.drop(*sums)
+    return df
 
 
 def running_moments(

@@ -86,16 +86,22 @@ def known_leaks(columns: Sequence[str], target: str) -> list[str]:
 
 
 def leakage_correlation(df: DataFrame, features: Sequence[str], target: str, top: int = 5, least=10, limit=0.5) -> DataFrame:
-    """Rank correlation of features with the target, strongest first."""
-    features = [c for c in features if c not in known_leaks(features, target)]
+    """Rank correlation of features with the target, strongest first.
+
+    Features with the name of a known leak are listed before the others, also beyond `top`, and
+    are suspicious whatever their correlation.
+    """
+    leaks = known_leaks(features, target)
     long = _long(df, features, target)
     r = with_ranks(long, {"a": "x", "b": "y"}, ["feature"])
     scored = r.groupBy("feature").agg(F.count("*").alias("pairs"), spearman("a", "b").alias("correlation"))
     return (
-        scored.filter(F.col("pairs") > least)
-        .withColumn("suspicious", F.abs("correlation") > limit)
-        .orderBy(F.abs("correlation").desc(), "feature")
-        .limit(top)
+        scored.withColumn("known_leak", F.col("feature").isin(leaks))
+        .filter((F.col("pairs") > least) | F.col("known_leak"))
+        .withColumn("suspicious", F.col("known_leak") | (F.abs("correlation") > limit))
+        .orderBy(F.col("known_leak").desc(), F.abs("correlation").desc(), "feature")
+        .limit(top + len(leaks))
+        .drop("known_leak")
     )
 
 

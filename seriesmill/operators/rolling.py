@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import (
-    Series, clip, divide, running_mean, running_moments, with_exprs,
+    Series, clip, divide, finite, running_mean, running_moments, window_sums, with_exprs,
 )
 
 SERIES = Series()
@@ -48,29 +48,16 @@ def trailing_return(df, n, price="close", out=None, *, pad=False, series=SERIES)
 
 
 def rolling_slope(df, n, price="close", out=None, series=SERIES) -> DataFrame:
-    """Least-squares slope on 0..n-1 over the last n rows, from running sums.
+    """Least-squares slope on 0..n-1 over the last n rows, from sums over blocks.
 
-    Prices are taken relative to the first one of the series, which keeps the
-    differences of running sums accurate.
+    Prices are taken relative to the first one of the series.
     """
-    base = F.first(price, ignorenulls=True).over(series.so_far)
-    df = df.withColumns({"_t": series.position().cast("double"), "_y": F.col(price) - base})
-    df = df.withColumns(
-        {
-            "_sy": F.coalesce(F.sum("_y").over(series.so_far), F.lit(0.0)),
-            "_sty": F.coalesce(F.sum(F.col("_t") * F.col("_y")).over(series.so_far), F.lit(0.0)),
-            "_n": F.count("_y").over(series.so_far),
-        }
-    )
-
-    def last_n(c: str) -> Column:
-        return F.col(c) - F.coalesce(series.lag(c, n), F.lit(0.0))
-
+    base = F.first(finite(price), ignorenulls=True).over(series.so_far)
+    df = df.withColumns({"_t": series.position().cast("double"), "_y": finite(price) - base})
+    df = window_sums(df, series, {"_sy": "_y", "_sty": "_t * _y", "_n": "CASE WHEN _y IS NOT NULL THEN 1D END"}, n)
     middle = F.col("_t") - (n - 1) / 2.0
-    slope = (last_n("_sty") - middle * last_n("_sy")) / (n * (n * n - 1) / 12.0)
-    return df.withColumn(out or f"Slope_{n}", F.when(last_n("_n") == n, slope)).drop(
-        "_t", "_y", "_sy", "_sty", "_n"
-    )
+    slope = (F.col("_sty") - middle * F.col("_sy")) / (n * (n * n - 1) / 12.0)
+    return df.withColumn(out or f"Slope_{n}", F.when(F.col("_n") == n, slope)).drop("_t", "_y", "_sy", "_sty", "_n")
 
 
 def rolling_hurst(df, price="close", n=100, max_lag=20, out="Hurst", series=SERIES) -> DataFrame:
@@ -84,7 +71,8 @@ def rolling_hurst(df, price="close", n=100, max_lag=20, out="Hurst", series=SERI
     mean = sum(log_k) / len(log_k)
     spread = sum((x - mean) ** 2 for x in log_k)
     rows, so_far = series.sql_rows, series.sql_so_far
-    df = with_exprs(df, {f"_d{k}": f"`{price}` - lag(`{price}`, {k}) OVER {rows}" for k in lags})
+    df = df.withColumn("_p", finite(price))
+    df = with_exprs(df, {f"_d{k}": f"_p - lag(_p, {k}) OVER {rows}" for k in lags})
     sums = {}
     for k in lags:
         sums[f"_s{k}"] = f"coalesce(sum(_d{k}) OVER {so_far}, 0D)"
@@ -106,7 +94,7 @@ def rolling_hurst(df, price="close", n=100, max_lag=20, out="Hurst", series=SERI
     ]
     df = with_exprs(df, {"_slope": " + ".join(terms)})
     return df.withColumn(out, clip(F.col("_slope") / 2.0, 0.0, 1.0)).drop(
-        "_slope", *[f"_{p}{k}" for k in lags for p in "dsqc"]
+        "_slope", "_p", *[f"_{p}{k}" for k in lags for p in "dsqc"]
     )
 
 
