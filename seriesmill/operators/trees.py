@@ -46,6 +46,12 @@ def predict_tree(model, rows: DataFrame, features, out="y_pred") -> DataFrame:
     return model.transform(_vectors(rows, features)).withColumn(out, done).drop("_x", "prediction")
 
 
+def tree_importance(model, features: Sequence[str], spark) -> DataFrame:
+    """Share of the impurity decrease of every feature, largest first."""
+    rows = [(c, float(v)) for c, v in zip(features, model.featureImportances.toArray(), strict=True)]
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
+
+
 def tree_fit_predict(rows, features, target="y_true", kind="gbt", split="split", out="y_pred", **params) -> DataFrame:
     model = fit_tree(rows.filter(F.col(split) == "train"), features, target, kind, **params)
     return predict_tree(model, rows, features, out)

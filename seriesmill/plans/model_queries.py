@@ -9,7 +9,7 @@ from seriesmill.functions.columns import round6
 from seriesmill.operators import linear, splits, trees
 from seriesmill.plans import panels
 from seriesmill.plans.registry import query
-from seriesmill.plans.split_queries import STATIC_ARGS, WALK, WF, WF_ARGS, walk_rows
+from seriesmill.plans.split_queries import STATIC_ARGS, TUNED, WALK, WF, WF_ARGS, tuning_rows, walk_rows
 from seriesmill.plans.sqltext import FORECASTS, rounded
 from seriesmill.operators.splits import walk_forward_folds
 
@@ -51,18 +51,28 @@ def f1(t: str, p: str) -> str:
     return (f"coalesce(2.0 * count(*) FILTER ({t} AND {p}) / nullif(count(*) FILTER ({t}) + count(*) FILTER ({p}), 0), 0)")
 
 
-@query("ridge_alpha_search", rounded(
-    f"""SELECT fold_id, arg_min(alpha, (round(objective, 10), alpha)) AS best_alpha, min(objective) AS objective FROM (
+def alpha_sql(rows: str) -> str:
+    return rounded(
+        f"""SELECT fold_id, arg_min(alpha, (round(objective, 10), alpha)) AS best_alpha, min(objective) AS objective FROM (
       SELECT fold_id, alpha, avg((y_true - p) ** 2) - 0.5 * ({f1('y_true > 0.1', 'p > 0.1')} + {f1('y_true < -0.1', 'p < -0.1')}) AS objective
       FROM (SELECT fold_id, alpha, y_true, b0 + w1 * f1 + w2 * f2 AS p FROM rows_ JOIN fit USING (fold_id) WHERE split = 'val')
       GROUP BY fold_id, alpha) GROUP BY fold_id""",
-    "fold_id, best_alpha", "objective",
-    with_=WALK + f", tr AS (SELECT * FROM rows_, (SELECT unnest([{ALPHAS}]) AS alpha) WHERE split = 'train'), "
-    + fit_cte("tr", "fold_id", "fit", "alpha", extra=", alpha")))
+        "fold_id, best_alpha", "objective",
+        with_=rows + f", tr AS (SELECT * FROM rows_, (SELECT unnest([{ALPHAS}]) AS alpha) WHERE split = 'train'), "
+        + fit_cte("tr", "fold_id", "fit", "alpha", extra=", alpha"))
+
+
+@query("ridge_alpha_search", alpha_sql(WALK))
 def ridge_alpha_search(spark, d):
     return round6(linear.ridge_alpha_search(walk_rows(spark, d), X, threshold=0.1), "objective")
 
 
+@query("tuned_alpha", alpha_sql(TUNED))
+def tuned_alpha(spark, d):
+    """The penalty search over the tuning folds."""
+    return round6(linear.ridge_alpha_search(tuning_rows(spark, d), X, threshold=0.1), "objective")
+
+
 GATED = WALK + """, med AS (SELECT fold_id, quantile_cont(f2, 0.5) AS threshold FROM rows_ WHERE split = 'train' GROUP BY fold_id),
 sided AS (SELECT r.*, threshold, CASE WHEN f2 <= threshold THEN 0 ELSE 1 END AS side FROM rows_ r JOIN med USING (fold_id)), """
 
@@ -101,6 +111,31 @@ def feature_importance(spark, d):
     return round6(linear.feature_importance(linear.ridge_fit(walk_rows(spark, d), X), X, 10), "importance")
 
 
+@query("gated_importance", rounded(
+    "SELECT 'f1' AS feature, avg(w1) AS importance FROM fit UNION ALL SELECT 'f2', avg(w2) FROM fit", "feature", "importance",
+    with_=GATED + fit_cte("sided", "fold_id, side", "fit", "1")))
+def gated_importance(spark, d):
+    coefs = linear.ridge_fit(linear.with_side(walk_rows(spark, d), "f2"), X, by=["fold_id", "side"])
+    return round6(linear.mean_importance(coefs, X, ["fold_id", "side"]), "importance")
+
+
+WEIGHTS = "CASE WHEN abs(y_true) > 0.1 THEN 5.0::DOUBLE ELSE 1.0 END"
+
+
+@query("weighted_ridge", rounded(
+    "SELECT fold_id, w1, w2, my - w1 * m1 - w2 * m2 AS b0 FROM w", "fold_id", "w1, w2, b0",
+    with_=WALK + f""", t AS (SELECT *, {WEIGHTS} AS w FROM rows_ WHERE split = 'train'),
+    m AS (SELECT fold_id, sum(w * f1) / sum(w) AS m1, sum(w * f2) / sum(w) AS m2, sum(w * y_true) / sum(w) AS my FROM t GROUP BY fold_id),
+    s AS (SELECT fold_id, any_value(m1) AS m1, any_value(m2) AS m2, any_value(my) AS my, sum(w * (f1 - m1) ** 2) + 1 AS a11, sum(w * (f2 - m2) ** 2) + 1 AS a22,
+      sum(w * (f1 - m1) * (f2 - m2)) AS a12, sum(w * (f1 - m1) * (y_true - my)) AS b1, sum(w * (f2 - m2) * (y_true - my)) AS b2 FROM t JOIN m USING (fold_id) GROUP BY fold_id),
+    w AS (SELECT *, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) AS w1, (b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12) AS w2 FROM s)"""))
+def weighted_ridge(spark, d):
+    """Rows with a big move count five times in the fit."""
+    rows = splits.sample_weights(walk_rows(spark, d), threshold=0.1)
+    fit = linear.ridge_fit(rows, X, weight="weight")
+    return round6(fit.select("fold_id", F.col("coef")[0].alias("w1"), F.col("coef")[1].alias("w2"), F.col("intercept").alias("b0")), "w1", "w2", "b0")
+
+
 @query("weighted_blend", rounded(
     """SELECT symbol, date, (0.3 * y_pred + CASE WHEN regime = 1 THEN 0.4 * -f1 ELSE 0 END + CASE WHEN fold_id % 2 = 0 THEN 0.3 * f2 ELSE 0 END)
        / (0.3 + CASE WHEN regime = 1 THEN 0.4 ELSE 0 END + CASE WHEN fold_id % 2 = 0 THEN 0.3 ELSE 0 END) AS blend FROM forecasts""",

@@ -96,8 +96,10 @@ def embargo_audit(spark, d):
     return splits.embargo_audit(_folds(spark, d))
 
 
-TUNING = PRICES + f", numbered AS (SELECT *, row_number() OVER w - 1 AS p FROM prices WHERE date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' WINDOW {W}), " \
-    + folds_sql("numbered", "1997-04-01", 1, 3, 3, 1997, 4) + """, kept AS (
+def tuning_sql(rows: str) -> str:
+    """CTE `tuning` of the folds inside 1996-2000 of the CTE `rows`."""
+    return f""", numbered AS (SELECT *, row_number() OVER w - 1 AS p FROM {rows} WHERE date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' WINDOW {W}), """ \
+        + folds_sql("numbered", "1997-04-01", 1, 3, 3, 1997, 4) + """, kept AS (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY fold_id) AS k FROM dated WHERE n_train > 100 AND n_val > 20 AND val_hi_date <= DATE '2000-12-31'),
 s0 AS (SELECT symbol, min(p) FILTER (date >= DATE '1997-04-01') AS t FROM numbered GROUP BY symbol),
 s1 AS (SELECT symbol, t - 22 AS val_hi, greatest(0, t - 22 - 63 + 1) AS val_lo FROM s0 WHERE t - 22 >= 0),
@@ -106,9 +108,13 @@ tuning AS (SELECT symbol, fold_id, train_lo, train_hi, val_lo, val_hi FROM kept
   UNION ALL SELECT symbol, -1, train_lo, train_hi, val_lo, val_hi FROM s2 WHERE symbol NOT IN (SELECT symbol FROM kept))"""
 
 
+TUNING = PRICES + tuning_sql("prices")
+TUNING_ARGS = ("1996-01-01", "2000-12-31", 1, 3, 3)
+
+
 @query("tuning_folds", f"WITH {TUNING} SELECT symbol, {ints('fold_id', *BOUNDS[:4])} FROM tuning")
 def tuning_folds(spark, d):
-    return splits.tuning_folds(panels.prices(spark, d), "1996-01-01", "2000-12-31", 1, 3, 3)
+    return splits.tuning_folds(panels.prices(spark, d), *TUNING_ARGS)
 
 
 SPLIT = FORECASTS + """, rows_ AS (SELECT *, CASE WHEN month(date) <= 8 THEN 'train' WHEN month(date) <= 10 THEN 'val' ELSE 'test' END AS split FROM forecasts)"""
@@ -133,8 +139,15 @@ def walk_rows(spark, d):
     return splits.fold_rows(panel, splits.walk_forward_folds(panel, **WF_ARGS)).drop("position")
 
 
-def walk_audit(spark, d):
-    return splits.embargo_audit(splits.walk_forward_folds(panels.forecasts(spark, d).drop("fold_id"), **WF_ARGS))
+TUNED = FORECASTS + ", plain AS (SELECT * EXCLUDE (fold_id) FROM forecasts)" + tuning_sql("plain") + """, rows_ AS (
+  SELECT n.* EXCLUDE (p), CAST(f.fold_id AS INTEGER) AS fold_id, CASE WHEN p <= train_hi THEN 'train' ELSE 'val' END AS split
+  FROM numbered n JOIN tuning f ON n.symbol = f.symbol AND (p BETWEEN train_lo AND train_hi OR p BETWEEN val_lo AND val_hi))"""
+
+
+def tuning_rows(spark, d):
+    """Forecast rows of the tuning window in each of its folds."""
+    panel = panels.forecasts(spark, d).drop("fold_id").filter(F.col("date").between(*TUNING_ARGS[:2]))
+    return splits.fold_rows(panel, splits.tuning_folds(panel, *TUNING_ARGS), splits=("train", "val")).drop("position")
 
 
 @query("train_plus_val", f"""WITH {SPLIT}, c AS (SELECT *, row_number() OVER k AS rn, count(*) OVER (PARTITION BY symbol, split) AS n FROM rows_
