@@ -132,7 +132,7 @@ def null_model_shuffle(df: DataFrame, target="y_true", seeds=range(5), keys=("sy
     seed = F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed")
     rows = stable(df.select(*keys, F.col(target).alias("y_true")).filter(F.col("y_true").isNotNull())).select(
         "*", seed).withColumns(
-        {"_key": F.struct(*keys), "_mixed": F.struct(F.xxhash64("seed", *keys).alias("h"), *keys)})
+        {"_key": F.struct(*keys), "_mixed": F.struct(F.md5(F.concat_ws("|", "seed", *keys)).alias("h"), *keys)})
     place = value_counts(rows, "_key", ["seed"]).select("seed", "_key", F.col("below").alias("_place"))
     mixed = value_counts(rows, "_mixed", ["seed"]).select("seed", "_mixed", F.col("below").alias("_place"))
     here = rows.join(place, ["seed", "_key"]).select("seed", "_place", "y_true")

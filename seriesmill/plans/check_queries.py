@@ -99,7 +99,16 @@ def correlation_matrix(spark, d):
     return round6(checks.correlation_matrix(_f(spark, d), X), "correlation")
 
 
-@query("null_model_shuffle")
+SHUFFLED = FORECASTS + f""", r AS (SELECT seed, symbol, date, y_true FROM forecasts, (SELECT unnest([0, 1, 2, 3, 4]) AS seed)),
+a AS (SELECT seed, y_true, row_number() OVER (PARTITION BY seed ORDER BY symbol, date) AS k FROM r),
+b AS (SELECT seed, y_true AS y_pred, row_number() OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', seed, symbol, date)), symbol, date) AS k FROM r),
+paired AS (SELECT seed, y_true, y_pred FROM a JOIN b USING (seed, k)), {spearman_cte("paired", "seed", "sic")},
+gains AS (SELECT seed, avg(sign(y_pred) * y_true) / stddev_pop(sign(y_pred) * y_true) * sqrt(252) AS sharpe FROM paired WHERE y_pred <> 0 GROUP BY seed)"""
+
+
+@query("null_model_shuffle", rounded(
+    """SELECT avg(ic) AS ic_mean, stddev_pop(ic) AS ic_std, avg(sharpe) AS sharpe_mean, stddev_pop(sharpe) AS sharpe_std, abs(avg(ic)) < 0.07 AS passed
+       FROM sic JOIN gains USING (seed)""", "passed", "ic_mean, ic_std, sharpe_mean, sharpe_std", with_=SHUFFLED))
 def null_model_shuffle(spark, d):
     return round6(checks.null_model_shuffle(_f(spark, d)), "ic_mean", "ic_std", "sharpe_mean", "sharpe_std")
 
