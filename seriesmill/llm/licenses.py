@@ -215,9 +215,11 @@ def _decide(own: list[str], p: np.ndarray) -> tuple[str, float]:
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_TEXTS) -> dict:
     """The model with the paragraphs of `sample` texts as examples without a licence."""
-    text = F.col(text_col)
-    # at most `sample` texts
-    rows = docs.filter(text.isNotNull()).select(text.alias("text")).orderBy(F.xxhash64(F.lit(11), "text"), "text").limit(sample).collect()
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    order = F.xxhash64(F.lit(11), "text")
+    # the hash of the last text first, so that only chosen texts move; at most `sample` different ones
+    last = texts.select(order.alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = texts.filter(order <= F.lit(last)).distinct().orderBy("text").collect() if last is not None else []
     return train([p for r in rows for p in r["text"].split("\n")])
 
 
