@@ -3,17 +3,17 @@
 A word goes if it lies in a window of 13 consecutive words that also starts in a document of a
 smaller id.  Windows are judged on the input.
 
-1. Anchors.  Of the five-word sequences in a window of 13 words the one of the least hash is an
-   anchor, so equal windows hold equal anchors at equal places.  A fifth of all words start an
-   anchor.  Only windows round an anchor that two documents hold can repeat.
-2. Index of reference blocks.  A block is what one task has read.  For its windows round shared
-   anchors it lists the smallest id and the first place there; the lists of all blocks are merged
-   by window hash.  They are combined before the shuffle, so a passage that a third of all
+0. Copies.  A text equal to one of a smaller id repeats all its windows and takes no further part.
+1. Anchors.  Of the five-word sequences in a window of 13 words the one of the least hash is its
+   anchor.  So equal windows hold equal anchors at equal places, and one word in five starts an
+   anchor.  Only windows whose anchor two documents hold can repeat.
+2. Index of reference blocks.  A block is what one task has read.  For its windows with shared
+   anchors it lists the smallest id; the lists of all blocks are merged by window hash.  They are combined before the shuffle, so a passage that a third of all
    documents hold costs one row a block.
 3. Parsing.  A document looks its windows up and is factored greedily from left to right: a factor
-   starts at a window with an earlier reference and grows while the following windows continue
-   in the same reference document at the next place; the next factor starts at the word
-   after it.
+   starts at a window with an earlier reference and grows while the following windows, each of
+   which shares 12 words with the one before, have the same reference document; the next factor
+   starts at the word after it.
 4. Boundaries.  Windows that straddle the ends of factors have no part in any of them, so each is
    checked by its own reference.  Factors of 13 words or more and the straddling windows are the
    duplicate spans.
@@ -35,45 +35,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.llm import text as words_of
-from seriesmill.llm.shared import OUT_ROWS, cut
+from seriesmill.llm.shared import cut
 
 WINDOW = 13
 ANCHOR = 5
-NO_ID = np.iinfo(np.int64).max
+_OWNER = np.uint64(0xD6E8FEB86659FD93)
+#: copies up to which their list (50 MB) is broadcast, else it is shuffled
+BROADCAST_COPIES = 1 << 20
 
 
-def anchor_places(block: words_of.Block, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes of the anchors of a block, in order."""
+def anchored_windows(block: words_of.Block, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of each window inside one text, the first word of its anchor, and its hash."""
     n = len(block.hashes) - window + 1
     if n <= 0:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
     grams = words_of.window_hashes(block.hashes, k)
-    span = window - k + 1
-    view = np.lib.stride_tricks.sliding_window_view(grams, span)
+    view = np.lib.stride_tricks.sliding_window_view(grams, window - k + 1)
     owner = block.owners()
-    inside = owner[:n] == owner[window - 1 :]
-    at = np.unique(np.flatnonzero(inside) + view[inside].argmin(axis=1))
-    return at, grams[at]
-
-
-def windows_round(at: np.ndarray, block: words_of.Block, window: int = WINDOW, k: int = ANCHOR) -> np.ndarray:
-    """First words of the windows inside one text that hold one of the k-word sequences at `at`."""
-    span = window - k + 1
-    mark = np.zeros(len(block.hashes) + 1, dtype=np.int64)
-    np.add.at(mark, np.maximum(at - span + 1, 0), 1)
-    np.add.at(mark, at + 1, -1)
-    near = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-    near = near[near + window <= len(block.hashes)]
-    owner = block.owners()
-    return near[owner[near] == owner[near + window - 1]]
+    at = np.flatnonzero(owner[:n] == owner[window - 1 :])
+    anchor = at + view[at].argmin(axis=1)
+    return at, anchor, grams[anchor]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in words_of.blocks(batch["text"], lower=False):
-            at, hashes = anchor_places(block)
-            row = pa.array(block.owners()[at] + block.first)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch["key"].take(row), batch["doc"].take(row)], names=["anchor", "key", "doc"])
+            _, anchor, hashes = anchored_windows(block)
+            # each anchor of a text once
+            fresh = np.ones(len(anchor), dtype=bool)
+            fresh[1:] = anchor[1:] != anchor[:-1]
+            owner, hashes = block.owners()[anchor[fresh]], hashes[fresh]
+            _, once = np.unique(words_of.mix(hashes + owner.astype(np.uint64) * _OWNER), return_index=True)
+            row = pa.array(owner[once] + block.first)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[once].view(np.int64)), batch["key"].take(row)], names=["anchor", "key"])
 
 
 def _values(column) -> np.ndarray:
@@ -82,28 +76,30 @@ def _values(column) -> np.ndarray:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows round shared anchors: hash, key, doc and first word, once for each row."""
+    """Windows whose anchor is shared: hash, key and first word, once for each text.
+
+    Places of texts without an id, which are no reference, are negative (-1 - place).
+    """
     for batch in batches:
         counts = batch["anchors"].value_lengths().to_numpy(zero_copy_only=False)
         known = _values(batch["anchors"]).view(np.uint64)
         bounds = np.concatenate(([0], np.cumsum(counts)))
         for block in words_of.blocks(batch["text"], lower=False):
-            at, hashes = anchor_places(block)
+            at, _, hashes = anchored_windows(block)
             own = known[bounds[block.first] : bounds[block.first + block.n]]
-            near = windows_round(at[np.isin(hashes, own)], block)
+            near = at[np.isin(hashes, own)]
             if not len(near):
                 continue
             owner = block.owners()[near]
             sums = window_hashes_at(block, near)
             # the first of equal windows of a text
-            _, once = np.unique(words_of.mix(sums + owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), return_index=True)
+            _, once = np.unique(words_of.mix(sums + owner.astype(np.uint64) * _OWNER), return_index=True)
             once.sort()
             row = pa.array(owner[once] + block.first)
+            known_id = batch["doc_id"].is_valid().to_numpy(zero_copy_only=False)[owner[once] + block.first]
             place = near[once] - block.words[owner[once]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sums[once].view(np.int64)), batch["key"].take(row), batch["doc"].take(row), pa.array(place.astype(np.int32))],
-                names=["hash", "key", "doc", "place"],
-            )
+            place = np.where(known_id, place, -1 - place)
+            yield pa.RecordBatch.from_arrays([pa.array(sums[once].view(np.int64)), batch["key"].take(row), pa.array(place.astype(np.int32))], names=["hash", "key", "place"])
 
 
 def window_hashes_at(block: words_of.Block, at: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -114,28 +110,28 @@ def window_hashes_at(block: words_of.Block, at: np.ndarray, window: int = WINDOW
     return words_of.mix(total)
 
 
-def factors(hit: np.ndarray, ref_doc: np.ndarray, ref_place: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[int, int, int, int]], list[int]]:
+def factors(hit: np.ndarray, ref_doc: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[int, int, int]], list[int]]:
     """Greedy parse of one text from the references of its windows.
 
-    Returns factors (first word, words, reference document, first word there) and the windows with
+    Returns factors (first word, words, reference document) and the windows with
     a reference that straddle the end of a factor.
     """
     n = len(hit)
     goes_on = np.zeros(n, dtype=bool)
-    goes_on[:-1] = hit[:-1] & hit[1:] & (ref_doc[1:] == ref_doc[:-1]) & (ref_place[1:] == ref_place[:-1] + 1)
+    goes_on[:-1] = hit[:-1] & hit[1:] & (ref_doc[1:] == ref_doc[:-1])
     stops = np.flatnonzero(~goes_on)
     hits = np.flatnonzero(hit)
     parsed, straddling, i = [], [], 0
     while (at := np.searchsorted(hits, i)) < len(hits):
         i = int(hits[at])
         last = int(stops[np.searchsorted(stops, i)])
-        parsed.append((i, last - i + window, int(ref_doc[i]), int(ref_place[i])))
+        parsed.append((i, last - i + window, int(ref_doc[i])))
         i = last + window
         straddling += hits[np.searchsorted(hits, last + 1) : np.searchsorted(hits, i)].tolist()
     return parsed, straddling
 
 
-_FACTORS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
+_FACTORS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64())]))
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,9 +141,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.nan_to_num(filled.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
         bounds = np.concatenate(([0], np.cumsum(counts)))
         flat = filled.flatten()
-        known = flat.field("hash").to_numpy(zero_copy_only=False).view(np.uint64)
+        places = flat.field("place").to_numpy(zero_copy_only=False)
+        checks = flat.field("check").to_numpy(zero_copy_only=False)
         docs = flat.field("ref_doc").to_numpy(zero_copy_only=False)
-        places = flat.field("ref_place").to_numpy(zero_copy_only=False)
+        copies = batch["copy_of"].to_pylist()
         for block in words_of.blocks(batch["text"], lower=False):
             raw = block.data.tobytes()
             removed, parses, kept = [], [], []
@@ -156,15 +153,24 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low, high = bounds[block.first + d], bounds[block.first + d + 1]
                 n = len(words) - WINDOW + 1
                 parsed: list = []
-                if high > low and n > 0:
-                    order = np.argsort(known[low:high])
-                    hashes = known[low:high][order]
+                copy_of = copies[block.first + d]
+                if copy_of is not None and n > 0:
+                    parsed = [(0, len(words), copy_of)]
+                    removed.append(len(words))
+                    words = []
+                elif high > low and n > 0:
                     own = window_hashes_at(block, np.arange(block.words[d], block.words[d] + n))
-                    slot = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-                    hit = hashes[slot] == own
-                    parsed, straddling = factors(hit, docs[low:high][order][slot], places[low:high][order][slot])
+                    place, refs = places[low:high], docs[low:high]
+                    # another text of the same id may have found other places
+                    mine = np.flatnonzero(place < n)
+                    mine = mine[(own[place[mine]] & np.uint64(0xFFFF)) == checks[low:high][mine].astype(np.uint64)]
+                    order = mine[np.argsort(own[place[mine]])]
+                    # the same window further on is found by its hash
+                    slot = np.minimum(np.searchsorted(own[place[order]], own), max(len(order) - 1, 0))
+                    hit = own[place[order]][slot] == own if len(order) else np.zeros(n, dtype=bool)
+                    parsed, straddling = factors(hit, refs[order][slot] if len(order) else np.zeros(n, dtype=np.int64))
                     keep = np.ones(len(words), dtype=bool)
-                    for start, length, _, _ in parsed:
+                    for start, length, _ in parsed:
                         keep[start : start + length] = False
                     for start in straddling:
                         keep[start : start + WINDOW] = False
@@ -172,7 +178,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
                 else:
                     removed.append(0)
-                parses.append([{"start": a, "length": b, "ref_doc": c, "ref_start": e} for a, b, c, e in parsed])
+                parses.append([{"start": a, "length": b, "ref_doc": c} for a, b, c in parsed])
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -189,21 +195,41 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns `doc_id`, `n_words`, `n_removed`, `factors`, `kept_text`, one row for each row.
 
-    Factors are (start, length, ref_doc, ref_start) in words.  `kept_text` holds the words that
+    Factors are (start, length, ref_doc), in words.  `kept_text` holds the words that
     stay, joined by one space.
     """
     number, text = F.col(id_col).cast("long"), F.col(text_col)
     # rows without an id are told apart by their text
-    base = docs.select(number.alias("doc_id"), text.alias("text"), F.coalesce(number, F.xxhash64(text)).alias("key"), F.coalesce(number, F.lit(NO_ID)).alias("doc"))
-    anchors = base.select("text", "key", "doc").mapInArrow(_anchors, "anchor long, key long, doc long")
-    shared = anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("anchor")
-    held = anchors.select("anchor", "key").join(shared, "anchor").groupBy("key").agg(F.collect_list("anchor").alias("anchors"))
-    windows = cut(base.select("text", "key", "doc").join(held, "key").mapInArrow(_candidates, "hash long, key long, doc long, place int"))
-    index = windows.groupBy("hash").agg(F.min(F.struct("doc", "place")).alias("first"), F.max("doc").alias("high")).filter("high > first.doc")
-    index = index.select("hash", F.col("first.doc").alias("ref_doc"), F.col("first.place").alias("ref_place"))
-    hits = windows.select("hash", "key", "doc").join(index, "hash").filter("doc > ref_doc")
-    hits = hits.groupBy("key").agg(F.collect_list(F.struct("hash", "ref_doc", "ref_place")).alias("hits"))
-    return base.join(hits, "key", "left").select("doc_id", "text", "hits").mapInArrow(
+    # without an alias the plans of both joins of the texts are equal, and one shuffle serves them
+    plain = (id_col, text_col, dict(docs.dtypes)[id_col]) == ("doc_id", "text", "bigint")
+    base = docs.select("doc_id", "text") if plain else docs.select(number.alias("doc_id"), text.alias("text"))
+    base = base.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+    copies = cut(_copies(base))
+    few = copies.count() <= BROADCAST_COPIES
+    known = F.broadcast(copies) if few else copies
+    marked = base.withColumn("digest", F.md5("text"))
+    repeated = marked.join(known, ["key", "digest"]).select("doc_id", "text", "copy_of")
+    base = marked.join(known.select("key", "digest"), ["key", "digest"], "left_anti").select("doc_id", "text", "key")
+
+    anchors = base.select("text", "key").mapInArrow(_anchors, "anchor long, key long")
+    shared = anchors.groupBy("anchor").count().filter("count > 1").select("anchor")
+    held = anchors.join(shared, "anchor").groupBy("key").agg(F.collect_list("anchor").alias("anchors"))
+    windows = base.join(held, "key").select("doc_id", "text", "key", "anchors").mapInArrow(_candidates, "hash long, key long, place int")
+    index = windows.filter("place >= 0").groupBy("hash").agg(F.min("key").alias("ref_doc"))
+    hits = windows.join(index, "hash").filter("place < 0 OR key > ref_doc")
+    hit = F.struct(F.expr("if(place < 0, -1 - place, place)").alias("place"), F.expr("cast(hash & 65535 AS int)").alias("check"), "ref_doc")
+    hits = hits.groupBy("key").agg(F.collect_list(hit).alias("hits"))
+    found = base.join(hits, "key", "left").select("doc_id", "text", "hits", F.lit(None).cast("long").alias("copy_of"))
+    nothing = F.lit(None).cast("array<struct<place: int, check: int, ref_doc: long>>").alias("hits")
+    return found.unionByName(repeated.select("doc_id", "text", nothing, "copy_of")).mapInArrow(
         _parse,
-        "doc_id long, n_words long, n_removed long, factors array<struct<start: int, length: int, ref_doc: long, ref_start: int>>, kept_text string",
+        "doc_id long, n_words long, n_removed long, factors array<struct<start: int, length: int, ref_doc: long>>, kept_text string",
     )
+
+
+def _copies(base: DataFrame) -> DataFrame:
+    """key, digest and copy_of of texts that are equal to one of a smaller id."""
+    texts = base.filter("text IS NOT NULL").select("doc_id", "key", F.md5("text").alias("digest"))
+    first = texts.groupBy("digest").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")).filter("n > 1 AND copy_of IS NOT NULL")
+    again = texts.join(first.drop("n"), "digest").filter("doc_id IS NULL OR doc_id > copy_of")
+    return again.select("key", "digest", "copy_of").distinct()

@@ -55,6 +55,13 @@ def test_null_and_repeated_ids(spark):
     assert [r.n_removed for r in sd.remove_repeats(lone).collect()] == [0, 0]
 
 
+def test_texts_of_one_id_are_judged_apart(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = frame(spark, [(1, passage), (9, f"a b c {passage}"), (9, f"{passage} d e"), (9, "none of the other words are here at all so nothing goes away")])
+    rows = sorted((r.n_words, r.n_removed) for r in sd.remove_repeats(docs).collect())
+    assert rows == [(13, 0), (30, 0), (32, 30), (33, 30)]
+
+
 def test_empty_table(spark):
     assert sd.remove_repeats(frame(spark, [])).count() == 0
 
@@ -66,15 +73,14 @@ def test_anchors_of_equal_windows_are_equal():
     inside = []
     for t in texts:
         block = next(words_of.blocks(pa.array([t]), False))
-        at, hashes = sd.anchor_places(block)
+        at, anchor, hashes = sd.anchored_windows(block)
         low = len(t.split()) - 9 - 30
-        inside.append({(int(a) - low, int(h)) for a, h in zip(at, hashes) if low + 8 <= a <= low + 30 - 13})
+        inside.append({(int(a) - low, int(b) - low, int(h)) for a, b, h in zip(at, anchor, hashes) if low <= a <= low + 30 - 13})
     assert all(x == inside[0] for x in inside) and inside[0]
 
 
 def test_factors_are_greedy_and_boundaries_checked():
     hit = np.array([1, 1, 1, 1, 0, 0, 1, 1], dtype=bool)
     doc = np.array([3, 3, 5, 5, 0, 0, 5, 5])
-    place = np.array([7, 8, 0, 1, 0, 0, 4, 5])
-    parsed, straddling = sd.factors(hit, doc, place, window=3)
-    assert parsed == [(0, 4, 3, 7), (6, 4, 5, 4)] and straddling == [2, 3]
+    parsed, straddling = sd.factors(hit, doc, window=3)
+    assert parsed == [(0, 4, 3), (6, 4, 5)] and straddling == [2, 3]
