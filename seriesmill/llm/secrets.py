@@ -50,13 +50,27 @@ BASE_RULES = (
     # the runs [0-9a-f]+ of 16 characters or more
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
+# a line break, also as written in a string literal
+_BREAK = r"(?:\r?\n|\r|\\r\\n|\\n)"
+# what may stand before and after the key characters of a line: comment marks, quotes, joiners
+_LEAD = r"""[^\S\r\n]*(?:(?:[#*>|"']|//)[^\S\r\n]*)*"""
+_TAIL = r"""(?:[^\S\r\n]|["'+,;])*(?:\\(?=[\r\n]))?"""
+_LINE_END = rf"(?={_BREAK}|-----|\Z)"
+# key lines after a first line without its last one: fields, empty lines and base64 to the end of
+# the line; long runs of base64 may also share a line
+_KEY_TEXT = (
+    rf"(?:[^\S\r\n]*[A-Za-z0-9+/]{{16,}}=*|{_TAIL}{_BREAK}{_LEAD}"
+    rf"(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*|[A-Za-z0-9+/]*=*(?:[A-Za-z0-9+/]{{4}})?(?={_TAIL}{_LINE_END})))*"
+)
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
+    # up to the last line, if it comes before another first line
+    Rule("pem", rf"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z0-9 ]*-----|{_KEY_TEXT})"),
+    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("webtoken", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("cloudkey", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("url", r"(?:https?|ftp|postgres|postgresql|mysql|redis|mongodb|amqp)://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
+    Rule("cloudkey", r"AIza[A-Za-z0-9_-]{35,}"),
+    # a password may hold : and @, it ends at the last @ before the path
+    Rule("url", r"""(?:https?|ftp|postgres|postgresql|mysql|redis|mongodb|amqp)://[^\s/:@]+:[^\s/@]+@(?:[^\s/@"'<>]*@)*"""),
 )
 RULES = BASE_RULES + MORE_RULES
 #: alternatives that are kept for one stretch of a pattern
