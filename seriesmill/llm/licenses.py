@@ -9,8 +9,8 @@ paragraph that is likelier some licence than none, is reported as `unknown`.
 
 The model is fitted on the driver from the templates, altered copies of them, and a bounded
 number of paragraphs of the corpus (`SAMPLE_TEXTS` texts in the order of a hash) as examples of
-`none`.  Its n-grams all come from the templates, less those that are common in the corpus
-(`COMMON` of its paragraphs), so weights and templates are constants of a size fixed here.  The scan itself is one expression for each row, of SQL functions only; a text
+`none`, but no paragraph that looks like a template or part of one.  Its n-grams all come from the
+templates, however common they are in the corpus, so weights and templates are constants of a size fixed here.  The scan itself is one expression for each row, of SQL functions only; a text
 without any n-gram of the model is settled by one test, as all its paragraphs have the
 probabilities of the empty one.
 
@@ -23,7 +23,6 @@ from __future__ import annotations
 import json
 import random
 import re
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -112,8 +111,8 @@ SAMPLE_TEXTS = 300
 #: a family has this share of the word pairs of one of its templates
 CONFIRM = 0.6
 ALTERED = 40
-#: n-grams in more than this share of the paragraphs say nothing
-COMMON = 0.02
+#: a paragraph with this share of a template's word pairs, or of its own in a template, is no example of `none`
+ALIKE = 0.3
 
 
 def words(text: str) -> list[str]:
@@ -133,10 +132,17 @@ def _confirmed(own: list[str], family: str) -> bool:
     return any(len(have & pairs(words(t))) >= CONFIRM * len(pairs(words(t))) for t in TEMPLATES[family])
 
 
+def _alike(own: list[str], template: list[str]) -> bool:
+    """Whether a paragraph may be a part of a template, as the lines of a wrapped notice are."""
+    have, wanted = pairs(own), pairs(template)
+    return len(have & wanted) >= max(min(2, len(wanted)), ALIKE * min(len(have), len(wanted)))
+
+
 def _examples(background: list[str], rng: random.Random) -> list[tuple[list[str], int]]:
     """Words and class of all examples: templates, altered copies, terms of no family, the corpus."""
     plain = [words(p) for p in background]
-    plain = [p for p in plain if p and not any(_confirmed(p, f) for f in TEMPLATES)]
+    notices = [words(t) for own in (*TEMPLATES.values(), OTHER_TERMS) for t in own]
+    plain = [p for p in plain if p and not any(_confirmed(p, f) for f in TEMPLATES) and not any(_alike(p, t) for t in notices)]
     filler = [w for p in plain for w in p[:50]] or ["text"]
     out = []
     sources = [(t, f) for f, own in TEMPLATES.items() for t in own] + [(t, UNKNOWN) for t in OTHER_TERMS] + [(t, NONE) for t in NO_TERMS]
@@ -160,8 +166,7 @@ def vocabulary() -> list[str]:
 def train(background: list[str], seed: int = 5) -> dict:
     """n-grams, weights (n-gram, class), offsets and temperature."""
     rng = random.Random(seed)
-    often = Counter(g for p in background for g in grams(words(p)))
-    names = [g for g in vocabulary() if often[g] <= max(COMMON * len(background), 1)]
+    names = vocabulary()
     slot = {g: i for i, g in enumerate(names)}
     examples = _examples(background, rng)
     rng.shuffle(examples)
@@ -237,6 +242,11 @@ def _pairs(own: Column) -> Column:
     return F.zip_with(first_words, next_words, lambda a, b: F.concat_ws(" ", a, b))
 
 
+def _single_words(model: dict) -> Column:
+    """Words of all n-grams: a text without any of them holds no n-gram."""
+    return _constant(sorted({w for g in model["grams"] for w in g.split(" ")}), "array<string>")
+
+
 def _matches(paragraphs: Column, model: dict) -> Column:
     """Array of (paragraph, family, probability) of an array of paragraphs."""
     known = _constant(model["grams"], "array<string>")
@@ -281,7 +291,7 @@ def _matches(paragraphs: Column, model: dict) -> Column:
             F.when(sure, best / x["sum"]).when(none < 0.5, 1 - none).otherwise(none).alias("probability"),
         )
 
-    found = F.filter(F.transform(paragraphs, one), lambda x: F.arrays_overlap(x["words"], known))
+    found = F.filter(F.transform(paragraphs, one), lambda x: F.arrays_overlap(x["words"], _single_words(model)))
     for step in (with_grams, with_odds, with_shares, decided):
         found = F.transform(found, step)
     return F.filter(found, lambda x: x["family"] != NONE)
@@ -298,7 +308,7 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n")
     nothing = F.array().cast("array<struct<paragraph: int, family: string, probability: double>>")
-    possible = F.arrays_overlap(_words(text), _constant([g for g in model["grams"] if " " not in g], "array<string>"))
+    possible = F.arrays_overlap(_words(text), _single_words(model))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.size(F.filter(lines, lambda p: F.trim(p) != "")).cast("long").alias("n_paragraphs"),

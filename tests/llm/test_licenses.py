@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from seriesmill.llm import licenses as lic
@@ -76,3 +77,25 @@ def test_plan_has_no_python(spark):
 def test_no_background(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lic.predict("Released under the MIT License.", lic.fit(docs))[0] == "mit"
+
+
+@pytest.mark.parametrize("line, family", [("Released under the MIT License.", "mit"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("All rights reserved.", lic.UNKNOWN)])
+def test_frequent_notices_are_found(spark, line, family):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["river", "stone", "green", "walks", "often", "the", "of"]) for _ in range(12)) + ("\n" + line if i % 3 == 0 else "")) for i in range(90)]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, line if i < 2 else "plain words") for i in range(50)], "doc_id long, text string")):
+        texts = {r.doc_id: r.text for r in docs.collect()}
+        for r in lic.scan(docs, lic.fit(docs)).collect():
+            assert [m.family for m in r.matches] == ([family] if line in texts[r.doc_id] else [])
+
+
+def test_pairs_without_their_words_pass_the_filters(spark):
+    """A model may keep a pair and drop both its words."""
+    weights = np.zeros((1, len(lic.CLASSES)))
+    weights[0, lic.CLASSES.index("mit")] = 50
+    offset = np.zeros(len(lic.CLASSES))
+    offset[lic.CLASSES.index(lic.NONE)] = 20
+    model = {"grams": ["mit license"], "weights": weights, "offset": offset}
+    docs = spark.createDataFrame([(1, "Released under the MIT License."), (2, "plain")], "doc_id long, text string")
+    compare(docs, model)
+    assert [len(r.matches) for r in sorted(lic.scan(docs, model).collect())] == [1, 0]
