@@ -1,6 +1,8 @@
 """License scans of paragraphs.
 
-A paragraph is a line.  Sparse counts of its word n-grams (one and two words) go into a multinomial
+A paragraph is a line.  Notices wrapped over lines are paragraphs too: every longest run of two or
+more lines that each hold a word pair of a template, pairs across a line break included.  A line without
+letters and digits (empty, or a comment mark only) ends a run; other marks fall away with the words.  Sparse counts of its word n-grams (one and two words) go into a multinomial
 logistic regression over licence families, the class `unknown` (terms of use that belong to no
 family) and the class `none`.  The probabilities are calibrated by a temperature on examples that were
 not fitted.  A family is reported if its probability is half at least and the paragraph also
@@ -23,6 +25,7 @@ from __future__ import annotations
 import json
 import random
 import re
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -127,22 +130,49 @@ def pairs(own: list[str]) -> set[str]:
     return {f"{a} {b}" for a, b in zip(own[:-1], own[1:], strict=True)} or set(own)
 
 
+@cache
+def _template_pairs(text: str) -> frozenset[str]:
+    return frozenset(pairs(words(text)))
+
+
 def _confirmed(own: list[str], family: str) -> bool:
     have = pairs(own)
-    return any(len(have & pairs(words(t))) >= CONFIRM * len(pairs(words(t))) for t in TEMPLATES[family])
+    return any(len(have & _template_pairs(t)) >= CONFIRM * len(_template_pairs(t)) for t in TEMPLATES[family])
 
 
-def _alike(own: list[str], template: list[str]) -> bool:
+def _alike(have: set[str], wanted: frozenset[str]) -> bool:
     """Whether a paragraph may be a part of a template, as the lines of a wrapped notice are."""
-    have, wanted = pairs(own), pairs(template)
     return len(have & wanted) >= max(min(2, len(wanted)), ALIKE * min(len(have), len(wanted)))
 
 
+def notice_runs(text: str) -> list[tuple[int, str]]:
+    """First line and text of each run of lines with template pairs."""
+    lines = text.split("\n")
+    own = [words(p) for p in lines]
+    marked = notice_pairs()
+    inside = [bool(joined(p) & marked) for p in own]
+    across = [bool(a and b and f"{a[-1]} {b[0]}" in marked) for a, b in zip(own[:-1], own[1:], strict=True)]
+    held = [i or before or after for i, before, after in zip(inside, [False, *across], [*across, False], strict=True)]
+    starts = [i for i, h in enumerate(held) if h and not (i and held[i - 1])]
+    ends = [i for i, h in enumerate(held) if h and not (i + 1 < len(held) and held[i + 1])]
+    return [(a, "\n".join(lines[a : b + 1])) for a, b in zip(starts, ends, strict=True) if b > a]
+
+
+def joined(own: list[str]) -> set[str]:
+    return {f"{a} {b}" for a, b in zip(own[:-1], own[1:], strict=True)}
+
+
+@cache
+def notice_pairs() -> frozenset[str]:
+    return frozenset().union(*(joined(words(t)) for own in (*TEMPLATES.values(), OTHER_TERMS) for t in own))
+
+
 def _examples(background: list[str], rng: random.Random) -> list[tuple[list[str], int]]:
     """Words and class of all examples: templates, altered copies, terms of no family, the corpus."""
     plain = [words(p) for p in background]
-    notices = [words(t) for own in (*TEMPLATES.values(), OTHER_TERMS) for t in own]
-    plain = [p for p in plain if p and not any(_confirmed(p, f) for f in TEMPLATES) and not any(_alike(p, t) for t in notices)]
+    notices = [_template_pairs(t) for own in (*TEMPLATES.values(), OTHER_TERMS) for t in own]
+    near = lambda p: any(_confirmed(p, f) for f in TEMPLATES) or any(_alike(have, t) for have in (pairs(p),) for t in notices)
+    plain = [p for p in plain if p and not near(p)]
     filler = [w for p in plain for w in p[:50]] or ["text"]
     out = []
     sources = [(t, f) for f, own in TEMPLATES.items() for t in own] + [(t, UNKNOWN) for t in OTHER_TERMS] + [(t, NONE) for t in NO_TERMS]
@@ -225,7 +255,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_TEXTS) ->
     # the hash of the last text first, so that only chosen texts move; at most `sample` different ones
     last = texts.select(order.alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     rows = texts.filter(order <= F.lit(last)).distinct().orderBy("text").collect() if last is not None else []
-    return train([p for r in rows for p in r["text"].split("\n")])
+    return train([p for r in rows for p in r["text"].split("\n")] + [p for r in rows for _, p in notice_runs(r["text"])])
 
 
 def _constant(values, kind: str) -> Column:
@@ -242,14 +272,13 @@ def _pairs(own: Column) -> Column:
     return F.zip_with(first_words, next_words, lambda a, b: F.concat_ws(" ", a, b))
 
 
-def _single_words(model: dict) -> Column:
-    """Words of all n-grams: a text without any of them holds no n-gram."""
-    return _constant(sorted({w for g in model["grams"] for w in g.split(" ")}), "array<string>")
+def _any_single_word(own: Column, model: dict) -> Column:
+    """Whether there is a word of any n-gram: a text without one holds no n-gram."""
+    return F.exists(own, lambda w: w.isin(sorted({w for g in model["grams"] for w in g.split(" ")})))
 
 
 def _matches(paragraphs: Column, model: dict) -> Column:
     """Array of (paragraph, family, probability) of an array of paragraphs."""
-    known = _constant(model["grams"], "array<string>")
     weights = _constant({g: w for g, w in zip(model["grams"], model["weights"].tolist(), strict=True)}, "map<string, array<double>>")
     offset = _constant(model["offset"].tolist(), "array<double>")
     families = len(TEMPLATES)
@@ -270,7 +299,7 @@ def _matches(paragraphs: Column, model: dict) -> Column:
 
     def with_grams(x: Column) -> Column:
         both = _pairs(x["words"])
-        return F.struct(x["paragraph"].alias("paragraph"), both.alias("pairs"), F.array_intersect(F.concat(x["words"], both), known).alias("hits"))
+        return F.struct(x["paragraph"].alias("paragraph"), both.alias("pairs"), F.array_distinct(F.filter(F.concat(x["words"], both), lambda g: g.isin(model["grams"]))).alias("hits"))
 
     def with_odds(x: Column) -> Column:
         odds = F.aggregate(x["hits"], offset, lambda s, g: F.zip_with(s, F.element_at(weights, g), lambda a, b: a + b))
@@ -291,16 +320,80 @@ def _matches(paragraphs: Column, model: dict) -> Column:
             F.when(sure, best / x["sum"]).when(none < 0.5, 1 - none).otherwise(none).alias("probability"),
         )
 
-    found = F.filter(F.transform(paragraphs, one), lambda x: F.arrays_overlap(x["words"], _single_words(model)))
+    found = F.filter(F.transform(paragraphs, one), lambda x: _any_single_word(x["words"], model))
     for step in (with_grams, with_odds, with_shares, decided):
         found = F.transform(found, step)
     return F.filter(found, lambda x: x["family"] != NONE)
 
 
+def _runs(lines: Column) -> Column:
+    """Array of (paragraph, text) of the runs of lines with template pairs, see `notice_runs`."""
+    marked = sorted(notice_pairs())
+
+    def let(value: Column, then) -> Column:
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def at(values: Column, i: Column) -> Column:
+        return F.coalesce(F.when(i >= 0, F.get(values, i)), F.lit(False))
+
+    def line(p: Column) -> Column:
+        return let(_words(p), described)
+
+    def described(own: Column) -> Column:
+        return F.struct(F.get(own, F.lit(0)).alias("first"), F.element_at(F.concat(F.array(F.lit("")), own), -1).alias("last"), F.exists(_pairs(own), lambda p: p.isin(marked)).alias("inside"))
+
+    def crossings(x: Column) -> Column:
+        later = F.slice(x, F.lit(2), F.size(x))
+        return F.zip_with(x, later, lambda a, b: F.coalesce(F.concat(a["last"], F.lit(" "), b["first"]).isin(marked), F.lit(False)))
+
+    def bounds(held: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(held) - 1)
+        starts = F.filter(places, lambda i: at(held, i) & ~at(held, i - 1))
+        ends = F.filter(places, lambda i: at(held, i) & ~at(held, i + 1))
+        return F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: r["b"] > r["a"])
+
+    def held(x: Column) -> Column:
+        return let(crossings(x), lambda c: F.transform(x, lambda own, i: F.coalesce(own["inside"], F.lit(False)) | at(c, i) | at(c, i - 1)))
+
+    def cut_out(all_lines: Column) -> Column:
+        runs = let(let(F.transform(all_lines, line), held), bounds)
+        return F.transform(runs, lambda r: F.struct(r["a"].alias("paragraph"), F.array_join(F.slice(all_lines, r["a"] + 1, r["b"] - r["a"] + 1), "\n").alias("text"), r["b"].alias("last")))
+
+    return let(lines, cut_out)
+
+
+def _notices(lines: Column, model: dict) -> Column:
+    """Array of (paragraph, last, family, probability) of the runs of lines."""
+
+    def named(runs: Column) -> Column:
+        found = _matches(F.transform(runs, lambda r: r["text"]), model)
+        return F.transform(
+            found,
+            lambda m: F.struct(
+                F.get(runs, m["paragraph"])["paragraph"].alias("paragraph"), F.get(runs, m["paragraph"])["last"].alias("last"), m["family"].alias("family"), m["probability"].alias("probability")
+            ),
+        )
+
+    return F.get(F.transform(F.array(_runs(lines)), named), F.lit(0))
+
+
+def all_matches(matches: Column, notices: Column) -> Column:
+    """Matches of lines and of runs in one array, in order.
+
+    A run's family stands for `unknown` of its lines; what a line has found is not repeated by its run.
+    """
+    within = lambda m, n: m["paragraph"].between(n["paragraph"], n["last"])
+    lines = F.filter(matches, lambda m: ~((m["family"] == UNKNOWN) & F.exists(notices, lambda n: within(m, n) & (n["family"] != UNKNOWN))))
+    runs = F.filter(notices, lambda n: ~F.exists(matches, lambda m: within(m, n) & ((m["family"] == n["family"]) | (n["family"] == UNKNOWN))))
+    plain = F.transform(runs, lambda n: F.struct(n["paragraph"].alias("paragraph"), n["family"].alias("family"), n["probability"].alias("probability")))
+    return F.array_sort(F.concat(lines, plain))
+
+
 def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns `doc_id`, `n_paragraphs` (lines with a word) and `matches`, one row for each row.
+    """Columns `doc_id`, `n_paragraphs` (lines with a word), `matches` and `notices`, one row for each row.
 
-    Matches are (paragraph, family, probability), paragraphs counted from 0 over all lines.
+    Matches of single lines are (paragraph, family, probability), paragraphs counted from 0 over all lines.
+    Notices are those of runs of lines: (paragraph, last, family, probability) with the first and last line.
     """
     empty = predict("", model)
     if empty[0] != NONE:
@@ -308,9 +401,10 @@ def scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.split(text, "\n")
     nothing = F.array().cast("array<struct<paragraph: int, family: string, probability: double>>")
-    possible = F.arrays_overlap(_words(text), _single_words(model))
+    possible = _any_single_word(_words(text), model)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.size(F.filter(lines, lambda p: F.trim(p) != "")).cast("long").alias("n_paragraphs"),
         F.when(possible, _matches(lines, model)).otherwise(nothing).alias("matches"),
+        F.when(possible, _notices(lines, model)).otherwise(F.array().cast("array<struct<paragraph: int, last: int, family: string, probability: double>>")).alias("notices"),
     )

@@ -16,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = licenses.scan(docs, licenses.fit(docs))
+    found = found.withColumn("matches", licenses.all_matches(F.col("matches"), F.col("notices")))
     families = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["family"]))), ",")
     places = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["paragraph"], m["family"])), ",")
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["probability"])), F.lit(0.0))

@@ -99,3 +99,38 @@ def test_pairs_without_their_words_pass_the_filters(spark):
     docs = spark.createDataFrame([(1, "Released under the MIT License."), (2, "plain")], "doc_id long, text string")
     compare(docs, model)
     assert [len(r.matches) for r in sorted(lic.scan(docs, model).collect())] == [1, 0]
+
+
+WRAPPED = {
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.",
+    "mit": "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software\nand associated documentation files.",
+    "mpl": "This Source Code Form is subject\nto the terms of the Mozilla\nPublic License, v. 2.0.",
+}
+
+
+def test_wrapped_notices(spark, model):
+    rows, wanted = [], {}
+    for k, (family, notice) in enumerate(WRAPPED.items()):
+        for j, mark in enumerate(["", "# ", " * ", "// ", "-- "]):
+            lines = "\n".join(mark + p for p in notice.split("\n"))
+            for i, text in enumerate([lines, f"river stone green\nwalks often\n{lines}\nriver stone green\n" * 3, f"/*\n{lines}\n*/\nint main()"]):
+                rows.append((k * 100 + j * 10 + i, text))
+                wanted[rows[-1][0]] = family
+    rows += [(1000, "\n".join("of the river by the stone in the sun" for _ in range(40))), (1001, None), (1002, "\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    found = lic.scan(docs, model)
+    for r in found.select("*", lic.all_matches(found["matches"], found["notices"]).alias("all")).collect():
+        got = [(n.paragraph, n.family, round(n.probability, 6)) for n in r.notices]
+        plain = [(i, *lic.predict(p, model)) for i, p in lic.notice_runs(texts[r.doc_id] or "")]
+        assert got == [(i, f, round(p, 6)) for i, f, p in plain if f != lic.NONE]
+        assert {m.family for m in r["all"]} == ({wanted[r.doc_id]} if r.doc_id in wanted else set()), texts[r.doc_id]
+
+
+def test_wrapped_notices_of_the_sample(spark):
+    """Lines of wrapped notices in the corpus are no examples of text without a licence."""
+    docs = spark.createDataFrame([(i, f"river stone green\n\n{WRAPPED['gpl' if i % 2 else 'bsd']}\n\nwalks often") for i in range(60)], "doc_id long, text string")
+    for r in lic.scan(docs, lic.fit(docs)).collect():
+        assert [n.family for n in r.notices] == ["gpl" if r.doc_id % 2 else "bsd"]
