@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, licenses, mixing, near_dedup, quality, secrets, substring_dedup, suffix_tree, topk, toxicity
+from seriesmill.llm import bpe, centroids, licenses, mixing, near_dedup, quality, secrets, substring_dedup, suffix_tree, topk, toxicity
 from seriesmill.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
+
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op2_near_dedup": op2_near_dedup,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_substring": op9_substring,
     "op10_bpe": op10_bpe,
+    "op11_centroids": op11_centroids,
 }
 ORACLES: dict[str, str] = {
     "op5_topk": """
@@ -111,4 +117,5 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
     """,
+    "op11_centroids": centroids.oracle(),
 }
