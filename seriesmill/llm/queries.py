@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, centroids, licenses, mixing, near_dedup, quality, secrets, substring_dedup, suffix_tree, topk, toxicity
+from seriesmill.llm import bpe, centroids, licenses, mixing, near_dedup, personal, quality, secrets, substring_dedup, suffix_tree, topk, toxicity
 from seriesmill.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,13 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
 
 
+def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*personal.KINDS))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, personal.KINDS), F.sha2(_spans_text(base), 256).alias("base_sha256"), _spans_text(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op2_near_dedup": op2_near_dedup,
@@ -99,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op9_substring": op9_substring,
     "op10_bpe": op10_bpe,
     "op11_centroids": op11_centroids,
+    "op12_personal": op12_personal,
 }
 ORACLES: dict[str, str] = {
     "op5_topk": """
