@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, centroids, licenses, mixing, near_dedup, personal, quality, secrets, substring_dedup, suffix_tree, topk, toxicity
+from seriesmill.llm import bpe, centroids, conversations, licenses, mixing, near_dedup, personal, quality, secrets, substring_dedup, suffix_tree, topk, toxicity
 from seriesmill.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,10 @@ def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, personal.KINDS), F.sha2(_spans_text(base), 256).alias("base_sha256"), _spans_text(F.col("spans")).alias("spans"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_licenses": op1_licenses,
     "op2_near_dedup": op2_near_dedup,
@@ -107,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op10_bpe": op10_bpe,
     "op11_centroids": op11_centroids,
     "op12_personal": op12_personal,
+    "op13_trie": op13_trie,
 }
 ORACLES: dict[str, str] = {
     "op5_topk": """
@@ -126,4 +131,5 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
     """,
     "op11_centroids": centroids.oracle(),
+    "op13_trie": conversations.ORACLE,
 }
