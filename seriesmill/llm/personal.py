@@ -9,8 +9,8 @@ instance that looks like an identifier by the patterns that hold it, seeds at 1.
 in the slot of a pattern with high confidence are new spans, of kind `context_<kind>`.
 
 Texts are read twice: for seeds with their patterns, then for all slots of candidate patterns.
-The second scan gets a Bloom filter of fixed size; what passes it is joined with the candidates,
-so no pattern is lost or added however many there are.
+The second scan gets a Bloom filter of fixed size; what passes it is counted by pattern and joined
+with the candidates, so no pattern is lost or added however many there are.
 
 Defined results: null and empty texts have no spans; spans are in code points with the end
 exclusive; a rule keeps leftmost non-overlapping matches, then drops those that fail, without
@@ -287,6 +287,24 @@ def scores(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return found
 
 
+def _able_still(held: DataFrame, words: DataFrame, least_seeds: int, confident: float) -> DataFrame:
+    """(pattern, kind) with seeds enough that would be confident if all its identifiers were sure.
+
+    Most candidates are common words that hold mostly other words, which never count; no round
+    can make these confident.  Their number grows faster than the corpus, so they are counted by
+    pattern and not joined with their words.
+    """
+    seeds = held.groupBy("pattern").agg(*(F.count_if(F.col("kind") == k).alias(f"seeds_{k}") for k in range(len(KINDS))))
+    fills = words.groupBy("pattern").agg(F.count_if("shaped").alias("shaped"), F.count_if(~F.col("shaped")).alias("plain"))
+    counts = seeds.unionByName(fills, allowMissingColumns=True).groupBy("pattern").agg(*(F.sum(c).alias(c) for c in (*seeds.columns[1:], "shaped", "plain")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    hope = [
+        F.when((zero(f"seeds_{k}") >= least_seeds) & (zero(f"seeds_{k}") + zero("shaped") >= confident * (zero(f"seeds_{k}") + zero("shaped") + zero("plain") + DOUBT)), k)
+        for k in range(len(KINDS))
+    ]
+    return cut(counts.select("pattern", F.explode(F.array_compact(F.array(*hope))).cast("tinyint").alias("kind")))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ident, body = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.xxhash64(ident, body).alias("k1"), F.xxhash64(F.lit("row"), body, ident).alias("k2"), ident.alias("doc_id"), body.alias("text"))
@@ -301,14 +319,16 @@ def find_personal(
     span, pattern = "array<struct<kind: tinyint, start: long, end: long>>", "array<struct<pattern: long, kind: tinyint, instance: long>>"
     seeds = cut(keyed.mapInArrow(_seeds, f"k1 long, k2 long, doc_id long, spans {span}, held {pattern}"))
     held = seeds.filter("size(held) > 0").select(F.explode("held").alias("h")).select("h.*").distinct()
-    able = cut(held.groupBy("pattern", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= least_seeds).select("pattern", "kind"))
-    packed = spark.sparkContext.broadcast(_filter(able.select("pattern")))
+    candidates = held.groupBy("pattern", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= least_seeds)
+    packed = spark.sparkContext.broadcast(_filter(candidates.select("pattern")))
     fills = cut(keyed.mapInArrow(_fills(packed), "pattern long, instance long, k1 long, k2 long, start long, end long").distinct())
+    words = cut(fills.groupBy("pattern", "instance").agg(F.max(F.col("k1").isNotNull()).alias("shaped")))
+    able = _able_still(held, words, least_seeds, confident)
     edges = (
-        fills.join(able, "pattern").groupBy("pattern", "kind", "instance").agg(F.max(F.col("k1").isNotNull()).alias("shaped")).withColumn("seed", F.lit(0))
+        words.join(able, "pattern").withColumn("seed", F.lit(0))
         .unionByName(held.join(able, ["pattern", "kind"]).select("pattern", "kind", "instance", F.lit(False).alias("shaped"), F.lit(1).alias("seed")))
     )
-    # a seed that also occurs as a plain word, or as one of another kind, stays a seed of its kind
+    # a seed that also occurs as a word, or as one of another kind, stays a seed of its kind
     edges = cut(edges.groupBy("pattern", "kind", "instance").agg(F.max("shaped").alias("shaped"), F.max("seed").alias("seed")))
     sure = scores(edges, rounds).filter(F.col("confidence") >= confident).select("pattern", "kind")
     extra = (
