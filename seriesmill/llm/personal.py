@@ -302,7 +302,7 @@ def _able_still(held: DataFrame, words: DataFrame, least_seeds: int, confident:
         F.when((zero(f"seeds_{k}") >= least_seeds) & (zero(f"seeds_{k}") + zero("shaped") >= confident * (zero(f"seeds_{k}") + zero("shaped") + zero("plain") + DOUBT)), k)
         for k in range(len(KINDS))
     ]
-    return cut(counts.select("pattern", F.explode(F.array_compact(F.array(*hope))).cast("tinyint").alias("kind")))
+    return cut(counts.select("pattern", F.explode(F.array_compact(F.array(*hope)).cast("array<tinyint>")).alias("kind")))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
