@@ -8,9 +8,10 @@ instances.  Spark scores it in rounds: a pattern by the mean score of its distin
 instance that looks like an identifier by the patterns that hold it, seeds at 1.  Identifiers
 in the slot of a pattern with high confidence are new spans, of kind `context_<kind>`.
 
-Texts are read twice: for seeds with their patterns, then for all slots of candidate patterns.
-The second scan gets a Bloom filter of fixed size; what passes it is counted by pattern and joined
-with the candidates, so no pattern is lost or added however many there are.
+Texts are read twice: for seeds and open identifiers with their patterns, then for the other
+words in the slots of the patterns that hold both.  The second scan gets a Bloom filter of fixed
+size; what passes it is counted by pattern and joined with the candidates, so no pattern is lost or
+added however many there are.
 
 Defined results: null and empty texts have no spans; spans are in code points with the end
 exclusive; a rule keeps leftmost non-overlapping matches, then drops those that fail, without
@@ -151,31 +152,56 @@ def _instance(value: str) -> int:
 
 _SPAN = pa.struct([("kind", pa.int8()), ("start", pa.int64()), ("end", pa.int64())])
 _HELD = pa.struct([("pattern", pa.int64()), ("kind", pa.int8()), ("instance", pa.int64())])
+_OPEN = pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+SPANS = "array<struct<kind: tinyint, start: long, end: long>>"
+HELD = "array<struct<pattern: long, kind: tinyint, instance: long>>"
+OPEN = "array<struct<pattern: long, instance: long, start: long, end: long>>"
+
+
+def _marked(block: words_of.Block) -> np.ndarray:
+    """Words with a digit or @, the only ones that are looked at as strings."""
+    sign = ((block.data >= 48) & (block.data <= 57)) | (block.data == 64)
+    count = np.concatenate(([0], np.cumsum(sign)))
+    return count[block.ends] > count[block.starts]
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of the rules for each row, with the patterns that hold them."""
+    """Spans of the rules for each row, the patterns that hold them, and those of open identifiers."""
     for batch in batches:
         plain = batch["text"].to_pylist()
         spans = [base_spans(t) for t in plain]
         held: list[list[dict]] = [[] for _ in plain]
-        for block in words_of.blocks(batch["text"], lower=True) if any(spans) else ():
-            own = [d for d in range(block.n) if spans[block.first + d]]
-            if not own:
+        open_: list[list[dict]] = [[] for _ in plain]
+        for block in words_of.blocks(batch["text"], lower=True):
+            marked = np.flatnonzero(_marked(block))
+            if not len(marked):
                 continue
             slots = Slots(block)
-            for d in own:
+            free = np.ones(len(block.hashes), dtype=bool)
+            owner = np.searchsorted(block.words, marked, side="right") - 1
+            for d in np.unique(owner).tolist():
+                i = block.first + d
+                if spans[i]:
+                    first, last = slots.of_spans(d, spans[i])
+                    for low, high in zip(first.tolist(), last.tolist(), strict=True):
+                        free[low : high + 1] = False
+                    instances = [_instance(plain[i][s:e]) for _, s, e in spans[i]]
+                    for side in slots.patterns(first, last):
+                        held[i] += [
+                            {"pattern": p, "kind": k, "instance": x} for p, (k, _, _), x in zip(side.view(np.int64).tolist(), spans[i], instances, strict=True)
+                        ]
+            owner, marked = owner[free[marked]], marked[free[marked]]
+            sides = [side.view(np.int64).tolist() for side in slots.patterns(marked, marked)]
+            for j, (w, d) in enumerate(zip(marked.tolist(), owner.tolist(), strict=True)):
                 i = block.first + d
-                first, last = slots.of_spans(d, spans[i])
-                instances = [_instance(plain[i][s:e]) for _, s, e in spans[i]]
-                for side in slots.patterns(first, last):
-                    held[i] += [
-                        {"pattern": p, "kind": k, "instance": x} for p, (k, _, _), x in zip(side.view(np.int64).tolist(), spans[i], instances, strict=True)
-                    ]
+                raw = plain[i][slots.starts[w] : slots.ends[w]]
+                word = raw.strip(_TRIM)
+                if looks_like_identifier(word):
+                    start = int(slots.starts[w]) + len(raw) - len(raw.lstrip(_TRIM))
+                    open_[i] += [{"pattern": side[j], "instance": _instance(word), "start": start, "end": start + len(word)} for side in sides]
         rows = [[{"kind": k, "start": s, "end": e} for k, s, e in own] for own in spans]
-        yield pa.RecordBatch.from_arrays(
-            [batch["k1"], batch["k2"], batch["doc_id"], pa.array(rows, pa.list_(_SPAN)), pa.array(held, pa.list_(_HELD))], names=["k1", "k2", "doc_id", "spans", "held"]
-        )
+        columns = [batch["k1"], batch["k2"], batch["doc_id"], pa.array(rows, pa.list_(_SPAN)), pa.array(held, pa.list_(_HELD)), pa.array(open_, pa.list_(_OPEN))]
+        yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "doc_id", "spans", "held", "open"])
 
 
 def _bits(patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,61 +234,39 @@ def looks_like_identifier(word: str) -> bool:
 
 
 def _fills(packed):
-    """Every word outside the spans of rules that stands in the slot of a pattern of the filter.
+    """Other words in the slots of patterns of the filter, as distinct (pattern, word) of a block.
 
-    Identifiers come with their row and place, other words as distinct (pattern, word) of a batch.
+    Words of spans and identifiers are left out; they are known from the first scan.
     """
     filter_bits = packed.value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["pattern", "instance", "k1", "k2", "start", "end"]
         for batch in batches:
             plain = None
-            keys = batch["k1"].to_numpy(), batch["k2"].to_numpy()
             for block in words_of.blocks(batch["text"], lower=True):
-                n = len(block.hashes)
-                if not n:
+                at = np.arange(len(block.hashes))
+                if not len(at):
                     continue
                 slots = Slots(block)
-                at = np.arange(n)
                 sides = slots.patterns(at, at)
                 ok = [_passes(filter_bits, side) for side in sides]
                 near = np.flatnonzero(ok[0] | ok[1])
                 if not len(near):
                     continue
                 plain = plain if plain is not None else batch["text"].to_pylist()
-                owner = block.owners()[near]
-                free = np.ones(n, dtype=bool)
+                owner = np.searchsorted(block.words, near, side="right") - 1
+                free, marked = np.ones(len(at), dtype=bool), _marked(block)
                 for d in np.unique(owner).tolist():
                     for first, last in zip(*slots.of_spans(d, base_spans(plain[block.first + d])), strict=True):
                         free[first : last + 1] = False
+                for w, d in zip(near.tolist(), owner.tolist(), strict=True):
+                    if free[w] and marked[w] and looks_like_identifier(plain[block.first + d][slots.starts[w] : slots.ends[w]].strip(_TRIM)):
+                        free[w] = False
                 near = near[free[near]]
-                owner = block.owners()[near]
-                # only words with a digit or @ are looked at as strings
-                sign = ((block.data >= 48) & (block.data <= 57)) | (block.data == 64)
-                count = np.concatenate(([0], np.cumsum(sign)))
-                marked = count[block.ends[near]] > count[block.starts[near]]
-                rows: dict[str, list] = {c: [] for c in names}
-                for i, d in zip(near[marked].tolist(), owner[marked].tolist(), strict=True):
-                    raw = plain[block.first + d][slots.starts[i] : slots.ends[i]]
-                    word = raw.strip(_TRIM)
-                    start = int(slots.starts[i]) + len(raw) - len(raw.lstrip(_TRIM))
-                    shaped = looks_like_identifier(word)
-                    for side, fits in zip(sides, ok, strict=True):
-                        if fits[i]:
-                            rows["pattern"].append(int(side[i].view(np.int64)))
-                            rows["instance"].append(_instance(word))
-                            rows["k1"].append(int(keys[0][block.first + d]) if shaped else None)
-                            rows["k2"].append(int(keys[1][block.first + d]) if shaped else None)
-                            rows["start"].append(start if shaped else None)
-                            rows["end"].append(start + len(word) if shaped else None)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[c], pa.int64()) for c in names], names=names)
-                others = near[~marked]
                 for side, fits in zip(sides, ok, strict=True):
-                    own = others[fits[others]]
+                    own = near[fits[near]]
                     pairs = np.unique(np.stack([side[own], block.hashes[own]]), axis=1).view(np.int64)
-                    empty = pa.nulls(pairs.shape[1], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), empty, empty, empty, empty], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["pattern", "instance"])
 
     return run
 
@@ -314,15 +318,16 @@ def find_personal(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_seeds: int = LEAST_SEEDS, confident: float = CONFIDENT, rounds: int = ROUNDS
 ) -> DataFrame:
     """Columns `doc_id` and `spans`, array of (kind, start, end): first the base kinds as listed, then new ones."""
-    spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
-    span, pattern = "array<struct<kind: tinyint, start: long, end: long>>", "array<struct<pattern: long, kind: tinyint, instance: long>>"
-    seeds = cut(keyed.mapInArrow(_seeds, f"k1 long, k2 long, doc_id long, spans {span}, held {pattern}"))
+    seeds = cut(keyed.mapInArrow(_seeds, f"k1 long, k2 long, doc_id long, spans {SPANS}, held {HELD}, open {OPEN}"))
     held = seeds.filter("size(held) > 0").select(F.explode("held").alias("h")).select("h.*").distinct()
-    candidates = held.groupBy("pattern", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= least_seeds)
-    packed = spark.sparkContext.broadcast(_filter(candidates.select("pattern")))
-    fills = cut(keyed.mapInArrow(_fills(packed), "pattern long, instance long, k1 long, k2 long, start long, end long").distinct())
-    words = cut(fills.groupBy("pattern", "instance").agg(F.max(F.col("k1").isNotNull()).alias("shaped")))
+    open_places = seeds.filter("size(open) > 0").select("k1", "k2", F.explode("open").alias("o")).select("k1", "k2", "o.*")
+    identifiers = open_places.select("pattern", "instance").distinct()
+    # a pattern without an open identifier discovers nothing and confirms nothing
+    asked = held.groupBy("pattern", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= least_seeds).join(identifiers, "pattern", "left_semi")
+    packed = docs.sparkSession.sparkContext.broadcast(_filter(asked.select("pattern")))
+    others = keyed.select("text").mapInArrow(_fills(packed), "pattern long, instance long").distinct()
+    words = cut(others.withColumn("shaped", F.lit(False)).unionByName(identifiers.withColumn("shaped", F.lit(True))))
     able = _able_still(held, words, least_seeds, confident)
     edges = (
         words.join(able, "pattern").withColumn("seed", F.lit(0))
@@ -332,10 +337,10 @@ def find_personal(
     edges = cut(edges.groupBy("pattern", "kind", "instance").agg(F.max("shaped").alias("shaped"), F.max("seed").alias("seed")))
     sure = scores(edges, rounds).filter(F.col("confidence") >= confident).select("pattern", "kind")
     extra = (
-        fills.filter("k1 IS NOT NULL").join(sure, "pattern").select("k1", "k2", (F.col("kind") + len(KINDS)).cast("tinyint").alias("kind"), "start", "end").distinct()
+        open_places.join(sure, "pattern").select("k1", "k2", (F.col("kind") + len(KINDS)).cast("tinyint").alias("kind"), "start", "end").distinct()
         .groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("extra"))
     )
-    whole = F.concat("spans", F.coalesce("extra", F.expr(f"CAST(array() AS {span})")))
+    whole = F.concat("spans", F.coalesce("extra", F.expr(f"CAST(array() AS {SPANS})")))
     names = F.array(*map(F.lit, (*KINDS, *(f"context_{k}" for k in KINDS))))
     named = F.transform(whole, lambda x: F.struct(F.element_at(names, x["kind"].cast("int") + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return seeds.select("k1", "k2", "doc_id", "spans").join(extra, ["k1", "k2"], "left").select("doc_id", named.alias("spans"))
