@@ -9,9 +9,9 @@ instance that looks like an identifier by the patterns that hold it, seeds at 1.
 in the slot of a pattern with high confidence are new spans, of kind `context_<kind>`.
 
 Texts are read twice: for seeds and open identifiers with their patterns, then for the other
-words in the slots of the patterns that hold both.  The second scan gets a Bloom filter of fixed
-size; what passes it is counted by pattern and joined with the candidates, so no pattern is lost or
-added however many there are.
+words in the slots of the patterns that hold both.  The second scan gets a filter of fixed size
+with the number of other words that each pattern can bear, and stops at one more; what passes it is
+joined with the candidates, so no pattern is lost or added however many there are.
 
 Defined results: null and empty texts have no spans; spans are in code points with the end
 exclusive; a rule keeps leftmost non-overlapping matches, then drops those that fail, without
@@ -43,8 +43,8 @@ CONFIDENT = 0.8
 #: instances that every pattern is thought to hold besides, at score 0
 DOUBT = 0.5
 ROUNDS = 3
-#: bits of the Bloom filter, a fixed size; more patterns only make it less selective
-FILTER_BITS = 1 << 23
+#: slots of the filter of patterns, a fixed number; more patterns only make it less selective
+FILTER_SLOTS = 1 << 20
 
 # fixed values: the character sets and lengths of the base rules as specified
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -204,43 +204,35 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "doc_id", "spans", "held", "open"])
 
 
-def _bits(patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a pattern in the filter."""
-    mask = np.uint64(FILTER_BITS - 1)
-    return patterns & mask, (patterns >> np.uint64(32)) & mask
+def _slot(patterns: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    return (patterns & np.uint64(len(limits) - 1)).astype(np.int64)
 
 
-def _filter(patterns: DataFrame) -> np.ndarray:
-    """Bloom filter of the column `pattern`, as words of 64 bits; their number is fixed."""
-    places = F.array(F.col("pattern"), F.shiftrightunsigned("pattern", 32))
-    bit = patterns.select(F.explode(places).alias("b")).select(F.col("b").bitwiseAND(FILTER_BITS - 1).alias("b"))
-    words = bit.groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("bits"))
-    held = words.toArrow()
-    made = np.zeros(FILTER_BITS >> 6, dtype=np.uint64)
-    made[held["word"].to_numpy()] = held["bits"].to_numpy().view(np.uint64)
+def _limits(asked: DataFrame) -> np.ndarray:
+    """For each slot of a filter of fixed size, the largest `most` of its patterns, or -1."""
+    top = asked.groupBy(F.col("pattern").bitwiseAND(FILTER_SLOTS - 1).alias("slot")).agg(F.max("most").alias("most"))
+    held = top.toArrow()
+    made = np.full(FILTER_SLOTS, -1, dtype=np.int32)
+    made[held["slot"].to_numpy()] = np.minimum(held["most"].to_numpy(), np.iinfo(np.int32).max - 1)
     return made
 
 
-def _passes(words: np.ndarray, patterns: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(patterns), dtype=bool)
-    for bit in _bits(patterns):
-        ok &= (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-    return ok
-
-
 def looks_like_identifier(word: str) -> bool:
     """At least four characters with a digit, or an @ between others."""
     return len(word) >= 4 and (_DIGIT.search(word) is not None or "@" in word[1:-1])
 
 
-def _fills(packed):
-    """Other words in the slots of patterns of the filter, as distinct (pattern, word) of a block.
+def _fills(limits):
+    """Other words in the slots of patterns of the filter, as distinct (pattern, word) of a task.
 
-    Words of spans and identifiers are left out; they are known from the first scan.
+    Words of spans and identifiers are left out; they are known from the first scan.  Once a task
+    has found more words than a pattern may hold, that pattern is done for and no more are needed.
     """
-    filter_bits = packed.value
+    most = limits.value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, set[int]] = {}
+        done = np.empty(0, dtype=np.uint64)
         for batch in batches:
             plain = None
             for block in words_of.blocks(batch["text"], lower=True):
@@ -249,24 +241,42 @@ def _fills(packed):
                     continue
                 slots = Slots(block)
                 sides = slots.patterns(at, at)
-                ok = [_passes(filter_bits, side) for side in sides]
+                ok = [most[_slot(side, most)] >= 0 for side in sides]
+                for side, fits in zip(sides, ok, strict=True):
+                    some = np.flatnonzero(fits)
+                    if len(some) and len(done):
+                        place = np.minimum(np.searchsorted(done, side[some]), len(done) - 1)
+                        fits[some[done[place] == side[some]]] = False
                 near = np.flatnonzero(ok[0] | ok[1])
                 if not len(near):
                     continue
                 plain = plain if plain is not None else batch["text"].to_pylist()
                 owner = np.searchsorted(block.words, near, side="right") - 1
                 free, marked = np.ones(len(at), dtype=bool), _marked(block)
-                for d in np.unique(owner).tolist():
+                for d in np.unique(owner[marked[near]]).tolist():
                     for first, last in zip(*slots.of_spans(d, base_spans(plain[block.first + d])), strict=True):
                         free[first : last + 1] = False
-                for w, d in zip(near.tolist(), owner.tolist(), strict=True):
-                    if free[w] and marked[w] and looks_like_identifier(plain[block.first + d][slots.starts[w] : slots.ends[w]].strip(_TRIM)):
+                for w, d in zip(near[marked[near]].tolist(), owner[marked[near]].tolist(), strict=True):
+                    if free[w] and looks_like_identifier(plain[block.first + d][slots.starts[w] : slots.ends[w]].strip(_TRIM)):
                         free[w] = False
                 near = near[free[near]]
+                out: tuple[list[int], list[int]] = ([], [])
+                over = []
                 for side, fits in zip(sides, ok, strict=True):
                     own = near[fits[near]]
-                    pairs = np.unique(np.stack([side[own], block.hashes[own]]), axis=1).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["pattern", "instance"])
+                    limit = most[_slot(side[own], most)].tolist()
+                    for p, x, top in zip(side[own].tolist(), block.hashes[own].tolist(), limit, strict=True):
+                        words = found.setdefault(p, set())
+                        if len(words) <= top and x not in words:
+                            words.add(x)
+                            out[0].append(p)
+                            out[1].append(x)
+                            if len(words) > top:
+                                over.append(p)
+                if over:
+                    done = np.union1d(done, np.array(over, dtype=np.uint64))
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=np.uint64).view(np.int64)) for c in out], names=["pattern", "instance"])
 
     return run
 
@@ -291,22 +301,28 @@ def scores(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return found
 
 
-def _able_still(held: DataFrame, words: DataFrame, least_seeds: int, confident: float) -> DataFrame:
-    """(pattern, kind) with seeds enough that would be confident if all its identifiers were sure.
+def _candidates(held: DataFrame, identifiers: DataFrame, least_seeds: int, confident: float) -> DataFrame:
+    """Patterns with sufficient seeds and an open identifier: `pattern`, `rooms`, `most`.
 
-    Most candidates are common words that hold mostly other words, which never count; no round
-    can make these confident.  Their number grows faster than the corpus, so they are counted by
-    pattern and not joined with their words.
+    `rooms` has for each kind the number of other words, which never count, beside which the
+    pattern would be confident if all its identifiers were sure; null for kinds it has too few
+    seeds of.  `most` is the largest.  A pattern without an open identifier discovers nothing and
+    confirms nothing.  Common words are counted by pattern, since their number grows faster than the corpus.
     """
-    seeds = held.groupBy("pattern").agg(*(F.count_if(F.col("kind") == k).alias(f"seeds_{k}") for k in range(len(KINDS))))
-    fills = words.groupBy("pattern").agg(F.count_if("shaped").alias("shaped"), F.count_if(~F.col("shaped")).alias("plain"))
-    counts = seeds.unionByName(fills, allowMissingColumns=True).groupBy("pattern").agg(*(F.sum(c).alias(c) for c in (*seeds.columns[1:], "shaped", "plain")))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    hope = [
-        F.when((zero(f"seeds_{k}") >= least_seeds) & (zero(f"seeds_{k}") + zero("shaped") >= confident * (zero(f"seeds_{k}") + zero("shaped") + zero("plain") + DOUBT)), k)
-        for k in range(len(KINDS))
-    ]
-    return cut(counts.select("pattern", F.explode(F.array_compact(F.array(*hope)).cast("array<tinyint>")).alias("kind")))
+    seeds = held.groupBy("pattern").agg(*(F.count_if(F.col("kind") == k).alias(f"seeds_{k}") for k in range(len(KINDS))), F.lit(0).cast("long").alias("open"))
+    unknown = identifiers.groupBy("pattern").agg(*(F.lit(0).cast("long").alias(c) for c in seeds.columns[1:-1]), F.count("*").alias("open"))
+    counts = seeds.unionByName(unknown).groupBy("pattern").agg(*(F.sum(c).alias(c) for c in seeds.columns[1:]))
+    sure = [F.col(f"seeds_{k}") + F.col("open") for k in range(len(KINDS))]
+    rooms = [F.when(F.col(f"seeds_{k}") >= least_seeds, F.floor(F.round(sure[k] / confident - sure[k] - DOUBT, 6))) for k in range(len(KINDS))]
+    return cut(counts.filter("open > 0").select("pattern", F.array(*rooms).alias("rooms"), F.array_max(F.array(*rooms)).alias("most")).filter("most >= 0"))
+
+
+def _able(asked: DataFrame, others: DataFrame) -> DataFrame:
+    """(pattern, kind) that may still become confident beside the other words found."""
+    plain = others.groupBy("pattern").agg(F.count("*").alias("plain"))
+    kept = asked.join(plain, "pattern", "left").withColumn("plain", F.coalesce("plain", F.lit(0)))
+    kinds = kept.select("pattern", "plain", F.posexplode("rooms").alias("kind", "room"))
+    return cut(kinds.filter("plain <= room").select("pattern", F.col("kind").cast("tinyint").alias("kind")))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -323,12 +339,11 @@ def find_personal(
     held = seeds.filter("size(held) > 0").select(F.explode("held").alias("h")).select("h.*").distinct()
     open_places = seeds.filter("size(open) > 0").select("k1", "k2", F.explode("open").alias("o")).select("k1", "k2", "o.*")
     identifiers = open_places.select("pattern", "instance").distinct()
-    # a pattern without an open identifier discovers nothing and confirms nothing
-    asked = held.groupBy("pattern", "kind").agg(F.count("*").alias("n")).filter(F.col("n") >= least_seeds).join(identifiers, "pattern", "left_semi")
-    packed = docs.sparkSession.sparkContext.broadcast(_filter(asked.select("pattern")))
-    others = keyed.select("text").mapInArrow(_fills(packed), "pattern long, instance long").distinct()
-    words = cut(others.withColumn("shaped", F.lit(False)).unionByName(identifiers.withColumn("shaped", F.lit(True))))
-    able = _able_still(held, words, least_seeds, confident)
+    asked = _candidates(held, identifiers, least_seeds, confident)
+    limits = docs.sparkSession.sparkContext.broadcast(_limits(asked))
+    others = cut(keyed.select("text").mapInArrow(_fills(limits), "pattern long, instance long").distinct())
+    able = _able(asked, others)
+    words = others.withColumn("shaped", F.lit(False)).unionByName(identifiers.withColumn("shaped", F.lit(True)))
     edges = (
         words.join(able, "pattern").withColumn("seed", F.lit(0))
         .unionByName(held.join(able, ["pattern", "kind"]).select("pattern", "kind", "instance", F.lit(False).alias("shaped"), F.lit(1).alias("seed")))

@@ -96,14 +96,25 @@ def test_scores_by_hand(spark):
     assert result["a"] == pytest.approx((9 + b) / 10.5) and result["b"] == pytest.approx((1 + a) / 4.5)
 
 
-def test_filter_and_patterns_pass(spark):
+def test_filter_holds_the_largest_limit(spark):
     import numpy as np
 
     rng = np.random.default_rng(2)
-    values = rng.integers(-(2**63), 2**63 - 1, 5000)
-    packed = personal._filter(spark.createDataFrame([(int(v),) for v in values], "pattern long"))
-    assert personal._passes(packed, values.view(np.uint64)).all()
-    assert personal._passes(packed, rng.integers(0, 2**63, 5000).astype(np.uint64)).mean() < 0.01
+    values, most = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(0, 50, 5000)
+    limits = personal._limits(spark.createDataFrame([(int(v), int(m)) for v, m in zip(values, most, strict=True)], "pattern long, most long"))
+    assert (limits[personal._slot(values.view(np.uint64), limits)] >= most).all()
+    assert (limits >= 0).sum() <= 5000 and limits.max() == most.max()
+
+
+def test_small_filter_changes_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    numbers = [f"+1 202 555 0{i:03d}" for i in range(40)]
+    texts = [f"{rng.choice(['call me', 'dial', 'the a'])} {rng.choice([*numbers, 'house', 'x-12345', 'y-54321'])} {rng.choice(['now', 'b c'])}" for _ in range(600)]
+    results = []
+    for slots in (1 << 20, 4):
+        monkeypatch.setattr(personal, "FILTER_SLOTS", slots)
+        results.append(sorted((r.doc_id, joined(r), [tuple(s) for s in r.spans]) for r in personal.find_personal(frame(spark, enumerate(texts)), confident=0.5).collect()))
+    assert results[0] == results[1] and any("context_phone" in str(r) for r in results[0])
 
 
 def test_empty_table(spark):
