@@ -195,6 +195,40 @@ def test_pieces_encode_like_the_whole():
         assert [i for p in parts for i in own.encode_ordinary(p)] == own.encode_ordinary(text)
 
 
+def test_cuts_of_texts_without_spaces(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe, "PIECE", 5)
+    monkeypatch.setattr(bpe, "LONG_RUN", 3)
+    monkeypatch.setattr(bpe, "_RUN", bpe.re.compile(rf"[{bpe._WHITE}]{{3,}}"))
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own, whole = bpe.encoding(ranks, public_tokenizers.PATTERN), bpe.encoding(ranks, r"(?s:.+)")
+    rng = random.Random(8)
+    units = ["a", "Z", "é", "中", "。", "，", "1", "٣", "½", "!", "'", "'s", "'ll", "_", " ", "   ", "\n", "\n\n\n", "\x85", "\u3000", "\x1c", "\u200b", "я", "ꙁ", "𝟗", "🙂"]
+    for _ in range(3000):
+        text = "".join(rng.choice(units) for _ in range(rng.randrange(30)))
+        assert "".join(part for _, part in bpe.runs_apart(text)) == text
+        assert bpe.encode_text(own, text, whole) == own.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\t", "\u3000", " \n", "中", "中1", "a1!", "é", "!"])
+def test_long_runs_encode(unit):
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own, whole = bpe.encoding(ranks, public_tokenizers.PATTERN), bpe.encoding(ranks, r"(?s:.+)")
+    # equal to the library where it can encode the whole, then by the bytes where it cannot
+    short, long = f"x y{unit * 30_000}z w", f"x y{unit * (5_000_000 // len(unit))}z w{unit * 900_000}"
+    assert bpe.encode_text(own, short * 3, whole) == own.encode_ordinary(short * 3)
+    assert own.decode_bytes(bpe.encode_text(own, long, whole)) == long.encode()
+
+
+def test_long_white_space_through_spark(spark):
+    text = "a" + "\n" * 1_500_000 + "b" + " " * 1_500_000
+    row = bpe.encode_decode(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert bytes(row.decoded) == text.encode()
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert secrets.find_secrets(none).count() == quality.assess(none).count() == bpe.encode_decode(none).count() == quality.keep_good(none).count() == 0
