@@ -9,13 +9,14 @@ bisection steps, so seven jobs make the exponent exact.
 Weights times the budget give each source a number of tokens: whole passes over the source and
 a rest.  For the rest, the documents of each source are dealt by a hash into as many blocks as the
 square root of the number of all rows, and blocks are taken in a random order while their tokens fit; of the next block
-documents are taken in the order of a hash while they fit.  A source is thus never sorted, and no
-task holds more than one block or one row for each block of a source.
+documents are taken in the order of a hash while they fit.  What is then left is filled by the smallest
+documents not drawn, so no document that is left would fit.  A source is thus never sorted, and no
+task holds more than one block, or one row for each block or size of a source.
 
 Only DataFrame and SQL functions are used.
 
 Defined results: tokens are words `[^\\x20\\x09-\\x0D]+`; null or empty texts have no tokens and are
-not drawn; a null source is a source of its own; equal rows are drawn together; a budget above the
+not drawn; a null source is a source of its own; rows with equal id and text are drawn together or not at all; a budget above the
 repetition limit of all sources is met as far as the limit allows; an empty table gives an empty result.
 """
 
@@ -84,6 +85,40 @@ def temperature_weights(totals: DataFrame, budget: int, target_entropy: float |
     return shares.select(SOURCE, "tokens", (F.pow("p", F.lit(alpha)) / F.lit(total)).alias("weight")), alpha
 
 
+def _smallest(dealt: DataFrame, blocks: DataFrame, border: DataFrame, cuts: DataFrame) -> DataFrame:
+    """What fills the rest of each source: its smallest documents not yet drawn, by size.
+
+    For each block: all with fewer tokens than `below`, and of those with `at` tokens the ones up
+    to the hash `upto`.  Sizes are counted first, and documents of the size at the border by
+    block, so no document moves but those of one size in one block.
+    """
+    spent = border.join(cuts.select(SOURCE, BLOCK, "filled"), [SOURCE, BLOCK], "left").select(SOURCE, (F.col("left") - F.coalesce("filled", F.lit(0))).alias("open"))
+    open_blocks = blocks.filter("NOT whole").select(SOURCE, BLOCK, "order").join(spent, SOURCE).join(cuts.select(SOURCE, BLOCK, "last"), [SOURCE, BLOCK], "left")
+    fits = dealt.join(open_blocks, [SOURCE, BLOCK]).filter((F.col(TOKENS) <= F.col("open")) & (F.col("last").isNull() | (F.col(HASH) > F.col("last"))))
+    counted = cut(fits.groupBy(SOURCE, "open", TOKENS, BLOCK, "order").agg(F.count("*").alias("n")))
+    upward = Window.partitionBy(SOURCE).orderBy(TOKENS)
+    sizes = counted.groupBy(SOURCE, "open", TOKENS).agg(F.sum("n").alias("n")).withColumn("until", F.sum(F.col("n") * F.col(TOKENS)).over(upward))
+    # the first size that does not fit as a whole, and how many of it fit
+    edge = sizes.filter(F.col("until") > F.col("open")).groupBy(SOURCE).agg(F.min(F.struct(TOKENS, "until", "n", "open")).alias("e"))
+    edge = edge.select(SOURCE, F.col(f"e.{TOKENS}").alias(TOKENS), F.expr(f"floor((e.open - e.until + e.n * e.{TOKENS}) / e.{TOKENS})").alias("some"))
+    in_order = Window.partitionBy(SOURCE).orderBy("order", BLOCK)
+    parts = counted.join(edge, [SOURCE, TOKENS]).withColumn("until", F.sum("n").over(in_order))
+    parts = parts.select(SOURCE, BLOCK, TOKENS, "until", "n", "some")
+    last_block = parts.filter("until > some AND until - n < some").select(SOURCE, BLOCK, TOKENS, (F.col("some") - F.col("until") + F.col("n")).alias("few"))
+    rows = fits.select(SOURCE, BLOCK, TOKENS, HASH).join(last_block, [SOURCE, BLOCK, TOKENS])
+    ranked = rows.withColumn("r", F.count("*").over(Window.partitionBy(SOURCE, BLOCK).orderBy(HASH))).filter(F.col("r") <= F.col("few"))
+    hashes = ranked.groupBy(SOURCE, BLOCK).agg(F.max(HASH).alias("upto"))
+    whole = parts.filter("until <= some").select(SOURCE, BLOCK, F.lit(2**63 - 1).alias("upto"))
+    chosen = open_blocks.select(SOURCE, BLOCK, "open").join(edge.select(SOURCE, F.col(TOKENS).alias("at")), SOURCE, "left").join(hashes.unionByName(whole), [SOURCE, BLOCK], "left")
+    # a source whose rest holds all that fits has no edge
+    return chosen.select(SOURCE, BLOCK, F.coalesce(F.col("at"), F.col("open") + 1).alias("below"), "at", "upto")
+
+
+def realised(mixed: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """For each source of a mix: `weight`, `wanted` tokens and those `drawn`."""
+    return mixed.groupBy(source_col).agg(F.first("weight").alias("weight"), F.first("wanted").alias("wanted"), F.sum(word_count(F.col(text_col))).alias("drawn"))
+
+
 def mix(
     docs: DataFrame,
     budget: int | None = None,
@@ -97,7 +132,7 @@ def mix(
     """The rows of `docs` as often as the mix draws them.
 
     All columns stay; `pass` counts the draws of a row from 1, `place` orders a pass of a source
-    by blocks, `weight` is that of the source.  `budget` is in tokens, by default all there are.
+    by blocks, `weight` is that of the source and `wanted` its tokens.  `budget` is in tokens, by default all there are.
     """
     source = F.concat(F.when(F.col(source_col).isNull(), "0").otherwise("1"), F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     marked = docs.withColumns(
@@ -107,7 +142,7 @@ def mix(
     totals = cut(slim.groupBy(SOURCE).agg(F.sum(TOKENS).alias("tokens"), F.count("*").alias("rows")))
     available, rows = totals.agg(F.sum("tokens"), F.sum("rows")).first()
     if available is None:
-        extra = {"pass": F.lit(1), "place": F.lit(0).cast("long"), "weight": F.lit(0.0)}
+        extra = {"pass": F.lit(1), "place": F.lit(0).cast("long"), "weight": F.lit(0.0), "wanted": F.lit(0).cast("long")}
         return docs.filter(F.lit(False)).withColumns(extra)
     budget = available if budget is None else budget
     weights, _ = temperature_weights(totals.select(SOURCE, "tokens"), budget, target_entropy, max_repeats)
@@ -115,7 +150,7 @@ def mix(
     if max_repeats is not None:
         wanted = F.least(wanted, F.col("tokens") * F.lit(max_repeats))
     quota = weights.withColumn("wanted", F.floor(wanted)).withColumn("passes", F.floor(F.col("wanted") / F.col("tokens")))
-    quota = quota.select(SOURCE, "weight", "passes", (F.col("wanted") - F.col("passes") * F.col("tokens")).alias("rest"))
+    quota = quota.select(SOURCE, "weight", "wanted", "passes", (F.col("wanted") - F.col("passes") * F.col("tokens")).alias("rest"))
 
     block = F.pmod(F.xxhash64(F.lit(seed + 1), HASH), F.lit(math.isqrt(rows) + 1))
     dealt = slim.withColumn(BLOCK, block)
@@ -124,22 +159,24 @@ def mix(
     blocks = dealt.groupBy(SOURCE, BLOCK).agg(F.sum(TOKENS).alias("size")).withColumn("order", order)
     blocks = blocks.withColumn("until", F.sum("size").over(in_order)).join(quota, SOURCE)
     blocks = blocks.withColumn("whole", F.col("until") <= F.col("rest")).withColumn("left", F.col("rest") - (F.col("until") - F.col("size")))
-    blocks = cut(blocks.select(SOURCE, BLOCK, "order", "weight", "passes", "whole", "left"))
+    blocks = cut(blocks.select(SOURCE, BLOCK, "order", "weight", "wanted", "passes", "whole", "left", "size"))
 
     # of the block that fits in part, documents up to a hash
-    border = blocks.filter("NOT whole AND left > 0").select(SOURCE, BLOCK, "left")
+    border = blocks.filter("NOT whole AND left > 0").select(SOURCE, BLOCK, "left").groupBy(SOURCE).agg(F.min_by(BLOCK, F.struct(-F.col("left"), BLOCK)).alias(BLOCK), F.max("left").alias("left"))
     by_hash = Window.partitionBy(SOURCE, BLOCK).orderBy(HASH)
     inside = dealt.join(border, [SOURCE, BLOCK]).withColumn("until", F.sum(TOKENS).over(by_hash)).filter(F.col("until") <= F.col("left"))
-    cuts = inside.groupBy(SOURCE, BLOCK).agg(F.max(HASH).alias("last"))
-    plan = blocks.join(cuts, [SOURCE, BLOCK], "left").select(
-        SOURCE, BLOCK, F.col("order").alias("__order"), F.col("weight").alias("__weight"), F.col("passes").alias("__passes"), F.col("whole").alias("__whole"), F.col("last").alias("__last")
-    )
+    cuts = inside.groupBy(SOURCE, BLOCK).agg(F.max(HASH).alias("last"), F.max("until").alias("filled"))
+    plan = cut(blocks.join(cuts, [SOURCE, BLOCK], "left").join(_smallest(dealt, blocks, border, cuts), [SOURCE, BLOCK], "left").select(
+        SOURCE, BLOCK, F.col("order").alias("__order"), F.col("weight").alias("__weight"), F.col("wanted").alias("__wanted"), F.col("passes").alias("__passes"),
+        F.col("whole").alias("__whole"), F.col("last").alias("__last"), F.col("below").alias("__below"), F.col("at").alias("__at"), F.col("upto").alias("__upto"),
+    ))
     placed = marked.withColumn(BLOCK, block).join(plan, [SOURCE, BLOCK])
-    partly = F.col("__whole") | F.coalesce(F.col(HASH) <= F.col("__last"), F.lit(False))
+    small = (F.col(TOKENS) < F.col("__below")) | ((F.col(TOKENS) == F.col("__at")) & (F.col(HASH) <= F.col("__upto")))
+    partly = F.col("__whole") | F.coalesce(F.col(HASH) <= F.col("__last"), F.lit(False)) | F.coalesce(small, F.lit(False))
     draws = F.col("__passes") + F.when(partly, 1).otherwise(0)
     drawn = placed.withColumn("__draws", draws).filter("__draws > 0").withColumn("__pass", F.explode(F.sequence(F.lit(1).cast("long"), "__draws")))
     place = F.xxhash64(F.lit(seed), "__pass", F.col("__order"))
-    return drawn.select(*[F.col(c) for c in docs.columns], F.col("__pass").cast("int").alias("pass"), place.alias("place"), F.col("__weight").alias("weight"))
+    return drawn.select(*[F.col(c) for c in docs.columns], F.col("__pass").cast("int").alias("pass"), place.alias("place"), F.col("__weight").alias("weight"), F.col("__wanted").alias("wanted"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
