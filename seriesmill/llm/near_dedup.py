@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.llm import text as words_of
 from seriesmill.llm.graph import components
-from seriesmill.llm.shared import OUT_ROWS, cut, sorted_groups
+from seriesmill.llm.shared import OUT_ROWS, cut, release, sorted_groups
 
 WORDS = 5
 LEAST = 0.75
@@ -286,6 +286,7 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     sets = _full_sets(docs, nodes, _ends(likely))
     first = cut(components(_pairs_with(likely, sets, "shingles").mapInArrow(_confirm, "a long, b long")))
 
+    release(docs.sparkSession)
     # buckets whose other nodes are not all in one component
     placed = members.select("band", "node").join(first, "node", "left").select("band", "node", F.coalesce("root", "node").alias("comp"))
     uneven = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
@@ -298,6 +299,7 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     if maybe.isEmpty():
         return first
 
+    release(docs.sparkSession)
     # full sets of the trees of plausible links, in blocks
     trees = cut(components(maybe).select(F.col("node").alias("comp"), F.col("root").alias("tree")))
     inside = first.select("node", F.col("root").alias("comp")).join(trees, "comp")
@@ -348,7 +350,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows with a null id cannot be told apart and all stay.
     """
-    kept = near_duplicates(docs, id_col, text_col).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col)).distinct()
+    judged = near_duplicates(docs, id_col, text_col).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    judged = cut(judged.select(F.col("doc_id").alias(id_col), "kept", "n"))
+    release(docs.sparkSession)
+    # mostly few ids, so texts stay where they are; only rows of kept ids that repeat are dealt by id
+    gone, again = judged.filter("NOT kept OR n > 1").select(id_col), judged.filter("kept AND n > 1").select(id_col)
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    known = docs.join(kept, id_col, "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-    return known.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    once = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, id_col, "left_anti")
+    known = _only(docs, again, id_col).withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    # rows with a null id match no key and are part of `once`
+    return once.select(*docs.columns).unionByName(known.select(*docs.columns))

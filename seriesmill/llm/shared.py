@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -38,6 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files and checkpoints that no DataFrame refers to any more.
+
+    Its cleaner follows the garbage collectors of both processes, which a driver with little to
+    do seldom runs; loops call this between their rounds.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def runs(keys: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     """Bounds of the runs of equal keys in sorted columns."""
     n = len(keys[0])
