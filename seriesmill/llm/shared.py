@@ -12,9 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: rows of one Arrow batch that a Python function returns
 OUT_ROWS = 512
+#: rows of one Arrow batch that a Python function gets
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of `BATCH_ROWS`, unless the session asks for fewer.
+
+    Rows hold whole texts and sets, so the default of 10,000 rows can fill what an executor has
+    outside its heap.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
