@@ -7,21 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from seriesmill.llm import bpe, mixing, near_dedup, quality, secrets
-from seriesmill.llm.shared import shared_folder, table
+from seriesmill.llm.shared import shared_folder, small_batches, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules keep."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that of the smallest id."""
+    small_batches(spark)
     return near_dedup.one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark."""
+    small_batches(spark)
     return secrets.redact(docs)
 
 
@@ -32,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document and the bytes they decode to."""
+    small_batches(spark)
     return bpe.encode_decode(docs)
 
 
