@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from seriesmill.functions.columns import round6
-from seriesmill.operators import metrics, policy, reports
+from seriesmill.operators import metrics, policy, reports, segments
 from seriesmill.plans.registry import query
-from seriesmill.operators import linear
 from seriesmill.plans.model_queries import X, fit_cte
-from seriesmill.plans.split_queries import WALK, walk_rows
+from seriesmill.plans.split_queries import WALK, walk_panel
 from seriesmill.plans.sqltext import POINT, position_sql, quantile_cte, rounded, spearman_cte, tail_select
 
 SHARES = ", ".join(f"{p / 100.0}::DOUBLE" for p in policy.COVERAGE_PERCENTILES)
@@ -44,7 +43,7 @@ VALUES = ("rmse, mae, dir_acc, ic, spread, tstat, top_mean, bottom_mean, monoton
 
 def predicted_folds(spark, d):
     """Validation and test rows of every embargoed fold, predicted by the ridge of its training rows."""
-    rows = linear.ridge_fit_predict(walk_rows(spark, d), X, alpha=10.0).filter("split <> 'train'")
+    rows = segments.walk_forward_predict(*walk_panel(spark, d), X, alpha=10.0)
     return rows.select("symbol", "date", "fold_id", "split", "y_true", "y_pred")
 
 

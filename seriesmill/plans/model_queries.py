@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import round6
-from seriesmill.operators import linear, splits, trees
+from seriesmill.operators import linear, segments, splits, trees
 from seriesmill.plans import panels
 from seriesmill.plans.registry import query
-from seriesmill.plans.split_queries import STATIC_ARGS, TUNED, WALK, WF, WF_ARGS, tuning_rows, walk_rows
+from seriesmill.plans.split_queries import STATIC_ARGS, TUNED, WALK, WF, WF_ARGS, tuning_rows, walk_panel, walk_rows
 from seriesmill.plans.sqltext import FORECASTS, rounded
 from seriesmill.operators.splits import walk_forward_folds
 
@@ -36,12 +36,12 @@ def _out(df, *more):
 
 @query("ols_fit_predict", predicted("0"))
 def ols_fit_predict(spark, d):
-    return _out(linear.ols_fit_predict(walk_rows(spark, d), X))
+    return _out(segments.walk_forward_predict(*walk_panel(spark, d), X, alpha=0.0, splits=("train", "val", "test")))
 
 
 @query("ridge_fit_predict", predicted("10"))
 def ridge_fit_predict(spark, d):
-    return _out(linear.ridge_fit_predict(walk_rows(spark, d), X, alpha=10.0))
+    return _out(segments.walk_forward_predict(*walk_panel(spark, d), X, alpha=10.0, splits=("train", "val", "test")))
 
 
 ALPHAS = ", ".join(f"{a}::DOUBLE" for a in linear.ALPHA_GRID)
@@ -64,7 +64,7 @@ def alpha_sql(rows: str) -> str:
 
 @query("ridge_alpha_search", alpha_sql(WALK))
 def ridge_alpha_search(spark, d):
-    return round6(linear.ridge_alpha_search(walk_rows(spark, d), X, threshold=0.1), "objective")
+    return round6(segments.walk_forward_alpha_search(*walk_panel(spark, d), X, threshold=0.1), "objective")
 
 
 @query("tuned_alpha", alpha_sql(TUNED))
@@ -108,7 +108,7 @@ def walk_forward_ridge(spark, d):
     " ORDER BY importance DESC, feature, fold_id LIMIT 10", "fold_id, feature", "importance",
     with_=WALK + ", " + fit_cte("rows_", "fold_id", "fit", "1")))
 def feature_importance(spark, d):
-    return round6(linear.feature_importance(linear.ridge_fit(walk_rows(spark, d), X), X, 10), "importance")
+    return round6(linear.feature_importance(segments.walk_forward_fit(*walk_panel(spark, d), X), X, 10), "importance")
 
 
 @query("gated_importance", rounded(

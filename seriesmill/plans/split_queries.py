@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import round6
+from seriesmill.functions.lineage import stable
 from seriesmill.operators import splits
 from seriesmill.plans import panels
 from seriesmill.plans.registry import query
@@ -133,10 +134,16 @@ WALK = FORECASTS + f""", numbered AS (SELECT * EXCLUDE (fold_id), row_number() O
   FROM numbered n JOIN folds f ON n.symbol = f.symbol AND (p BETWEEN train_lo AND train_hi OR p BETWEEN val_lo AND val_hi OR p BETWEEN test_lo AND test_hi))"""
 
 
+def walk_panel(spark, d):
+    """Forecast rows and their folds; the target reaches 21 rows ahead, which is the embargo."""
+    # both are read for the fit and for the forecasts
+    panel = stable(panels.forecasts(spark, d).drop("fold_id"))
+    return panel, stable(splits.walk_forward_folds(panel, **WF_ARGS))
+
+
 def walk_rows(spark, d):
-    """The target reaches 21 rows ahead, which is the embargo of the folds."""
-    panel = panels.forecasts(spark, d).drop("fold_id")
-    return splits.fold_rows(panel, splits.walk_forward_folds(panel, **WF_ARGS)).drop("position")
+    """Rows of every fold and split."""
+    return splits.fold_rows(*walk_panel(spark, d)).drop("position")
 
 
 TUNED = FORECASTS + ", plain AS (SELECT * EXCLUDE (fold_id) FROM forecasts)" + tuning_sql("plain") + """, rows_ AS (
