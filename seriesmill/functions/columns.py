@@ -140,10 +140,10 @@ class Series:
         return F.when(F.count(c).over(w) >= (min_periods or n), agg(c).over(w))
 
     def mean(self, c: ColumnLike, n: int, min_periods: int | None = None) -> Column:
-        return self.rolling(F.avg, c, n, min_periods)
+        return self.rolling(F.avg, finite(c), n, min_periods)
 
     def std(self, c: ColumnLike, n: int, min_periods: int | None = None) -> Column:
-        return self.rolling(F.stddev_samp, c, n, min_periods)
+        return self.rolling(F.stddev_samp, finite(c), n, min_periods)
 
     def last_known(self, c: ColumnLike) -> Column:
         return F.last(as_col(c), ignorenulls=True).over(self.so_far)
@@ -206,6 +206,35 @@ def window_sums(df: DataFrame, series: Series, sums: dict[str, str], n: int) ->
     return with_exprs(df, out).drop("_b", "_r", *[f"_{k}_{c}" for c in sums for k in "ht"])
 
 
+def frame_sums(df: DataFrame, series: Series, sums: dict[str, tuple[str, int]], block: int) -> DataFrame:
+    """Sums `{name: (sql, n)}` over the last n rows, of several lengths from `block` to twice that.
+
+    As in `window_sums`, with one block length for all: a window is the start of its block, the
+    whole block before where it reaches further, and the end of the block where it begins.
+    """
+    if not all(block <= n <= 2 * block for _, n in sums.values()):
+        raise ValueError("windows must hold one to two blocks")
+    keys = ", ".join(f"`{c}`" for c in series.by)
+    rows = series.sql_rows
+    df = with_exprs(df, {"_b": f"floor((row_number() OVER {rows} - 1) / {block})", "_r": f"(row_number() OVER {rows} - 1) % {block}"})
+
+    def part(way: str, ends: str = "CURRENT ROW") -> str:
+        order = ", ".join(f"`{c}` {way}" for c in series.order)
+        return f"(PARTITION BY {keys}, _b ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND {ends})"
+
+    zero = {c: f"coalesce({sql}, 0D)" for c, (sql, _) in sums.items()}
+    heads = {f"_h_{c}": f"sum({sql}) OVER {part('ASC')}" for c, sql in zero.items()}
+    whole = {f"_w_{c}": f"sum({sql}) OVER {part('ASC', 'UNBOUNDED FOLLOWING')}" for c, sql in zero.items()}
+    df = with_exprs(df, heads | whole)
+    df = with_exprs(df, {f"_t_{c}": f"sum({sql}) OVER {part('DESC')}" for c, sql in zero.items()})
+    out = {
+        c: f"`_h_{c}` + CASE WHEN _r = {n - 1} THEN 0D ELSE lag(`_t_{c}`, {n - 1}, 0D) OVER {rows} END"
+        f" + CASE WHEN _r < {n - 1 - block} THEN lag(`_w_{c}`, {block}, 0D) OVER {rows} ELSE 0D END"
+        for c, (_, n) in sums.items()
+    }
+    return with_exprs(df, out).drop("_b", "_r", *[f"_{k}_{c}" for c in sums for k in "htw"])
+
+
 def running_mean(
     df: DataFrame, series: Series, specs: Sequence[tuple[str, str, int]]
 ) -> DataFrame:
@@ -234,12 +263,14 @@ def running_moments(
     the next, so two partial results are merged per row whatever n is.  Sums
     from the start of a block are taken about its first value, sums to its end
     about its last value; neither is a difference of larger sums, so series
-    may drift or jump far from where they began.
+    may drift or jump far from where they began.  NaN and infinities are missing values.
     """
     if not specs:
         return df
     rows = series.sql_rows
-    df = with_exprs(df, {"_t": f"row_number() OVER {rows} - 1"})
+    read = {c: f"_x_{c}" for _, _, c, _, _ in specs}
+    df = with_exprs(df, {"_t": f"row_number() OVER {rows} - 1"} | {x: f"CASE WHEN abs(`{c}`) < double('Infinity') THEN `{c}` END" for c, x in read.items()})
+    specs = [(m, std, read[c], n, need) for m, std, c, n, need in specs]
     lengths = sorted({s[3] for s in specs})
     df = with_exprs(df, {f"_k{n}": f"floor(_t / {n})" for n in lengths})
     keys = ", ".join(f"`{c}`" for c in series.by)
@@ -292,4 +323,4 @@ def running_moments(
     names = [f"_{k}{t}_{m}" for m, *_ in specs for k in "nsq" for t in "pta"]
     names += [f"_{k}{t}_{m}" for m, *_ in specs for k in "mv" for t in "ap"]
     names += [f"_{k}_{m}" for m, *_ in specs for k in ("b", "e", "ba")]
-    return df.drop("_t", *names, *[f"_k{n}" for n in lengths])
+    return df.drop("_t", *read.values(), *names, *[f"_k{n}" for n in lengths])

@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from seriesmill.functions.columns import finite
 
 #: fixed candidate values of the shock and persistence weights
 ALPHAS = (0.02, 0.05, 0.08, 0.1, 0.15, 0.2, 0.3)
@@ -72,7 +75,8 @@ def garch_variance(
         pdf[out] = variance_path(pdf[ret].to_numpy(float), refit, min_obs)
         return pdf[[symbol, date, out]]
 
-    known = df.select(symbol, date, ret).filter(f"{ret} IS NOT NULL")
+    # a return that is no number is a missing row
+    known = df.select(symbol, date, finite(ret).cast("double").alias(ret)).filter(F.col(ret).isNotNull())
     types = dict(df.dtypes)
     fitted = known.groupBy(symbol).applyInPandas(
         one_series, f"{symbol} {types[symbol]}, {date} {types[date]}, {out} double"

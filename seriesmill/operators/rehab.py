@@ -39,7 +39,7 @@ def return_zscore(df, n: int = 252, columns=RETURN_COLUMNS, series=SERIES) -> Da
     present = [c for c in columns if c in df.columns]
     df = running_moments(df, series, [(f"_mean_{c}", f"_std_{c}", c, n, n) for c in present])
     return with_exprs(
-        df, {f"{c}_Z": f"(`{c}` - `_mean_{c}`) / (`_std_{c}` + 1e-8D)" for c in present}
+        df, {f"{c}_Z": f"CASE WHEN abs(`{c}`) < double('Infinity') THEN (`{c}` - `_mean_{c}`) / (`_std_{c}` + 1e-8D) END" for c in present}
     ).drop(*[f"_{k}_{c}" for c in present for k in ("mean", "std")])
 
 
@@ -107,8 +107,8 @@ def zscore126_detrend20(
     df = running_moments(df, series, [("_mean", "_std", spread, n, n)])
     return df.withColumns(
         {
-            f"{spread}_Z": (F.col(spread) - F.col("_mean")) / (F.col("_std") + 1e-8),
-            "PCR_Detrend": F.col(ratio) / (series.mean(ratio, m) + 1e-8),
+            f"{spread}_Z": (finite(spread) - F.col("_mean")) / (F.col("_std") + 1e-8),
+            "PCR_Detrend": finite(ratio) / (series.mean(ratio, m) + 1e-8),
         }
     ).drop("_mean", "_std")
 

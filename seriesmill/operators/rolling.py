@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import (
-    Series, clip, divide, finite, running_mean, running_moments, window_sums, with_exprs,
+    Series, clip, divide, finite, frame_sums, running_mean, running_moments, window_sums, with_exprs,
 )
 
 SERIES = Series()
@@ -63,29 +63,21 @@ def rolling_slope(df, n, price="close", out=None, series=SERIES) -> DataFrame:
 def rolling_hurst(df, price="close", n=100, max_lag=20, out="Hurst", series=SERIES) -> DataFrame:
     """Half the slope of ln(variance of k-row differences) on ln(k), in [0, 1].
 
-    A window holds n prices, hence n - k differences of lag k.  Their moments
-    are differences of running sums, so a row costs the same for any n.
+    A window holds n prices, hence n - k differences of lag k.  Their sums are put together from
+    blocks, so a row costs the same for any n and a wild price is forgotten with its window.
     """
     lags = range(2, min(n // 2, max_lag))
     log_k = [math.log(k) for k in lags]
     mean = sum(log_k) / len(log_k)
     spread = sum((x - mean) ** 2 for x in log_k)
-    rows, so_far = series.sql_rows, series.sql_so_far
+    rows = series.sql_rows
     df = df.withColumn("_p", finite(price))
     df = with_exprs(df, {f"_d{k}": f"_p - lag(_p, {k}) OVER {rows}" for k in lags})
     sums = {}
     for k in lags:
-        sums[f"_s{k}"] = f"coalesce(sum(_d{k}) OVER {so_far}, 0D)"
-        sums[f"_q{k}"] = f"coalesce(sum(_d{k} * _d{k}) OVER {so_far}, 0D)"
-        sums[f"_c{k}"] = f"count(_d{k}) OVER {so_far}"
-    df = with_exprs(df, sums)
-    last = {}
-    for k in lags:
-        m = n - k
-        last[f"_s{k}"] = f"(_s{k} - lag(_s{k}, {m}, 0D) OVER {rows}) / {m}"
-        last[f"_q{k}"] = f"(_q{k} - lag(_q{k}, {m}, 0D) OVER {rows}) / {m}"
-        last[f"_c{k}"] = f"_c{k} - lag(_c{k}, {m}, 0L) OVER {rows}"
-    df = with_exprs(df, last)
+        sums |= {f"_s{k}": (f"_d{k}", n - k), f"_q{k}": (f"_d{k} * _d{k}", n - k), f"_c{k}": (f"CASE WHEN _d{k} IS NOT NULL THEN 1D END", n - k)}
+    df = frame_sums(df, series, sums, n - max(lags))
+    df = with_exprs(df, {f"_{x}{k}": f"_{x}{k} / {n - k}" for k in lags for x in "sq"})
     # rounding noise of a constant difference is not a variance
     terms = [
         f"CASE WHEN _c{k} = {n - k} AND _q{k} - _s{k} * _s{k} > _q{k} * 1e-12D "
@@ -168,7 +160,7 @@ def macro_ffill(df, column, out="ISM_PMI", series=SERIES) -> DataFrame:
 def rolling_zscore(df, column, n=252, min_periods=None, out="UMich_Sentiment", series=SERIES) -> DataFrame:
     """(x - mean) / std with half the window as minimum."""
     df = running_moments(df, series, [("_mean", "_std", column, n, min_periods or n // 2)])
-    return df.withColumn(out, divide(F.col(column) - F.col("_mean"), "_std")).drop("_mean", "_std")
+    return df.withColumn(out, divide(finite(column) - F.col("_mean"), "_std")).drop("_mean", "_std")
 
 
 def implied_realized_gap(df, implied, ret, n=20, out="Imp_Real_Gap", series=SERIES) -> DataFrame:

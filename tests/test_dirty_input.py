@@ -102,3 +102,49 @@ def test_known_leaks_are_listed(spark):
     rows = checks.leakage_correlation(df, ["noise", "BigMove_x"], "Target_1M").collect()
     leaks = checks.known_leaks(["noise", "BigMove_x"], "Target_1M")
     assert [r.feature for r in rows][: len(leaks)] == leaks and all(r.suspicious for r in rows if r.feature in leaks)
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf"), None])
+def test_bad_returns_are_missing_returns(spark, bad):
+    from seriesmill.operators import garch, rehab
+
+    rng = np.random.default_rng(5)
+    values = rng.normal(0, 0.01, 400).tolist()
+    rows = [("A", DAY + dt.timedelta(i), v if i != 60 else bad) for i, v in enumerate(values)]
+    schema = "symbol string, date date, ret double"
+    with_bad, with_null = spark.createDataFrame(rows, schema), spark.createDataFrame([r if i != 60 else (*r[:2], None) for i, r in enumerate(rows)], schema)
+    for make in (
+        lambda df: garch.garch_variance(df, min_obs=252),
+        lambda df: rolling.rv_ratio(df, "ret", out="x"),
+        lambda df: rehab.return_zscore(df, 50, ["ret"]),
+        lambda df: rehab.zscore126_detrend20(df, "ret", "ret", 50).drop("PCR_Detrend"),
+        lambda df: rehab.zscore126_detrend20(df, "ret", "ret", 50),
+        lambda df: rolling.rolling_zscore(df, "ret", 50, out="x"),
+    ):
+        one, two = ([r[-1] for r in make(df).orderBy("date").collect()] for df in (with_bad, with_null))
+        assert one == two and sum(v is not None for v in one) > 100
+        assert not any(v is not None and v != v for v in one)
+
+
+@pytest.mark.parametrize("place", [0, 40, 79, 80, 81, 120])
+def test_hurst_forgets_a_wild_price(spark, place):
+    rng = np.random.default_rng(6)
+    values = np.cumsum(rng.normal(0, 1, 500)) + 100
+    wild = values.copy()
+    wild[place] = 1e9
+    plain, hit = ([r.Hurst for r in rolling.rolling_hurst(series(spark, v)).orderBy("date").collect()] for v in (values, wild))
+    assert all(v is not None for v in hit[99:])
+    # windows that begin after it are those of the clean series
+    assert hit[place + 100 :] == pytest.approx(plain[place + 100 :], abs=1e-9)
+
+
+def test_sums_of_several_lengths(spark):
+    from seriesmill.functions.columns import Series, frame_sums
+
+    values = np.random.default_rng(7).normal(size=60)
+    df = series(spark, values, "v")
+    sums = {f"s{n}": ("v", n) for n in range(7, 15)}
+    out = frame_sums(df, Series(), sums, 7).orderBy("date").toPandas()
+    for n in range(7, 15):
+        want = [values[max(0, i - n + 1) : i + 1].sum() for i in range(60)]
+        assert np.allclose(out[f"s{n}"], want, atol=1e-12)
