@@ -11,7 +11,8 @@ from seriesmill.functions.columns import Series, corr, count_if, divide
 from seriesmill.functions.lineage import stable
 from seriesmill.operators.metrics import information_coefficient
 from seriesmill.operators.policy import evaluate_policy, sharpe_of
-from seriesmill.operators.ranking import spearman, value_counts, with_ranks
+from seriesmill.functions.prefix import running
+from seriesmill.operators.ranking import spearman, with_ranks
 
 #: fixed name parts of columns derived from the target
 LEAK_PATTERNS = ("BigMove", "BigMoveUp", "BigMoveDown", "Log_Target", "Target_")
@@ -129,15 +130,12 @@ def null_model_shuffle(df: DataFrame, target="y_true", seeds=range(5), keys=("sy
     A seeded hash of the row key orders the rows; the row at a place receives
     the target of the row at that place of the shuffled order.
     """
-    seed = F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed")
-    rows = stable(df.select(*keys, F.col(target).alias("y_true")).filter(F.col("y_true").isNotNull())).select(
-        "*", seed).withColumns(
-        {"_key": F.struct(*keys), "_mixed": F.struct(F.md5(F.concat_ws("|", "seed", *keys)).alias("h"), *keys)})
-    place = value_counts(rows, "_key", ["seed"]).select("seed", "_key", F.col("below").alias("_place"))
-    mixed = value_counts(rows, "_mixed", ["seed"]).select("seed", "_mixed", F.col("below").alias("_place"))
-    here = rows.join(place, ["seed", "_key"]).select("seed", "_place", "y_true")
-    there = rows.join(mixed, ["seed", "_mixed"]).select("seed", "_place", F.col("y_true").alias("y_pred"))
-    paired = stable(here.join(there, ["seed", "_place"]))
+    rows = stable(df.select(*keys, F.col(target).alias("y_true")).filter(F.col("y_true").isNotNull()).withColumn("_all", F.lit(0)))
+    # places by key are those of every seed
+    here = running(rows, ["_all"], keys, {"_place": ("count", "y_true")}).select("_place", "y_true")
+    seeded = rows.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds]))).withColumn("_mixed", F.md5(F.concat_ws("|", "seed", *keys)))
+    there = running(seeded, ["seed"], ["_mixed", *keys], {"_place": ("count", "y_true")}).select("seed", "_place", F.col("y_true").alias("y_pred"))
+    paired = there.join(here, "_place")
     ic = information_coefficient(paired, ["seed"]).select("seed", "ic")
     gain = F.when(F.col("y_pred") != 0, F.signum("y_pred") * F.col("y_true"))
     per_seed = paired.groupBy("seed").agg(sharpe_of(gain, 252).alias("sharpe")).join(ic, "seed")

@@ -1,103 +1,142 @@
 """Ranks and exact quantiles of groups of any size.
 
-A plain ranking window sorts a whole group in one task.  Here values are first
-counted per distinct value (combined before the shuffle), large groups are cut
-at some of their own values, the pieces are counted independently and offsets
-of the pieces are added.  The cut points are picked by a hash of the value, so
-every recomputation picks the same ones.
+A plain ranking window sorts a whole group in one task.  Here rows are dealt by range of (group,
+value) and, within equal values, by row, so that neither a large group nor a value that many rows
+share makes a large task.  Rows are ranked within their piece.  What lies before a piece, and how far
+a value goes on into its neighbours, follows from prefix sums over the pieces of a group, at most
+two rows a piece, which are broadcast.  Ranks thus come back by position; nothing is joined by value.
+
+`value_counts` is for callers that want one row for each distinct value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import corr
 from seriesmill.functions.lineage import stable
+from seriesmill.functions.prefix import PIECE, continued, dealt, running
 
-#: expected number of distinct values ranked by one task
-PIECE_ROWS = 1_000_000
+#: rows of a group that one task ranks
+GROUP_ROWS = 1_000_000
 
 
-def value_counts(
-    df: DataFrame, value: str, by: Sequence[str], piece_rows: int = PIECE_ROWS
-) -> DataFrame:
-    """One row per (group, distinct value): `ties`, `below`, `total`.
+def value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """One row per (group, distinct value): `ties` and `below`, the rows of the group with a smaller value.
 
-    `below` is the number of rows of the group with a smaller value.
+    Groups must not be null.
     """
     by = list(by)
-    keys, v = [f"`{k}`" for k in by], f"`{value}`"
-    group = ", ".join(keys)
-    counts = df.filter(f"{v} IS NOT NULL").groupBy(*by, value).agg(F.expr("count(*) AS ties"))
-    cuts = (
-        counts.filter(f"pmod(xxhash64({v}), {piece_rows}) = 0")
-        .groupBy(*by)
-        .agg(F.expr(f"sort_array(collect_list({v})) AS _cuts"))
-    )
-    pieces = counts.join(cuts, by, "left").selectExpr(
-        *keys, v, "ties",
-        f"CASE WHEN _cuts IS NULL THEN 0 ELSE size(filter(_cuts, cut -> cut <= {v})) END AS _piece",
-    )
-    offsets = (
-        pieces.groupBy(*by, "_piece")
-        .agg(F.expr("sum(ties) AS _rows"))
-        .selectExpr(
-            *keys, "_piece",
-            f"sum(_rows) OVER (PARTITION BY {group} ORDER BY _piece) - _rows AS _offset",
-            f"sum(_rows) OVER (PARTITION BY {group}) AS total",
-        )
-    )
-    return (
-        pieces.selectExpr("*", f"sum(ties) OVER (PARTITION BY {group}, _piece ORDER BY {v}) AS _upto")
-        .join(offsets, [*by, "_piece"])
-        .selectExpr(*keys, v, "ties", "_offset + _upto - ties AS below", "total")
-    )
-
-
-def with_ranks(
-    df: DataFrame,
-    values: dict[str, str],
-    by: Sequence[str],
-    *,
-    is_series: bool = False,
-    piece_rows: int = PIECE_ROWS,
-) -> DataFrame:
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("ties"))
+    summed = running(counts, by, [value], {"_upto": ("sum", "ties")})
+    return summed.select(*by, value, "ties", (F.col("_upto") - F.col("ties")).alias("below"))
+
+
+def _same(by: Sequence[str], left: str, right: str) -> Column:
+    cond = F.col(f"{left}.{PIECE}") == F.col(f"{right}.{PIECE}")
+    for k in by:
+        cond = cond & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return cond
+
+
+def _neighbours(pieces: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """For each piece of a group that has several: rows before it, and where its end values begin and end.
+
+    `_before` and `_all` count rows of the group; `_low` and `_high` are the end values of the
+    piece, `_low_from` the rows below the first, `_high_to` the rows up to the second, in the group.
+    """
+    groups = continued(pieces, by) if by else pieces.select(F.lit(1).alias("_any")).limit(1)
+    known = pieces.filter(F.col(value).isNotNull()).select(PIECE, *by, value)
+    same_group = F.lit(True)
+    for k in by:
+        same_group = same_group & F.col(f"p.{k}").eqNullSafe(F.col(f"g.{k}"))
+    if by:
+        known = known.alias("p").join(F.broadcast(groups.alias("g")), same_group, "left_semi")
+    bounds = known.groupBy(PIECE, *by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    held = known.alias("p").join(F.broadcast(bounds.alias("b")), _same(by, "p", "b"))
+    v = F.col(f"p.{value}")
+    counts = held.groupBy(*[F.col(f"p.{k}").alias(k) for k in (PIECE, *by)]).agg(
+        F.first("_low").alias("_low"), F.first("_high").alias("_high"), F.count("*").alias("_n"),
+        F.count_if(v == F.col("_low")).alias("_n_low"), F.count_if(v == F.col("_high")).alias("_n_high"))
+    order = Window.partitionBy(*by).orderBy(PIECE)
+    earlier, later = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    single = F.col("_low") == F.col("_high")
+    counts = counts.withColumns({
+        "_before": F.sum("_n").over(earlier) - F.col("_n"), "_all": F.sum("_n").over(Window.partitionBy(*by)),
+        "_goes_back": F.coalesce(F.lag("_high").over(order) == F.col("_low"), F.lit(False)),
+        "_goes_on": F.coalesce(F.lead("_low").over(order) == F.col("_high"), F.lit(False))})
+    # a piece of one value that goes on has no begin (or end) of its own for it
+    counts = counts.withColumns({
+        "_begin": F.when(~(single & F.col("_goes_back")), F.col("_before") + F.col("_n") - F.col("_n_high")),
+        "_end": F.when(~(single & F.col("_goes_on")), F.col("_before") + F.col("_n_low"))})
+    counts = counts.withColumns({"_begin": F.last("_begin", ignorenulls=True).over(earlier), "_end": F.first("_end", ignorenulls=True).over(later)})
+    return counts.select(
+        PIECE, *by, "_before", "_all", "_low", "_high",
+        F.when(F.col("_goes_back"), F.lag("_begin").over(order)).otherwise(F.col("_before")).alias("_low_from"),
+        F.when(F.col("_goes_on"), F.lead("_end").over(order)).otherwise(F.col("_before") + F.col("_n")).alias("_high_to"),
+    )
+
+
+def _by_position(df: DataFrame, value: str, by: list[str], prefix: str) -> DataFrame:
+    """`df` with the ranks of one value."""
+    names = df.columns
+    # the row number spreads rows of one value; ranks do not depend on it
+    pieces = dealt(df.withColumn("_row", F.monotonically_increasing_id()), by, [value, "_row"])
+    inside = Window.partitionBy(PIECE, *by)
+    v = F.col(value)
+    local = pieces.withColumns({
+        "_upto": F.count(v).over(inside.orderBy(value)), "_same": F.count(v).over(Window.partitionBy(PIECE, *by, value)), "_here": F.count(v).over(inside)})
+    joined = local.alias("r").join(F.broadcast(_neighbours(pieces, value, by).alias("n")), _same(by, "r", "n"), "left")
+    v, before = F.col(f"r.{value}"), F.coalesce("_before", F.lit(0))
+    below = F.when(v == F.col("_low"), F.col("_low_from")).otherwise(before + F.col("_upto") - F.col("_same"))
+    upto = F.when(v == F.col("_high"), F.col("_high_to")).otherwise(before + F.col("_upto"))
+    return joined.select(
+        *[F.col(f"r.`{c}`") for c in names],
+        *[F.when(v.isNotNull(), x).alias(f"{prefix}_{c}") for c, x in (("below", below), ("ties", upto - below), ("total", F.coalesce("_all", "_here")))])
+
+
+def _window_ranks(df: DataFrame, values: dict[str, str], by: Sequence[str]) -> DataFrame:
+    group = ", ".join(f"`{k}`" for k in by) or "0"
+    cells = []
+    for prefix, value in values.items():
+        v = f"`{value}`"
+        known = f"CASE WHEN {v} IS NOT NULL THEN"
+        cells += [
+            f"{known} CAST(rank() OVER (PARTITION BY {group} ORDER BY {v} ASC NULLS LAST) - 1 AS BIGINT) END AS {prefix}_below",
+            f"{known} count({v}) OVER (PARTITION BY {group}, {v}) END AS {prefix}_ties",
+            f"{known} count({v}) OVER (PARTITION BY {group}) END AS {prefix}_total",
+        ]
+    return df.selectExpr("*", *cells)
+
+
+def with_ranks(df: DataFrame, values: dict[str, str], by: Sequence[str], *, is_series: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add `<prefix>_below`, `<prefix>_ties`, `<prefix>_total` per {prefix: value}.
 
     Rows whose value is null get nulls.  `is_series=True` promises that a group
     is (part of) one dated series and so is bounded by the calendar; then
-    ranking windows are used.  Otherwise the rows are written once, so that all
-    counts see the same values and nothing before them runs again.
+    ranking windows are used.  Otherwise the rows are written, so that all counts see the same
+    values, and their groups counted: with at most `group_rows` rows in each, windows serve as well;
+    beyond that rows are dealt by range and written once for each value.
     """
     by = list(by)
     if is_series:
-        group = ", ".join(f"`{k}`" for k in by)
-        cells = []
-        for prefix, value in values.items():
-            v = f"`{value}`"
-            known = f"CASE WHEN {v} IS NOT NULL THEN"
-            cells += [
-                f"{known} CAST(rank() OVER (PARTITION BY {group} ORDER BY {v} ASC NULLS LAST) - 1 AS BIGINT) END AS {prefix}_below",
-                f"{known} count({v}) OVER (PARTITION BY {group}, {v}) END AS {prefix}_ties",
-                f"{known} count({v}) OVER (PARTITION BY {group}) END AS {prefix}_total",
-            ]
-        return df.selectExpr("*", *cells)
-    rows = stable(df)
-    out = rows
+        return _window_ranks(df, values, by)
+    # counted, and dealt by range, which looks at the rows twice
+    out = stable(df)
+    largest = out.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= group_rows:
+        return _window_ranks(out, values, by)
     for prefix, value in values.items():
-        counts = value_counts(rows, value, by, piece_rows).withColumnsRenamed(
-            {c: f"{prefix}_{c}" for c in ("ties", "below", "total")}
-        )
-        out = out.join(counts, [*by, value], "left")
+        out = _by_position(out, value, by, prefix)
     added = [f"{p}_{c}" for p in values for c in ("below", "ties", "total")]
     return out.select(*df.columns, *added)
 
 
-def with_rank(df, value, by, prefix, *, is_series=False, piece_rows=PIECE_ROWS) -> DataFrame:
-    return with_ranks(df, {prefix: value}, by, is_series=is_series, piece_rows=piece_rows)
+def with_rank(df, value, by, prefix, *, is_series=False, group_rows=GROUP_ROWS) -> DataFrame:
+    return with_ranks(df, {prefix: value}, by, is_series=is_series, group_rows=group_rows)
 
 
 def average_rank(prefix: str) -> Column:
