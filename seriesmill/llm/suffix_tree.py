@@ -1,80 +1,90 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Words are counted over all training documents.  Symbols of the tree are the words with a share
-of at least `SYMBOL_SHARE` of all tokens, the end of a document, and one symbol for all
-other words.  Contexts grow level by level: a context of depth d is tried if it has at least
-`CONTEXT_SHARE` of all tokens and its suffix is in the tree's candidates.  One pass a level
-counts the next symbols of all candidates over all training documents.  A context stays if the
-distribution after it diverges from that after its suffix by more than its parameters cost
-(half a logarithm of its count each).
-
-The distribution of a context is interpolated with that of its longest kept suffix, by the
-number of next symbols it has seen; only next symbols with `ENTRY_SHARE` of all tokens are kept, the
-rest of the mass goes to the suffix.  A text is scored with the longest kept suffix at each
-token.  A word outside the symbols costs its class and its own share in the class; an unseen word
-takes the share that words seen once have.
-
-Shares bound what is broadcast or sent to the driver whatever the size of the corpus: at most
-1 / WORD_SHARE words, and for each depth 1 / CONTEXT_SHARE contexts and 1 / ENTRY_SHARE entries.
-Counts of rarer words are joined to the documents.
+Words are counted over all training documents; every word is a symbol of its own.  Contexts are
+the last 1 .. `depth` symbols before a token, a text being preceded by one end; contexts don't
+reach beyond it.  A context or a next symbol is counted if it occurs `LEAST` times, a fixed
+number, so the tree grows with the corpus.  A context stays if the distribution after it diverges
+from that after its suffix by more than its parameters cost (half a logarithm of its count each);
+levels end where no context stays.
+
+The distribution of a context is interpolated with that of its suffix, with one imagined count for each
+counted next symbol; the mass of the others goes to the suffix, whose distribution is that of
+its own longest kept suffix.  Below all contexts a word has its share; the words not seen
+share what words seen once have.
+
+A gram of d + 1 words is the next symbol of a context of depth d and itself the context of the next
+token.  So the score of a text is the sum over its words of the logarithm of their share,
+and over its grams of one number each: what the gram adds as a next symbol (the logarithm of the
+ratio to the suffix's probability, less that of the mass left to the suffix) and as a context
+(the logarithm of the mass left).  Grams are tables of 64-bit hashes, one a level, and grow, are judged and
+score by joins.  Grams and words with a share of `OFTEN` of all tokens or more, at most
+1 / OFTEN for each length whatever the size of the corpus, are broadcast instead: hot keys are
+never shuffled.  A bitmap of fixed size keeps most grams that score nothing out of the shuffles.
 
 Defined results: null and empty texts are one end token; a null id is never held out; equal rows
 get equal results; without training tokens every score is that of a word not seen; extra columns
-are not read.
+are not read; a long text is a block of its own, in arrays of some tens of bytes a word.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.llm import text as words_of
-from seriesmill.llm.shared import cut
+from seriesmill.llm.shared import cut, release, shared_folder
 
+#: longest context
 DEPTH = 3
-WORD_SHARE = 1e-6
-SYMBOL_SHARE = 1e-5
-CONTEXT_SHARE = 1e-5
-ENTRY_SHARE = 1e-6
+#: occurrences a context or a next symbol needs, at any size of the corpus
+LEAST = 2
+#: share of all tokens from which words and grams are broadcast; rarer ones are joined
+OFTEN = 1e-6
+#: bits of a bitmap, a fixed number; more keys only make it less selective
+BITS = 1 << 26
+#: grams that are counted together before they leave a task
+HELD = 1 << 21
 
-
-@dataclass
-class Level:
-    """Contexts of one depth; the key of a context is suffix number * symbols + oldest symbol."""
-
-    keys: np.ndarray  # sorted
-    kept: np.ndarray | None = None  # whether the context stays
-    scale: np.ndarray | None = None  # its count with the imagined ones
-    left: np.ndarray | None = None  # mass for the suffix
-    entry_keys: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))  # context * symbols + symbol
-    entry_counts: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
+_END = np.uint64(0x6A09E667F3BCC909)
+_STEP = np.uint64(0xD1342543DE82EF95)
 
 
 @dataclass
-class Tree:
-    hashes: np.ndarray  # of the frequent words, sorted
-    counts: np.ndarray
-    symbols: np.ndarray  # symbol of each frequent word
-    size: int  # symbols; size - 2 is the end, size - 1 any other word
-    ends: int
-    total: int  # training tokens
-    distinct: int
-    once: int  # words seen once
-    root: np.ndarray | None = None  # probability of each symbol
-    levels: list[Level] = field(default_factory=list)
-
-    @property
-    def end(self) -> int:
-        return self.size - 2
+class Line:
+    """The symbols of the texts of a block, one end before and one after each."""
 
-    @property
-    def other(self) -> int:
-        return self.size - 1
+    symbol: np.ndarray
+    owner: np.ndarray  # text
+    rank: np.ndarray  # place in its text, 0: the end before it
+    is_end: np.ndarray  # the end after it
+
+    def grams(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For d = 1 .. longest the hash of the d symbols up to each place, and whether they are in its text."""
+        gram = np.zeros(len(self.symbol), dtype=np.uint64)
+        for d in range(1, longest + 1):
+            before = np.zeros_like(gram)
+            before[1:] = gram[:-1]
+            gram = self.symbol + _STEP * before
+            yield d, gram, self.rank >= d - 1
+
+
+def line(block: words_of.Block) -> Line:
+    sizes = np.diff(block.words) + 2
+    last = np.cumsum(sizes) - 1
+    owner = np.repeat(np.arange(block.n), sizes)
+    rank = np.arange(len(owner)) - (last - sizes + 1)[owner]
+    is_end = np.zeros(len(owner), dtype=bool)
+    is_end[last] = True
+    symbol = np.full(len(owner), _END, dtype=np.uint64)
+    symbol[~is_end & (rank > 0)] = block.hashes
+    return Line(symbol, owner, rank, is_end)
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -85,233 +95,239 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-@dataclass
-class Tokens:
-    """All tokens of a block: the words of each text and one end."""
-
-    word: np.ndarray  # place of each token among the frequent words, -1: rare or end
-    symbol: np.ndarray
-    owner: np.ndarray  # text
-    rank: np.ndarray  # place in its text
-    is_end: np.ndarray
-
-
-def tokens(tree: Tree, block: words_of.Block) -> Tokens:
-    n, texts = len(block.hashes), block.n
-    owner = np.repeat(np.arange(texts), np.diff(block.words) + 1)
-    starts = block.words[:-1] + np.arange(texts)
-    is_end = np.zeros(n + texts, dtype=bool)
-    is_end[block.words[1:] + np.arange(texts)] = True
-    word = np.full(n + texts, -1, dtype=np.int64)
-    word[~is_end] = find(tree.hashes, block.hashes)
-    symbol = np.where(word >= 0, tree.symbols[np.maximum(word, 0)] if len(tree.symbols) else tree.other, tree.other)
-    symbol[is_end] = tree.end
-    return Tokens(word, symbol, owner, np.arange(n + texts) - starts[owner], is_end)
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return words_of.mix(keys) & np.uint64(bits - 1)
 
 
-def states(tree: Tree, t: Tokens, depth: int) -> Iterator[np.ndarray]:
-    """For each depth the number of the candidate context before each token, or -1.
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits set for the long column `k`; `BITS` / 64 numbers at most reach the driver."""
+    bits_of_all = BITS
 
-    A text is preceded by one end; contexts don't reach beyond it.
-    """
-    state = np.zeros(len(t.symbol), dtype=np.int64)
-    padded = np.concatenate((np.full(depth, tree.end), t.symbol))
-    for d in range(1, depth + 1):
-        older = padded[depth - d : depth - d + len(t.symbol)]
-        usable = (state >= 0) & (t.rank >= d - 1) & (older != tree.other)
-        state = np.where(usable, find(tree.levels[d - 1].keys, state * tree.size + older), -1)
-        yield state
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = np.unique(_slots(batch["k"].to_numpy().view(np.uint64), bits_of_all))
+            place, first = np.unique(slots >> np.uint64(6), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (slots & np.uint64(63)), first) if len(slots) else slots
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(bits.view(np.int64))], names=["place", "bits"])
+
+    rows = keys.select("k").mapInArrow(run, "place int, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    made = np.zeros(bits_of_all // 64, dtype=np.uint64)
+    made[rows["place"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return made
+
+
+def maybe(made: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False for keys that are certainly not in a bitmap."""
+    slots = _slots(keys, len(made) * 64)
+    return (made[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and read it again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/suffix-tree-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _counted(columns: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    """Distinct rows, which the first column tells apart, and their numbers."""
+    whole = [np.concatenate(c) for c in columns]
+    kinds, first, counts = np.unique(whole[0], return_index=True, return_counts=True)
+    arrays = [kinds, *(c[first] for c in whole[1:])]
+    return pa.RecordBatch.from_arrays([*(pa.array(a.view(np.int64)) for a in arrays), pa.array(counts)], names=[*names, "n"])
+
+
+def _gathered(pieces: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    held: list[list[np.ndarray]] = [[] for _ in names]
+    size = 0
+    for piece in pieces:
+        for own, new in zip(held, piece, strict=True):
+            own.append(new)
+        size += len(piece[0])
+        if size >= HELD:
+            yield _counted(held, names)
+            held, size = [[] for _ in names], 0
+    if size:
+        yield _counted(held, names)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[words_of.Block]:
+    for batch in batches:
+        yield from words_of.blocks(batch["text"], lower=True)
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        held: list[np.ndarray] = []
-        size = 0
-        for block in words_of.blocks(batch["text"], lower=True):
-            held.append(block.hashes)
-            size += len(block.hashes)
-            if size > 1 << 20:
-                yield _counted(np.concatenate(held), ("hash", "n"))
-                held, size = [], 0
-        if held:
-            yield _counted(np.concatenate(held), ("hash", "n"))
+    yield from _gathered(([block.hashes] for block in _blocks(batches)), ["hash"])
 
 
-def _counted(values: np.ndarray, names: tuple[str, str]) -> pa.RecordBatch:
-    kinds, counts = np.unique(values, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(counts)], names=list(names))
+def _next_symbols(depth: int, shared):
+    """Grams of depth + 1 symbols and their contexts, if those may be candidates."""
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        for block in _blocks(batches):
+            own = line(block)
+            *_, (_, context, _), (_, gram, inside) = own.grams(depth + 1)
+            at = np.flatnonzero(inside)
+            before = context[at - 1]
+            if shared is not None:
+                known = maybe(shared.value, before)
+                at, before = at[known], before[known]
+            yield [gram[at], before]
 
-def _next_symbols(shared, depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        for batch in batches:
-            held: list[np.ndarray] = []
-            size = 0
-            for block in words_of.blocks(batch["text"], lower=True):
-                t = tokens(tree, block)
-                *_, state = states(tree, t, depth)
-                known = state >= 0
-                held.append(state[known] * tree.size + t.symbol[known])
-                size += len(held[-1])
-                if size > 1 << 20:
-                    yield _counted(np.concatenate(held), ("code", "n"))
-                    held, size = [], 0
-            if held:
-                yield _counted(np.concatenate(held), ("code", "n"))
+    return lambda batches: _gathered(pieces(batches), ["gram", "context"])
 
-    return run
 
+def _with_parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The gram without its oldest symbol, and whether its last one is the end."""
+    for batch in batches:
+        gram, context, suffix = (batch[c].to_numpy().view(np.uint64) for c in ("gram", "context", "suffix"))
+        symbol = gram - _STEP * context
+        parent = symbol + _STEP * suffix
+        yield pa.RecordBatch.from_arrays(
+            [batch["gram"], batch["context"], batch["n"], batch["total"], pa.array(parent.view(np.int64)), pa.array(symbol == _END)],
+            names=["gram", "context", "n", "total", "parent", "is_end"],
+        )
 
-def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
-    rows = df.select(*names).toArrow()
-    return [rows[n].to_numpy() for n in names]
 
+def grow(train: DataFrame, counts: DataFrame, ends: int, weight: int, depth: int) -> list[DataFrame]:
+    """The levels of the tree: `gram, context, n, total, parent, is_end, parent_p, kept, left, p` of each next symbol.
 
-def grow(tree: Tree, train: DataFrame, depth: int) -> None:
-    """Fit the levels of the tree, one pass over the training texts each."""
+    `counts` has words with their hashes; `weight` is that of all words, those not seen included.
+    """
     spark = train.sparkSession
-    least_context = max(CONTEXT_SHARE * tree.total, 2)
-    least_entry = max(ENTRY_SHARE * tree.total, 2)
-    symbol_counts = np.zeros(tree.size, dtype=np.float64)
-    np.add.at(symbol_counts, tree.symbols, tree.counts)
-    symbol_counts[tree.end] = tree.ends or 0.5
-    symbol_counts[tree.other] = 0
-    weight = tree.total + tree.once
-    tree.root = symbol_counts / max(weight, 1)
-    tree.root[tree.other] = max(1 - tree.root.sum(), 1e-300)
-
-    keys = np.flatnonzero(symbol_counts >= least_context).astype(np.int64)
-    paths = keys[:, None]  # symbols of each context, the newest first
+    end = int(_END.view(np.int64))
+    whole = counts.filter(F.col("n") >= LEAST).select(F.col("hash").alias("gram"), "n")
+    whole = whole.unionByName(spark.range(1).select(F.lit(end).alias("gram"), F.lit(ends).cast("long").alias("n")).filter(F.col("n") >= LEAST))
+    contexts = whole.select(F.col("gram").alias("context"), F.col("n").alias("total"), F.lit(0).cast("long").alias("suffix"))
+    parents = whole.select(F.col("gram").alias("parent"), (F.col("n") / F.lit(float(weight))).alias("parent_p"))
+    levels: list[DataFrame] = []
     for d in range(1, depth + 1):
-        if not len(keys):
+        # nearly all words are candidates, but few longer strings are
+        known = spark.sparkContext.broadcast(bitmap(contexts.select(F.col("context").alias("k")))) if d > 1 else None
+        counted = train.mapInArrow(_next_symbols(d, known), "gram long, context long, n long").groupBy("gram", "context").agg(F.sum("n").alias("n"))
+        counted = stored(counted.filter(F.col("n") >= LEAST))
+        release(spark)
+        rows = counted.join(contexts, "context").select("gram", "context", "n", "total", "suffix")
+        rows = rows.mapInArrow(_with_parents, "gram long, context long, n long, total long, parent long, is_end boolean").join(parents, "parent")
+        rows = stored(rows)
+        level = stored(_judged(rows))
+        levels.append(level)
+        release(spark)
+        if d == depth or level.filter("kept").isEmpty():
             break
-        level = Level(keys)
-        tree.levels.append(level)
-        shared = spark.sparkContext.broadcast(tree)
-        counted = train.mapInArrow(_next_symbols(shared, d), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        counted = cut(counted)
-        contexts, totals, kinds = _columns(
-            counted.groupBy(F.expr(f"code div {tree.size}").alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), "context", "total", "kinds"
-        )
-        total, kind = np.zeros(len(keys)), np.zeros(len(keys))
-        total[contexts], kind[contexts] = totals, kinds
-        codes, counts = _columns(counted.filter(F.col("n") >= least_entry), "code", "n")
-        order = np.argsort(codes)
-        level.entry_keys, level.entry_counts = codes[order], counts[order]
-        _judge(tree, level, paths, total, kind)
-        # next level: strings of d + 1 symbols that are frequent, with their suffix in this level
-        often = level.entry_counts >= least_context
-        context, last = level.entry_keys[often] // tree.size, level.entry_keys[often] % tree.size
-        longer = np.concatenate((last[:, None], paths[context]), axis=1)
-        longer = longer[(last != tree.other) & (last != tree.end)]
-        suffix = _number(tree, longer[:, :-1])
-        longer, suffix = longer[suffix >= 0], suffix[suffix >= 0]
-        keys = suffix * tree.size + longer[:, -1]
-        order = np.argsort(keys)
-        keys, paths = keys[order], longer[order]
-
-
-def _number(tree: Tree, paths: np.ndarray) -> np.ndarray:
-    """Number of each context, given by its symbols with the newest first; -1: not there."""
-    state = np.zeros(len(paths), dtype=np.int64)
-    for d in range(paths.shape[1]):
-        state = np.where(state >= 0, find(tree.levels[d].keys, state * tree.size + paths[:, d]), -1)
-    return state
-
-
-def _judge(tree: Tree, level: Level, paths: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> None:
-    """Smoothing of the contexts of a new level, and which of them stay."""
-    context, symbol = level.entry_keys // tree.size, level.entry_keys % tree.size
-    # one imagined count for each symbol seen
-    level.scale = np.maximum(total + kinds, 1)
-    seen = np.bincount(context, weights=level.entry_counts, minlength=len(total))
-    level.left = 1 - seen / level.scale
-    # divergence from the suffix over the kept symbols and the rest of them
-    parent = np.full(len(context), -1.0)
-    parents = paths[context]
-    parent = after(tree, len(tree.levels) - 1, [parents[:, j] for j in range(paths.shape[1] - 1)], symbol)
-    share = level.entry_counts / np.maximum(total[context], 1)
-    gain = np.bincount(context, weights=level.entry_counts * np.log(share / parent), minlength=len(total))
-    parent_rest = np.maximum(1 - np.bincount(context, weights=parent, minlength=len(total)), 1e-12)
+        contexts = level.filter("NOT is_end").select(F.col("gram").alias("context"), F.col("n").alias("total"), F.col("parent").alias("suffix"))
+        parents = level.select(F.col("gram").alias("parent"), F.col("p").alias("parent_p"))
+    return levels
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """Smoothing of the contexts of a level, which of them stay, and probabilities of their next symbols."""
+    total, seen = F.col("total"), F.col("seen")
     rest = total - seen
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain += np.where(rest > 0, rest * np.log(rest / np.maximum(total, 1) / parent_rest), 0.0)
-    kept_symbols = np.bincount(context, minlength=len(total)) + 1
-    level.kept = gain > 0.5 * kept_symbols * np.log(np.maximum(total, 2))
-
-
-def after(tree: Tree, depth: int, context: list[np.ndarray], symbol: np.ndarray) -> np.ndarray:
-    """Probability of symbols after contexts of at most `depth` symbols, newest first."""
-    p = tree.root[symbol]
-    state = np.zeros(len(symbol), dtype=np.int64)
-    for d in range(min(depth, len(context))):
-        state = np.where(state >= 0, find(tree.levels[d].keys, state * tree.size + context[d]), -1)
-        p = _step(tree, tree.levels[d], state, symbol, p)
-    return p
-
-
-def _step(tree: Tree, level: Level, state: np.ndarray, symbol: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Probabilities one level deeper, where there is a kept context."""
-    known = state >= 0
-    known[known] = level.kept[state[known]]
-    at = np.flatnonzero(known)
-    if not len(at):
-        return p
-    entry = find(level.entry_keys, state[at] * tree.size + symbol[at])
-    counts = np.where(entry >= 0, level.entry_counts[np.maximum(entry, 0)] if len(level.entry_counts) else 0, 0)
-    out = p.copy()
-    out[at] = counts / level.scale[state[at]] + level.left[state[at]] * p[at]
-    return out
+    by_context = rows.groupBy("context").agg(
+        F.first("total").alias("total"), F.sum("n").alias("seen"), F.count("*").alias("kinds"),
+        F.sum(F.col("n") * F.ln(F.col("n") / total / F.col("parent_p"))).alias("gain"), F.sum("parent_p").alias("mass"),
+    )
+    gain = F.col("gain") + F.when(rest > 0, rest * F.ln(rest / total / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
+    scale = total + F.col("kinds")
+    by_context = by_context.select(
+        "context", (gain > 0.5 * (F.col("kinds") + 1) * F.ln(F.greatest(total, F.lit(2)))).alias("kept"), scale.alias("scale"), ((scale - seen) / scale).alias("left")
+    )
+    p = F.when(F.col("kept"), F.col("n") / F.col("scale") + F.col("left") * F.col("parent_p")).otherwise(F.col("parent_p"))
+    return rows.join(by_context, "context").select("gram", "context", "n", "total", "parent", "is_end", "parent_p", "kept", "left", p.alias("p"))
+
+
+def values(levels: list[DataFrame]) -> DataFrame:
+    """What grams add to a score: `k, n, own`; a gram may have one row as next symbol and one as context."""
+    parts = []
+    for level in levels:
+        kept = level.filter("kept")
+        parts.append(kept.select(F.col("gram").alias("k"), "n", (F.log10(F.col("p") / F.col("parent_p")) - F.log10("left")).alias("own")))
+        parts.append(kept.groupBy(F.col("context").alias("k")).agg(F.first("total").alias("n"), F.log10(F.first("left")).alias("own")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+@dataclass
+class Often:
+    """What is known of frequent words and grams, and the bitmap of all other grams that count."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    grams: np.ndarray
+    own: np.ndarray
+    rest: np.ndarray
+    depth: int
+    ends: int
+    once: int  # words seen once
+
+
+DOC = "doc struct<doc_id long, held_out boolean, n_tokens long, known long, base double, own double>"
 
 
 def _scores(shared):
-    """Sums over the tokens with a known count, and the rare words of each text."""
+    """A row for each text with the sums of what is broadcast, and one for each other gram or word of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        log_counts = np.log10(tree.counts) if len(tree.counts) else np.zeros(0)
-        log_more = np.log10(tree.counts + 1.0)
+        often = shared.value
         for batch in batches:
             for block in words_of.blocks(batch["text"], lower=True):
-                t = tokens(tree, block)
-                p = tree.root[t.symbol]
-                for level, state in zip(tree.levels, states(tree, t, len(tree.levels)), strict=True):
-                    p = _step(tree, level, state, t.symbol, p)
-                own = np.log10(p)
-                frequent = t.word >= 0
-                place = t.word[frequent]
-                base = np.zeros(len(p))
-                base[frequent] = log_more[place]
-                base[t.is_end] = np.log10(tree.ends + 1.0)
-                # frequent words outside the symbols: their share of the class
-                extra = np.zeros(len(p))
-                extra[frequent] = np.where(tree.symbols[place] == tree.other, log_counts[place], 0.0)
-                others = np.bincount(t.owner, weights=t.symbol == tree.other, minlength=block.n).astype(np.int64)
-                known = np.bincount(t.owner, weights=frequent | (t.is_end & (tree.ends > 0)), minlength=block.n).astype(np.int64)
-                rare = np.flatnonzero(~frequent & ~t.is_end)
-                # a word's place in the block is its token's place less the ends before it
-                hashes, owner = block.hashes[rare - t.owner[rare]], t.owner[rare]
-                order = np.lexsort((hashes, owner))
-                hashes, owner = hashes[order], owner[order]
-                first = np.ones(len(hashes), dtype=bool)
-                first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-                at = np.flatnonzero(first)
-                times = np.diff(np.append(at, len(hashes)))
-                offsets = pa.array(np.searchsorted(owner[at], np.arange(block.n + 1)).astype(np.int32))
-                rows = batch.slice(block.first, block.n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows["key"], rows["doc_id"], rows["held_out"], pa.array(np.diff(block.words) + 1), pa.array(known), pa.array(others),
-                        pa.array(np.bincount(t.owner, weights=base, minlength=block.n)), pa.array(np.bincount(t.owner, weights=own + extra, minlength=block.n)),
-                        pa.ListArray.from_arrays(offsets, pa.array(hashes[at].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-                    ],
-                    names=["key", "doc_id", "held_out", "n_tokens", "known", "others", "base", "own", "rare", "times"],
-                )
+                yield from _block_scores(often, batch.slice(block.first, block.n), line(block), block.n)
 
     return run
 
 
+def _block_scores(often: Often, rows: pa.RecordBatch, own: Line, n: int) -> Iterator[pa.RecordBatch]:
+    add = lambda at, x: np.bincount(own.owner[at], weights=x, minlength=n)
+    word = np.flatnonzero(~own.is_end & (own.rank > 0))
+    place = find(often.words, own.symbol[word])
+    at, place, rare = word[place >= 0], place[place >= 0], word[place < 0]
+    counts = often.counts[place].astype(float)
+    known = add(at, np.ones(len(at))) + (often.ends > 0)
+    base = add(at, np.log10(counts + 1)) + np.log10(often.ends + 1.0)
+    # a word not in the tables counts as not seen until the join
+    sums = add(at, np.log10(counts)) + add(rare, np.full(len(rare), np.log10(often.once))) + np.log10(often.ends or 0.5)
+    asked, askers = [own.symbol[rare]], [own.owner[rare]]
+    for d, gram, inside in own.grams(often.depth + 1 if often.depth else 0):
+        at = np.flatnonzero(inside & ~own.is_end if d == 1 else inside)
+        place = find(often.grams, gram[at])
+        sums += add(at[place >= 0], often.own[place[place >= 0]])
+        at = at[place < 0]
+        at = at[maybe(often.rest, gram[at])]
+        if d == 1:  # rare words are asked for once, as words
+            at = np.setdiff1d(at, rare, assume_unique=True)
+        asked.append(gram[at])
+        askers.append(own.owner[at])
+    keys, owners = np.concatenate(asked), np.concatenate(askers)
+    order = np.lexsort((keys, owners))
+    keys, owners = keys[order], owners[order]
+    first = np.ones(len(keys), dtype=bool)
+    first[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
+    at = np.flatnonzero(first)
+    times = np.diff(np.append(at, len(keys))).astype(np.int32)
+    n_tokens = np.bincount(own.owner, minlength=n) - 1
+    doc = pa.StructArray.from_arrays(
+        [rows["doc_id"], rows["held_out"], pa.array(n_tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(sums)],
+        names=["doc_id", "held_out", "n_tokens", "known", "base", "own"],
+    )
+    names = ["key", "k", "times", "doc"]
+    yield pa.RecordBatch.from_arrays([rows["key"], rows["key"], pa.array(np.zeros(n, dtype=np.int32)), doc], names=names)
+    asker = rows["key"].to_numpy()
+    for low in range(0, len(at), 1 << 16):
+        part = at[low : low + (1 << 16)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(asker[owners[part]]), pa.array(keys[part].view(np.int64)), pa.array(times[low : low + (1 << 16)]), pa.nulls(len(part), doc.type)], names=names
+        )
+
+
+def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+    """Columns of a bounded table, sorted by the first as unsigned numbers."""
+    rows = df.select(*names).toArrow()
+    key, *others = (rows[n].to_numpy() for n in names)
+    order = np.argsort(key.view(np.uint64))
+    return [key.view(np.uint64)[order], *(o[order] for o in others)]
+
+
 def score(docs: DataFrame, held_out, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: `doc_id`, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score`.
 
@@ -325,43 +341,38 @@ def score(docs: DataFrame, held_out, depth: int = DEPTH, id_col: str = "doc_id",
     counts = cut(train.mapInArrow(_unigrams, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
     words, kinds, once = counts.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1)).first()
     ends = train.count()
-    total = (words or 0) + ends
-    often = counts.filter(F.col("n") >= max(WORD_SHARE * total, 1))
-    hashes, often_counts = _columns(often, "hash", "n")
-    hashes = hashes.view(np.uint64)
-    order = np.argsort(hashes)
-    hashes, often_counts = hashes[order], often_counts[order]
-    is_symbol = often_counts >= SYMBOL_SHARE * total
-    size = int(is_symbol.sum()) + 2
-    symbols = np.where(is_symbol, np.cumsum(is_symbol) - 1, size - 1)
-    tree = Tree(hashes, often_counts, symbols, size, ends, total, kinds + (ends > 0), max(once, 1))
-    grow(tree, train, depth)
-
-    parts = base.mapInArrow(
-        _scores(spark.sparkContext.broadcast(tree)),
-        "key long, doc_id long, held_out boolean, n_tokens long, known long, others long, base double, own double, rare array<long>, times array<int>",
-    )
-    parts = cut(parts)
-    scarce = counts.filter(F.col("n") < max(WORD_SHARE * total, 1))
-    rare = parts.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
-    rare = rare.join(scarce, "hash", "left").groupBy("key").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("rare_base"),
-        F.sum(F.col("times") * F.log10(F.coalesce(F.col("n").cast("double"), F.lit(float(tree.once))))).alias("rare_own"),
+    total, once = (words or 0) + ends, max(once, 1)
+    weight = max(total + once, 1)
+    often = F.col("n") >= max(OFTEN * total, 1)
+    frequent = _columns(counts.filter(often), "hash", "n")
+    word = counts.filter(~often).select(
+        F.col("hash").alias("k"), (F.log10("n") - F.lit(float(np.log10(once)))).alias("own"), F.log10(F.col("n") + 1.0).alias("base"), F.lit(1).alias("known")
     )
+    levels = grow(train, counts, ends, weight, depth) if total else []
+    grams, added, rest = np.empty(0, dtype=np.uint64), np.empty(0), np.zeros(BITS // 64, dtype=np.uint64)
+    if levels:
+        gram = stored(values(levels))
+        release(spark)
+        grams, added = _columns(gram.filter(often).groupBy("k").agg(F.sum("own").alias("own")), "k", "own")
+        gram = gram.filter(~often)
+        rest = bitmap(gram)
+        word = word.unionAll(gram.select("k", "own", F.lit(0.0).alias("base"), F.lit(0).alias("known")))
+    shared = spark.sparkContext.broadcast(Often(*frequent, grams, added, rest, len(levels), ends, once))
+    rows = base.mapInArrow(_scores(shared), f"key long, k long, times int, {DOC}")
     # equal rows share a key, so sums over a key count them all
-    whole = parts.groupBy("key").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "known", "others", "base", "own")])
-    whole = whole.join(rare, "key", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    part = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("copies")
-    norm = float(np.log10(total + tree.distinct + 1))
-    # of the class of other words a word has its count over the weight of the class
-    class_weight = float(np.log10(max(tree.root[tree.other] * max(total + tree.once, 1), 1e-300)))
+    times = lambda c: F.sum(F.col("times") * F.coalesce(F.col(c), F.lit(0)))
+    whole = rows.join(word, "k", "left").groupBy("key").agg(
+        F.count("doc").alias("copies"), F.first("doc", ignorenulls=True).alias("doc"), times("own").alias("own"), times("base").alias("base"), times("known").alias("known")
+    )
+    whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    part = lambda c: F.col(f"doc.{c}") + F.col(c) / F.col("copies")
+    tokens = F.col("doc.n_tokens")
     return whole.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.round(part("rare_known")).cast("long")).alias("n_known"),
+        "doc.doc_id",
+        "doc.held_out",
+        "doc.n_tokens",
+        F.round(part("known")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + part("rare_base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        (F.col("own") + part("rare_own") - F.col("others") * F.lit(class_weight)).alias("score"),
+        (part("base") - tokens * F.lit(float(np.log10(total + kinds + (ends > 0) + 1)))).alias("base_score"),
+        (part("own") - tokens * F.lit(float(np.log10(weight)))).alias("score"),
     )

@@ -3,7 +3,6 @@ import random
 import zlib
 from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,64 +35,138 @@ def test_base_and_gain_on_held_out_texts(spark, sf):
     assert sum(r.score for r in far) > sum(r.base_score for r in far)
 
 
-def test_rare_words_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(st, "WORD_SHARE", 2e-4)
-    monkeypatch.setattr(st, "SYMBOL_SHARE", 1e-3)
-    monkeypatch.setattr(st, "CONTEXT_SHARE", 1e-3)
+def test_rare_words_and_grams_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(st, "OFTEN", 2e-4)
     test_base_and_gain_on_held_out_texts(spark, "sf0.001")
 
 
-def fitted(spark, rows, depth=3):
-    """The tree of all rows, by way of the scoring function."""
-    kept = {}
-    original = st.grow
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, key string, known int").repartition(5)
 
-    def spy(tree, train, d):
-        original(tree, train, d)
-        kept["tree"] = tree
 
-    st.grow = spy
-    try:
-        got = st.score(frame(spark, rows), lambda i: i < 0, depth).collect()
-    finally:
-        st.grow = original
-    return kept["tree"], got
+class Plain:
+    """The tree by dictionaries: tuples of words, the oldest first, None for an end."""
+
+    def __init__(self, texts, depth):
+        seen = Counter(w for t in texts for w in t[1:])
+        self.once = max(sum(n == 1 for w, n in seen.items() if w is not None), 1)
+        self.words, self.weight = seen, max(sum(seen.values()) + self.once, 1)
+        self.after, self.left, self.scale = {}, {}, {}
+        for d in range(1, depth + 1):
+            found = {}
+            for t in texts:
+                for i in range(d, len(t)):
+                    found.setdefault(tuple(t[i - d : i]), Counter())[t[i]] += 1
+            for context, following in found.items():
+                total = sum(following.values())
+                counted = {w: n for w, n in following.items() if n >= 2}
+                parent = {w: self.p(context[1:], w) for w in counted}
+                rest = total - sum(counted.values())
+                gain = sum(n * math.log(n / total / parent[w]) for w, n in counted.items())
+                if rest:
+                    gain += rest * math.log(rest / total / max(1 - sum(parent.values()), 1e-12))
+                if counted and gain > 0.5 * (len(counted) + 1) * math.log(max(total, 2)):
+                    self.after[context] = counted
+                    self.scale[context] = total + len(counted)
+                    self.left[context] = (self.scale[context] - sum(counted.values())) / self.scale[context]
+            if not any(len(c) == d for c in self.after):
+                break
+
+    def p(self, context, w):
+        if not context:
+            return (self.words[w] or (0.5 if w is None else self.once)) / self.weight
+        below = self.p(context[1:], w)
+        if context not in self.after:
+            return below
+        return self.after[context].get(w, 0) / self.scale[context] + self.left[context] * below
+
+    def score(self, t, depth):
+        return sum(math.log10(self.p(tuple(t[max(i - depth, 0) : i]), t[i])) for i in range(1, len(t)))
+
+
+def split(text):
+    return [None, *plain.WORDS.findall(plain.lower(text or "")), None]
+
+
+def equals_plain(got, rows, out, depth=3):
+    tree = Plain([split(t) for i, t in rows if not out(i)], depth)
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for r in got:
+        expected = tree.score(split(texts[r.doc_id]), depth)
+        assert abs(r.score - expected) < 1e-6 * max(1, abs(expected))
+    return tree
 
 
-def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, key string, known int").repartition(5)
+@pytest.mark.parametrize("often", [1e-6, 1e-3, 1.0])
+def test_scores_equal_a_plain_tree(spark, monkeypatch, often):
+    monkeypatch.setattr(st, "OFTEN", often)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = queries.op7_lm_scoring(spark, "/root/testdata/sf0.001").collect()
+    tree = equals_plain(got, [(r.doc_id, r.text) for r in docs.collect()], held)
+    assert all(any(len(c) == d for c in tree.after) for d in (1, 2))
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(st, "BITS", bits)
+    monkeypatch.setattr(st, "OFTEN", 1e-2)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 2) for _ in range(rng.randint(0, 80)))) for i in range(150)]
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(40)]
+    equals_plain(st.score(frame(spark, rows), lambda i: i % 5 == 0).collect(), rows, lambda i: i % 5 == 0)
 
 
-def test_distributions_sum_to_one(spark):
+def test_distributions_sum_to_one():
     rng = random.Random(4)
-    tree, _ = fitted(spark, [(i, " ".join(rng.choice("abcdefgh") for _ in range(60))) for i in range(200)])
-    assert abs(tree.root.sum() - 1) < 1e-9
-    everything = np.arange(tree.size)
-    for a in range(tree.size - 1):
-        for b in range(0, tree.size - 1, 3):
-            full = st.after(tree, 3, [np.full(tree.size, a), np.full(tree.size, b), np.full(tree.size, 1)], everything)
-            assert abs(full.sum() - 1) < 1e-9 and (full > 0).all()
+    tree = Plain([[None, *(rng.choice("abcdefgh") for _ in range(60)), None] for _ in range(200)], 3)
+    for context in [("a",), ("a", "b"), ("c", "a", "b"), (None,), (None, "a")]:
+        # the last part is that of words not seen
+        assert abs(sum(tree.p(context, w) for w in [*"abcdefgh", None]) + tree.p(context, "?") - 1) < 1e-9
 
 
 def test_contexts_are_kept_only_where_they_matter(spark):
     rng = random.Random(9)
     even = [(i, " ".join(rng.choice("abcd") for _ in range(100))) for i in range(200)]
-    tree, _ = fitted(spark, even)
-    ends = tree.levels[0].keys == tree.end
-    assert not tree.levels[0].kept[~ends].any()
+    tree = equals_plain(st.score(frame(spark, even), lambda i: i < 0).collect(), even, lambda i: False)
+    assert set(c for c in tree.after if len(c) == 1) <= {(None,)}
     rows = []
     for i in range(200):
         own = ["a", "b"]
         for _ in range(100):  # the next letter follows from the last two
             own.append("abcd"[("abcd".index(own[-1]) + 2 * "abcd".index(own[-2])) % 4] if rng.random() < 0.9 else rng.choice("abcd"))
         rows.append((i, " ".join(own)))
-    tree, got = fitted(spark, rows)
-    assert tree.levels[1].kept.mean() > 0.75 and (len(tree.levels) < 3 or tree.levels[2].kept.mean() < 0.3)
+    got = st.score(frame(spark, rows), lambda i: i < 0).collect()
+    tree = equals_plain(got, rows, lambda i: False)
+    assert sum(len(c) == 2 and None not in c for c in tree.after) >= 12 and sum(len(c) == 3 and None not in c for c in tree.after) < 20
     # about 0.9 and a share of the rest are right
     mean = sum(r.score for r in got) / sum(r.n_tokens for r in got)
     assert mean > -0.35 and sum(r.base_score for r in got) / sum(r.n_tokens for r in got) < -0.55
 
 
+def test_the_tree_grows_with_the_corpus(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+
+    def entries(n):
+        rows = []
+        for i in range(n):  # texts that occur twice, of pairs of words seen nowhere else
+            rows += [(2 * i, (t := " ".join(rng.choices(words, k=30)))), (2 * i + 1, t)]
+        texts = frame(spark, rows).select("text")
+        counts = texts.mapInArrow(st._unigrams, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).cache()
+        levels = st.grow(texts, counts, len(rows), 31 * len(rows), 3)
+        return [level.filter("kept").count() for level in levels]
+
+    small, large = entries(100), entries(400)
+    assert large[0] > 3 * small[0] > 3000
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(8)
+    rows = [(1, " ".join(rng.choices("abc", k=300_000))), (2, "a b c a b c"), (3, "x" * 1_000_000)]
+    equals_plain(st.score(frame(spark, rows), lambda i: i < 0).collect(), rows, lambda i: False)
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (None, "a q"), (4, "A  B\tC")]
     got = sorted(((r.doc_id or -1, r.n_tokens, r.n_known) for r in st.score(frame(spark, rows), lambda i: i == 4).collect()))
