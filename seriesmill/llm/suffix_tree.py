@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.llm import text as words_of
-from seriesmill.llm.shared import cut, release, shared_folder
+from seriesmill.llm.shared import cut, release, shared_folder, sorted_groups
 
 #: longest context
 DEPTH = 3
@@ -51,6 +51,10 @@ OFTEN = 1e-6
 BITS = 1 << 26
 #: grams that are counted together before they leave a task
 HELD = 1 << 21
+#: tokens for each bucket of contexts
+BUCKET = 1 << 20
+#: share of all tokens from which the grams of a context are spread over all buckets
+HOT = 1e-3
 
 _END = np.uint64(0x6A09E667F3BCC909)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -122,60 +126,120 @@ def maybe(made: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (made[slots >> np.uint64(6)] >> (slots & np.uint64(63))) & np.uint64(1) == 1
 
 
-def stored(df: DataFrame) -> DataFrame:
+@dataclass
+class Table:
+    """A DataFrame written to the shared folder."""
+
+    path: str
+    df: DataFrame
+
+    def drop(self) -> None:
+        path = self.df.sparkSession._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame) -> Table:
     """Write `df` to the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/suffix-tree-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    release(spark)
+    return Table(path, spark.read.schema(df.schema).parquet(path))
 
 
-def _counted(columns: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    """Distinct rows, which the first column tells apart, and their numbers."""
-    whole = [np.concatenate(c) for c in columns]
-    kinds, first, counts = np.unique(whole[0], return_index=True, return_counts=True)
-    arrays = [kinds, *(c[first] for c in whole[1:])]
-    return pa.RecordBatch.from_arrays([*(pa.array(a.view(np.int64)) for a in arrays), pa.array(counts)], names=[*names, "n"])
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[words_of.Block]:
+    for batch in batches:
+        yield from words_of.blocks(batch["text"], lower=True)
 
 
-def _gathered(pieces: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    held: list[list[np.ndarray]] = [[] for _ in names]
+def _gathered(pieces: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """Pieces put together until they hold `HELD` numbers."""
+    held: list[list[np.ndarray]] = []
     size = 0
     for piece in pieces:
-        for own, new in zip(held, piece, strict=True):
-            own.append(new)
+        held.append(piece)
         size += len(piece[0])
         if size >= HELD:
-            yield _counted(held, names)
-            held, size = [[] for _ in names], 0
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, size = [], 0
     if size:
-        yield _counted(held, names)
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[words_of.Block]:
-    for batch in batches:
-        yield from words_of.blocks(batch["text"], lower=True)
+def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (hashes,) in _gathered([block.hashes] for block in _blocks(batches)):
+        kinds, counts = np.unique(hashes, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(counts)], names=["hash", "n"])
 
 
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _gathered(([block.hashes] for block in _blocks(batches)), ["hash"])
+@dataclass
+class Candidates:
+    """What a pass over the texts knows of the contexts it counts."""
+
+    hot: np.ndarray  # contexts of a large share of all tokens, sorted
+    counted: np.ndarray | None  # bitmap of the grams of the last level
+    buckets: int
+
+
+PACKED = "bucket int, contexts binary, kinds binary, grams binary, counts binary"
 
 
 def _next_symbols(depth: int, shared):
-    """Grams of depth + 1 symbols and their contexts, if those may be candidates."""
+    """Grams of depth + 1 symbols by context, as arrays for each bucket.
+
+    A gram that occurs often enough has a context and a gram without its oldest symbol that do.
+    The buckets are those of contexts; grams of hot contexts are spread over all.
+    """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        counted = shared.value.counted
         for block in _blocks(batches):
             own = line(block)
             *_, (_, context, _), (_, gram, inside) = own.grams(depth + 1)
             at = np.flatnonzero(inside)
-            before = context[at - 1]
-            if shared is not None:
-                known = maybe(shared.value, before)
-                at, before = at[known], before[known]
-            yield [gram[at], before]
+            if counted is not None:
+                at = at[maybe(counted, context[at - 1])]
+                at = at[maybe(counted, context[at])]
+            yield [gram[at], context[at - 1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, buckets = shared.value.hot, np.uint64(shared.value.buckets)
+        for gram, context in _gathered(pieces(batches)):
+            gram, first, n = np.unique(gram, return_index=True, return_counts=True)
+            context = context[first]
+            bucket = (words_of.mix(np.where(find(hot, context) >= 0, gram, context)) % buckets).astype(np.int32)
+            order = np.lexsort((context, bucket))
+            gram, context, bucket, n = gram[order], context[order], bucket[order], n[order].astype(np.int32)
+            bounds = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                heads = np.flatnonzero(np.diff(context[low:high], prepend=~context[low : low + 1]))
+                kinds = np.diff(np.append(heads, high - low)).astype(np.int32)
+                row = [context[low:high][heads], kinds, gram[low:high], n[low:high]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[low : low + 1]), *(pa.array([c.tobytes()], pa.binary()) for c in row)], names=["bucket", "contexts", "kinds", "grams", "counts"]
+                )
 
-    return lambda batches: _gathered(pieces(batches), ["gram", "context"])
+    return run
+
+
+def _merged(least: int):
+    """Grams of the buckets of a sorted partition with at least `least` occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, ["bucket"]):
+            whole = [np.frombuffer(b"".join(rows[c].to_pylist()), dtype) for c, dtype in zip(("contexts", "kinds", "grams", "counts"), ("u8", "i4", "u8", "i4"), strict=True)]
+            context = np.repeat(whole[0], whole[1])
+            order = np.argsort(whole[2], kind="stable")
+            gram = whole[2][order]
+            heads = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
+            n = np.add.reduceat(whole[3][order].astype(np.int64), heads)
+            some = n >= least
+            heads = heads[some]
+            arrays = [gram[heads].view(np.int64), context[order[heads]].view(np.int64), n[some]]
+            for low in range(0, len(heads), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(a[low : low + (1 << 16)]) for a in arrays], names=["gram", "context", "n"])
+
+    return run
 
 
 def _with_parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +254,7 @@ def _with_parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def grow(train: DataFrame, counts: DataFrame, ends: int, weight: int, depth: int) -> list[DataFrame]:
+def grow(train: DataFrame, counts: DataFrame, ends: int, weight: int, depth: int) -> list[Table]:
     """The levels of the tree: `gram, context, n, total, parent, is_end, parent_p, kept, left, p` of each next symbol.
 
     `counts` has words with their hashes; `weight` is that of all words, those not seen included.
@@ -201,23 +265,26 @@ def grow(train: DataFrame, counts: DataFrame, ends: int, weight: int, depth: int
     whole = whole.unionByName(spark.range(1).select(F.lit(end).alias("gram"), F.lit(ends).cast("long").alias("n")).filter(F.col("n") >= LEAST))
     contexts = whole.select(F.col("gram").alias("context"), F.col("n").alias("total"), F.lit(0).cast("long").alias("suffix"))
     parents = whole.select(F.col("gram").alias("parent"), (F.col("n") / F.lit(float(weight))).alias("parent_p"))
-    levels: list[DataFrame] = []
+    buckets = weight // BUCKET + 1
+    levels: list[Table] = []
     for d in range(1, depth + 1):
+        (hot,) = _columns(contexts.filter(F.col("total") >= max(HOT * weight, LEAST)), "context")
         # nearly all words are candidates, but few longer strings are
-        known = spark.sparkContext.broadcast(bitmap(contexts.select(F.col("context").alias("k")))) if d > 1 else None
-        counted = train.mapInArrow(_next_symbols(d, known), "gram long, context long, n long").groupBy("gram", "context").agg(F.sum("n").alias("n"))
-        counted = stored(counted.filter(F.col("n") >= LEAST))
-        release(spark)
-        rows = counted.join(contexts, "context").select("gram", "context", "n", "total", "suffix")
+        counted = bitmap(levels[-1].df.select(F.col("gram").alias("k"))) if d > 1 else None
+        shared = spark.sparkContext.broadcast(Candidates(hot, counted, buckets))
+        grams = train.mapInArrow(_next_symbols(d, shared), PACKED).repartition("bucket").sortWithinPartitions("bucket")
+        found = stored(grams.mapInArrow(_merged(LEAST), "gram long, context long, n long"))
+        rows = found.df.join(contexts, "context").select("gram", "context", "n", "total", "suffix")
         rows = rows.mapInArrow(_with_parents, "gram long, context long, n long, total long, parent long, is_end boolean").join(parents, "parent")
         rows = stored(rows)
-        level = stored(_judged(rows))
+        found.drop()
+        level = stored(_judged(rows.df))
+        rows.drop()
         levels.append(level)
-        release(spark)
-        if d == depth or level.filter("kept").isEmpty():
+        if d == depth or level.df.filter("kept").isEmpty():
             break
-        contexts = level.filter("NOT is_end").select(F.col("gram").alias("context"), F.col("n").alias("total"), F.col("parent").alias("suffix"))
-        parents = level.select(F.col("gram").alias("parent"), F.col("p").alias("parent_p"))
+        contexts = level.df.filter("NOT is_end").select(F.col("gram").alias("context"), F.col("n").alias("total"), F.col("parent").alias("suffix"))
+        parents = level.df.select(F.col("gram").alias("parent"), F.col("p").alias("parent_p"))
     return levels
 
 
@@ -351,8 +418,9 @@ def score(docs: DataFrame, held_out, depth: int = DEPTH, id_col: str = "doc_id",
     levels = grow(train, counts, ends, weight, depth) if total else []
     grams, added, rest = np.empty(0, dtype=np.uint64), np.empty(0), np.zeros(BITS // 64, dtype=np.uint64)
     if levels:
-        gram = stored(values(levels))
-        release(spark)
+        gram = stored(values([level.df for level in levels])).df
+        for level in levels:
+            level.drop()
         grams, added = _columns(gram.filter(often).groupBy("k").agg(F.sum("own").alias("own")), "k", "own")
         gram = gram.filter(~often)
         rest = bitmap(gram)

@@ -117,6 +117,14 @@ def test_a_full_bitmap_changes_nothing(spark, monkeypatch, bits):
     equals_plain(st.score(frame(spark, rows), lambda i: i % 5 == 0).collect(), rows, lambda i: i % 5 == 0)
 
 
+def test_buckets_and_hot_contexts_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(st, "BUCKET", 100)
+    monkeypatch.setattr(st, "HOT", 0.1)
+    rng = random.Random(5)
+    rows = [(i, " ".join("a" if rng.random() < 0.4 else rng.choice("bcdefghi") for _ in range(50))) for i in range(100)]
+    equals_plain(st.score(frame(spark, rows), lambda i: i < 0).collect(), rows, lambda i: False)
+
+
 def test_distributions_sum_to_one():
     rng = random.Random(4)
     tree = Plain([[None, *(rng.choice("abcdefgh") for _ in range(60)), None] for _ in range(200)], 3)
@@ -155,7 +163,7 @@ def test_the_tree_grows_with_the_corpus(spark):
         texts = frame(spark, rows).select("text")
         counts = texts.mapInArrow(st._unigrams, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).cache()
         levels = st.grow(texts, counts, len(rows), 31 * len(rows), 3)
-        return [level.filter("kept").count() for level in levels]
+        return [level.df.filter("kept").count() for level in levels]
 
     small, large = entries(100), entries(400)
     assert large[0] > 3 * small[0] > 3000
