@@ -210,13 +210,12 @@ def _next_symbols(depth: int, shared):
             bucket = (words_of.mix(np.where(find(hot, context) >= 0, gram, context)) % buckets).astype(np.int32)
             order = np.lexsort((context, bucket))
             gram, context, bucket, n = gram[order], context[order], bucket[order], n[order].astype(np.int32)
-            bounds = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            for at, low, high in _pieces(bucket):
                 heads = np.flatnonzero(np.diff(context[low:high], prepend=~context[low : low + 1]))
                 kinds = np.diff(np.append(heads, high - low)).astype(np.int32)
                 row = [context[low:high][heads], kinds, gram[low:high], n[low:high]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[low : low + 1]), *(pa.array([c.tobytes()], pa.binary()) for c in row)], names=["bucket", "contexts", "kinds", "grams", "counts"]
+                    [pa.array([at], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in row)], names=["bucket", "contexts", "kinds", "grams", "counts"]
                 )
 
     return run
@@ -324,27 +323,113 @@ class Often:
     grams: np.ndarray
     own: np.ndarray
     rest: np.ndarray
+    buckets: int
     depth: int
     ends: int
     once: int  # words seen once
 
 
 DOC = "doc struct<doc_id long, held_out boolean, n_tokens long, known long, base double, own double>"
+ASKED = f"bucket int, kind int, keys binary, numbers binary, texts binary, sizes binary, key long, {DOC}"
+_ASKED = pa.schema(
+    [("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("keys", "numbers", "texts", "sizes")), ("key", pa.int64())]
+    + [("doc", pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "known")), *((c, pa.float64()) for c in ("base", "own"))]))]
+)
+#: kinds of rows of a bucket, in their order
+_KNOWN, _WANTED, _TEXT = 0, 1, 2
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((words_of.mix(keys) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _row(**columns) -> pa.RecordBatch:
+    n = len(columns["bucket"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ASKED], schema=_ASKED)
+
+
+def _pieces(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    bounds = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield int(bucket[low]), low, high
+
+
+def _packed_values(buckets: int):
+    """What words and grams add, as arrays for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("k", "own", "base", "known")
+        for key, *numbers in _gathered([batch[c].to_numpy() for c in names] for batch in batches):
+            key = key.view(np.uint64)
+            bucket = _bucket(key, buckets)
+            order = np.argsort(bucket, kind="stable")
+            key, bucket = key[order], bucket[order]
+            numbers = np.stack([x[order].astype(float) for x in numbers])
+            for at, low, high in _pieces(bucket):
+                yield _row(bucket=[at], kind=[_KNOWN], keys=[key[low:high].tobytes()], numbers=[numbers[:, low:high].tobytes()])
+
+    return run
 
 
 def _scores(shared):
-    """A row for each text with the sums of what is broadcast, and one for each other gram or word of it."""
+    """A row for each text with the sums of what is broadcast, and its other words and grams as arrays for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        for batch in batches:
-            for block in words_of.blocks(batch["text"], lower=True):
-                yield from _block_scores(often, batch.slice(block.first, block.n), line(block), block.n)
+        texts: list[pa.RecordBatch] = []
+
+        def wanted() -> Iterator[list[np.ndarray]]:
+            for batch in batches:
+                for block in words_of.blocks(batch["text"], lower=True):
+                    rows, asked = _block_scores(often, batch.slice(block.first, block.n), line(block), block.n)
+                    texts.append(rows)
+                    yield asked
+
+        for key, text, times in _gathered(wanted()):
+            bucket = _bucket(key, often.buckets)
+            order = np.lexsort((text, bucket))
+            key, text, times, bucket = (c[order] for c in (key, text, times, bucket))
+            for at, low, high in _pieces(bucket):
+                heads = np.flatnonzero(np.diff(text[low:high], prepend=~text[low : low + 1]))
+                sizes = np.diff(np.append(heads, high - low)).astype(np.int32)
+                own = [key[low:high], times[low:high], text[low:high][heads], sizes]
+                yield _row(bucket=[at], kind=[_WANTED], **{c: [x.tobytes()] for c, x in zip(("keys", "numbers", "texts", "sizes"), own, strict=True)})
+            yield from texts
+            texts.clear()
+        yield from texts
 
     return run
 
 
-def _block_scores(often: Often, rows: pa.RecordBatch, own: Line, n: int) -> Iterator[pa.RecordBatch]:
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text of the buckets of a sorted partition the sums over its words and grams there."""
+    names = ["key", "own", "base", "known", "doc"]
+    kind_of_doc = _ASKED.field("doc").type
+    for rows in sorted_groups(batches, ["bucket"]):
+        kind = rows["kind"].to_numpy()
+        known, wanted, texts = (rows.filter(pa.array(kind == k)) for k in (_KNOWN, _WANTED, _TEXT))
+        if texts.num_rows:
+            zero = pa.array(np.zeros(texts.num_rows))
+            for piece in pa.table([texts["key"], zero, zero, zero, texts["doc"]], names=names).combine_chunks().to_batches(max_chunksize=1 << 14):
+                yield piece
+        keys = np.frombuffer(b"".join(known["keys"].to_pylist()), np.uint64)
+        parts = [np.frombuffer(x, float).reshape(3, -1) for x in known["numbers"].to_pylist()]
+        if not len(keys):
+            continue
+        order = np.argsort(keys)
+        heads = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+        keys, numbers = keys[order[heads]], np.add.reduceat(np.concatenate(parts, axis=1)[:, order], heads, axis=1)
+        for own, times, text, sizes in zip(*(wanted[c].to_pylist() for c in ("keys", "numbers", "texts", "sizes")), strict=True):
+            text, sizes = np.frombuffer(text, np.int64), np.frombuffer(sizes, np.int32)
+            place, times = find(keys, np.frombuffer(own, np.uint64)), np.frombuffer(times, np.int32)
+            times = np.where(place >= 0, times, 0)
+            owner = np.repeat(np.arange(len(text)), sizes)
+            sums = [pa.array(np.bincount(owner, weights=times * x[place], minlength=len(text))) for x in numbers]
+            yield pa.RecordBatch.from_arrays([pa.array(text), *sums, pa.nulls(len(text), kind_of_doc)], names=names)
+
+
+def _block_scores(often: Often, rows: pa.RecordBatch, own: Line, n: int) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+    """Rows of the texts of a block; and the keys, texts and numbers of what is left to ask."""
     add = lambda at, x: np.bincount(own.owner[at], weights=x, minlength=n)
     word = np.flatnonzero(~own.is_end & (own.rank > 0))
     place = find(often.words, own.symbol[word])
@@ -377,14 +462,9 @@ def _block_scores(often: Often, rows: pa.RecordBatch, own: Line, n: int) -> Iter
         [rows["doc_id"], rows["held_out"], pa.array(n_tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(sums)],
         names=["doc_id", "held_out", "n_tokens", "known", "base", "own"],
     )
-    names = ["key", "k", "times", "doc"]
-    yield pa.RecordBatch.from_arrays([rows["key"], rows["key"], pa.array(np.zeros(n, dtype=np.int32)), doc], names=names)
     asker = rows["key"].to_numpy()
-    for low in range(0, len(at), 1 << 16):
-        part = at[low : low + (1 << 16)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(asker[owners[part]]), pa.array(keys[part].view(np.int64)), pa.array(times[low : low + (1 << 16)]), pa.nulls(len(part), doc.type)], names=names
-        )
+    made = _row(bucket=_bucket(asker.view(np.uint64), often.buckets), kind=np.full(n, _TEXT), key=asker, doc=doc)
+    return made, [keys[at], asker[owners[at]], times]
 
 
 def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -425,13 +505,12 @@ def score(docs: DataFrame, held_out, depth: int = DEPTH, id_col: str = "doc_id",
         gram = gram.filter(~often)
         rest = bitmap(gram)
         word = word.unionAll(gram.select("k", "own", F.lit(0.0).alias("base"), F.lit(0).alias("known")))
-    shared = spark.sparkContext.broadcast(Often(*frequent, grams, added, rest, len(levels), ends, once))
-    rows = base.mapInArrow(_scores(shared), f"key long, k long, times int, {DOC}")
+    buckets = weight // BUCKET + 1
+    shared = spark.sparkContext.broadcast(Often(*frequent, grams, added, rest, buckets, len(levels), ends, once))
+    rows = base.mapInArrow(_scores(shared), ASKED).unionAll(word.mapInArrow(_packed_values(buckets), ASKED))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answered, f"key long, own double, base double, known double, {DOC}")
     # equal rows share a key, so sums over a key count them all
-    times = lambda c: F.sum(F.col("times") * F.coalesce(F.col(c), F.lit(0)))
-    whole = rows.join(word, "k", "left").groupBy("key").agg(
-        F.count("doc").alias("copies"), F.first("doc", ignorenulls=True).alias("doc"), times("own").alias("own"), times("base").alias("base"), times("known").alias("known")
-    )
+    whole = rows.groupBy("key").agg(F.count("doc").alias("copies"), F.first("doc", ignorenulls=True).alias("doc"), *(F.sum(c).alias(c) for c in ("own", "base", "known")))
     whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     part = lambda c: F.col(f"doc.{c}") + F.col(c) / F.col("copies")
     tokens = F.col("doc.n_tokens")
