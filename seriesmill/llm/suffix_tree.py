@@ -16,10 +16,11 @@ A gram of d + 1 words is the next symbol of a context of depth d and itself the
 token.  So the score of a text is the sum over its words of the logarithm of their share,
 and over its grams of one number each: what the gram adds as a next symbol (the logarithm of the
 ratio to the suffix's probability, less that of the mass left to the suffix) and as a context
-(the logarithm of the mass left).  Grams are tables of 64-bit hashes, one a level, and grow, are judged and
-score by joins.  Grams and words with a share of `OFTEN` of all tokens or more, at most
+(the logarithm of the mass left).  Grams are tables of 64-bit hashes, one a level.  One pass over the texts for each
+level counts the next symbols of its contexts and looks up the grams of the level before, in one shuffle by
+buckets of hashes, and is done with these.  Grams and words with a share of `OFTEN` of all tokens or more, at most
 1 / OFTEN for each length whatever the size of the corpus, are broadcast instead: hot keys are
-never shuffled.  A bitmap of fixed size keeps most grams that score nothing out of the shuffles.
+not shuffled to be looked up.  A bitmap of fixed size keeps most grams that score nothing out of the shuffles.
 
 Defined results: null and empty texts are one end token; a null id is never held out; equal rows
 get equal results; without training tokens every score is that of a word not seen; extra columns
@@ -91,12 +92,34 @@ def line(block: words_of.Block) -> Line:
     return Line(symbol, owner, rank, is_end)
 
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places in sorted keys, -1 where absent."""
-    if not len(keys):
-        return np.full(len(wanted), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+@dataclass
+class Index:
+    """Sorted distinct keys and where each beginning of a key starts; finds many keys at once."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    shift: int
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> Index:
+        bits = len(keys).bit_length() + 1
+        first = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        return cls(keys, first.astype(np.int32), 64 - bits)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places in the keys, -1 where absent."""
+        place = np.full(len(wanted), -1, dtype=np.int32)
+        start = (wanted >> np.uint64(self.shift)).astype(np.int32)
+        low, high = self.first[start], self.first[start + 1]
+        open_ = np.flatnonzero(low < high)
+        low, high, wanted = low[open_], high[open_], wanted[open_]
+        while len(open_):
+            hit = self.keys[low] == wanted
+            place[open_[hit]] = low[hit]
+            low = low + 1
+            on = ~hit & (low < high)
+            open_, low, high, wanted = open_[on], low[on], high[on], wanted[on]
+        return place
 
 
 def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -147,11 +170,6 @@ def stored(df: DataFrame) -> Table:
     return Table(path, spark.read.schema(df.schema).parquet(path))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[words_of.Block]:
-    for batch in batches:
-        yield from words_of.blocks(batch["text"], lower=True)
-
-
 def _gathered(pieces: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
     """Pieces put together until they hold `HELD` numbers."""
     held: list[list[np.ndarray]] = []
@@ -167,304 +185,414 @@ def _gathered(pieces: Iterator[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (hashes,) in _gathered([block.hashes] for block in _blocks(batches)):
+    for (hashes,) in _gathered([block.hashes] for batch in batches for block in words_of.blocks(batch["text"], lower=True)):
         kinds, counts = np.unique(hashes, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(counts)], names=["hash", "n"])
 
 
-@dataclass
-class Candidates:
-    """What a pass over the texts knows of the contexts it counts."""
+def _pieces(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    bounds = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield int(bucket[low]), low, high
 
-    hot: np.ndarray  # contexts of a large share of all tokens, sorted
-    counted: np.ndarray | None  # bitmap of the grams of the last level
-    buckets: int
 
+@dataclass
+class Look:
+    """What a pass knows of the grams of one length that add to scores."""
 
-PACKED = "bucket int, contexts binary, kinds binary, grams binary, counts binary"
+    length: int
+    index: Index  # the frequent ones
+    numbers: np.ndarray  # what these add: own, for words also base and known
+    rest: np.ndarray | None  # bitmap of all others that may add something; None: any may
 
 
-def _next_symbols(depth: int, shared):
-    """Grams of depth + 1 symbols by context, as arrays for each bucket.
+@dataclass
+class Pass:
+    """What a pass over the texts counts and looks up."""
 
-    A gram that occurs often enough has a context and a gram without its oldest symbol that do.
-    The buckets are those of contexts; grams of hot contexts are spread over all.
-    """
+    depth: int  # of the contexts whose next symbols are counted, 0: none
+    hot: Index  # contexts of a large share of all tokens
+    hot_totals: np.ndarray
+    hot_suffixes: np.ndarray
+    counted: np.ndarray | None  # bitmap of the grams of the last level
+    buckets: int
+    looks: list[Look]
+    last: bool
+    ends: int
+    once: int  # words seen once
+    least: int
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        counted = shared.value.counted
-        for block in _blocks(batches):
-            own = line(block)
-            *_, (_, context, _), (_, gram, inside) = own.grams(depth + 1)
-            at = np.flatnonzero(inside)
-            if counted is not None:
-                at = at[maybe(counted, context[at - 1])]
-                at = at[maybe(counted, context[at])]
-            yield [gram[at], context[at - 1]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, buckets = shared.value.hot, np.uint64(shared.value.buckets)
-        for gram, context in _gathered(pieces(batches)):
-            gram, first, n = np.unique(gram, return_index=True, return_counts=True)
-            context = context[first]
-            bucket = (words_of.mix(np.where(find(hot, context) >= 0, gram, context)) % buckets).astype(np.int32)
-            order = np.lexsort((context, bucket))
-            gram, context, bucket, n = gram[order], context[order], bucket[order], n[order].astype(np.int32)
-            for at, low, high in _pieces(bucket):
-                heads = np.flatnonzero(np.diff(context[low:high], prepend=~context[low : low + 1]))
-                kinds = np.diff(np.append(heads, high - low)).astype(np.int32)
-                row = [context[low:high][heads], kinds, gram[low:high], n[low:high]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in row)], names=["bucket", "contexts", "kinds", "grams", "counts"]
-                )
+DOC = "doc struct<doc_id long, held_out boolean, n_tokens long>"
+SUMS = f"key long, own double, base double, known double, {DOC}"
+ROWS = f"bucket int, kind int, a binary, b binary, c binary, d binary, {SUMS}"
+FOUND = f"gram long, context long, n long, total long, parent long, is_end boolean, {SUMS}"
+_DOC = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())])
+_SUMS = [("key", pa.int64()), *((c, pa.float64()) for c in ("own", "base", "known")), ("doc", _DOC)]
+_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcd"), *_SUMS])
+_FOUND = pa.schema([*((c, pa.int64()) for c in ("gram", "context", "n", "total", "parent")), ("is_end", pa.bool_()), *_SUMS])
+#: kinds of rows of a bucket: what grams add; contexts; counted grams; grams of texts; sums of texts
+_KNOWN, _CONTEXT, _COUNT, _WANTED, _TEXT = range(5)
 
-    return run
 
+def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-def _merged(least: int):
-    """Grams of the buckets of a sorted partition with at least `least` occurrences."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in sorted_groups(batches, ["bucket"]):
-            whole = [np.frombuffer(b"".join(rows[c].to_pylist()), dtype) for c, dtype in zip(("contexts", "kinds", "grams", "counts"), ("u8", "i4", "u8", "i4"), strict=True)]
-            context = np.repeat(whole[0], whole[1])
-            order = np.argsort(whole[2], kind="stable")
-            gram = whole[2][order]
-            heads = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
-            n = np.add.reduceat(whole[3][order].astype(np.int64), heads)
-            some = n >= least
-            heads = heads[some]
-            arrays = [gram[heads].view(np.int64), context[order[heads]].view(np.int64), n[some]]
-            for low in range(0, len(heads), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(a[low : low + (1 << 16)]) for a in arrays], names=["gram", "context", "n"])
+def _packed(at: int, kind: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    return _batch(_ROWS, bucket=[at], kind=[kind], **{c: [x.tobytes()] for c, x in zip("abcd", arrays, strict=False)})
 
-    return run
 
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (words_of.mix(keys) % np.uint64(buckets)).astype(np.int32)
 
-def _with_parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The gram without its oldest symbol, and whether its last one is the end."""
-    for batch in batches:
-        gram, context, suffix = (batch[c].to_numpy().view(np.uint64) for c in ("gram", "context", "suffix"))
-        symbol = gram - _STEP * context
-        parent = symbol + _STEP * suffix
-        yield pa.RecordBatch.from_arrays(
-            [batch["gram"], batch["context"], batch["n"], batch["total"], pa.array(parent.view(np.int64)), pa.array(symbol == _END)],
-            names=["gram", "context", "n", "total", "parent", "is_end"],
-        )
 
+def _by_bucket(bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """Order by bucket that leaves the rows of a bucket in theirs."""
+    return np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
 
-def grow(train: DataFrame, counts: DataFrame, ends: int, weight: int, depth: int) -> list[Table]:
-    """The levels of the tree: `gram, context, n, total, parent, is_end, parent_p, kept, left, p` of each next symbol.
 
-    `counts` has words with their hashes; `weight` is that of all words, those not seen included.
-    """
-    spark = train.sparkSession
-    end = int(_END.view(np.int64))
-    whole = counts.filter(F.col("n") >= LEAST).select(F.col("hash").alias("gram"), "n")
-    whole = whole.unionByName(spark.range(1).select(F.lit(end).alias("gram"), F.lit(ends).cast("long").alias("n")).filter(F.col("n") >= LEAST))
-    contexts = whole.select(F.col("gram").alias("context"), F.col("n").alias("total"), F.lit(0).cast("long").alias("suffix"))
-    parents = whole.select(F.col("gram").alias("parent"), (F.col("n") / F.lit(float(weight))).alias("parent_p"))
-    buckets = weight // BUCKET + 1
-    levels: list[Table] = []
-    for d in range(1, depth + 1):
-        (hot,) = _columns(contexts.filter(F.col("total") >= max(HOT * weight, LEAST)), "context")
-        # nearly all words are candidates, but few longer strings are
-        counted = bitmap(levels[-1].df.select(F.col("gram").alias("k"))) if d > 1 else None
-        shared = spark.sparkContext.broadcast(Candidates(hot, counted, buckets))
-        grams = train.mapInArrow(_next_symbols(d, shared), PACKED).repartition("bucket").sortWithinPartitions("bucket")
-        found = stored(grams.mapInArrow(_merged(LEAST), "gram long, context long, n long"))
-        rows = found.df.join(contexts, "context").select("gram", "context", "n", "total", "suffix")
-        rows = rows.mapInArrow(_with_parents, "gram long, context long, n long, total long, parent long, is_end boolean").join(parents, "parent")
-        rows = stored(rows)
-        found.drop()
-        level = stored(_judged(rows.df))
-        rows.drop()
-        levels.append(level)
-        if d == depth or level.df.filter("kept").isEmpty():
-            break
-        contexts = level.df.filter("NOT is_end").select(F.col("gram").alias("context"), F.col("n").alias("total"), F.col("parent").alias("suffix"))
-        parents = level.df.select(F.col("gram").alias("parent"), F.col("p").alias("parent_p"))
-    return levels
-
-
-def _judged(rows: DataFrame) -> DataFrame:
-    """Smoothing of the contexts of a level, which of them stay, and probabilities of their next symbols."""
-    total, seen = F.col("total"), F.col("seen")
-    rest = total - seen
-    by_context = rows.groupBy("context").agg(
-        F.first("total").alias("total"), F.sum("n").alias("seen"), F.count("*").alias("kinds"),
-        F.sum(F.col("n") * F.ln(F.col("n") / total / F.col("parent_p"))).alias("gain"), F.sum("parent_p").alias("mass"),
-    )
-    gain = F.col("gain") + F.when(rest > 0, rest * F.ln(rest / total / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
-    scale = total + F.col("kinds")
-    by_context = by_context.select(
-        "context", (gain > 0.5 * (F.col("kinds") + 1) * F.ln(F.greatest(total, F.lit(2)))).alias("kept"), scale.alias("scale"), ((scale - seen) / scale).alias("left")
-    )
-    p = F.when(F.col("kept"), F.col("n") / F.col("scale") + F.col("left") * F.col("parent_p")).otherwise(F.col("parent_p"))
-    return rows.join(by_context, "context").select("gram", "context", "n", "total", "parent", "is_end", "parent_p", "kept", "left", p.alias("p"))
+def _arrays(kind: int, buckets: int, *columns: str):
+    """Rows of a table as arrays for each bucket of the first column."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, *others in _gathered([batch[c].to_numpy() for c in columns] for batch in batches):
+            key = key.view(np.uint64)
+            bucket = _bucket(key, buckets)
+            order = _by_bucket(bucket, buckets)
+            key, bucket, others = key[order], bucket[order], [x[order] for x in others]
+            for at, low, high in _pieces(bucket):
+                piece = [x[low:high] for x in others]
+                yield _packed(at, kind, key[low:high], *([np.stack(piece)] if kind == _KNOWN else piece))
 
-def values(levels: list[DataFrame]) -> DataFrame:
-    """What grams add to a score: `k, n, own`; a gram may have one row as next symbol and one as context."""
-    parts = []
-    for level in levels:
-        kept = level.filter("kept")
-        parts.append(kept.select(F.col("gram").alias("k"), "n", (F.log10(F.col("p") / F.col("parent_p")) - F.log10("left")).alias("own")))
-        parts.append(kept.groupBy(F.col("context").alias("k")).agg(F.first("total").alias("n"), F.log10(F.first("left")).alias("own")))
-    return reduce(DataFrame.unionAll, parts)
+    return run
 
 
-@dataclass
-class Often:
-    """What is known of frequent words and grams, and the bitmap of all other grams that count."""
-
-    words: np.ndarray
-    counts: np.ndarray
-    grams: np.ndarray
-    own: np.ndarray
-    rest: np.ndarray
-    buckets: int
-    depth: int
-    ends: int
-    once: int  # words seen once
+def _counts(now: Pass, pieces: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Grams of depth + 1 symbols with their contexts, as arrays for each bucket of contexts.
 
+    The grams of hot contexts are spread over all buckets.
+    """
+    gram, context = (np.concatenate(c) for c in zip(*pieces, strict=True))
+    gram, first, n = np.unique(gram, return_index=True, return_counts=True)
+    context = context[first]
+    bucket = _bucket(np.where(now.hot.find(context) >= 0, gram, context), now.buckets)
+    order = np.argsort(context)
+    order = order[_by_bucket(bucket[order], now.buckets)]
+    gram, context, bucket, n = gram[order], context[order], bucket[order], n[order].astype(np.int32)
+    for at, low, high in _pieces(bucket):
+        heads = np.flatnonzero(np.diff(context[low:high], prepend=~context[low : low + 1]))
+        kinds = np.diff(np.append(heads, high - low)).astype(np.int32)
+        yield _packed(at, _COUNT, context[low:high][heads], kinds, gram[low:high], n[low:high])
+
+
+def _wanted(now: Pass, pieces: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Grams to be looked up with the texts that hold them, as arrays for each bucket of grams."""
+    key, text, times = (np.concatenate(c) for c in zip(*pieces, strict=True))
+    bucket = _bucket(key, now.buckets)
+    order = _by_bucket(bucket, now.buckets)
+    key, text, times, bucket = (c[order] for c in (key, text, times, bucket))
+    for at, low, high in _pieces(bucket):
+        heads = np.flatnonzero(np.diff(text[low:high], prepend=~text[low : low + 1]))
+        sizes = np.diff(np.append(heads, high - low)).astype(np.int32)
+        yield _packed(at, _WANTED, key[low:high], text[low:high][heads], sizes, times[low:high])
+
+
+def _candidates(now: Pass, own: Line, train: np.ndarray) -> list[np.ndarray]:
+    """Grams of depth + 1 symbols of the training texts of a block and their contexts.
 
-DOC = "doc struct<doc_id long, held_out boolean, n_tokens long, known long, base double, own double>"
-ASKED = f"bucket int, kind int, keys binary, numbers binary, texts binary, sizes binary, key long, {DOC}"
-_ASKED = pa.schema(
-    [("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("keys", "numbers", "texts", "sizes")), ("key", pa.int64())]
-    + [("doc", pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "known")), *((c, pa.float64()) for c in ("base", "own"))]))]
-)
-#: kinds of rows of a bucket, in their order
-_KNOWN, _WANTED, _TEXT = 0, 1, 2
+    A gram that occurs often enough has a context and a gram without its oldest symbol that do.
+    """
+    *_, (_, context, _), (_, gram, inside) = own.grams(now.depth + 1)
+    at = np.flatnonzero(inside & train[own.owner])
+    if now.counted is not None:
+        at = at[maybe(now.counted, context[at - 1])]
+        at = at[maybe(now.counted, context[at])]
+    return [gram[at], context[at - 1]]
+
+
+def _looked_up(now: Pass, own: Line, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For the texts of a block the sums (own, base, known) of what is broadcast; keys, texts and times of what is not."""
+    sums = np.zeros((3, n))
+    add = lambda row, at, x: np.add(sums[row], np.bincount(own.owner[at], weights=x, minlength=n), out=sums[row])
+    looks = {look.length: look for look in now.looks}
+    if 1 in looks:  # a word that isn't found counts as not seen; the end is known
+        add(0, np.flatnonzero(~own.is_end & (own.rank > 0)), None)
+        sums[0] = sums[0] * np.log10(now.once) + np.log10(now.ends or 0.5)
+        sums[1] += np.log10(now.ends + 1.0)
+        sums[2] += now.ends > 0
+    keys, owners = [], []
+    for d, gram, inside in own.grams(max(looks, default=0)):
+        if d not in looks:
+            continue
+        look = looks[d]
+        at = np.flatnonzero(inside & ~own.is_end if d == 1 else inside)
+        place = look.index.find(gram[at])
+        found = place >= 0
+        for row, x in enumerate(look.numbers):
+            add(row, at[found], x[place[found]])
+        at = at[~found]
+        if look.rest is not None:
+            at = at[maybe(look.rest, gram[at])]
+        keys.append(gram[at])
+        owners.append(own.owner[at])
+    key, owner = np.concatenate(keys or [np.empty(0, np.uint64)]), np.concatenate(owners or [np.empty(0, np.int64)])
+    if n == 1:  # maybe a long text that repeats itself
+        key, times = np.unique(key, return_counts=True)
+        return sums, [key, np.zeros(len(key), dtype=np.int64), times.astype(np.int32)]
+    order = np.argsort(owner, kind="stable")
+    return sums, [key[order], owner[order], np.ones(len(key), dtype=np.int32)]
+
+
+def _over_texts(shared):
+    """One pass over the texts: what is counted and looked up, as arrays for each bucket, and a row for each text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: Pass = shared.value
+        counts: list[list[np.ndarray]] = []
+        wanted: list[list[np.ndarray]] = []
+        for batch in batches:
+            for block in words_of.blocks(batch["text"], lower=True):
+                own, rows = line(block), batch.slice(block.first, block.n)
+                held_out = rows["held_out"].to_numpy(zero_copy_only=False)
+                if now.depth:
+                    counts.append(_candidates(now, own, ~held_out))
+                    if sum(len(c[0]) for c in counts) >= HELD:
+                        yield from _counts(now, counts)
+                        counts = []
+                if now.looks:
+                    sums, (key, owner, times) = _looked_up(now, own, block.n)
+                    texts = rows["key"].to_numpy()
+                    wanted.append([key, texts[owner], times])
+                    more = {}
+                    if now.last:
+                        n_tokens = pa.array(np.bincount(own.owner, minlength=block.n) - 1)
+                        more["doc"] = pa.StructArray.from_arrays([rows["doc_id"], rows["held_out"], n_tokens], fields=list(_DOC))
+                    bucket = _bucket(texts.view(np.uint64), now.buckets)
+                    yield _batch(_ROWS, bucket=bucket, kind=np.full(block.n, _TEXT), key=texts, own=sums[0], base=sums[1], known=sums[2], **more)
+                    if sum(len(c[0]) for c in wanted) >= HELD:
+                        yield from _wanted(now, wanted)
+                        wanted = []
+        if counts:
+            yield from _counts(now, counts)
+        if wanted:
+            yield from _wanted(now, wanted)
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((words_of.mix(keys) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+    return run
 
 
-def _row(**columns) -> pa.RecordBatch:
-    n = len(columns["bucket"])
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ASKED], schema=_ASKED)
+def _merged(now: Pass, counts: pa.Table, contexts: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Grams of a bucket that occur `least` times, with the total, the gram without its oldest symbol and whether its last is the end."""
+    whole = [np.frombuffer(b"".join(counts[c].to_pylist()), dtype) for c, dtype in zip("abcd", ("u8", "i4", "u8", "i4"), strict=True)]
+    context = np.repeat(whole[0], whole[1])
+    order = np.argsort(whole[2], kind="stable")
+    gram = whole[2][order]
+    heads = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
+    n = np.add.reduceat(whole[3][order].astype(np.int64), heads)
+    heads, n = heads[n >= now.least], n[n >= now.least]
+    gram, context = gram[heads], context[order[heads]]
+    known = [np.frombuffer(b"".join(contexts[c].to_pylist()), dtype) for c, dtype in zip("abc", ("u8", "i8", "u8"), strict=True)]
+    known, totals, suffixes = (np.concatenate(c) for c in zip(known, (now.hot.keys, now.hot_totals, now.hot_suffixes), strict=True))
+    known, first = np.unique(known, return_index=True)
+    place = Index.of(known).find(context)
+    gram, context, n, at = gram[place >= 0], context[place >= 0], n[place >= 0], first[place[place >= 0]]
+    symbol = gram - _STEP * context
+    columns = {
+        "gram": gram.view(np.int64), "context": context.view(np.int64), "n": n, "total": totals[at],
+        "parent": (symbol + _STEP * suffixes[at]).view(np.int64), "is_end": symbol == _END,
+    }
+    for low in range(0, len(gram), 1 << 16):
+        yield _batch(_FOUND, **{c: x[low : low + (1 << 16)] for c, x in columns.items()})
+
+
+def _added(known: pa.Table, wanted: pa.Table) -> Iterator[pa.RecordBatch]:
+    """For each text of a bucket the sums over its grams there."""
+    keys = [np.frombuffer(x, np.uint64) for x in known["a"].to_pylist()]
+    numbers = np.zeros((3, sum(map(len, keys))))
+    low = 0
+    for key, x in zip(keys, known["b"].to_pylist(), strict=True):
+        own = np.frombuffer(x, float).reshape(-1, len(key))
+        numbers[: len(own), low : low + len(key)] = own
+        low += len(key)
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    heads = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+    index, numbers = Index.of(key[order[heads]]), np.add.reduceat(numbers[:, order], heads, axis=1)
+    for asked, text, sizes, times in zip(*(wanted[c].to_pylist() for c in "abcd"), strict=True):
+        text, times = np.frombuffer(text, np.int64), np.frombuffer(times, np.int32)
+        owner = np.repeat(np.arange(len(text)), np.frombuffer(sizes, np.int32))
+        place = index.find(np.frombuffer(asked, np.uint64))
+        found = place >= 0
+        owner, place, times = owner[found], place[found], times[found]
+        sums = [np.bincount(owner, weights=times * x[place], minlength=len(text)) for x in numbers]
+        yield _batch(_FOUND, key=text, own=sums[0], base=sums[1], known=sums[2])
+
+
+def _by_buckets(shared):
+    """What the buckets of a sorted partition say: counted grams, and sums of texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in sorted_groups(batches, ["bucket"]):
+            kind = rows["kind"].to_numpy()
+            known, contexts, counts, wanted, texts = (rows.filter(pa.array(kind == k)) for k in range(5))
+            if texts.num_rows:
+                texts = texts.combine_chunks()
+                columns = {f.name: texts[f.name].combine_chunks() for f in _FOUND if f.name in rows.column_names}
+                yield _batch(_FOUND, **columns)
+            if counts.num_rows:
+                yield from _merged(shared.value, counts, contexts)
+            if known.num_rows and wanted.num_rows:
+                yield from _added(known, wanted)
 
-def _pieces(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    bounds = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        yield int(bucket[low]), low, high
+    return run
 
 
-def _packed_values(buckets: int):
-    """What words and grams add, as arrays for each bucket."""
+@dataclass
+class Level:
+    """Next symbols of contexts of one depth, and the contexts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("k", "own", "base", "known")
-        for key, *numbers in _gathered([batch[c].to_numpy() for c in names] for batch in batches):
-            key = key.view(np.uint64)
-            bucket = _bucket(key, buckets)
-            order = np.argsort(bucket, kind="stable")
-            key, bucket = key[order], bucket[order]
-            numbers = np.stack([x[order].astype(float) for x in numbers])
-            for at, low, high in _pieces(bucket):
-                yield _row(bucket=[at], kind=[_KNOWN], keys=[key[low:high].tobytes()], numbers=[numbers[:, low:high].tobytes()])
+    #: gram, n, parent, is_end, p, kept, own: what the gram adds as a next symbol
+    table: Table
+    #: context, total, scale, left, kept
+    contexts: Table
 
-    return run
+    @property
+    def df(self) -> DataFrame:
+        return self.table.df
 
+    def following(self) -> DataFrame:
+        return self.df.filter("kept").select(F.col("gram").alias("k"), "n", "own")
 
-def _scores(shared):
-    """A row for each text with the sums of what is broadcast, and its other words and grams as arrays for each bucket."""
+    def before(self) -> DataFrame:
+        return self.contexts.df.filter("kept").select(F.col("context").alias("k"), F.col("total").alias("n"), F.log10("left").alias("own"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
-        texts: list[pa.RecordBatch] = []
-
-        def wanted() -> Iterator[list[np.ndarray]]:
-            for batch in batches:
-                for block in words_of.blocks(batch["text"], lower=True):
-                    rows, asked = _block_scores(often, batch.slice(block.first, block.n), line(block), block.n)
-                    texts.append(rows)
-                    yield asked
-
-        for key, text, times in _gathered(wanted()):
-            bucket = _bucket(key, often.buckets)
-            order = np.lexsort((text, bucket))
-            key, text, times, bucket = (c[order] for c in (key, text, times, bucket))
-            for at, low, high in _pieces(bucket):
-                heads = np.flatnonzero(np.diff(text[low:high], prepend=~text[low : low + 1]))
-                sizes = np.diff(np.append(heads, high - low)).astype(np.int32)
-                own = [key[low:high], times[low:high], text[low:high][heads], sizes]
-                yield _row(bucket=[at], kind=[_WANTED], **{c: [x.tobytes()] for c, x in zip(("keys", "numbers", "texts", "sizes"), own, strict=True)})
-            yield from texts
-            texts.clear()
-        yield from texts
 
-    return run
+class Tree:
+    """The levels of the tree, grown by passes over the texts that also add up scores.
 
+    `texts` has `text`, for scores also `key`, `doc_id` and `held_out`; `counts` has words with
+    their hashes; `weight` is that of all words, those not seen included.
+    """
 
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text of the buckets of a sorted partition the sums over its words and grams there."""
-    names = ["key", "own", "base", "known", "doc"]
-    kind_of_doc = _ASKED.field("doc").type
-    for rows in sorted_groups(batches, ["bucket"]):
-        kind = rows["kind"].to_numpy()
-        known, wanted, texts = (rows.filter(pa.array(kind == k)) for k in (_KNOWN, _WANTED, _TEXT))
-        if texts.num_rows:
-            zero = pa.array(np.zeros(texts.num_rows))
-            for piece in pa.table([texts["key"], zero, zero, zero, texts["doc"]], names=names).combine_chunks().to_batches(max_chunksize=1 << 14):
-                yield piece
-        keys = np.frombuffer(b"".join(known["keys"].to_pylist()), np.uint64)
-        parts = [np.frombuffer(x, float).reshape(3, -1) for x in known["numbers"].to_pylist()]
-        if not len(keys):
-            continue
-        order = np.argsort(keys)
-        heads = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-        keys, numbers = keys[order[heads]], np.add.reduceat(np.concatenate(parts, axis=1)[:, order], heads, axis=1)
-        for own, times, text, sizes in zip(*(wanted[c].to_pylist() for c in ("keys", "numbers", "texts", "sizes")), strict=True):
-            text, sizes = np.frombuffer(text, np.int64), np.frombuffer(sizes, np.int32)
-            place, times = find(keys, np.frombuffer(own, np.uint64)), np.frombuffer(times, np.int32)
-            times = np.where(place >= 0, times, 0)
-            owner = np.repeat(np.arange(len(text)), sizes)
-            sums = [pa.array(np.bincount(owner, weights=times * x[place], minlength=len(text))) for x in numbers]
-            yield pa.RecordBatch.from_arrays([pa.array(text), *sums, pa.nulls(len(text), kind_of_doc)], names=names)
-
-
-def _block_scores(often: Often, rows: pa.RecordBatch, own: Line, n: int) -> tuple[pa.RecordBatch, list[np.ndarray]]:
-    """Rows of the texts of a block; and the keys, texts and numbers of what is left to ask."""
-    add = lambda at, x: np.bincount(own.owner[at], weights=x, minlength=n)
-    word = np.flatnonzero(~own.is_end & (own.rank > 0))
-    place = find(often.words, own.symbol[word])
-    at, place, rare = word[place >= 0], place[place >= 0], word[place < 0]
-    counts = often.counts[place].astype(float)
-    known = add(at, np.ones(len(at))) + (often.ends > 0)
-    base = add(at, np.log10(counts + 1)) + np.log10(often.ends + 1.0)
-    # a word not in the tables counts as not seen until the join
-    sums = add(at, np.log10(counts)) + add(rare, np.full(len(rare), np.log10(often.once))) + np.log10(often.ends or 0.5)
-    asked, askers = [own.symbol[rare]], [own.owner[rare]]
-    for d, gram, inside in own.grams(often.depth + 1 if often.depth else 0):
-        at = np.flatnonzero(inside & ~own.is_end if d == 1 else inside)
-        place = find(often.grams, gram[at])
-        sums += add(at[place >= 0], often.own[place[place >= 0]])
-        at = at[place < 0]
-        at = at[maybe(often.rest, gram[at])]
-        if d == 1:  # rare words are asked for once, as words
-            at = np.setdiff1d(at, rare, assume_unique=True)
-        asked.append(gram[at])
-        askers.append(own.owner[at])
-    keys, owners = np.concatenate(asked), np.concatenate(askers)
-    order = np.lexsort((keys, owners))
-    keys, owners = keys[order], owners[order]
-    first = np.ones(len(keys), dtype=bool)
-    first[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
-    at = np.flatnonzero(first)
-    times = np.diff(np.append(at, len(keys))).astype(np.int32)
-    n_tokens = np.bincount(own.owner, minlength=n) - 1
-    doc = pa.StructArray.from_arrays(
-        [rows["doc_id"], rows["held_out"], pa.array(n_tokens), pa.array(known.astype(np.int64)), pa.array(base), pa.array(sums)],
-        names=["doc_id", "held_out", "n_tokens", "known", "base", "own"],
-    )
-    asker = rows["key"].to_numpy()
-    made = _row(bucket=_bucket(asker.view(np.uint64), often.buckets), kind=np.full(n, _TEXT), key=asker, doc=doc)
-    return made, [keys[at], asker[owners[at]], times]
+    def __init__(self, texts: DataFrame, counts: DataFrame, ends: int, weight: int, once: int, scoring: bool):
+        self.spark, self.counts, self.ends, self.weight, self.once, self.scoring = texts.sparkSession, counts, ends, weight, once, scoring
+        self.texts = texts if scoring else texts.select("text", F.lit(False).alias("held_out"))
+        self.buckets = weight // BUCKET + 1
+        self.levels: list[Level] = []
+        self.bitmaps: dict[int, np.ndarray] = {}
+        self.sums: list[DataFrame] = []
+
+    def _look(self, length: int) -> tuple[Look, DataFrame]:
+        """Grams of a length that add to scores: those to be broadcast, and rows of the others."""
+        parts = []
+        if length > 1:
+            parts.append(self.levels[length - 2].following())
+        if length <= len(self.levels):
+            parts.append(self.levels[length - 1].before())
+        numbers = ["own"]
+        if length == 1:
+            numbers += ["base", "known"]
+            parts = [p.withColumns({"base": F.lit(0.0), "known": F.lit(0.0)}) for p in parts]
+            own = F.log10("n") - F.lit(float(np.log10(self.once)))
+            parts.append(self.counts.select(F.col("hash").alias("k"), "n", own.alias("own"), F.log10(F.col("n") + 1.0).alias("base"), F.lit(1.0).alias("known")))
+        rows = reduce(DataFrame.unionAll, parts)
+        often = F.col("n") >= max(OFTEN * self.weight, 1)
+        keys, *frequent = _columns(rows.filter(often).groupBy("k").agg(*(F.sum(c).alias(c) for c in numbers)), "k", *numbers)
+        packed = rows.filter(~often).select("k", *numbers).mapInArrow(_arrays(_KNOWN, self.buckets, "k", *numbers), ROWS)
+        return Look(length, Index.of(keys), np.stack(frequent), self._bitmap(length) if length > 1 else None), packed
+
+    def _bitmap(self, length: int) -> np.ndarray:
+        """Bitmap of all counted grams of a length."""
+        if length not in self.bitmaps:
+            self.bitmaps[length] = bitmap(self.levels[length - 2].df.select(F.col("gram").alias("k")))
+        return self.bitmaps[length]
+
+    def _pass(self, depth: int, lengths: list[int], contexts: DataFrame | None = None, last: bool = False) -> DataFrame:
+        hot = [np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)]
+        parts = []
+        if depth:
+            hot = _columns(contexts.filter(F.col("total") >= max(HOT * self.weight, LEAST)), "context", "total", "suffix")
+            parts.append(contexts.mapInArrow(_arrays(_CONTEXT, self.buckets, "context", "total", "suffix"), ROWS))
+        looks = []
+        for length in lengths:
+            look, packed = self._look(length)
+            looks.append(look)
+            parts.append(packed)
+        # nearly all words are candidates, but few longer strings are
+        counted = self._bitmap(depth) if depth > 1 else None
+        now = Pass(depth, Index.of(hot[0]), hot[1], hot[2].view(np.uint64), counted, self.buckets, looks, last, self.ends, self.once, LEAST)
+        shared = self.spark.sparkContext.broadcast(now)
+        rows = reduce(DataFrame.unionAll, parts, self.texts.mapInArrow(_over_texts(shared), ROWS))
+        return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_buckets(shared), FOUND)
+
+    def _add(self, found: DataFrame) -> None:
+        by_text = found.filter("key IS NOT NULL").groupBy("key")
+        self.sums.append(cut(by_text.agg(*(F.sum(c).alias(c) for c in ("own", "base", "known")), F.count("doc").alias("copies"), F.first("doc", ignorenulls=True).alias("doc"))))
+
+    def grow(self, depth: int) -> None:
+        """Level by level: count the next symbols, join their probabilities after the suffix, judge the contexts.
+
+        The pass that counts level d + 1 also looks up the grams of d symbols, whose numbers are then known.
+        """
+        end = int(_END.view(np.int64))
+        whole = self.counts.filter(F.col("n") >= LEAST).select(F.col("hash").alias("gram"), "n")
+        whole = whole.unionByName(self.spark.range(1).select(F.lit(end).alias("gram"), F.lit(self.ends).cast("long").alias("n")).filter(F.col("n") >= LEAST))
+        contexts = whole.select(F.col("gram").alias("context"), F.col("n").alias("total"), F.lit(0).cast("long").alias("suffix"))
+        parents = whole.select(F.col("gram").alias("parent"), (F.col("n") / F.lit(float(self.weight))).alias("parent_p"))
+        for d in range(1, depth + 1):
+            looking = self.scoring and d > 1
+            found = stored(self._pass(d, [d - 1] if looking else [], contexts))
+            if looking:
+                self._add(found.df)
+                self.levels[d - 2].contexts.drop()
+                if d > 2:
+                    self.levels[d - 3].table.drop()
+            rows = stored(found.df.filter("gram IS NOT NULL").select("gram", "context", "n", "total", "parent", "is_end").join(parents, "parent"))
+            found.drop()
+            self.levels.append(_judged(rows.df))
+            rows.drop()
+            level = self.levels[-1].df
+            if level.filter("kept").isEmpty():
+                break
+            contexts = level.filter("NOT is_end").select(F.col("gram").alias("context"), F.col("n").alias("total"), F.col("parent").alias("suffix"))
+            parents = level.select(F.col("gram").alias("parent"), F.col("p").alias("parent_p"))
+
+    def finish(self) -> DataFrame:
+        """Look up the grams that are left; `key, own, base, known, copies, doc` of all texts."""
+        d = len(self.levels)
+        self._add(self._pass(0, [d, d + 1] if d else [1], last=True))
+        for level in self.levels[-2:]:
+            level.table.drop()
+        for level in self.levels[-1:]:
+            level.contexts.drop()
+        whole = reduce(DataFrame.unionAll, self.sums).groupBy("key")
+        return whole.agg(*(F.sum(c).alias(c) for c in ("own", "base", "known", "copies")), F.first("doc", ignorenulls=True).alias("doc"))
+
+
+def grow(train: DataFrame, counts: DataFrame, ends: int, weight: int, depth: int) -> list[Level]:
+    """The levels of the tree of all texts."""
+    tree = Tree(train, counts, ends, weight, 1, False)
+    tree.grow(depth)
+    return tree.levels
+
+
+def _judged(rows: DataFrame) -> Level:
+    """Smoothing of the contexts of a level, which of them stay, and probabilities of their next symbols."""
+    total, seen = F.col("total"), F.col("seen")
+    rest = total - seen
+    by_context = rows.groupBy("context").agg(
+        F.first("total").alias("total"), F.sum("n").alias("seen"), F.count("*").alias("kinds"),
+        F.sum(F.col("n") * F.ln(F.col("n") / total / F.col("parent_p"))).alias("gain"), F.sum("parent_p").alias("mass"),
+    )
+    gain = F.col("gain") + F.when(rest > 0, rest * F.ln(rest / total / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
+    scale = total + F.col("kinds")
+    kept = gain > 0.5 * (F.col("kinds") + 1) * F.ln(F.greatest(total, F.lit(2)))
+    contexts = stored(by_context.select("context", "total", kept.alias("kept"), scale.alias("scale"), ((scale - seen) / scale).alias("left")))
+    p = F.when(F.col("kept"), F.col("n") / F.col("scale") + F.col("left") * F.col("parent_p")).otherwise(F.col("parent_p"))
+    own = F.when(F.col("kept"), F.log10(p / F.col("parent_p")) - F.log10("left"))
+    whole = rows.join(contexts.df.drop("total"), "context")
+    return Level(stored(whole.select("gram", "n", "parent", "is_end", "kept", p.alias("p"), own.alias("own"))), contexts)
 
 
 def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -481,7 +609,6 @@ def score(docs: DataFrame, held_out, depth: int = DEPTH, id_col: str = "doc_id",
     `held_out` makes a boolean column of the id column; rows where it holds are not learned from.
     Scores are log10 probabilities; the base is a unigram model with one added to each count.
     """
-    spark = docs.sparkSession
     number, text = F.col(id_col).cast("long"), F.col(text_col)
     base = docs.select(number.alias("doc_id"), text.alias("text"), F.coalesce(held_out(number), F.lit(False)).alias("held_out"), F.xxhash64(number, text).alias("key"))
     train = base.filter("NOT held_out").select("text")
@@ -490,29 +617,12 @@ def score(docs: DataFrame, held_out, depth: int = DEPTH, id_col: str = "doc_id",
     ends = train.count()
     total, once = (words or 0) + ends, max(once, 1)
     weight = max(total + once, 1)
-    often = F.col("n") >= max(OFTEN * total, 1)
-    frequent = _columns(counts.filter(often), "hash", "n")
-    word = counts.filter(~often).select(
-        F.col("hash").alias("k"), (F.log10("n") - F.lit(float(np.log10(once)))).alias("own"), F.log10(F.col("n") + 1.0).alias("base"), F.lit(1).alias("known")
-    )
-    levels = grow(train, counts, ends, weight, depth) if total else []
-    grams, added, rest = np.empty(0, dtype=np.uint64), np.empty(0), np.zeros(BITS // 64, dtype=np.uint64)
-    if levels:
-        gram = stored(values([level.df for level in levels])).df
-        for level in levels:
-            level.drop()
-        grams, added = _columns(gram.filter(often).groupBy("k").agg(F.sum("own").alias("own")), "k", "own")
-        gram = gram.filter(~often)
-        rest = bitmap(gram)
-        word = word.unionAll(gram.select("k", "own", F.lit(0.0).alias("base"), F.lit(0).alias("known")))
-    buckets = weight // BUCKET + 1
-    shared = spark.sparkContext.broadcast(Often(*frequent, grams, added, rest, buckets, len(levels), ends, once))
-    rows = base.mapInArrow(_scores(shared), ASKED).unionAll(word.mapInArrow(_packed_values(buckets), ASKED))
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answered, f"key long, own double, base double, known double, {DOC}")
+    tree = Tree(base, counts, ends, weight, once, True)
+    if total:
+        tree.grow(depth)
     # equal rows share a key, so sums over a key count them all
-    whole = rows.groupBy("key").agg(F.count("doc").alias("copies"), F.first("doc", ignorenulls=True).alias("doc"), *(F.sum(c).alias(c) for c in ("own", "base", "known")))
-    whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    part = lambda c: F.col(f"doc.{c}") + F.col(c) / F.col("copies")
+    whole = tree.finish().withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    part = lambda c: F.col(c) / F.col("copies")
     tokens = F.col("doc.n_tokens")
     return whole.select(
         "doc.doc_id",
