@@ -275,8 +275,11 @@ def _counts(now: Pass, pieces: list[list[np.ndarray]]) -> Iterator[pa.RecordBatc
     The grams of hot contexts are spread over all buckets.
     """
     gram, context = (np.concatenate(c) for c in zip(*pieces, strict=True))
-    gram, first, n = np.unique(gram, return_index=True, return_counts=True)
-    context = context[first]
+    order = np.argsort(gram)
+    gram = gram[order]
+    first = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
+    n = np.diff(np.append(first, len(gram)))
+    gram, context = gram[first], context[order[first]]
     bucket = _bucket(np.where(now.hot.find(context) >= 0, gram, context), now.buckets)
     order = np.argsort(context)
     order = order[_by_bucket(bucket[order], now.buckets)]
@@ -386,7 +389,7 @@ def _merged(now: Pass, counts: pa.Table, contexts: pa.Table) -> Iterator[pa.Reco
     """Grams of a bucket that occur `least` times, with the total, the gram without its oldest symbol and whether its last is the end."""
     whole = [np.frombuffer(b"".join(counts[c].to_pylist()), dtype) for c, dtype in zip("abcd", ("u8", "i4", "u8", "i4"), strict=True)]
     context = np.repeat(whole[0], whole[1])
-    order = np.argsort(whole[2], kind="stable")
+    order = np.argsort(whole[2])
     gram = whole[2][order]
     heads = np.flatnonzero(np.diff(gram, prepend=~gram[:1]))
     n = np.add.reduceat(whole[3][order].astype(np.int64), heads)
@@ -394,8 +397,9 @@ def _merged(now: Pass, counts: pa.Table, contexts: pa.Table) -> Iterator[pa.Reco
     gram, context = gram[heads], context[order[heads]]
     known = [np.frombuffer(b"".join(contexts[c].to_pylist()), dtype) for c, dtype in zip("abc", ("u8", "i8", "u8"), strict=True)]
     known, totals, suffixes = (np.concatenate(c) for c in zip(known, (now.hot.keys, now.hot_totals, now.hot_suffixes), strict=True))
-    known, first = np.unique(known, return_index=True)
-    place = Index.of(known).find(context)
+    first = np.argsort(known)
+    first = first[np.flatnonzero(np.diff(known[first], prepend=~known[first[:1]]))]
+    place = Index.of(known[first]).find(context)
     gram, context, n, at = gram[place >= 0], context[place >= 0], n[place >= 0], first[place[place >= 0]]
     symbol = gram - _STEP * context
     columns = {
