@@ -164,12 +164,16 @@ def patterns(codes: np.ndarray) -> np.ndarray:
     return np.stack([codes // 3**j % 3 - 1 for j in range(len(RULES))], axis=1)
 
 
+#: votes of imagined evidence for the first accuracies, on good and on bad documents
+IMAGINED = (50.0, 5.0)
+
+
 def expectation_maximisation(v: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-9) -> dict:
     """Prior and accuracies of the rules from vote patterns and their counts.
 
     A rule that abstains says nothing.  A rule is right on most good documents, which fixes the
-    meaning of the classes: accuracies on good documents start at 0.98 and are held near it by
-    as much imagined evidence as there is data.  Of the bad ones a rule may know only some kind.
+    meaning of the classes: accuracies on good documents start at 0.98, with `IMAGINED` votes of
+    evidence for it at any amount of data.  Of the bad ones a rule may know only some kind.
     """
     good, bad = (v == 1).astype(float), (v == -1).astype(float)
     right = np.stack([np.full(v.shape[1], 0.98), np.full(v.shape[1], 0.4)])  # on good, on bad documents
@@ -181,7 +185,7 @@ def expectation_maximisation(v: np.ndarray, counts: np.ndarray, rounds: int = 20
         new_right = np.empty_like(right)
         for k, (own, hit, miss) in enumerate(((post, good, bad), (1 - post, bad, good))):
             mass = (weight * own) @ hit
-            imagined, mean = ((weight.sum(), 0.98), (5.0, 0.4))[k]
+            imagined, mean = (IMAGINED[k], (0.98, 0.4)[k])
             new_right[k] = (mass + imagined * mean) / (mass + (weight * own) @ miss + imagined)
         new_right = new_right.clip(0.05, 0.999)
         new_prior = min(max(new_prior, 0.02), 0.98)

@@ -163,6 +163,19 @@ def test_expectation_maximisation_finds_planted_accuracies():
     assert abs(model["prior"] - 0.8) < 0.03 and np.abs(model["right"] - right).max() < 0.06
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_accuracies_on_good_documents_are_estimated(seed):
+    rng = np.random.default_rng(seed)
+    n, rules = 100_000, len(quality.RULES)
+    truth = rng.random(n) < 0.8
+    right = np.stack([rng.uniform(0.7, 0.95, rules), rng.uniform(0.4, 0.9, rules)])
+    hit = rng.random((n, rules)) < np.where(truth[:, None], right[0], right[1])
+    v = np.where(hit == truth[:, None], 1, -1) * (rng.random((n, rules)) < 0.7)
+    codes, counts = np.unique(quality.pattern_codes(v), return_counts=True)
+    model = quality.expectation_maximisation(quality.patterns(codes), counts)
+    assert abs(model["prior"] - 0.8) < 0.01 and np.abs(model["right"] - right).max() < 0.02
+
+
 def test_keep_good_is_the_verdict_of_assess(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = {r.doc_id for r in quality.assess(docs).filter("kept").collect()}
