@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.functions.columns import Series, count_if, flag
+from seriesmill.functions.columns import Series, count_if, flag, float_ratio
 
 #: fixed rows per month and year of a frequency
 ROWS = {"daily": (21, 252), "monthly": (1, 12)}
@@ -199,29 +199,46 @@ def make_sequences(rows: DataFrame, features: Sequence[str], steps: int, by=("sy
     return rows.withColumn(out, seq).filter(F.size(out) == steps)
 
 
-def fold_scaler(rows: DataFrame, features: Sequence[str], by=("fold_id",), split="split") -> DataFrame:
-    """Standardise with mean and population deviation of training rows only."""
+def _trained(rows: DataFrame, split: str, strict: bool) -> DataFrame:
+    """Rows that training statistics are taken from; without the others a fold that has none gets no statistics."""
+    return rows.filter(F.col(split) == "train") if strict else rows
+
+
+def fold_scaler(rows: DataFrame, features: Sequence[str], by=("fold_id",), split="split", strict=False) -> DataFrame:
+    """Standardise with mean and population deviation of training rows only.
+
+    A deviation of 0 counts as 1 and folds without training rows are missing values. `strict` takes the
+    formula as it is: such folds are left out, and 0 divides as floats do.
+    """
     by = list(by)
     train = F.col(split) == "train"
-    stats = rows.groupBy(*by).agg(
+    stats = _trained(rows, split, strict).groupBy(*by).agg(
         *[F.avg(F.when(train, F.col(c))).alias(f"_m_{c}") for c in features],
         *[F.stddev_pop(F.when(train, F.col(c))).alias(f"_s_{c}") for c in features],
     )
-    scaled = {
-        c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}"))
-        for c in features
-    }
+    def over(c: str):
+        gap, std = F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")
+        return float_ratio(gap, std) if strict else gap / F.when(std == 0, 1.0).otherwise(std)
+
+    scaled = {c: over(c) for c in features}
     return rows.join(stats, by).withColumns(scaled).select(*rows.columns)
 
 
-def target_scaler(rows: DataFrame, target="y_true", mode="standardize", by=("fold_id",), split="split") -> DataFrame:
-    """Add `y_mean`, `y_std` of training rows and the scaled target `y_scaled`."""
+def target_scaler(rows: DataFrame, target="y_true", mode="standardize", by=("fold_id",), split="split", strict=False) -> DataFrame:
+    """Add `y_mean`, `y_std` of training rows and the scaled target `y_scaled`.
+
+    A missing or tiny deviation counts as 1 and folds without training rows are missing values. `strict`
+    takes the formula as it is: such folds are left out, one training row has no deviation, 0 divides as floats do.
+    """
     by = list(by)
     y = F.when(F.col(split) == "train", F.col(target))
-    std = F.coalesce(F.stddev_samp(y), F.lit(1.0))
+    std = F.stddev_samp(y)
+    if not strict:
+        std = F.coalesce(std, F.lit(1.0))
+        std = F.when(std < 1e-8, 1.0).otherwise(std)
     mean = F.avg(y) if mode == "standardize" else F.lit(0.0)
-    stats = rows.groupBy(*by).agg(mean.alias("y_mean"), F.when(std < 1e-8, 1.0).otherwise(std).alias("y_std"))
-    return rows.join(stats, by).withColumn("y_scaled", (F.col(target) - F.col("y_mean")) / F.col("y_std"))
+    stats = _trained(rows, split, strict).groupBy(*by).agg(mean.alias("y_mean"), std.alias("y_std"))
+    return rows.join(stats, by).withColumn("y_scaled", float_ratio(F.col(target) - F.col("y_mean"), "y_std"))
 
 
 def inverse_target(df: DataFrame, pred="y_pred") -> DataFrame:
@@ -232,8 +249,8 @@ def sample_weights(df: DataFrame, target="y_true", alpha=4.0, threshold=0.03, ou
     return df.withColumn(out, 1.0 + alpha * flag(F.abs(target) > threshold))
 
 
-def class_weight(df: DataFrame, label="label", by=()) -> DataFrame:
-    """Negatives per positive, 1 without positives."""
+def class_weight(df: DataFrame, label="label", by=(), none=1.0) -> DataFrame:
+    """Negatives per positive, `none` without positives."""
     pos = count_if(F.col(label) == 1)
     return df.groupBy(*by).agg(
-        F.when(pos == 0, 1.0).otherwise((F.count("*") - pos) / F.nullif(pos, F.lit(0))).alias("pos_weight"))
+        F.when(pos == 0, none).otherwise((F.count("*") - pos) / F.nullif(pos, F.lit(0))).alias("pos_weight"))
