@@ -44,3 +44,9 @@ def test_leakage_with_and_without_nulls(spark):
     got = {r["feature"]: r for r in checks.leakage_correlation(df, ["same", "holes"], "y").collect()}
     assert got["same"]["correlation"] == pytest.approx(1) and got["holes"]["correlation"] == pytest.approx(-1)
     assert got["same"]["pairs"] == 300 and got["holes"]["pairs"] == 236
+
+
+def test_histogram_groups_by_bin_only(spark):
+    df = checks.value_histogram(panel(spark), ["close"])
+    assert sum(r["count"] for r in df.collect()) == 300
+    assert not any("keys=[column_name" in line and "x#" in line.split("functions=")[0] for line in plan(df).split("\n"))
