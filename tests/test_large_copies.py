@@ -46,6 +46,10 @@ def test_leakage_with_and_without_nulls(spark):
     assert got["same"]["pairs"] == 300 and got["holes"]["pairs"] == 236
 
 
+def test_mean_needs_one_sort(spark):
+    assert plan(running_mean(panel(spark), Series(), [("a", "close", 63), ("b", "close", 50)])).count("Sort [") == 1
+
+
 def test_histogram_groups_by_bin_only(spark):
     df = checks.value_histogram(panel(spark), ["close"])
     assert sum(r["count"] for r in df.collect()) == 300
