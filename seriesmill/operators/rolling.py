@@ -11,11 +11,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesmill.functions.columns import (
-    Series, clip, divide, finite, frame_sums, running_mean, running_moments, window_sums, with_exprs,
+    Series, clip, divide, finite, running_mean, running_moments, window_sums,
 )
 
 SERIES = Series()
@@ -60,34 +62,45 @@ def rolling_slope(df, n, price="close", out=None, series=SERIES) -> DataFrame:
     return df.withColumn(out or f"Slope_{n}", F.when(F.col("_n") == n, slope)).drop("_t", "_y", "_sy", "_sty", "_n")
 
 
+#: windows that are laid out at a time
+HURST_ROWS = 4096
+
+
+def hurst_windows(p: np.ndarray, n: int, max_lag: int) -> np.ndarray:
+    """Hurst exponent of the last n prices at every row; NaN where one is missing or a difference is constant."""
+    lags = range(2, min(n // 2, max_lag))
+    log_k = np.log(np.array(lags, dtype=float))
+    weights = (log_k - log_k.mean()) / ((log_k - log_k.mean()) ** 2).sum()
+    out = np.full(len(p), np.nan)
+    for first in range(n - 1, len(p), HURST_ROWS):
+        part = p[first - n + 1:first + HURST_ROWS]
+        slope = 0.0
+        for k, weight in zip(lags, weights):
+            d = np.lib.stride_tricks.sliding_window_view(part[k:] - part[:-k], n - k)
+            var, square = d.var(axis=1), (d * d).mean(axis=1)
+            # rounding noise of a constant difference is not a variance
+            slope = slope + weight * np.log(np.where(var > square * 1e-12, var, np.nan))
+        out[first:first + HURST_ROWS] = np.clip(slope / 2.0, 0.0, 1.0)
+    return out
+
+
 def rolling_hurst(df, price="close", n=100, max_lag=20, out="Hurst", series=SERIES) -> DataFrame:
     """Half the slope of ln(variance of k-row differences) on ln(k), in [0, 1].
 
-    A window holds n prices, hence n - k differences of lag k.  Their sums are put together from
-    blocks, so a row costs the same for any n and a wild price is forgotten with its window.
+    A window holds n prices, hence n - k differences of lag k.  A task takes one series at a time, which
+    the calendar bounds, and `HURST_ROWS` windows of it; a wild price is forgotten with its window.
     """
-    lags = range(2, min(n // 2, max_lag))
-    log_k = [math.log(k) for k in lags]
-    mean = sum(log_k) / len(log_k)
-    spread = sum((x - mean) ** 2 for x in log_k)
-    rows = series.sql_rows
-    df = df.withColumn("_p", finite(price))
-    df = with_exprs(df, {f"_d{k}": f"_p - lag(_p, {k}) OVER {rows}" for k in lags})
-    sums = {}
-    for k in lags:
-        sums |= {f"_s{k}": (f"_d{k}", n - k), f"_q{k}": (f"_d{k} * _d{k}", n - k), f"_c{k}": (f"CASE WHEN _d{k} IS NOT NULL THEN 1D END", n - k)}
-    df = frame_sums(df, series, sums, n - max(lags))
-    df = with_exprs(df, {f"_{x}{k}": f"_{x}{k} / {n - k}" for k in lags for x in "sq"})
-    # rounding noise of a constant difference is not a variance
-    terms = [
-        f"CASE WHEN _c{k} = {n - k} AND _q{k} - _s{k} * _s{k} > _q{k} * 1e-12D "
-        f"THEN ln(_q{k} - _s{k} * _s{k}) END * {(x - mean) / spread!r}D"
-        for k, x in zip(lags, log_k)
-    ]
-    df = with_exprs(df, {"_slope": " + ".join(terms)})
-    return df.withColumn(out, clip(F.col("_slope") / 2.0, 0.0, 1.0)).drop(
-        "_slope", "_p", *[f"_{p}{k}" for k in lags for p in "dsqc"]
-    )
+    order = [(c, "ascending") for c in series.order]
+    df = df.drop(out)
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order)
+        p = np.array(rows[price].cast(pa.float64()).to_numpy(), dtype=float)
+        p[~np.isfinite(p)] = np.nan
+        h = hurst_windows(p, n, max_lag)
+        return rows.append_column(out, pa.array(h, pa.float64(), mask=np.isnan(h)))
+
+    return df.groupBy(*series.by).applyInArrow(add, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def rolling_apply(

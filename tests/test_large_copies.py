@@ -50,6 +50,15 @@ def test_mean_needs_one_sort(spark):
     assert plan(running_mean(panel(spark), Series(), [("a", "close", 63), ("b", "close", 50)])).count("Sort [") == 1
 
 
+def test_hurst_needs_no_window(spark):
+    df = rolling.rolling_hurst(panel(spark))
+    assert plan(df).count("Window") == 0
+    # a wild price is missing and is forgotten with its window
+    wild = panel(spark, 300, 1).withColumn("close", F.when(F.col("date") == "2020-01-20", float("inf")).otherwise(F.col("close")))
+    got = [r["Hurst"] for r in rolling.rolling_hurst(wild).orderBy("date").collect()]
+    assert all(h is None for h in got[:119]) and all(h is not None for h in got[119:])
+
+
 def test_histogram_groups_by_bin_only(spark):
     df = checks.value_histogram(panel(spark), ["close"])
     assert sum(r["count"] for r in df.collect()) == 300
