@@ -59,6 +59,12 @@ def test_hurst_needs_no_window(spark):
     assert all(h is None for h in got[:119]) and all(h is not None for h in got[119:])
 
 
+def test_autocorr_copies_no_rows(spark):
+    df = checks.target_autocorr(panel(spark).withColumnRenamed("close", "y_true"))
+    assert "Generate" not in plan(df) and "Window" not in plan(df)
+    assert df.count() == 50
+
+
 def test_histogram_groups_by_bin_only(spark):
     df = checks.value_histogram(panel(spark), ["close"])
     assert sum(r["count"] for r in df.collect()) == 300
