@@ -1,8 +1,9 @@
 """Trading policies on forecasts of dated series, and their tuning.
 
 `by` names the keys of a series (symbol, or fold and symbol); rows of a series
-are ordered by date and bounded by the calendar, so windows are safe.  Grids of
-candidates become rows and are scored in one aggregation.
+are ordered by date and bounded by the calendar, so windows are safe.  Thresholds of a
+series are scored in NumPy (`thresholds`); other grids of candidates become rows and are
+scored in one aggregation.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import (
     Series, as_col, clip, corr, count_if, divide, finite, mean_if,
 )
+from seriesmill.operators import thresholds
 from seriesmill.operators.metrics import quantile_analysis
 from seriesmill.operators.ranking import average_rank, quantile, spearman, with_rank, with_ranks
 
@@ -199,31 +202,29 @@ def evaluate_all_policies(
 # --- tuning -----------------------------------------------------------------
 
 
-def threshold_grid(df, by, points: int = 10, pred="y_pred") -> DataFrame:
-    """`(by, grid)`: percentiles of |pred| and fixed values up to the 95th."""
-    by = list(by)
-    step = 80.0 / (points - 1)
-    shares = [(10.0 + i * step) / 100.0 for i in range(points)]
-    a = with_rank(df.withColumn("_a", F.abs(pred)), "_a", by, "a", is_series=True)
-    q = a.groupBy(*by).agg(
-        F.array(*[quantile("_a", "a", p) for p in shares]).alias("_q"),
-        quantile("_a", "a", 0.95).alias("_top"),
-    )
-    fixed = F.array(*[F.lit(t) for t in FIXED_THRESHOLDS])
-    grid = F.array_sort(F.array_distinct(F.concat("_q", fixed)))
-    grid = F.filter(grid, lambda t: (t >= 0) & (t <= F.col("_top")))
-    fallback = F.array(*[F.lit(t) for t in FALLBACK_GRID])
-    return q.select(*by, F.when(F.size(grid) < 3, fallback).otherwise(grid).alias("grid"))
+def _candidates(points: int):
+    """Percentiles of |forecast| and fixed values up to the 95th, of one series."""
+    shares = [(10.0 + i * (80.0 / (points - 1))) / 100.0 for i in range(points)]
 
+    def grid(pred: np.ndarray) -> list[float]:
+        x = thresholds.sizes(pred)
+        if not len(x):
+            return list(FALLBACK_GRID)
+        found = np.unique([*thresholds.interpolated(x, shares), *FIXED_THRESHOLDS])
+        found = found[found <= thresholds.interpolated(x, [0.95])[0]]
+        return list(FALLBACK_GRID) if len(found) < 3 else found.tolist()
 
-def score_thresholds(df, by, grid: DataFrame, ranks=True) -> DataFrame:
-    """Policy statistics of every candidate threshold of every series."""
-    by = list(by)
-    rows = df.join(grid, by).select(
-        *by, "date", "y_true", "y_pred", F.explode("grid").alias("threshold"))
-    rows = rows.withColumn("position", position("y_pred", "thresholded", F.col("threshold")))
-    key = [*by, "threshold"]
-    return policy_stats(strategy_returns(rows, key), key, 252, ranks)
+    return grid
+
+
+def _coverage_candidates(pred: np.ndarray) -> list[float]:
+    x = thresholds.sizes(pred)
+    return np.unique([0.0, *(thresholds.interpolated(x, [p / 100.0 for p in COVERAGE_PERCENTILES]) if len(x) else ())]).tolist()
+
+
+def threshold_grid(df, by, points: int = 10, pred="y_pred") -> DataFrame:
+    """`(by, grid)`: percentiles of |pred| and fixed values up to the 95th."""
+    return thresholds.grids(df, by, _candidates(points), pred)
 
 
 #: scores that agree to this many decimals tie: their last bits depend on the
@@ -243,8 +244,7 @@ def tune_threshold(df, by, criterion="sharpe", points=10, min_trades=0.1, grid=N
     Without any usable candidate the first one of the grid is kept.
     """
     by = list(by)
-    grid = threshold_grid(df, by, points) if grid is None else grid
-    s = score_thresholds(df, by, grid, ranks=criterion == "ic_spread")
+    s = thresholds.scores(df, by, _candidates(points) if grid is None else grid, ranks=criterion == "ic_spread")
     measure = {
         "sharpe": F.col("sharpe"), "total_return": F.col("total_return"), "hit_rate": F.col("win_rate"),
         "ic_spread": F.col("ic") * F.col("spread") if criterion == "ic_spread" else None,
@@ -325,12 +325,8 @@ def coverage_performance(df, by) -> tuple[DataFrame, DataFrame]:
     Returns the curve (one row per series and threshold) and its summary.
     """
     by = list(by)
-    a = with_rank(df.withColumn("_a", F.abs("y_pred")), "_a", by, "a", is_series=True)
-    grid = a.groupBy(*by).agg(
-        F.array_sort(F.array_distinct(F.array(
-            F.lit(0.0), *[quantile("_a", "a", p / 100.0) for p in COVERAGE_PERCENTILES]))).alias("grid"))
     # |pred| > t is exactly "holds a position", so the IC of traded rows is `ic`
-    curve = score_thresholds(df, by, grid).select(
+    curve = thresholds.scores(df, by, _coverage_candidates).select(
         *by, "threshold", F.col("holding_frequency").alias("coverage"), "sharpe", "total_return", "trade_count",
         F.when(F.col("trade_count") > 5, F.col("ic")).otherwise(0.0).alias("ic_when_trading"))
     ok = (F.col("coverage") > 0.05) & F.col("sharpe").isNotNull()

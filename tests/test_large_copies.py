@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from seriesmill.functions.columns import Series, running_mean
-from seriesmill.operators import checks, ranking, rolling
+from seriesmill.operators import checks, policy, ranking, rolling, thresholds
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +69,32 @@ def test_histogram_groups_by_bin_only(spark):
     df = checks.value_histogram(panel(spark), ["close"])
     assert sum(r["count"] for r in df.collect()) == 300
     assert not any("keys=[column_name" in line and "x#" in line.split("functions=")[0] for line in plan(df).split("\n"))
+
+
+def forecast(spark, n=150):
+    rng = np.random.default_rng(3)
+    df = panel(spark, n).drop("close")
+    pairs = [(float(t), float(p)) for t, p in zip(rng.normal(0, 0.1, n), rng.normal(0, 0.1, n).round(2))]
+    first = datetime.date(2020, 1, 1)
+    values = spark.createDataFrame([(first + datetime.timedelta(i), t, p) for i, (t, p) in enumerate(pairs)], "date date, y_true double, y_pred double")
+    return df.join(values, "date").withColumn("y_pred", F.when(F.col("date") != "2020-02-01", F.col("y_pred")))
+
+
+def test_thresholds_copy_no_rows_and_give_what_the_policy_gives(spark):
+    df = forecast(spark)
+    for tuned in (policy.tune_threshold(df, ["symbol"], "ic_spread"), policy.coverage_performance(df, ["symbol"])[0]):
+        assert "Generate" not in plan(tuned) and "Window" not in plan(tuned)
+    scored = thresholds.scores(df, ["symbol"], lambda pred: [0.0, 0.1, 0.25, 9.0]).filter("symbol = '1'").collect()
+    assert [r["trade_count"] for r in scored][-1] == 0 and scored[-1]["ic"] is None and scored[-1]["spread"] is None
+    for row in scored:
+        expected = policy.evaluate_policy(df, ["symbol"], "thresholded", threshold=row["threshold"]).filter("symbol = '1'").first()
+        for c in thresholds.COUNTS + thresholds.STATS:
+            assert row[c] == (None if expected[c] is None else pytest.approx(expected[c], abs=1e-9)), c
+
+
+def test_threshold_scores_of_odd_rows(spark):
+    first = datetime.date(2020, 1, 1)
+    rows = [("A", first, None, 0.2), ("A", first + datetime.timedelta(1), 0.5, float("nan")), (None, first, 0.1, 0.1), ("B", first, 0.1, None), ("C", first, float("inf"), -0.3)]
+    df = spark.createDataFrame(rows, "symbol string, date date, y_true double, y_pred double")
+    got = {r["symbol"]: r for r in policy.tune_threshold(df, ["symbol"], "ic_spread").collect()}
+    assert set(got) == {"A", "B", "C"} and got["B"]["best_threshold"] == policy.FALLBACK_GRID[0] and got["B"]["best_score"] is None
