@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from seriesmill.functions.columns import Series, running_mean
 from seriesmill.operators import checks, policy, ranking, rolling, thresholds
+from seriesmill.plans import panels
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,3 +99,13 @@ def test_threshold_scores_of_odd_rows(spark):
     df = spark.createDataFrame(rows, "symbol string, date date, y_true double, y_pred double")
     got = {r["symbol"]: r for r in policy.tune_threshold(df, ["symbol"], "ic_spread").collect()}
     assert set(got) == {"A", "B", "C"} and got["B"]["best_threshold"] == policy.FALLBACK_GRID[0] and got["B"]["best_score"] is None
+
+
+def test_tasks_of_a_panel_grow_with_its_lines(spark, monkeypatch):
+    few = panels.prices(spark, SF)
+    monkeypatch.setattr(panels, "TASK_ROWS", 500)
+    many = panels.prices(spark, SF)
+    n = -(-panels.table(spark, SF, "lineitem").count() // 500)
+    assert n > 4 and many.rdd.getNumPartitions() == n
+    assert plan(panels.forecasts(spark, SF)).count("Exchange") == 2
+    assert many.exceptAll(few).isEmpty() and few.count() == many.count()
