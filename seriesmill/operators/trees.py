@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import safe_ratio
-from seriesmill.functions.lineage import stable
+from seriesmill.functions.lineage import stable, written
 from seriesmill.operators.linear import big_move_objective, complete_condition, ridge_fit_predict, with_side
 
 SEED = 42
+#: bins of a feature, as in Spark's trees
+BINS = 32
 #: fixed candidates
 LAMBDA_GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 DEFAULTS = {
@@ -26,29 +29,76 @@ DEFAULTS = {
 }
 
 
-def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep").transform(df)
+def _edges(rows: DataFrame, features: Sequence[str]) -> list[list[float]]:
+    """Where the bins of each feature begin: at every value if there are few, else at quantiles of all rows."""
+    shares = [i / BINS for i in range(1, BINS)]
+    found = rows.agg(
+        *[F.percentile_approx(F.col(c).cast("double"), shares, 10_000).alias(f"q{i}") for i, c in enumerate(features)],
+        *[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(features)]).first()
+    edges = []
+    for i, c in enumerate(features):
+        at = sorted(set(found[f"q{i}"] or []))
+        if found[f"n{i}"] <= 1.5 * BINS:  # an estimate, so the values are few in any case
+            values = sorted(float(r[0]) for r in rows.select(c).distinct().collect())
+            at = values[1:] if len(values) <= BINS else at
+        edges.append(at)
+    return edges
+
+
+def _cells(rows: DataFrame, features: Sequence[str], target: str, weight: str | None, keys: Sequence[str] = ()) -> tuple[list, DataFrame]:
+    """Transformers that bin rows, and one weighted row `_x`, `_y`, `_w` for each cell of bins with rows.
+
+    Trees see bins only, and the rows of a cell share all splits.  The spread of targets within a cell
+    is the same for every split, so weight and mean of a cell give the gains, and with them the trees, that its rows
+    would.  The rows are read for bins and sums, not for each level of each tree.
+    """
+    rows = written(rows)
+    edges = _edges(rows, features)
+    bins = [f"_b{i}" for i in range(len(features))]
+    limits = [[float("-inf"), *e, float("inf")] if e else [float("-inf"), 0.0, float("inf")] for e in edges]
+    binning = [
+        Bucketizer(splitsArray=limits, inputCols=list(features), outputCols=bins, handleInvalid="keep"),
+        VectorAssembler(inputCols=bins, outputCol="_x", handleInvalid="keep"),
+    ]
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    cells = binning[0].transform(rows).groupBy(*bins, *keys).agg(F.sum(w).alias("_w"), F.sum(w * F.col(target)).alias("_s"))
+    # bins are numbers in order, not the categories that the bucketizer says they are
+    plain = [F.col(b).alias(b, metadata={}) for b in bins]
+    cells = written(cells.filter("_w > 0").select(*plain, (F.col("_s") / F.col("_w")).alias("_y"), "_w"))
+    return binning, binning[1].transform(cells).select("_x", "_y", "_w")
+
+
+def _used(train: DataFrame, features, target: str, weight: str | None) -> DataFrame:
+    used = dict.fromkeys([*features, target, *([weight] if weight else [])])
+    return train.filter(complete_condition(features, target)).select(*used)
+
 
+def _boosted(binning: list, cells: DataFrame, kind: str, params: dict) -> PipelineModel:
+    model = GBTRegressor(featuresCol="_x", labelCol="_y", weightCol="_w", seed=SEED, **{**DEFAULTS[kind], **params})
+    return PipelineModel([*binning, model.fit(cells)])
 
-def fit_tree(train: DataFrame, features, target="y_true", kind="gbt", weight: str | None = None, **params):
+
+def fit_tree(train: DataFrame, features, target="y_true", kind="gbt", weight: str | None = None, **params) -> PipelineModel:
     """Regressor fitted to complete rows; parameters override the defaults of the kind."""
-    options = {**DEFAULTS[kind], **params}
-    cls = RandomForestRegressor if kind == "random_forest" else GBTRegressor
-    model = cls(featuresCol="_x", labelCol=target, seed=SEED, **options)
-    used = dict.fromkeys([*features, target, *([weight] if weight else [])])
-    rows = _vectors(train.filter(complete_condition(features, target)).select(*used), features)
-    return (model.setWeightCol(weight) if weight else model).fit(rows)
+    rows = _used(train, features, target, weight)
+    if kind != "random_forest":
+        return _boosted(*_cells(rows, features, target, weight), kind, params)
+    # every row has its own weight in each tree, so rows are not put together
+    vectors = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
+    model = RandomForestRegressor(featuresCol="_x", labelCol=target, seed=SEED, **{**DEFAULTS[kind], **params})
+    return PipelineModel([vectors, (model.setWeightCol(weight) if weight else model).fit(vectors.transform(rows))])
 
 
-def predict_tree(model, rows: DataFrame, features, out="y_pred") -> DataFrame:
+def predict_tree(model: PipelineModel, rows: DataFrame, features, out="y_pred") -> DataFrame:
     """All rows; the forecast of an incomplete one is null."""
     done = F.when(complete_condition(features), F.col("prediction"))
-    return model.transform(_vectors(rows, features)).withColumn(out, done).drop("_x", "prediction")
+    return model.transform(rows).withColumn(out, done).select(*[c for c in rows.columns if c != out], out)
 
 
-def tree_importance(model, features: Sequence[str], spark) -> DataFrame:
+def tree_importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
     """Share of the impurity decrease of every feature, largest first."""
-    rows = [(c, float(v)) for c, v in zip(features, model.featureImportances.toArray(), strict=True)]
+    shares = model.stages[-1].featureImportances.toArray()
+    rows = [(c, float(v)) for c, v in zip(features, shares, strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
 
 
@@ -68,12 +118,14 @@ def tree_per_fold(rows, features, folds: Sequence, target="y_true", kind="gbt",
 
 def tree_param_search(rows, features, grid: dict[str, Sequence], target="y_true", kind="gbt", threshold=0.03, split="split") -> DataFrame:
     """Objective of every parameter combination on validation rows, best first."""
-    train, val = rows.filter(F.col(split) == "train"), rows.filter(F.col(split) == "val")
+    train, val = rows.filter(F.col(split) == "train"), written(rows.filter(F.col(split) == "val"))
     names = list(grid)
+    # one binning serves all combinations
+    prepared = _cells(_used(train, features, target, None), features, target, None) if kind != "random_forest" else None
     scored = None
     for values in product(*grid.values()):
         params = dict(zip(names, values))
-        model = fit_tree(train, features, target, kind, **params)
+        model = _boosted(*prepared, kind, params) if prepared else fit_tree(train, features, target, kind, **params)
         one = predict_tree(model, val, features, "_pred").agg(
             big_move_objective(F.col(target), F.col("_pred"), threshold).alias("objective"))
         one = one.select(*[F.lit(v).alias(n) for n, v in params.items()], "objective")
@@ -86,15 +138,16 @@ def bigmove_classifier(rows, features, label="label", split="split", **params) -
     train = rows.filter((F.col(split) == "train") & complete_condition(features, label))
     pos = F.count(F.when(F.col(label) == 1, 1))
     weight = train.agg(safe_ratio(F.count("*") - pos, pos, 1.0)).scalar()
-    weighted = _vectors(train.withColumn("_w", F.when(F.col(label) == 1, weight).otherwise(1.0)), features)
+    weighted = train.select(*dict.fromkeys([*features, label])).withColumn("_w", F.when(F.col(label) == 1, weight).otherwise(1.0))
+    # rows of a cell and label share their gradient, so a cell has a row for each label
+    binning, cells = _cells(weighted, features, label, "_w", [label])
     options = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 4, **params}
-    model = GBTClassifier(featuresCol="_x", labelCol=label, weightCol="_w", seed=SEED, **options).fit(
-        weighted.select("_x", label, "_w"))
-    scored = model.transform(_vectors(rows, features))
+    model = GBTClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", seed=SEED, **options).fit(cells)
+    scored = PipelineModel([*binning, model]).transform(rows)
     known = complete_condition(features)
     return scored.withColumns(
         {"prob": F.when(known, vector_to_array("probability")[1]), "pred": F.when(known, F.col("prediction").cast("int"))}
-    ).drop("_x", "rawPrediction", "probability", "prediction")
+    ).select(*[c for c in rows.columns if c not in ("prob", "pred")], "prob", "pred")
 
 
 def regime_gated_hybrid(rows, features, column, target="y_true", alpha=1.0, split="split", low="ridge", high="gbt", **params) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import round6
+from seriesmill.functions.lineage import written
 from seriesmill.operators import linear, segments, splits, trees
 from seriesmill.plans import panels
 from seriesmill.plans.registry import query
@@ -201,8 +202,8 @@ TREE_X = ["f1", "f2", "ret"]
 
 
 def _rows(spark, d):
-    """Forecast rows in an embargoed train, validation and test span of each series."""
-    return splits.static_split(panels.forecasts(spark, d), **STATIC_ARGS).drop("position")
+    """Forecast rows in an embargoed train, validation and test span of each series, written once: models read them several times."""
+    return written(splits.static_split(panels.forecasts(spark, d), **STATIC_ARGS).drop("position"))
 
 
 def _out_one(df, *more):

@@ -4,11 +4,13 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from seriesmill.functions.columns import Series, running_mean
-from seriesmill.operators import checks, policy, ranking, rolling, thresholds
+from seriesmill.operators import checks, policy, ranking, rolling, thresholds, trees
 from seriesmill.plans import panels
 
 SF = "/root/testdata/sf0.001"
@@ -109,3 +111,17 @@ def test_tasks_of_a_panel_grow_with_its_lines(spark, monkeypatch):
     assert n > 4 and many.rdd.getNumPartitions() == n
     assert plan(panels.forecasts(spark, SF)).count("Exchange") == 2
     assert many.exceptAll(few).isEmpty() and few.count() == many.count()
+
+
+def test_boosted_trees_read_cells_and_equal_those_of_rows(spark):
+    rng = np.random.default_rng(5)
+    x, z = rng.integers(0, 12, 600), rng.integers(-3, 4, 600)
+    rows = [(float(a), int(b), float(c)) for a, b, c in zip(x, z, np.sin(x / 3) + 0.1 * z * (x > 7) + rng.normal(0, 0.3, 600))]
+    df = spark.createDataFrame(rows, "x double, z int, y_true double")
+    _, cells = trees._cells(df, ["x", "z"], "y_true", None)
+    assert cells.count() == df.select("x", "z").distinct().count() and cells.agg(F.sum("_w")).first()[0] == 600
+    got = trees.predict_tree(trees.fit_tree(df, ["x", "z"], maxIter=4), df, ["x", "z"])
+    vectors = VectorAssembler(inputCols=["x", "z"], outputCol="v").transform(df)
+    plain = GBTRegressor(featuresCol="v", labelCol="y_true", seed=trees.SEED, maxIter=4, stepSize=0.1, maxDepth=4).fit(vectors).transform(vectors)
+    expected = {(r["x"], r["z"]): r["prediction"] for r in plain.collect()}
+    assert all(r["y_pred"] == pytest.approx(expected[r["x"], r["z"]], abs=1e-12) for r in got.collect())
