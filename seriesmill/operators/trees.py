@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,12 @@ from seriesmill.operators.linear import big_move_objective, complete_condition,
 SEED = 42
 #: bins of a feature, as in Spark's trees
 BINS = 32
+#: a forest is fitted to cells of bins if these hold so many rows on average
+CELL_ROWS = 4
+#: tasks that a cell of many rows is dealt to, rows drawn together in one, and cells of a tree in one file
+PARTS, DRAWN, FILED = 8, 1 << 13, 1 << 19
+#: trees of a forest that are fitted at the same time
+THREADS = 8
 #: fixed candidates
 LAMBDA_GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 DEFAULTS = {
@@ -45,6 +55,22 @@ def _edges(rows: DataFrame, features: Sequence[str]) -> list[list[float]]:
     return edges
 
 
+def _binning(rows: DataFrame, features: Sequence[str]) -> tuple[list, list[str]]:
+    """Transformers that bin rows of a written table, and the columns of bins."""
+    edges = _edges(rows, features)
+    bins = [f"_b{i}" for i in range(len(features))]
+    limits = [[float("-inf"), *e, float("inf")] if e else [float("-inf"), 0.0, float("inf")] for e in edges]
+    return [
+        Bucketizer(splitsArray=limits, inputCols=list(features), outputCols=bins, handleInvalid="keep"),
+        VectorAssembler(inputCols=bins, outputCol="_x", handleInvalid="keep"),
+    ], bins
+
+
+def _plain(bins: Sequence[str]) -> list:
+    """Bins are numbers in order, not the categories that the bucketizer says they are."""
+    return [F.col(b).alias(b, metadata={}) for b in bins]
+
+
 def _cells(rows: DataFrame, features: Sequence[str], target: str, weight: str | None, keys: Sequence[str] = ()) -> tuple[list, DataFrame]:
     """Transformers that bin rows, and one weighted row `_x`, `_y`, `_w` for each cell of bins with rows.
 
@@ -53,21 +79,91 @@ def _cells(rows: DataFrame, features: Sequence[str], target: str, weight: str |
     would.  The rows are read for bins and sums, not for each level of each tree.
     """
     rows = written(rows)
-    edges = _edges(rows, features)
-    bins = [f"_b{i}" for i in range(len(features))]
-    limits = [[float("-inf"), *e, float("inf")] if e else [float("-inf"), 0.0, float("inf")] for e in edges]
-    binning = [
-        Bucketizer(splitsArray=limits, inputCols=list(features), outputCols=bins, handleInvalid="keep"),
-        VectorAssembler(inputCols=bins, outputCol="_x", handleInvalid="keep"),
-    ]
+    binning, bins = _binning(rows, features)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     cells = binning[0].transform(rows).groupBy(*bins, *keys).agg(F.sum(w).alias("_w"), F.sum(w * F.col(target)).alias("_s"))
-    # bins are numbers in order, not the categories that the bucketizer says they are
-    plain = [F.col(b).alias(b, metadata={}) for b in bins]
-    cells = written(cells.filter("_w > 0").select(*plain, (F.col("_s") / F.col("_w")).alias("_y"), "_w"))
+    cells = written(cells.filter("_w > 0").select(*_plain(bins), (F.col("_s") / F.col("_w")).alias("_y"), "_w"))
     return binning, binning[1].transform(cells).select("_x", "_y", "_w")
 
 
+def _drawn(n_bins: int, trees: int, rate: float, seed: int):
+    """Sums of weight and weighted target of each cell in each tree, from rows sorted by cell.
+
+    Every row is drawn anew for each tree, a Poisson number of times, as in Spark's forests.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for batch in batches:
+            for low in range(0, batch.num_rows, DRAWN):
+                columns = [c.to_numpy() for c in batch.slice(low, DRAWN).columns]
+                at, y, w = np.stack(columns[:n_bins]), columns[-2], columns[-1]
+                first = np.flatnonzero(np.append(True, (at[:, 1:] != at[:, :-1]).any(axis=0)))
+                times = rng.poisson(rate, (len(y), trees)) * w[:, None]
+                sums = [np.add.reduceat(x, first, axis=0) for x in (times, times * y[:, None])]
+                ends = pa.array(np.arange(len(first) + 1, dtype=np.int32) * trees)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(b[first]) for b in at), *(pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in sums)],
+                    names=[*(f"_b{i}" for i in range(n_bins)), "_w", "_s"])
+
+    return run
+
+
+def _samples(rows: DataFrame, bins: list[str], target: str, weight: str | None, trees: int, rate: float, seed: int) -> DataFrame:
+    """One row for each tree and cell of binned rows that it drew: `_tree`, bins, mean target `_y`, weight `_w`."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = rows.select(*_plain(bins), F.col(target).cast("double").alias("_y"), w.alias("_w"))
+    # the order decides which row gets which number, so it is that of the values; a cell of many rows is no single task's
+    dealt = rows.repartition(*bins, F.pmod(F.xxhash64("_y"), F.lit(PARTS))).sortWithinPartitions(*bins, "_y", "_w")
+    schema = ", ".join([*(f"{b} double" for b in bins), "_w array<double>", "_s array<double>"])
+    one = dealt.mapInArrow(_drawn(len(bins), trees, rate, seed), schema)
+    one = one.select(*bins, F.posexplode(F.arrays_zip("_w", "_s"))).filter("col._w > 0")
+    whole = one.groupBy(F.col("pos").alias("_tree"), *bins).agg(F.sum("col._w").alias("_w"), F.sum("col._s").alias("_s"))
+    return whole.select("_tree", *bins, (F.col("_s") / F.col("_w")).alias("_y"), "_w")
+
+
+def _forest(rows: DataFrame, features: Sequence[str], target: str, weight: str | None, params: dict) -> PipelineModel:
+    """Random forest whose trees read the cells of bins that their own draw of rows left.
+
+    As for boosted trees, weight and mean of a cell give the splits of its rows.  Each row is still drawn by itself for each tree,
+    but once, into the sums of its cell; levels of trees read cells.  Where cells hold few rows, Spark's forest reads the rows.
+    """
+    rows = written(rows)
+    model = RandomForestRegressor(**{"seed": SEED, **DEFAULTS["random_forest"], **params})
+    trees = model.getNumTrees()
+    binning, bins = _binning(rows, features)
+    binned = binning[0].transform(rows)
+    n = binned.select(*bins).distinct().count()
+    if not model.getBootstrap() or rows.count() < CELL_ROWS * n:
+        vectors = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
+        model.setFeaturesCol("_x").setLabelCol(target)
+        return PipelineModel([vectors, (model.setWeightCol(weight) if weight else model).fit(vectors.transform(rows))])
+    cells = _samples(binned, bins, target, weight, trees, model.getSubsamplingRate(), model.getSeed())
+    # Spark samples rows for its splits, so their order is fixed
+    dealt = cells.repartition("_tree", F.pmod(F.xxhash64(*bins), F.lit(n // FILED + 1)))
+    cells = written(dealt.sortWithinPartitions("_tree", *bins), "_tree")
+    subset = model.getFeatureSubsetStrategy()
+    if subset == "auto":
+        subset = "onethird" if trees > 1 else "all"
+    one = model.copy().setNumTrees(1).setBootstrap(False).setSubsamplingRate(1.0).setFeatureSubsetStrategy(subset)
+    one.setFeaturesCol("_x").setLabelCol("_y").setWeightCol("_w")
+
+    def fit(t: int):
+        own = binning[1].transform(cells.filter(F.col("_tree") == t))
+        return one.copy().setSeed(model.getSeed() + t).fit(own).trees[0]
+
+    with ThreadPool(min(THREADS, trees)) as pool:
+        fitted = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(trees), 1)
+    context = rows.sparkSession.sparkContext
+    kind = context._jvm.org.apache.spark.ml.regression
+    grown = context._gateway.new_array(kind.DecisionTreeRegressionModel, trees)
+    for t, tree in enumerate(fitted):
+        grown[t] = tree._java_obj
+    forest = RandomForestRegressionModel(kind.RandomForestRegressionModel(model.uid, grown, len(bins)))
+    # the mean of trees divides by the parameter
+    return PipelineModel([*binning, forest._set(numTrees=trees, featuresCol="_x")])
+
+
 def _used(train: DataFrame, features, target: str, weight: str | None) -> DataFrame:
     used = dict.fromkeys([*features, target, *([weight] if weight else [])])
     return train.filter(complete_condition(features, target)).select(*used)
@@ -83,10 +179,7 @@ def fit_tree(train: DataFrame, features, target="y_true", kind="gbt", weight: st
     rows = _used(train, features, target, weight)
     if kind != "random_forest":
         return _boosted(*_cells(rows, features, target, weight), kind, params)
-    # every row has its own weight in each tree, so rows are not put together
-    vectors = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
-    model = RandomForestRegressor(featuresCol="_x", labelCol=target, seed=SEED, **{**DEFAULTS[kind], **params})
-    return PipelineModel([vectors, (model.setWeightCol(weight) if weight else model).fit(vectors.transform(rows))])
+    return _forest(rows, features, target, weight, params)
 
 
 def predict_tree(model: PipelineModel, rows: DataFrame, features, out="y_pred") -> DataFrame:

@@ -144,3 +144,66 @@ def test_user_model_per_series(spark):
     df = series(spark, x=np.arange(10.0), y_true=3 * np.arange(10.0)).withColumn("split", F.lit("train"))
     out = linear.grouped_fit_predict(df, lambda x, y: (x * y[:, None]).sum() / (x * x).sum(), lambda m, x: m * x[:, 0], ["x"])
     np.testing.assert_allclose(values(out, "y_pred"), 3 * np.arange(10.0))
+
+
+def _stepped(spark, n):
+    """Rows of 8 x 8 cells."""
+    rng = np.random.default_rng(12)
+    x, z = rng.integers(0, 8, n) * 1.0, rng.integers(0, 8, n) * 1.0
+    y = x + np.where(z > 3, 5.0, 0.0) + rng.normal(size=n)
+    return spark.createDataFrame(list(zip(x.tolist(), z.tolist(), y.tolist())), "x double, z double, y_true double")
+
+
+def test_levels_of_a_forest_read_cells(spark, monkeypatch):
+    df = _stepped(spark, 6000)
+    plain = trees.RandomForestRegressor(featuresCol="_x", labelCol="y_true", numTrees=12, maxDepth=6, seed=3)
+    vectors = trees.VectorAssembler(inputCols=["x", "z"], outputCol="_x").transform(df)
+    expected = plain.fit(vectors).transform(vectors).toPandas()
+    given, fit = [], trees.RandomForestRegressor.fit
+
+    def counted(self, rows, params=None):
+        given.append(rows.count())
+        return fit(self, rows, params)
+
+    monkeypatch.setattr(trees.RandomForestRegressor, "fit", counted)
+    model = trees.fit_tree(df, ["x", "z"], kind="random_forest", numTrees=12, maxDepth=6)
+    assert max(given) <= 64
+    got = trees.predict_tree(model, df, ["x", "z"]).toPandas()
+    error = lambda p: ((p.y_true - p.iloc[:, -1]) ** 2).mean()
+    assert abs(error(got) - error(expected)) < 0.05 * error(expected) and error(got) < 1.3
+    # a forecast is the mean of its trees, which differ, and does not depend on the run
+    forest = model.stages[-1]
+    vector = model.stages[1].transform(model.stages[0].transform(df)).first()._x
+    each = [t.predict(vector) for t in forest.trees]
+    assert len(set(each)) > 1 and forest.predict(vector) == pytest.approx(np.mean(each))
+    assert trees.tree_importance(model, ["x", "z"], spark).count() == 2
+    again = trees.predict_tree(trees.fit_tree(df, ["x", "z"], kind="random_forest", numTrees=12, maxDepth=6), df, ["x", "z"]).toPandas()
+    np.testing.assert_array_equal(np.sort(got.y_pred), np.sort(again.y_pred))
+
+
+def test_trees_of_a_forest_draw_rows(spark, monkeypatch):
+    monkeypatch.setattr(trees, "DRAWN", 100)
+    df = _stepped(spark, 4000).withColumn("w", F.lit(2.0))
+    binned = trees._binning(df, ["x", "z"])[0][0].transform(df)
+    cells = trees._samples(binned, ["_b0", "_b1"], "y_true", "w", 200, 1.0, 5).toPandas()
+    truth = binned.toPandas().groupby(["_b0", "_b1"]).y_true.agg(["size", "mean", "var"])
+    cells["n"] = cells._w / 2
+    cells["s"] = cells.n * cells._y
+    by = cells.groupby(["_b0", "_b1"])
+    assert len(truth) == 64 and cells.groupby("_tree").size().eq(64).all()
+    n, drawn = truth["size"], by.n
+    assert (drawn.mean() / n).mean() == pytest.approx(1, abs=0.01)
+    assert (drawn.var() / n).mean() == pytest.approx(1, abs=0.1)  # Poisson
+    # targets are drawn with their rows: the mean of a cell varies as that of a bootstrap
+    assert (by.s.sum() / drawn.sum() - truth["mean"]).abs().max() < 0.05
+    assert (by._y.var() / (truth["var"] / n)).mean() == pytest.approx(1, abs=0.15)
+
+
+def test_a_forest_of_rows_in_cells_of_their_own(spark):
+    rng = np.random.default_rng(13)
+    rows = [(float(a), float(b), float(a)) for a, b in rng.normal(size=(200, 2))]
+    df = spark.createDataFrame(rows, "x double, z double, y_true double")
+    model = trees.fit_tree(df, ["x", "z"], kind="random_forest", numTrees=8, maxDepth=6)
+    assert len(model.stages) == 2
+    out = trees.predict_tree(model, df, ["x", "z"]).toPandas()
+    assert ((out.y_true - out.y_pred) ** 2).mean() < 0.3 * out.y_true.var()
