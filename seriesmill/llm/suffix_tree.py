@@ -18,7 +18,8 @@ and over its grams of one number each: what the gram adds as a next symbol (the
 ratio to the suffix's probability, less that of the mass left to the suffix) and as a context
 (the logarithm of the mass left).  Grams are tables of 64-bit hashes, one a level.  One pass over the texts for each
 level counts the next symbols of its contexts and looks up the grams of the level before, in one shuffle by
-buckets of hashes, and is done with these.  Grams and words with a share of `OFTEN` of all tokens or more, at most
+buckets of hashes, and is done with these.  A pass that counts and looks up grams of several words reads the
+texts `SLICES` times, each time for a part of the buckets, so that only the shuffle of one part is on disk.  Grams and words with a share of `OFTEN` of all tokens or more, at most
 1 / OFTEN for each length whatever the size of the corpus, are broadcast instead: hot keys are
 not shuffled to be looked up.  A bitmap of fixed size keeps most grams that score nothing out of the shuffles.
 
@@ -30,9 +31,9 @@ are not read; a long text is a block of its own, in arrays of some tens of bytes
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,8 @@ HELD = 1 << 21
 BUCKET = 1 << 20
 #: share of all tokens from which the grams of a context are spread over all buckets
 HOT = 1e-3
+#: parts of the buckets that are shuffled one after the other
+SLICES = 2
 
 _END = np.uint64(0x6A09E667F3BCC909)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -162,7 +165,10 @@ class Table:
 
 
 def stored(df: DataFrame) -> Table:
-    """Write `df` to the shared folder and read it again."""
+    """Write `df` to the shared folder and read it again.
+
+    The shuffle files of `df` go with the first `release` after the caller has let go of it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/suffix-tree-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -221,6 +227,10 @@ class Pass:
     ends: int
     once: int  # words seen once
     least: int
+    slices: int
+
+    def part_of(self, keys: np.ndarray) -> np.ndarray:
+        return _bucket(keys, self.buckets) % self.slices
 
 
 DOC = "doc struct<doc_id long, held_out boolean, n_tokens long>"
@@ -253,11 +263,16 @@ def _by_bucket(bucket: np.ndarray, buckets: int) -> np.ndarray:
     return np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
 
 
-def _arrays(kind: int, buckets: int, *columns: str):
-    """Rows of a table as arrays for each bucket of the first column."""
+def _arrays(kind: int, buckets: int, part: int, slices: int, *columns: str):
+    """Rows of a table as arrays for each bucket of the first column that is in a part."""
+
+    def own(batch: pa.RecordBatch) -> list[np.ndarray]:
+        rows = [batch[c].to_numpy() for c in columns]
+        at = _bucket(rows[0].view(np.uint64), buckets) % slices == part
+        return [x[at] for x in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, *others in _gathered([batch[c].to_numpy() for c in columns] for batch in batches):
+        for key, *others in _gathered(own(batch) for batch in batches):
             key = key.view(np.uint64)
             bucket = _bucket(key, buckets)
             order = _by_bucket(bucket, buckets)
@@ -302,8 +317,8 @@ def _wanted(now: Pass, pieces: list[list[np.ndarray]]) -> Iterator[pa.RecordBatc
         yield _packed(at, _WANTED, key[low:high], text[low:high][heads], sizes, times[low:high])
 
 
-def _candidates(now: Pass, own: Line, train: np.ndarray) -> list[np.ndarray]:
-    """Grams of depth + 1 symbols of the training texts of a block and their contexts.
+def _candidates(now: Pass, part: int, own: Line, train: np.ndarray) -> list[np.ndarray]:
+    """Grams of depth + 1 symbols of the training texts of a block and their contexts, those of a part.
 
     A gram that occurs often enough has a context and a gram without its oldest symbol that do.
     """
@@ -312,11 +327,18 @@ def _candidates(now: Pass, own: Line, train: np.ndarray) -> list[np.ndarray]:
     if now.counted is not None:
         at = at[maybe(now.counted, context[at - 1])]
         at = at[maybe(now.counted, context[at])]
-    return [gram[at], context[at - 1]]
+    gram, context = gram[at], context[at - 1]
+    if now.slices > 1:
+        at = now.part_of(np.where(now.hot.find(context) >= 0, gram, context)) == part
+        gram, context = gram[at], context[at]
+    return [gram, context]
+
 
+def _looked_up(now: Pass, part: int, own: Line, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For the texts of a block the sums (own, base, known) of what is broadcast; keys, texts and times of what is not.
 
-def _looked_up(now: Pass, own: Line, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For the texts of a block the sums (own, base, known) of what is broadcast; keys, texts and times of what is not."""
+    The sums are whole in the first part, which is the only one that needs them.
+    """
     sums = np.zeros((3, n))
     add = lambda row, at, x: np.add(sums[row], np.bincount(own.owner[at], weights=x, minlength=n), out=sums[row])
     looks = {look.length: look for look in now.looks}
@@ -331,6 +353,8 @@ def _looked_up(now: Pass, own: Line, n: int) -> tuple[np.ndarray, list[np.ndarra
             continue
         look = looks[d]
         at = np.flatnonzero(inside & ~own.is_end if d == 1 else inside)
+        if part:
+            at = at[now.part_of(gram[at]) == part]
         place = look.index.find(gram[at])
         found = place >= 0
         for row, x in enumerate(look.numbers):
@@ -338,6 +362,8 @@ def _looked_up(now: Pass, own: Line, n: int) -> tuple[np.ndarray, list[np.ndarra
         at = at[~found]
         if look.rest is not None:
             at = at[maybe(look.rest, gram[at])]
+        if not part and now.slices > 1:
+            at = at[now.part_of(gram[at]) == 0]
         keys.append(gram[at])
         owners.append(own.owner[at])
     key, owner = np.concatenate(keys or [np.empty(0, np.uint64)]), np.concatenate(owners or [np.empty(0, np.int64)])
@@ -348,8 +374,8 @@ def _looked_up(now: Pass, own: Line, n: int) -> tuple[np.ndarray, list[np.ndarra
     return sums, [key[order], owner[order], np.ones(len(key), dtype=np.int32)]
 
 
-def _over_texts(shared):
-    """One pass over the texts: what is counted and looked up, as arrays for each bucket, and a row for each text."""
+def _over_texts(shared, part: int):
+    """One pass over the texts: what is counted and looked up, as arrays for each bucket of a part, and in the first a row for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Pass = shared.value
@@ -360,20 +386,21 @@ def _over_texts(shared):
                 own, rows = line(block), batch.slice(block.first, block.n)
                 held_out = rows["held_out"].to_numpy(zero_copy_only=False)
                 if now.depth:
-                    counts.append(_candidates(now, own, ~held_out))
+                    counts.append(_candidates(now, part, own, ~held_out))
                     if sum(len(c[0]) for c in counts) >= HELD:
                         yield from _counts(now, counts)
                         counts = []
                 if now.looks:
-                    sums, (key, owner, times) = _looked_up(now, own, block.n)
+                    sums, (key, owner, times) = _looked_up(now, part, own, block.n)
                     texts = rows["key"].to_numpy()
                     wanted.append([key, texts[owner], times])
-                    more = {}
-                    if now.last:
-                        n_tokens = pa.array(np.bincount(own.owner, minlength=block.n) - 1)
-                        more["doc"] = pa.StructArray.from_arrays([rows["doc_id"], rows["held_out"], n_tokens], fields=list(_DOC))
-                    bucket = _bucket(texts.view(np.uint64), now.buckets)
-                    yield _batch(_ROWS, bucket=bucket, kind=np.full(block.n, _TEXT), key=texts, own=sums[0], base=sums[1], known=sums[2], **more)
+                    if not part:
+                        more = {}
+                        if now.last:
+                            n_tokens = pa.array(np.bincount(own.owner, minlength=block.n) - 1)
+                            more["doc"] = pa.StructArray.from_arrays([rows["doc_id"], rows["held_out"], n_tokens], fields=list(_DOC))
+                        bucket = _bucket(texts.view(np.uint64), now.buckets)
+                        yield _batch(_ROWS, bucket=bucket, kind=np.full(block.n, _TEXT), key=texts, own=sums[0], base=sums[1], known=sums[2], **more)
                     if sum(len(c[0]) for c in wanted) >= HELD:
                         yield from _wanted(now, wanted)
                         wanted = []
@@ -468,6 +495,11 @@ class Level:
     def following(self) -> DataFrame:
         return self.df.filter("kept").select(F.col("gram").alias("k"), "n", "own")
 
+    def thin(self) -> None:
+        """Keep only what is looked up."""
+        whole, self.table = self.table, stored(self.df.filter("kept").select("gram", "n", "kept", "own"))
+        whole.drop()
+
     def before(self) -> DataFrame:
         return self.contexts.df.filter("kept").select(F.col("context").alias("k"), F.col("total").alias("n"), F.log10("left").alias("own"))
 
@@ -487,8 +519,8 @@ class Tree:
         self.bitmaps: dict[int, np.ndarray] = {}
         self.sums: list[DataFrame] = []
 
-    def _look(self, length: int) -> tuple[Look, DataFrame]:
-        """Grams of a length that add to scores: those to be broadcast, and rows of the others."""
+    def _look(self, length: int) -> tuple[Look, DataFrame, list[str]]:
+        """Grams of a length that add to scores: those to be broadcast, and rows of the others with their columns."""
         parts = []
         if length > 1:
             parts.append(self.levels[length - 2].following())
@@ -503,8 +535,8 @@ class Tree:
         rows = reduce(DataFrame.unionAll, parts)
         often = F.col("n") >= max(OFTEN * self.weight, 1)
         keys, *frequent = _columns(rows.filter(often).groupBy("k").agg(*(F.sum(c).alias(c) for c in numbers)), "k", *numbers)
-        packed = rows.filter(~often).select("k", *numbers).mapInArrow(_arrays(_KNOWN, self.buckets, "k", *numbers), ROWS)
-        return Look(length, Index.of(keys), np.stack(frequent), self._bitmap(length) if length > 1 else None), packed
+        columns = ["k", *numbers]
+        return Look(length, Index.of(keys), np.stack(frequent), self._bitmap(length) if length > 1 else None), rows.filter(~often).select(*columns), columns
 
     def _bitmap(self, length: int) -> np.ndarray:
         """Bitmap of all counted grams of a length."""
@@ -512,23 +544,30 @@ class Tree:
             self.bitmaps[length] = bitmap(self.levels[length - 2].df.select(F.col("gram").alias("k")))
         return self.bitmaps[length]
 
-    def _pass(self, depth: int, lengths: list[int], contexts: DataFrame | None = None, last: bool = False) -> DataFrame:
+    def _pass(self, depth: int, lengths: list[int], contexts: DataFrame | None = None, last: bool = False) -> Iterator[Callable[[], DataFrame]]:
+        """What a pass finds, by parts, to be made one after the other."""
         hot = [np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)]
-        parts = []
+        tables = []
         if depth:
             hot = _columns(contexts.filter(F.col("total") >= max(HOT * self.weight, LEAST)), "context", "total", "suffix")
-            parts.append(contexts.mapInArrow(_arrays(_CONTEXT, self.buckets, "context", "total", "suffix"), ROWS))
+            tables.append((_CONTEXT, contexts, ["context", "total", "suffix"]))
         looks = []
         for length in lengths:
-            look, packed = self._look(length)
+            look, rows, columns = self._look(length)
             looks.append(look)
-            parts.append(packed)
+            tables.append((_KNOWN, rows, columns))
         # nearly all words are candidates, but few longer strings are
         counted = self._bitmap(depth) if depth > 1 else None
-        now = Pass(depth, Index.of(hot[0]), hot[1], hot[2].view(np.uint64), counted, self.buckets, looks, last, self.ends, self.once, LEAST)
+        slices = min(SLICES, self.buckets) if depth and max(lengths, default=0) > 1 else 1
+        now = Pass(depth, Index.of(hot[0]), hot[1], hot[2].view(np.uint64), counted, self.buckets, looks, last, self.ends, self.once, LEAST, slices)
         shared = self.spark.sparkContext.broadcast(now)
-        rows = reduce(DataFrame.unionAll, parts, self.texts.mapInArrow(_over_texts(shared), ROWS))
-        return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_buckets(shared), FOUND)
+
+        def found(part: int) -> DataFrame:
+            parts = [df.mapInArrow(_arrays(kind, self.buckets, part, slices, *columns), ROWS) for kind, df, columns in tables]
+            rows = reduce(DataFrame.unionAll, parts, self.texts.mapInArrow(_over_texts(shared, part), ROWS))
+            return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_buckets(shared), FOUND)
+
+        return (partial(found, part) for part in range(slices))
 
     def _add(self, found: DataFrame) -> None:
         by_text = found.filter("key IS NOT NULL").groupBy("key")
@@ -546,16 +585,26 @@ class Tree:
         parents = whole.select(F.col("gram").alias("parent"), (F.col("n") / F.lit(float(self.weight))).alias("parent_p"))
         for d in range(1, depth + 1):
             looking = self.scoring and d > 1
-            found = stored(self._pass(d, [d - 1] if looking else [], contexts))
+            parts = []
+            for make in self._pass(d, [d - 1] if looking else [], contexts):
+                parts.append(stored(make()))
+                release(self.spark)
+            found = reduce(DataFrame.unionAll, [part.df for part in parts])
             if looking:
-                self._add(found.df)
+                self._add(found)
                 self.levels[d - 2].contexts.drop()
                 if d > 2:
                     self.levels[d - 3].table.drop()
-            rows = stored(found.df.filter("gram IS NOT NULL").select("gram", "context", "n", "total", "parent", "is_end").join(parents, "parent"))
-            found.drop()
+            rows = stored(found.filter("gram IS NOT NULL").select("gram", "context", "n", "total", "parent", "is_end").join(parents, "parent"))
+            found = None
+            for part in parts:
+                part.drop()
+            release(self.spark)
+            if looking:
+                self.levels[d - 2].thin()
             self.levels.append(_judged(rows.df))
             rows.drop()
+            release(self.spark)
             level = self.levels[-1].df
             if level.filter("kept").isEmpty():
                 break
@@ -565,7 +614,11 @@ class Tree:
     def finish(self) -> DataFrame:
         """Look up the grams that are left; `key, own, base, known, copies, doc` of all texts."""
         d = len(self.levels)
-        self._add(self._pass(0, [d, d + 1] if d else [1], last=True))
+        if d:
+            self.levels[-1].thin()
+        for make in self._pass(0, [d, d + 1] if d else [1], last=True):
+            self._add(make())
+            release(self.spark)
         for level in self.levels[-2:]:
             level.table.drop()
         for level in self.levels[-1:]:
@@ -593,6 +646,7 @@ def _judged(rows: DataFrame) -> Level:
     scale = total + F.col("kinds")
     kept = gain > 0.5 * (F.col("kinds") + 1) * F.ln(F.greatest(total, F.lit(2)))
     contexts = stored(by_context.select("context", "total", kept.alias("kept"), scale.alias("scale"), ((scale - seen) / scale).alias("left")))
+    release(rows.sparkSession)
     p = F.when(F.col("kept"), F.col("n") / F.col("scale") + F.col("left") * F.col("parent_p")).otherwise(F.col("parent_p"))
     own = F.when(F.col("kept"), F.log10(p / F.col("parent_p")) - F.log10("left"))
     whole = rows.join(contexts.df.drop("total"), "context")

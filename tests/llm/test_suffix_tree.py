@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -125,6 +126,45 @@ def test_buckets_and_hot_contexts_change_nothing(spark, monkeypatch):
     equals_plain(st.score(frame(spark, rows), lambda i: i < 0).collect(), rows, lambda i: False)
 
 
+@pytest.mark.parametrize("slices", [1, 3])
+def test_parts_of_a_pass_change_nothing(spark, monkeypatch, slices):
+    monkeypatch.setattr(st, "BUCKET", 500)
+    monkeypatch.setattr(st, "HOT", 0.05)
+    monkeypatch.setattr(st, "OFTEN", 1e-2)
+    monkeypatch.setattr(st, "SLICES", slices)
+    passes, one = [], st._over_texts
+    monkeypatch.setattr(st, "_over_texts", lambda shared, part: passes.append(part) or one(shared, part))
+    rng = random.Random(8)
+    texts = [" ".join("a" if rng.random() < 0.3 else f"w{rng.randrange(200)}" for _ in range(60)) for _ in range(60)]
+    rows = [(i, texts[i // 3]) for i in range(180)]
+    equals_plain(st.score(frame(spark, rows), lambda i: i % 5 == 0).collect(), rows, lambda i: i % 5 == 0)
+    # counting words, then pairs, then the pass that counts and looks up longer grams by parts, then the last one
+    assert passes == [0, 0, *range(slices), 0]
+
+
+def test_shuffles_of_earlier_passes_are_gone(spark, monkeypatch):
+    """When a part of a pass begins, the files of the part before it are no longer needed or held."""
+    monkeypatch.setattr(st, "BUCKET", 500)
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    sizes, one = [], st._over_texts
+
+    def counted(shared, part):
+        time.sleep(1)  # files are removed in the background
+        files = manager.getAllFiles()
+        sizes.append(sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")))
+        return one(shared, part)
+
+    monkeypatch.setattr(st, "_over_texts", counted)
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(2000)}" for _ in range(100)) for _ in range(250)]
+    rows = [(i, texts[i // 2]) for i in range(500)]
+    st.release(spark)
+    time.sleep(1)
+    st.score(frame(spark, rows), lambda i: i < 0).count()
+    # slice 1 of the third pass begins without the files of slice 0
+    assert len(sizes) >= 4 and sizes[3] <= sizes[2] + 20_000
+
+
 def test_distributions_sum_to_one():
     rng = random.Random(4)
     tree = Plain([[None, *(rng.choice("abcdefgh") for _ in range(60)), None] for _ in range(200)], 3)
