@@ -20,7 +20,8 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, dtype=np.uint64)
+_INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -43,14 +44,13 @@ def _byte_values(lower: bool) -> np.ndarray:
 _VALUES = {False: _byte_values(False), True: _byte_values(True)}
 
 
-def powers(n: int) -> np.ndarray:
+def powers(n: int, of: np.uint64 = _MULTIPLIER) -> np.ndarray:
     """The first n powers of an odd multiplier, modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        made = np.full(max(n, 64), _MULTIPLIER, dtype=np.uint64)
+    if len(_powers.get(int(of), ())) < n:
+        made = np.full(max(n, 64), of, dtype=np.uint64)
         made[0] = 1
-        _powers = np.multiply.accumulate(made)
-    return _powers[:n]
+        _powers[int(of)] = np.multiply.accumulate(made)
+    return _powers[int(of)][:n]
 
 
 @dataclass
@@ -129,11 +129,14 @@ def _block(first: int, data: np.ndarray, bounds: np.ndarray, values: np.ndarray)
     ends = np.flatnonzero(solid & (~after | fresh[1:])) + 1
     if len(starts):
         base = starts[0]
-        place = np.arange(base, n) - np.repeat(starts, np.diff(np.append(starts, n)))
         # spaces have value 0; a word counts up to the next start
-        longest = int((ends - starts).max())
-        value = values[data[base:]] * powers(longest)[np.minimum(place, longest - 1)]
-        hashes = mix(np.add.reduceat(value, starts - base) + (ends - starts).astype(np.uint64))
+        if n <= 2 * BLOCK_BYTES:  # powers count from the first word and are taken back at each start
+            total = np.add.reduceat(values[data[base:]] * powers(n - base), starts - base) * powers(n - base, _INVERSE)[starts - base]
+        else:  # of a long text from each start, so that no more of them are held than the longest word has
+            place = np.arange(base, n) - np.repeat(starts, np.diff(np.append(starts, n)))
+            longest = int((ends - starts).max())
+            total = np.add.reduceat(values[data[base:]] * powers(longest)[np.minimum(place, longest - 1)], starts - base)
+        hashes = mix(total + (ends - starts).astype(np.uint64))
     else:
         hashes = np.empty(0, dtype=np.uint64)
     return Block(first, data, bounds, starts, ends, hashes, np.searchsorted(starts, bounds))

@@ -4,11 +4,13 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute_force as plain
-from seriesmill.llm import queries, suffix_tree as st
+from seriesmill.llm import queries, suffix_tree as st, text as words_of
 
 
 def held(i):
@@ -209,6 +211,29 @@ def test_the_tree_grows_with_the_corpus(spark):
     assert large[0] > 3 * small[0] > 3000
 
 
+def test_levels_are_few_rows_of_arrays(spark):
+    """Grams are joined in buckets of arrays, so none is a row of its own that Spark sorts, shuffles or joins."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, t) for i in range(0, 400, 2) for t in [" ".join(rng.choices(words, k=30))] for i in (i, i + 1)]
+    texts = frame(spark, rows).select("text")
+    counts = texts.mapInArrow(st._unigrams, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).cache()
+    level = st.grow(texts, counts, len(rows), 31 * len(rows), 3)[0]
+    grams = level.df.filter("kept").count()
+    assert grams > 3000 and level.table.df.count() < grams / 100
+
+
+@pytest.mark.parametrize("size", [0, 16, 1 << 20])
+def test_hashes_of_words_do_not_depend_on_the_block(monkeypatch, size):
+    texts = ["", "  Ab\tb  c", None, "word " * 50 + "x" * 40, "é ü\n", "A"]
+    monkeypatch.setattr(words_of, "BLOCK_BYTES", size)
+    got = [int(h) for block in words_of.blocks(pa.array(texts), lower=True) for h in block.hashes]
+    values, multiplier = words_of._VALUES[True], int(words_of._MULTIPLIER)
+    found = [w.encode() for t in texts for w in plain.WORDS.findall(t or "")]
+    sums = [(sum(int(values[b]) * pow(multiplier, i, 1 << 64) for i, b in enumerate(w)) + len(w)) % (1 << 64) for w in found]
+    assert got == [int(h) for h in words_of.mix(np.array(sums, dtype=np.uint64))]
+
+
 def test_a_very_long_text(spark):
     rng = random.Random(8)
     rows = [(1, " ".join(rng.choices("abc", k=300_000))), (2, "a b c a b c"), (3, "x" * 1_000_000)]
