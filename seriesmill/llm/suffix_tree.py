@@ -780,6 +780,7 @@ class Tree:
         slices = min(SLICES, self.buckets) if depth and max(lengths, default=0) > 1 else 1
         now = Pass(depth, Index.of(key), totals, p, symbols.view(np.uint64), counted, self.buckets, looks, last, self.ends, self.once, LEAST, slices)
         shared = self.spark.sparkContext.broadcast(now)
+        release(self.spark)  # the shuffles of the bitmaps and of the level before
 
         def found(part: int) -> DataFrame:
             parts = [own.map(_to_buckets(kind, self.buckets, part, slices), ROWS) for kind, own in tables]
