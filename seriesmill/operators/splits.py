@@ -115,16 +115,30 @@ def walk_forward_folds(
     return w.select(*by, "fold_id", *bounds).withColumns(counts).join(dates, [*by, "fold_id"])
 
 
+def with_folds(panel: DataFrame, folds: DataFrame, by=("symbol",), splits=("train", "val", "test")) -> DataFrame:
+    """Panel rows with their `position` and `_in`, the (fold_id, split) that hold the row; rows of no fold are left out.
+
+    A row meets the spans of its series, which the calendar bounds, as one array; neither rows nor positions are copied for the folds.
+    """
+    by = list(by)
+    spans = F.array(*[F.struct(F.col("fold_id"), F.lit(s).alias("split"), F.col(f"{s}_lo").alias("lo"), F.col(f"{s}_hi").alias("hi")) for s in splits])
+    held = folds.select(*by, F.inline(spans)).filter(F.col("lo").isNotNull()).groupBy(*by).agg(
+        F.collect_list(F.struct("fold_id", "split", "lo", "hi")).alias("_spans"))
+    own = F.filter("_spans", lambda x: F.col("position").between(x["lo"], x["hi"]))
+    rows = panel.withColumn("position", Series(by).position() - 1).join(held, by)
+    rows = rows.withColumn("_in", F.transform(own, lambda x: F.struct(x["fold_id"].alias("fold_id"), x["split"].alias("split"))))
+    rest = [c for c in panel.columns if c not in by]
+    return rows.filter(F.size("_in") > 0).select(*by, "position", *rest, "_in")
+
+
+def copied(rows: DataFrame) -> DataFrame:
+    """A row of `with_folds` once for each of its folds."""
+    return rows.select(*[c for c in rows.columns if c != "_in"], F.inline("_in"))
+
+
 def fold_rows(panel: DataFrame, folds: DataFrame, by=("symbol",), splits=("train", "val", "test")) -> DataFrame:
     """Rows of every fold and split (each row once per fold that holds it)."""
-    by = list(by)
-    spans = F.array(*[F.struct(F.lit(s).alias("split"), F.col(f"{s}_lo").alias("lo"), F.col(f"{s}_hi").alias("hi")) for s in splits])
-    members = (
-        folds.select(*by, "fold_id", F.inline(spans))
-        .filter(F.col("lo").isNotNull())
-        .select(*by, "fold_id", "split", F.explode(F.sequence("lo", "hi")).alias("position"))
-    )
-    return panel.withColumn("position", Series(by).position() - 1).join(members, [*by, "position"])
+    return copied(with_folds(panel, folds, by, splits))
 
 
 def embargo_check(folds: DataFrame, embargo=21) -> DataFrame:
