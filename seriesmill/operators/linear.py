@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.columns import Series, count_if, finite, safe_ratio
-from seriesmill.operators.ranking import quantile, with_rank
+from seriesmill.functions.lineage import written
+from seriesmill.operators.ranking import quantiles
 
 #: fixed candidates
 ALPHA_GRID = (0.1, 1.0, 10.0, 50.0, 100.0, 300.0, 500.0, 1000.0)
@@ -144,7 +145,8 @@ def predict(rows: DataFrame, coefs: DataFrame, features: Sequence[str], by: Sequ
     value = F.col("intercept")
     for i, c in enumerate(features):
         value = value + F.col("coef")[i] * F.col(c)
-    joined = rows.join(coefs, list(by)).withColumn(out, value)
+    # of known size, so that rows are not shuffled to meet a few fits
+    joined = rows.join(written(coefs), list(by)).withColumn(out, value)
     return joined.drop("intercept", "coef")
 
 
@@ -187,9 +189,7 @@ def ridge_alpha_search(
 
 def regime_thresholds(rows, column, by=("fold_id",), split="split") -> DataFrame:
     """Median of the regime column over training rows."""
-    by = list(by)
-    train = rows.filter(F.col(split) == "train")
-    return with_rank(train, column, by, "g").groupBy(*by).agg(quantile(column, "g", 0.5).alias("threshold"))
+    return quantiles(rows.filter(F.col(split) == "train"), column, list(by), {"threshold": 0.5})
 
 
 def with_side(rows, column, by=("fold_id",), split="split") -> DataFrame:

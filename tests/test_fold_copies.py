@@ -2,9 +2,12 @@
 
 import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from seriesmill.operators import splits
+from seriesmill.operators import linear, ranking, splits
 from seriesmill.plans import split_queries
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +38,50 @@ def test_fold_rows_of_models_are_read_from_one_table(spark, rows):
     df = rows(spark, SF)
     assert "Exchange" not in plan(df) and "Join" not in plan(df) and plan(df).count("Scan parquet") == 1
     assert df.count() > 0
+
+
+def _values(spark):
+    rng = np.random.default_rng(1)
+    rows = [("ab"[i % 2], float(x)) for i, x in enumerate(rng.normal(size=3000))] + [("ties", float(i % 3)) for i in range(100)]
+    rows += [("none", None), (None, 1.0), (None, 4.0), ("wild", float("inf")), ("wild", 2.0), ("zero", -0.0), ("zero", 0.0)]
+    return spark.createDataFrame(rows, "k string, v double")
+
+
+@pytest.mark.parametrize("accuracy", [10, 10_000])
+def test_quantiles_equal_those_of_ranks(spark, monkeypatch, accuracy):
+    df, places = _values(spark), {"low": 0.25, "mid": 0.5, "top": 1.0}
+
+    def by_ranks(df):
+        return df.groupBy("k").agg(*[ranking.quantile("v", "g", p).alias(c) for c, p in places.items()]).orderBy("k").collect()
+
+    expected = by_ranks(ranking.with_rank(df, "v", ["k"], "g"))
+    wild = df.union(spark.createDataFrame([("a", float("nan"))], df.schema))
+    expected_wild = by_ranks(ranking.with_rank(wild, "v", ["k"], "g"))
+    ranked = []
+    monkeypatch.setattr(ranking, "with_rank", lambda *a, real=ranking.with_rank: ranked.append(a) or real(*a))
+    assert repr(ranking.quantiles(df, "v", ["k"], places, accuracy=accuracy).orderBy("k").collect()) == repr(expected)
+    assert not ranked
+    got = ranking.quantiles(wild, "v", ["k"], places, accuracy=accuracy).orderBy("k").collect()
+    assert repr(got) == repr(expected_wild) and len(ranked) == 1
+
+
+def test_quantiles_outside_of_a_wrong_guess_are_ranked(spark, monkeypatch):
+    df = _values(spark)
+    real = F.percentile_approx
+    # the guess points at the lowest values only
+    monkeypatch.setattr(ranking.F, "percentile_approx", lambda c, shares, accuracy: real(c, [0.0] * len(shares), accuracy))
+    got = {r.k: r.m for r in ranking.quantiles(df.filter("k IN ('a', 'ties')"), "v", ["k"], {"m": 0.5}).collect()}
+    a = np.array([r.v for r in df.filter("k = 'a'").collect()])
+    assert got == {"a": pytest.approx(np.median(a)), "ties": 1.0}
+
+
+def test_gate_ranks_no_training_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "_window_ranks", None)
+    monkeypatch.setattr(ranking, "_by_position", None)
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"fold_id": np.arange(300) % 3, "split": np.where(np.arange(300) % 5, "train", "test"), "f": rng.normal(size=300), "y_true": rng.normal(size=300)})
+    got = {r.fold_id: r.threshold for r in linear.regime_thresholds(spark.createDataFrame(pdf), "f").collect()}
+    assert got == {k: pytest.approx(g.f.median()) for k, g in pdf[pdf.split == "train"].groupby("fold_id")}
+    # fits are few, and rows are not shuffled to meet them
+    out = linear.regime_gated_ridge(spark.createDataFrame(pdf), ["f"], "f")
+    assert "hashpartitioning" not in plan(out) and out.count() == 300
