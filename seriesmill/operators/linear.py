@@ -12,8 +12,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from seriesmill.functions.columns import Series, count_if, finite, safe_ratio
 from seriesmill.functions.lineage import written
@@ -261,17 +265,20 @@ def stack_lambda_search(
 
 def grouped_fit_predict(
     rows: DataFrame, fit_fn: Callable, predict_fn: Callable, features: Sequence[str], by: Sequence[str] = ("symbol",),
-    target="y_true", split="split", keys=("symbol", "date"), out="y_pred",
+    target="y_true", split="split", keys=("symbol", "date"), out="y_pred", folds: DataFrame | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """Any user model, fitted on the training rows of each group by itself.
 
     A group reaches one task, so `by` must name a dated series (optionally one
-    fold of it); pooled fits of any size belong to the functions above.
+    fold of it); pooled fits of any size belong to the functions above.  With `folds` the rows are those of
+    a panel, `by` names a series and `fold_id`, and a series is handed over once for all of its folds, by `tasks` tasks.
     """
     types = dict(rows.dtypes)
     columns = list(dict.fromkeys([*keys, *by, split, target]))
-    schema = ", ".join([*[f"`{c}` {types[c]}" for c in columns], f"`{out}` double"])
     names = list(features)
+    if folds is not None:
+        return _folds_fit_predict(rows, folds, fit_fn, predict_fn, names, [k for k in by if k != "fold_id"], target, split, columns, out, tasks)
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in columns], f"`{out}` double"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         train = pdf[pdf[split] == "train"].dropna(subset=[*names, target])
@@ -283,3 +290,85 @@ def grouped_fit_predict(
 
     return rows.select(*dict.fromkeys([*columns, *names])).groupBy(*by).applyInPandas(one, schema)
 
+
+def _series_bounds(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """First rows of the series of a sorted table, and its end."""
+    change = np.zeros(max(len(table) - 1, 0), dtype=bool)
+    for k in keys:
+        c = table[k].combine_chunks()
+        change |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.flatnonzero(change) + 1, [len(table)]))
+
+
+def _folds_fit_predict(
+    panel: DataFrame, folds: DataFrame, fit_fn: Callable, predict_fn: Callable, names: list[str], series: list[str],
+    target: str, split: str, columns: list[str], out: str, tasks: int | None,
+) -> DataFrame:
+    """The rows of every fold as `splits.fold_rows` gives them, with the forecasts of the fold's model; no row is copied before its forecast."""
+    schema = T.StructType([T.StructField(c, T.StringType() if c == split else (folds if c == "fold_id" else panel).schema[c].dataType) for c in columns]).add(out, T.DoubleType())
+    kinds = ("train", "val", "test")
+    # a row for each span of a fold comes before those of its series
+    spans = folds.select(*series, F.inline(F.array(*[F.struct(
+        F.col("fold_id").alias("_fold"), F.lit(i).alias("_kind"), F.col(f"{k}_lo").cast("long").alias("_lo"), F.col(f"{k}_hi").cast("long").alias("_hi"))
+        for i, k in enumerate(kinds)]))).filter(F.col("_lo").isNotNull() & F.col("_hi").isNotNull())
+    own = [c for c in columns if c not in (split, "fold_id")]
+    rows = panel.select(*dict.fromkeys([*own, *series, "date"]), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(names)], F.col(target).cast("double").alias("_y"))
+    both = rows.withColumn("_kind", F.lit(-1)).unionByName(spans, allowMissingColumns=True)
+    for k in series:
+        both = both.filter(F.col(k).isNotNull())
+    both = both.repartition(tasks, *series) if tasks else both.repartition(*series)
+    both = both.sortWithinPartitions(*series, F.col("_kind") < 0, "date")
+
+    def fitted(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        x = np.column_stack([t[f"_x{i}"].to_numpy() for i in range(len(names))])
+        y, kind, lo, hi = (t[c].to_numpy() for c in ("_y", "_kind", "_lo", "_hi"))
+        fold = t["_fold"].combine_chunks()
+        known = ~(np.isnan(x).any(axis=1) | np.isnan(y))
+        places, marks, codes, preds = [], [], [], []
+        for first, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            start = first + int(np.count_nonzero(kind[first:end] >= 0))
+            of: dict = {}
+            for i, f in zip(range(first, start), fold[first:start].to_pylist()):
+                a, b = max(start + int(lo[i]), start), min(start + int(hi[i]) + 1, end)
+                if a < b:
+                    of.setdefault(f, []).append((int(kind[i]), a, b, i))
+            for held in of.values():
+                held.sort()
+                at = np.concatenate([np.arange(a, b) for _, a, b, _ in held])
+                train = np.concatenate([np.arange(a, b) for k, a, b, _ in held if k == 0] or [np.empty(0, dtype=int)])
+                train = train[known[train]]
+                pred = np.full(len(at), np.nan)
+                if len(train):
+                    pred = np.asarray(predict_fn(fit_fn(x[train], y[train]), x[at]), dtype=float)
+                places.append(at)
+                preds.append(pred)
+                for k, a, b, i in held:
+                    codes.append(np.full(b - a, k, dtype=np.int32))
+                    marks.append(np.full(b - a, i))
+        if not places:
+            return pa.RecordBatch.from_pylist([], arrow)
+        at, pred = pa.array(np.concatenate(places)), np.concatenate(preds)
+        made = {c: t[c].take(at).combine_chunks() for c in own}
+        made["fold_id"] = fold.take(pa.array(np.concatenate(marks)))
+        made[split] = pa.array(kinds).take(pa.array(np.concatenate(codes)))
+        made[out] = pa.array(pred, mask=np.isnan(pred))
+        if pa.types.is_floating(made[target].type):
+            made[target] = pc.if_else(pc.is_nan(made[target]), None, made[target])
+        return pa.RecordBatch.from_arrays([made[f.name].cast(f.type) for f in arrow], schema=arrow)
+
+    arrow = to_arrow_schema(schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            piece = pa.Table.from_batches([batch])
+            held = (piece if held is None else pa.concat_tables([held, piece])).combine_chunks()
+            bounds = _series_bounds(held, series)
+            # the last series may go on
+            if len(bounds) > 2:
+                yield fitted(held, bounds[:-1])
+                held = held.slice(bounds[-2])
+        if held is not None and len(held):
+            yield fitted(held, _series_bounds(held, series))
+
+    return both.mapInArrow(each, schema)

@@ -10,7 +10,7 @@ from seriesmill.functions.lineage import written
 from seriesmill.operators import linear, segments, splits, trees
 from seriesmill.plans import panels
 from seriesmill.plans.registry import query
-from seriesmill.plans.split_queries import STATIC_ARGS, TUNED, WALK, WF, WF_ARGS, tuning_rows, walk_panel, walk_rows
+from seriesmill.plans.split_queries import STATIC_ARGS, TUNED, WALK, WF, WF_ARGS, model_panel, tuning_rows, walk_panel, walk_rows
 from seriesmill.plans.sqltext import FORECASTS, rounded
 from seriesmill.operators.splits import walk_forward_folds
 
@@ -194,7 +194,9 @@ def _apply(model, x):
     "SELECT symbol, date, fold_id, split, y_true, b0 + w1 * f1 + w2 * f2 AS y_pred FROM rows_ JOIN fit USING (symbol, fold_id)",
     "symbol, date, fold_id, split", "y_true, y_pred", with_=WALK + ", " + fit_cte("rows_", "symbol, fold_id", "fit")))
 def grouped_fit_predict(spark, d):
-    return _out(linear.grouped_fit_predict(walk_rows(spark, d), _least_squares, _apply, X, by=("symbol", "fold_id")))
+    panel, folds = model_panel(spark, d)
+    tasks = panels.tasks(spark, panel.count())
+    return _out(linear.grouped_fit_predict(panel, _least_squares, _apply, X, by=("symbol", "fold_id"), folds=folds, tasks=tasks))
 
 
 # --- trees: no SQL counterpart, checked by property tests -------------------

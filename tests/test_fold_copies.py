@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from seriesmill.operators import linear, ranking, splits
 from seriesmill.plans import split_queries
 
@@ -85,3 +86,32 @@ def test_gate_ranks_no_training_rows(spark, monkeypatch):
     # fits are few, and rows are not shuffled to meet them
     out = linear.regime_gated_ridge(spark.createDataFrame(pdf), ["f"], "f")
     assert "hashpartitioning" not in plan(out) and out.count() == 300
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_user_models_of_folds_get_each_series_once(spark, batch):
+    rng = np.random.default_rng(4)
+    first = datetime.date(2020, 1, 1)
+    rows = [(s, first + datetime.timedelta(i), *map(float, rng.normal(size=3))) for s, n in (("A", 40), ("B", 25), (None, 30), ("D", 5)) for i in range(n)]
+    panel = spark.createDataFrame(rows, "symbol string, date date, f1 double, f2 double, y_true double")
+    panel = panel.withColumns({"f1": F.when(F.col("date") != "2020-01-03", F.col("f1")), "y_true": F.when(F.col("date") == "2020-01-04", float("nan")).otherwise(F.col("y_true"))})
+    spans = [("A", 0, 0, 9, 12, 14, 16, 20), ("A", 1, 5, 18, 20, 22, 25, 60), ("A", 2, 2, 3, None, None, 8, 9), ("B", 0, 30, 40, 0, 3, 5, 9), ("B", 1, 3, 20, None, None, 21, 24), (None, 0, 0, 9, 10, 11, 12, 13), ("C", 0, 0, 9, 10, 11, 12, 13)]
+    folds = spark.createDataFrame(spans, "symbol string, fold_id int, train_lo int, train_hi int, val_lo int, val_hi int, test_lo int, test_hi int")
+    models = (lambda x, y: np.linalg.lstsq(np.column_stack([np.ones(len(x)), x]), y, rcond=None)[0]), (lambda m, x: np.column_stack([np.ones(len(x)), x]) @ m)
+    by, key = ("symbol", "fold_id"), ["symbol", "fold_id", "split", "date"]
+    want = linear.grouped_fit_predict(splits.fold_rows(panel, folds), *models, ["f1", "f2"], by=by)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = linear.grouped_fit_predict(panel, *models, ["f1", "f2"], by=by, folds=folds)
+        got = out.orderBy(*key).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = want.orderBy(*key).collect()
+    assert out.columns == want.columns and out.dtypes == want.dtypes and plan(out).count("MapInArrow") == 1
+    assert len(got) == len(expected) > 70 and any(r.y_pred is None for r in expected)
+    for a, b in zip(got, expected):
+        assert a[:-1] == b[:-1] and a.y_pred == (None if b.y_pred is None else pytest.approx(b.y_pred, abs=1e-9))
+
+
+def test_query_of_user_models_copies_no_rows(spark):
+    assert "FlatMapGroups" not in plan(entry.queries()["grouped_fit_predict"](spark, SF))
